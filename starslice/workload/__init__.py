@@ -6,7 +6,7 @@ import importlib
 
 from starslice.workload import registry
 
-_SECTIONS = ("slices",)
+_SECTIONS = ("slices", "metrics", "windows")
 
 
 def _load() -> None:
