@@ -132,3 +132,221 @@ def best_worst_year(star: Star, spec: SliceSpec) -> DataFrame:
     )
     rows = F.array(*[F.struct(F.lit(n).alias("record"), F.col(n).alias("r")) for n in ("best", "worst")])
     return both.select(F.inline(rows)).select("record", "r.season_year", "r.v")
+
+
+# -- leaderboard and map --------------------------------------------------------------
+def leaderboard(star: Star, spec: SliceSpec, year: int, metric: str = "count", metric2: str = "", limit: int | None = None,
+                roles: M.Roles = M.ORDER_ROLES) -> DataFrame:
+    """Value, second metric, rank, rank change, six-season sparkline and share of the whole."""
+    ids = [m for m in dict.fromkeys([metric, metric2]) if m]
+    df = M.metric_frame(star, spec, ids, roles).withColumn("value", F.col(metric))
+    df = df.withColumn("value2", F.col(metric2).cast("double") if metric2 else F.lit(None).cast("double"))
+    ranked = S.with_rank_delta(df, "value", not M.METRICS[metric].diverging, star.small)
+    board = ranked.withColumn("spark", S.sparkline("base")).filter((F.col("season_year") == year) & F.col("value").isNotNull())
+    if metric == "count":
+        whole = spec.patch(region="", year_from=year, year_to=year).apply(star.fact).agg(F.sum("cnt")).scalar()
+        board = board.withColumn("share", ratio(F.col("value"), whole))
+    else:
+        board = board.withColumn("share", F.lit(None).cast("double"))
+    out = board.select("entity", "name", "region", "value", "value2", "rank", "delta", "spark", "share")
+    out = out.orderBy(F.col("rank").asc_nulls_last(), "entity")
+    return out.limit(limit) if limit else out
+
+
+def stats_strip(star: Star, spec: SliceSpec, year: int, metric: str = "count") -> DataFrame:
+    """One row: total, entities reporting, entities in scope and the top entity by the metric."""
+    df = M.metric_frame(star, spec, [metric]).filter(F.col("season_year") == year)
+    v, e = F.col(metric), F.col("entity")
+    return df.agg(
+        F.sum("base").alias("total"), F.count_if(F.col("base") > 0).alias("reporting"), F.count("*").alias("in_scope"),
+        F.min_by(e, F.when(v.isNotNull(), F.struct(-v, e))).alias("top_entity"), F.max(v).alias("top_value"),
+    )
+
+
+# -- the entity card --------------------------------------------------------------------
+def entity_card(star: Star, spec: SliceSpec, metric: str, entity, year: int) -> DataFrame:
+    """Value, ranks in the whole and in its region with the ranked counts, and the top-10 streak."""
+    free = spec.patch(region="")
+    df = M.metric_frame(star, free, [metric]).withColumn("value", F.col(metric))
+    positive = not M.METRICS[metric].diverging
+    now = df.filter(F.col("season_year") == year)
+    ranked = K.competition_rank(now, [], "value", positive, star.small, "state_rank") if star.small else \
+        K.competition_rank(now.withColumn("_all", F.lit(1)), ["_all"], "value", positive, False, "state_rank").drop("_all")
+    ranked = K.competition_rank(ranked, ["region"], "value", positive, star.small, "region_rank")
+    me, ok = F.col("entity") == entity, F.col("state_rank").isNotNull()
+    region = now.filter(me).select("region").scalar()
+    one = ranked.agg(
+        F.max(F.when(me, F.col("name"))).alias("name"), F.max(F.when(me, F.col("value"))).alias("value"),
+        F.max(F.when(me, F.col("state_rank"))).alias("state_rank"), F.count_if(ok).alias("state_ranked"),
+        F.max(F.when(me, F.col("region_rank"))).alias("region_rank"),
+        F.count_if(ok & (F.col("region") == region)).alias("region_ranked"),
+    )
+    runs = K.competition_rank(df.withColumn("base", F.col("base")), ["season_year"], "base", bounded=star.small)
+    streak = S.top_n_streaks(runs, year, 10).filter(me).select("streak").scalar()
+    return one.withColumn("streak", streak)
+
+
+def average_line(star: Star, spec: SliceSpec, entity) -> DataFrame:
+    """Per period: the entity's count and the rounded mean over entities with a positive count."""
+    dense = star.measures(spec.patch(region=""), {"v": spec.patch(region="")})
+    return dense.groupBy("season_year").agg(
+        F.max(F.when(F.col("entity") == entity, F.col("v"))).alias("own"),
+        F.round(F.avg(F.when(F.col("v") > 0, F.col("v")))).cast("long").alias("average"),
+    )
+
+
+def nearest(dim: DataFrame, entity, k: int = 5) -> DataFrame:
+    """The k entities with the closest centroids to one entity (equirectangular distance).
+
+    One scan with the origin as scalar values; the sort keeps only k rows per task.
+    """
+    me = dim.filter(F.col("entity") == entity)
+    lon, lat = me.select("lon").scalar(), me.select("lat").scalar()
+    dist = F.pow((F.col("lon") - lon) * F.cos(F.radians(lat)), 2) + F.pow(F.col("lat") - lat, 2)
+    return (
+        dim.filter(F.col("entity") != entity).withColumn("dist", dist)
+        .orderBy("dist", "entity").limit(k)
+    )
+
+
+def neighbors_compared(star: Star, spec: SliceSpec, metric: str, entity, year: int, k: int = 5) -> DataFrame:
+    """The entity and its nearest neighbours with value and rank, undefined values last."""
+    df = M.metric_frame(star, spec.patch(region=""), [metric]).filter(F.col("season_year") == year).withColumn("value", F.col(metric))
+    ranked = K.competition_rank(df, ["season_year"], "value", not M.METRICS[metric].diverging, star.small)
+    near = nearest(star.dim, entity, k).select("entity").unionByName(star.dim.filter(F.col("entity") == entity).select("entity"))
+    return ranked.join(near, "entity", "left_semi").select(
+        "entity", "name", "value", "rank", (F.col("entity") == entity).alias("self")
+    ).orderBy(F.col("value").desc_nulls_last(), "entity")
+
+
+def pressure_card(star: Star, spec: SliceSpec, entity, year: int, round_to: int = 100) -> DataFrame:
+    """Hunter densities, estimated hunters, harvest per hunter and the two ranks of one entity."""
+    ids = ["deer_per_hunter", "hunters_per_sqmi"]
+    df = M.metric_frame(star, spec.patch(region=""), ids).filter(F.col("season_year") == year)
+    for m, name in zip(ids, ("rank_per_hunter", "rank_density")):
+        df = K.competition_rank(df, ["season_year"], m, True, star.small, name)
+    df = df.join(star.effort, ["entity", "season_year"], "left")
+    me = F.col("entity") == entity
+    own = lambda c: F.max(F.when(me, c))
+    people = (F.col("fh") + F.col("ah")) * F.col("area")
+    return df.agg(
+        own(F.col("fh")).alias("firearms"), own(F.col("ah")).alias("archery"),
+        own(F.round(people / round_to) * round_to).alias("hunters"), own(F.col("deer_per_hunter")).alias("per_hunter"),
+        own(F.col("rank_per_hunter")).alias("rank_per_hunter"), F.count("rank_per_hunter").alias("ranked_per_hunter"),
+        own(F.col("rank_density")).alias("rank_density"), F.count("rank_density").alias("ranked_density"),
+    )
+
+
+def density_trend(effort: DataFrame, entity) -> DataFrame:
+    """Per published period: the entity's combined density and the mean over entities, one decimal."""
+    both = F.col("fh") + F.col("ah")
+    per = effort.groupBy("season_year").agg(
+        F.max(F.when(F.col("entity") == entity, both)).alias("own"), F.avg(both).alias("average")
+    )
+    return per.filter(F.col("average").isNotNull()).withColumn("average", F.round("average", 1))
+
+
+def region_effort(star: Star, spec: SliceSpec) -> DataFrame:
+    """Area-weighted density and harvest per hunter per region, over members that report both densities."""
+    df = star.measures(spec, {"v": spec}).join(star.effort, ["entity", "season_year"])
+    ok = F.col("fh").isNotNull() & F.col("ah").isNotNull() & (F.col("area") > 0)
+    people = (F.col("fh") + F.col("ah")) * F.col("area")
+    agg = df.filter(ok).groupBy("region", "season_year").agg(
+        F.sum(people).alias("hunters"), F.sum("area").alias("area"), F.sum("v").alias("v"), F.count("*").alias("members")
+    )
+    return agg.filter(F.col("hunters") > 0).select(
+        "region", "season_year", "members", ratio("hunters", "area").alias("density"), ratio("v", "hunters").alias("per_hunter")
+    )
+
+
+# -- season mix ---------------------------------------------------------------------------
+def season_stats(star: Star, spec: SliceSpec, roles: M.Roles = M.ORDER_ROLES, entity=None) -> DataFrame:
+    """Opening share, youth share and spring:fall ratio per period; an entity scope ignores the region."""
+    free = spec.all_years().patch(entities=(entity,) if entity is not None else ())
+    if entity is not None:
+        free = free.patch(region="")
+    sums = {
+        **M.METRICS["opening_share"].sums(free, roles), **M.METRICS["youth_share"].sums(free, roles),
+        "spring": free.patch(season="spring", portions=()), "fall": free.patch(season="fall", portions=()),
+    }
+    rows = star.fact
+    if entity is not None:
+        rows = rows.filter(F.col("entity") == entity)
+    elif free.region:
+        rows = rows.join(star.dim.filter(F.col("region") == free.region).select("entity"), "entity", "left_semi")
+    wide = A.conditional(rows, ["season_year"], **{k: s.category_predicate() for k, s in sums.items()})
+    return wide.select(
+        "season_year", ratio("os_num", "os_den").alias("opening_share"), ratio("ys_num", "ys_den").alias("youth_share"),
+        ratio("spring", "fall").alias("spring_fall"),
+    )
+
+
+# -- head to head ---------------------------------------------------------------------------
+# stat -> which direction wins ("" = no winner)
+H2H_BETTER = {
+    "harvest": "high", "per_area": "high", "rank": "low", "change": "high", "avg5": "high", "buck_doe": "high",
+    "hunters_per_area": "", "per_hunter": "high", "attribute_share": "high", "best": "high", "best_year": "",
+}
+
+
+def h2h_stats(star: Star, spec: SliceSpec, keys: tuple[str, str], year: int, roles: M.Roles = M.ORDER_ROLES) -> DataFrame:
+    """(stat, a, b): the statistics of two places, each an entity or a region; the region filter is dropped."""
+    full = spec.patch(region="").all_years()
+    sums = {"v": full, **M.METRICS["buck_doe"].sums(full, roles)}
+    dense = star.measures(full, sums)
+    members = A.places(star, list(keys)).select("side", "is_region", "entity", F.col("region").alias("home"))
+    named = dense.join(members, "entity")
+    exact = M.attribute_share_exact(star, full).select("entity", "season_year", "num", F.col("den").alias("aden"))
+    named = named.join(star.effort, ["entity", "season_year"], "left").join(exact, ["entity", "season_year"], "left")
+    ok = F.col("fh").isNotNull() & F.col("ah").isNotNull() & (F.col("area") > 0)
+    people = (F.col("fh") + F.col("ah")) * F.col("area")
+    line = named.groupBy("side", "is_region", "season_year").agg(
+        F.min("entity").alias("entity"), F.min("home").alias("home"),
+        F.sum("v").alias("v"), F.sum("area").alias("area"), F.sum("bd_num").alias("bd_num"), F.sum("bd_den").alias("bd_den"),
+        F.sum(F.when(ok, people)).alias("hunters"), F.sum(F.when(ok, F.col("area"))).alias("earea"),
+        F.sum(F.when(ok, F.col("v"))).alias("ev"), F.sum("num").alias("num"), F.sum("aden").alias("aden"),
+    )
+    line = line.withColumns({
+        "prev": F.lag("v").over(S._line("side")), "avg5": S.trailing_average("v", 5, "side"),
+    })
+    best = K.argmax(["side"], line, "v", "season_year").select("side", F.col("season_year").alias("best_year"), F.col("v").alias("best"))
+    now = line.filter(F.col("season_year") == year).join(best, "side")
+    # competition rank = 1 + number of strictly greater peers at the same grain
+    peers = dense.filter(F.col("season_year") == year)
+    own = peers.select(F.lit(False).alias("is_region"), F.col("v").alias("peer"))
+    regional = peers.groupBy("region").agg(F.sum("v").alias("peer")).select(F.lit(True).alias("is_region"), "peer")
+    above = (
+        now.select("side", "is_region", "v").join(own.unionByName(regional), "is_region")
+        .groupBy("side").agg((F.count_if(F.col("peer") > F.col("v")) + 1).alias("place"))
+    )
+    now = now.join(above, "side")
+    stats = {
+        "harvest": F.col("v").cast("double"), "per_area": ratio("v", "area"),
+        "rank": F.when(F.col("is_region") | (F.col("v") > 0), F.col("place")).cast("double"),
+        "change": ratio("v", "prev") - 1, "avg5": F.col("avg5"), "buck_doe": ratio("bd_num", "bd_den"),
+        "hunters_per_area": F.when(F.col("hunters") > 0, ratio("hunters", "earea")), "per_hunter": ratio("ev", "hunters"),
+        "attribute_share": ratio("num", "aden"), "best": F.col("best").cast("double"), "best_year": F.col("best_year").cast("double"),
+    }
+    long = now.select(
+        "side", "is_region",
+        F.inline(F.array(*[F.struct(F.lit(k).alias("stat"), c.alias("value")) for k, c in stats.items()])),
+    )
+    side = lambda i, c: F.max(F.when(F.col("side") == i, F.col(c)))
+    return long.groupBy("stat").agg(
+        side(0, "value").alias("a"), side(1, "value").alias("b"),
+        (side(0, "is_region") == side(1, "is_region")).alias("same_grain"),
+    )
+
+
+def h2h_winners(stats: DataFrame) -> DataFrame:
+    """Winner per statistic (``a``, ``b`` or NULL); rank only counts between places of one grain."""
+    better = F.create_map(*[F.lit(x) for kv in H2H_BETTER.items() for x in kv])
+    how = F.when((F.col("stat") == "rank") & ~F.col("same_grain"), "").otherwise(better[F.col("stat")])
+    a, b = F.col("a"), F.col("b")
+    first = F.when(how == "high", a > b).when(how == "low", a < b)
+    return stats.select("stat", F.when(a != b, F.when(first, "a").when(~first, "b")).alias("winner"))
+
+
+def h2h_score(winners: DataFrame) -> DataFrame:
+    w = F.col("winner")
+    return winners.agg(F.count_if(w == "a").alias("a"), F.count_if(w == "b").alias("b"), F.count(w).alias("decided"))
