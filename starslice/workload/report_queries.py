@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from starslice.plans import metrics as M
 from starslice.plans import reports as R
 from starslice.plans.spec import SliceSpec
-from starslice.runtime import ratio
+from starslice.runtime import ratio, settle
 from starslice.sources import driver_tables as D
 from starslice.workload.registry import query
 from starslice.workload.windows import RANKED, star
@@ -171,7 +171,7 @@ def h2h_stats(s, d):
 
 @query("h2h_winner", f"{H2H}, w2 AS (SELECT stat, CASE WHEN a <> b AND stat NOT IN ('rank', 'hunters_per_area', 'best_year') THEN CASE WHEN a > b THEN 'a' ELSE 'b' END END AS winner FROM h2h) SELECT stat, winner, count(CASE WHEN winner = 'a' THEN 1 END) OVER () AS score_a, count(CASE WHEN winner = 'b' THEN 1 END) OVER () AS score_b FROM w2", "series effort attrs")
 def h2h_winner(s, d):
-    won = R.h2h_winners(_h2h(s, d))
+    won = R.h2h_winners(settle(_h2h(s, d), "h2h"))
     score = R.h2h_score(won)
     return won.withColumn("score_a", score.select("a").scalar()).withColumn("score_b", score.select("b").scalar())
 
