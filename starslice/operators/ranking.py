@@ -23,13 +23,10 @@ def running_counts(df: DataFrame, by: list[str], value: str, descending: bool =
     """One row per (by, value): ``n`` equal rows and ``before`` rows that sort in front of it."""
     order = F.col(value).desc() if descending else F.col(value).asc()
     vals = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    if bounded:
-        w = W.partitionBy(*by).orderBy(order).rowsBetween(*_BEFORE)
-        return vals.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return _prefix_totals(vals, by, [order], "n", "before")
+    return prefix_sum(vals, by, [order], "n", "before", bounded)
 
 
-def _prefix_totals(rows: DataFrame, by: list[str], order: list[Column], weight: str, name: str) -> DataFrame:
+def _ranged_prefix_sum(rows: DataFrame, by: list[str], order: list[Column], weight: str, name: str) -> DataFrame:
     """Sum of ``weight`` over the rows of the same group that sort in front; ``order`` must be unique per group."""
     spark = rows.sparkSession
     if shared_dir(spark) is None:
@@ -52,6 +49,14 @@ def _prefix_totals(rows: DataFrame, by: list[str], order: list[Column], weight:
     )
 
 
+def prefix_sum(rows: DataFrame, by: list[str], order: list[Column], weight: str, name: str, bounded: bool = False) -> DataFrame:
+    """Sum of ``weight`` over the rows of the group in front of each row (0 for the first)."""
+    if bounded:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(*_BEFORE)
+        return rows.withColumn(name, F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    return _ranged_prefix_sum(rows, by, order, weight, name)
+
+
 def eligible(value: str, positive_only: bool) -> Column:
     """Rankable rows: defined and, for count-like measures, positive."""
     v = F.col(value)
@@ -76,7 +81,7 @@ def ordinal_rank(df: DataFrame, by: list[str], value: str, tie: str, bounded: bo
     order = [F.col(value).desc_nulls_last(), F.col(tie).asc()]
     if bounded:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("int"))
-    placed = _prefix_totals(df.withColumn("_one", F.lit(1)), by, order, "_one", "_front")
+    placed = _ranged_prefix_sum(df.withColumn("_one", F.lit(1)), by, order, "_one", "_front")
     return placed.withColumn(name, (F.col("_front") + 1).cast("int")).drop("_one", "_front")
 
 

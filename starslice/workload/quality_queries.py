@@ -158,7 +158,7 @@ def pinned_tolerance(s, d):
 
 
 @query("crosscheck", f"""{CELLS}, own AS (SELECT entity, season_year, CAST(sum(cnt) AS BIGINT) AS own FROM cells WHERE NOT (entity = 13 AND season_year = 1996) GROUP BY ALL),
-  rep AS (SELECT entity, season_year, CAST(sum(cnt) AS BIGINT) + CASE WHEN (entity * 7 + season_year) % 11 = 0 THEN CAST(sum(cnt) AS BIGINT) // 10 WHEN (entity * 7 + season_year) % 5 = 0 THEN CAST(sum(cnt) AS BIGINT) // 50 ELSE 0 END AS reported FROM cells GROUP BY ALL)
+  rep AS (SELECT entity, season_year, CAST(sum(cnt) AS BIGINT) + CASE WHEN (entity * 7 + season_year) % 11 = 0 THEN CAST(sum(cnt) AS BIGINT) // 10 WHEN (entity * 7 + season_year) % 5 = 0 THEN CAST(sum(cnt) AS BIGINT) // 50 ELSE 0 END AS reported FROM cells GROUP BY entity, season_year)
   SELECT season_year, count(*) AS n, count(CASE WHEN reported = own THEN 1 END) AS exact, count(CASE WHEN abs(reported - own) / CAST(own AS DOUBLE) > 0.01 THEN 1 END) AS over_1pct,
    count(CASE WHEN abs(reported - own) / CAST(own AS DOUBLE) > 0.05 THEN 1 END) AS over_5pct, count(CASE WHEN own IS NULL THEN 1 END) AS missing, count(CASE WHEN abs(reported - own) / CAST(own AS DOUBLE) > 0.05 THEN 1 END) * 10 > count(*) AS failed FROM rep LEFT JOIN own USING (entity, season_year) GROUP BY season_year""", "fact")
 def crosscheck(s, d):
