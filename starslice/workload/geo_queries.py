@@ -10,21 +10,26 @@ from starslice.sources import driver_tables as D
 from starslice.streaming import rollup as SR
 from starslice.workload.registry import query
 
-K = F.col("c_custkey")
-CX, CY = F.pmod(K * 7919, F.lit(10007)) / 100.0, F.pmod(K * 104729, F.lit(10009)) / 200.0
+def key():
+    return F.col("c_custkey")
+
+
+def scatter(factor: int, modulus: int, scale: float):
+    """A deterministic coordinate from the customer key."""
+    return F.pmod(key() * factor, F.lit(modulus)) / scale
 
 
 def vertices(s, d):
     """A square ring per customer; every tenth has a hole, every third runs clockwise, a few have no area."""
-    half = F.when(K % 37 == 5, 0.0).otherwise(F.lit(0.1) + (K % 17) / 10.0)
+    half = F.when(key() % 37 == 5, 0.0).otherwise(F.lit(0.1) + (key() % 17) / 10.0)
     rings = F.filter(
         F.array(
-            F.struct(F.lit(0).alias("ring"), CX.alias("cx"), half.alias("h")),
-            F.struct(F.when(K % 10 == 0, 1).alias("ring"), (CX + half / 4).alias("cx"), (half / 2).alias("h")),
+            F.struct(F.lit(0).alias("ring"), scatter(7919, 10007, 100.0).alias("cx"), half.alias("h")),
+            F.struct(F.when(key() % 10 == 0, 1).alias("ring"), (scatter(7919, 10007, 100.0) + half / 4).alias("cx"), (half / 2).alias("h")),
         ),
         lambda r: r["ring"].isNotNull(),
     )
-    base = D.table(s, d, "customer").select(K.alias("geom"), CY.alias("cy"), F.inline(rings))
+    base = D.table(s, d, "customer").select(key().alias("geom"), scatter(104729, 10009, 200.0).alias("cy"), F.inline(rings))
     j = F.when(F.col("geom") % 3 == 0, 4 - F.col("seq")).otherwise(F.col("seq"))
     return base.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
         "geom", F.lit(0).alias("part"), "ring", "seq",
@@ -91,7 +96,7 @@ def segment_clip(s, d):
 def trails(s, d):
     """A seven-vertex line per customer with small steps and bends."""
     i = F.col("seq")
-    return D.table(s, d, "customer").select(K.alias("geom")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(6)))).select(
+    return D.table(s, d, "customer").select(key().alias("geom")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(6)))).select(
         "geom", F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq",
         (F.col("geom") % 11 + i * 0.031).alias("x"), (((F.col("geom") * 31 + i * 17) % 100) / 250.0).alias("y"),
     )
@@ -129,14 +134,14 @@ def collect_parts(s, d):
 def line_groups(s, d):
     # chains of fifty pieces, and one hub that a third of the customers touch
     c = D.table(s, d, "customer")
-    chain = c.filter(K % 50 != 49).select(K.alias("piece"), K.alias("a"), (K + 1).alias("b"))
-    hub = c.filter(K % 3 == 0).select((-K).alias("piece"), (-K - 10).alias("a"), F.lit(-5).cast("long").alias("b"))
+    chain = c.filter(key() % 50 != 49).select(key().alias("piece"), key().alias("a"), (key() + 1).alias("b"))
+    hub = c.filter(key() % 3 == 0).select((-key()).alias("piece"), (-key() - 10).alias("a"), F.lit(-5).cast("long").alias("b"))
     return G.line_groups(chain.unionByName(hub))
 
 
 def lonlat(s, d):
     return D.table(s, d, "customer").select(
-        K.alias("geom"), (F.lit(-96.0) + F.pmod(K * 7919, F.lit(10007)) / 1500.0).alias("lon"), (F.lit(36.0) + F.pmod(K * 104729, F.lit(10009)) / 2200.0).alias("lat")
+        key().alias("geom"), (F.lit(-96.0) + scatter(7919, 10007, 1500.0)).alias("lon"), (F.lit(36.0) + scatter(104729, 10009, 2200.0)).alias("lat")
     )
 
 
@@ -184,11 +189,11 @@ def point_in_polygon(s, d):
                 (F.floor(F.col("geom") / 5) + F.when(j.isin(2, 3), F.col("hi")).otherwise(F.col("lo"))).alias("y"))
     )
     points = D.table(s, d, "customer").select(
-        "c_custkey", (F.pmod(K * 7919, F.lit(5003)) / 1000.7).alias("x"), (F.pmod(K * 104729, F.lit(5003)) / 1000.9).alias("y")
+        "c_custkey", scatter(7919, 5003, 1000.7).alias("x"), scatter(104729, 5003, 1000.9).alias("y")
     )
     matches = G.point_in_polygon(points, squares)
     per = matches.groupBy(F.col("geom").cast("long").alias("key")).agg(F.count("*").alias("n")).withColumn("outcome", F.lit("match"))
-    bad = G.exactly_one(points, matches, "c_custkey").select(K.alias("key"), "n", F.lit("unmatched").alias("outcome"))
+    bad = G.exactly_one(points, matches, "c_custkey").select(key().alias("key"), "n", F.lit("unmatched").alias("outcome"))
     return per.unionByName(bad)
 
 
