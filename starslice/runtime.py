@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Settle independent frames; their write jobs are submitted together and share the executors."""
+    if len(frames) < 2:
+        return {k: settle(df, k) for k, df in frames.items()}
+    with ThreadPoolExecutor(len(frames)) as pool:
+        waiting = {k: pool.submit(settle, df, k) for k, df in frames.items()}
+        return {k: f.result() for k, f in waiting.items()}
+
+
 def fits(df: DataFrame, limit: int = WINDOW_ROWS) -> bool:
     """True when ``df`` has at most ``limit`` rows; stops counting after ``limit + 1``."""
     return df.limit(limit + 1).count() <= limit

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starslice.runtime import settle_all
 from starslice.sources.star import Star
 
 KINDS = {"1-URGENT": "main", "2-HIGH": "archery", "3-MEDIUM": "youth", "4-NOT SPECIFIED": "managed"}
@@ -51,12 +52,20 @@ def lines(spark, sf_dir) -> DataFrame:
     return li.join(orders_by_entity(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def fact(spark, sf_dir, entity: str = "entity", source: DataFrame | None = None) -> DataFrame:
-    """Aggregate the lines to cells first, then add the two overlapping subtotal portions."""
-    rows = lines(spark, sf_dir) if source is None else source
-    cells = rows.groupBy(
-        "species", "season_year", "season", "kind", "opening", F.col(entity).alias("entity"), "class"
-    ).agg(F.sum("qty").alias("qty"))
+def cells(spark, sf_dir, species: str = "") -> DataFrame:
+    """The lines aggregated to base cells with the plain and the two attribute quantities: one pass over the lines."""
+    qty = F.col("qty")
+    rows = lines(spark, sf_dir)
+    rows = rows.filter(F.col("species") == species) if species else rows
+    return rows.groupBy("species", "season_year", "season", "kind", "opening", "entity", "class").agg(
+        F.sum("qty").alias("qty"),
+        F.sum(F.when(F.col("l_discount") > 0.05, qty).otherwise(0)).alias("qty_a"),
+        F.sum(F.when(F.col("l_tax") < 0.02, qty).otherwise(0)).alias("qty_b"),
+    )
+
+
+def fact(spark, sf_dir, base: DataFrame | None = None) -> DataFrame:
+    """Base cells plus the two overlapping subtotal portions; columns that are not read are pruned from the scan."""
     kinds = F.filter(
         F.array(
             F.struct(F.col("kind"), F.lit(False).alias("is_subtotal")),
@@ -66,7 +75,7 @@ def fact(spark, sf_dir, entity: str = "entity", source: DataFrame | None = None)
         lambda k: k["kind"].isNotNull(),
     )
     return (
-        cells.withColumn("k", F.explode(kinds))
+        (cells(spark, sf_dir) if base is None else base).withColumn("k", F.explode(kinds))
         .groupBy("species", "season_year", "season", F.col("k.kind").alias("kind"), F.col("k.is_subtotal").alias("is_subtotal"), "entity", "class")
         .agg(F.sum("qty").alias("cnt"))
         .select(
@@ -97,19 +106,15 @@ def dim(spark, sf_dir) -> DataFrame:
     )
 
 
-def attributes(spark, sf_dir) -> DataFrame:
-    qty = F.col("qty")
+def attributes(spark, sf_dir, base: DataFrame | None = None) -> DataFrame:
     reported = (F.col("season_year") >= 1999) | (
         (F.col("season_year") == 1998) & (F.col("season") == "fall") & (F.col("kind") == "archery")
     )
     return (
-        lines(spark, sf_dir)
+        (cells(spark, sf_dir) if base is None else base)
         .filter(reported & (F.col("entity") % 7 != 3))
         .groupBy("species", "season_year", "season", "kind", "entity")
-        .agg(
-            F.sum(F.when(F.col("l_discount") > 0.05, qty).otherwise(0)).alias("attr_a"),
-            F.sum(F.when(F.col("l_tax") < 0.02, qty).otherwise(0)).alias("attr_b"),
-        )
+        .agg(F.sum("qty_a").alias("attr_a"), F.sum("qty_b").alias("attr_b"))
         .select("species", "season_year", F.concat_ws("_", "season", "kind").alias("portion"), "entity", "attr_a", "attr_b")
     )
 
@@ -147,3 +152,21 @@ def samples(spark, sf_dir) -> DataFrame:
 def star(spark, sf_dir, species: str = "O") -> Star:
     full = Star(fact(spark, sf_dir), dim(spark, sf_dir), attributes(spark, sf_dir), effort(spark, sf_dir))
     return full.only(species) if species else full
+
+
+def settled(spark, sf_dir, *parts: str, species: str = "O") -> Star:
+    """The star with its named parts written once (fact and dim by default).
+
+    Fact and attributes share one written cell table, so the lines are scanned a single time.
+    """
+    parts = parts or ("fact", "dim")
+    if "attrs" not in parts:
+        return star(spark, sf_dir, species).settled(*parts)
+    first = {"cells": cells(spark, sf_dir, species)}
+    first |= {p: f(spark, sf_dir) for p, f in (("dim", dim), ("effort", effort)) if p in parts}
+    done = settle_all(first)
+    base = done.pop("cells")
+    if "fact" in parts:
+        done |= settle_all({"fact": fact(spark, sf_dir, base)})
+    lazy = star(spark, sf_dir, species)
+    return Star(done.get("fact", lazy.fact), done.get("dim", lazy.dim), attributes(spark, sf_dir, base), done.get("effort", lazy.effort))

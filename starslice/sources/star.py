@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starslice.plans.spec import SliceSpec
-from starslice.runtime import fits, settle
+from starslice.runtime import fits, settle_all
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Star:
     def settled(self, *parts: str) -> Star:
         """Write the named parts (fact and dim by default) once for plans that read them repeatedly."""
         parts = parts or ("fact", "dim")
-        return replace(self, **{p: settle(getattr(self, p), p) for p in parts if getattr(self, p) is not None})
+        return replace(self, **settle_all({p: getattr(self, p) for p in parts if getattr(self, p) is not None}))
 
     @cached_property
     def small(self) -> bool:

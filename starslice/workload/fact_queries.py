@@ -57,7 +57,7 @@ DEER = f"""u AS (SELECT *, v AS u FROM series WHERE season_year <= 2000), {SHARE
 
 @query("fact_rows", DEER, "series effort")
 def fact_rows(s, d):
-    star = D.star(s, d).settled("fact", "dim", "effort")
+    star = D.settled(s, d, "fact", "dim", "effort")
     return make_facts(star, O, 2000, "deer", home=11, round_to=10).select("priority", "id", "entity", "value", "caption")
 
 
@@ -70,5 +70,5 @@ TURKEY = f"""u AS (SELECT *, cmp AS u FROM series WHERE season_year <= 2001), {S
 
 @query("fact_rows_partial", TURKEY, "series attrs")
 def fact_rows_partial(s, d):
-    star = D.star(s, d).settled("fact", "dim", "attrs")
+    star = D.settled(s, d, "fact", "dim", "attrs")
     return make_facts(star, O, 2001, "turkey").select("priority", "id", "entity", "value", "caption")

@@ -22,7 +22,7 @@ def _metric(name: str, metric: str, sql: str, needs: str = "series", spec: Slice
     @query(name, sql, needs)
     def run(s, d):
         effort = M.METRICS[metric].effort
-        star = D.star(s, d).settled(*(("fact", "dim", "effort") if effort else ("fact", "dim")))
+        star = D.settled(s, d, *(("fact", "dim", "effort") if effort else ("fact", "dim")))
         return M.metric_frame(star, spec, [metric]).select("entity", "season_year", r6(F.col(metric)))
 
 
@@ -56,7 +56,7 @@ ATTR_SQL = """den AS (SELECT entity, season_year, sum(cnt) AS den FROM fact WHER
 def _attr_metric(name: str, metric: str, sql: str) -> None:
     @query(name, sql, "grid attrs")
     def run(s, d):
-        star = D.star(s, d).settled("fact", "dim", "attrs")
+        star = D.settled(s, d, "fact", "dim", "attrs")
         return M.metric_frame(star, O, [metric]).select("entity", "season_year", r6(F.col(metric)))
 
 
@@ -69,7 +69,7 @@ _attr_metric("metric_attribute_share_fixed", "crossbow_share", ATTR_SQL.format(c
     round(CASE WHEN sum(d) > 0 THEN CAST(sum(attr_a) AS DOUBLE) / sum(d) END, 6) AS share
   FROM attrs LEFT JOIN cell USING (season_year, portion, entity) GROUP BY entity, season_year""", "fact attrs")
 def attribute_share(s, d):
-    star = D.star(s, d).settled("fact")
+    star = D.settled(s, d, "fact", "attrs")
     return M.attribute_share_exact(star, O).withColumn("share", F.round("share", 6))
 
 
@@ -78,7 +78,7 @@ def attribute_share(s, d):
     CAST(sum(CASE WHEN portion = 'fall_archery' THEN attr_b END) AS BIGINT) AS fixed_num, CAST(sum(CASE WHEN portion = 'fall_archery' THEN coalesce(d, 0) END) AS BIGINT) AS fixed_den
   FROM attrs LEFT JOIN cell USING (season_year, portion, entity) WHERE season_year = 1998 GROUP BY entity""", "fact attrs")
 def attribute_share_struct(s, d):
-    star = D.star(s, d).settled("fact")
+    star = D.settled(s, d, "fact", "attrs")
     cells = M.attribute_cells(star, O, "attr_a").filter("season_year = 1998").join(
         star.attrs.select("season_year", "portion", "entity", "attr_b"), ["season_year", "portion", "entity"]
     )
@@ -97,7 +97,7 @@ def attribute_share_struct(s, d):
     round(CASE WHEN (fh + ah) * area > 0 THEN v / ((fh + ah) * area) END, 6) AS per_hunter
   FROM series s LEFT JOIN effort e ON e.entity = s.entity AND e.season_year = s.season_year""", "series effort")
 def effort_metrics(s, d):
-    star = D.star(s, d).settled("fact", "dim", "effort")
+    star = D.settled(s, d, "fact", "dim", "effort")
     ids = ["firearms_hunters_per_sqmi", "archery_hunters_per_sqmi", "hunters_per_sqmi", "deer_per_hunter"]
     df = M.metric_frame(star, O, ids)
     return df.select("entity", "season_year", *[r6(F.col(i), n) for i, n in zip(ids, ["firearms", "archery", "hunters", "per_hunter"])])
@@ -128,7 +128,7 @@ def season_ratio(s, d):
   FROM p JOIN k ON k.entity = p.entity AND k.season_year = p.season_year""", "series")
 def metric_all_years(s, d):
     ids = ["count", "per_sqmi", "change_yoy", "vs_5yr", "buck_doe"]
-    df = M.metric_frame(D.star(s, d).settled(), O, ids)
+    df = M.metric_frame(D.settled(s, d), O, ids)
     return df.select("entity", "season_year", *[r6(F.col(i), i) for i in ids])
 
 
@@ -137,5 +137,5 @@ def metric_all_years(s, d):
 def trend_density(s, d):
     from starslice.plans import reports as R
 
-    lines = R.trend_lines(D.star(s, d).settled(), O, [2, 9], "per_sqmi")
+    lines = R.trend_lines(D.settled(s, d), O, [2, 9], "per_sqmi")
     return lines.withColumn("value", F.round("value", 6))

@@ -293,7 +293,7 @@ def _target(s, name):
 
 @query("publish_gate", "SELECT species, season_year, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS cnt FROM fact0 GROUP BY ALL", "fact")
 def publish_gate(s, d):
-    fact = D.star(s, d, "").settled("fact").fact
+    fact = D.settled(s, d, "fact", species="").fact
     checks = {
         "duplicate cells": Q.duplicate_keys(fact, ["species", *CELL]),
         "portion attributes": Q.dependency_violations(fact, "portion", ["season", "method", "youth", "is_subtotal"]),
@@ -314,7 +314,7 @@ def pivot_series(s, d):
 
 @query("unpivot_series", "SELECT species, season_year, portion, class, entity, cnt, season, method, youth, is_subtotal FROM fact0 WHERE cnt <> 0", "fact")
 def unpivot_series(s, d):
-    st = D.star(s, d, "").settled()
+    st = D.settled(s, d, species="")
     return sinks.unpivot_series(sinks.pivot_series(st.fact, st.dim), st.dim, sinks.portion_attributes(st.fact))
 
 
