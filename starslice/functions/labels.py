@@ -14,7 +14,7 @@ def grouped(v: Column) -> Column:
 
 
 def fixed(v: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.round(v.cast("double"), digits))
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f", F.round(v.cast("double"), digits)))
 
 
 def percent(v: Column, digits: int = 1) -> Column:

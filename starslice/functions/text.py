@@ -12,6 +12,11 @@ EM_DASH = "\u2014"
 TOTAL_LABELS = ("total", "totals", "grand total", "grand totals")
 
 
+def strip(text: Column) -> Column:
+    """Leading and trailing white space of any kind (``trim`` only knows blanks)."""
+    return F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " "))
 
@@ -25,7 +30,7 @@ def normalize_name(name: Column) -> Column:
 
 def clean_int(text: Column) -> Column:
     """``1,231`` -> 1231; blank and dashes -> 0; anything else -> NULL (a reject)."""
-    bare = F.trim(F.regexp_replace(text, r"[,\u00a0]", ""))
+    bare = strip(F.regexp_replace(text, r"[,\u00a0]", ""))
     return F.when(bare.isin("", "-", EM_DASH), F.lit(0).cast("long")).when(bare.rlike(r"^\d+$"), bare.try_cast("long"))
 
 

@@ -190,7 +190,7 @@ def resolve(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
 
 def bucket_key(name: Column, not_a_place: tuple[str, ...], spellings: dict[str, str]) -> tuple[Column, Column]:
     """(name to look up, is a known non-place): a source's own misspellings are mapped first."""
-    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    low = F.lower(X.strip(F.coalesce(name, F.lit(""))))
     fixed = reduce(lambda acc, kv: F.when(low == kv[0], kv[1]).otherwise(acc), spellings.items(), name)
     return fixed, low.isin(*not_a_place)
 
@@ -230,8 +230,8 @@ def block_rows(blocks: DataFrame, block: str, names: str, width: int) -> tuple[D
     rows = blocks.select(*keys, F.inline(hits)).select(
         *keys, "name", F.transform(F.split("nums", r"\s+"), lambda n: X.clean_decimal(n)).alias("values")
     )
-    rest = F.trim(F.regexp_replace(block, row, " "))
-    return rows, blocks.select(*keys, F.regexp_replace(rest, r"\s+", " ").alias("leftover")).filter("leftover <> ''")
+    rest = X.collapse(F.regexp_replace(block, row, " "))
+    return rows, blocks.select(*keys, rest.alias("leftover")).filter("leftover <> ''")
 
 
 def header_order(header: Column, phrases: list[tuple[str, str]]) -> Column:
@@ -303,7 +303,7 @@ def filter_links(links: DataFrame, url: str, species: dict[str, tuple[int, int]]
     hi = reduce(lambda acc, kv: F.when(F.col("species") == kv[0], kv[1][1]).otherwise(acc), species.items(), F.lit(0))
     span = F.split(get("y"), "-")
     # a missing, malformed or zero bound means the full range
-    number = lambda c: F.when(F.trim(c).rlike(r"^\d{1,9}$"), F.trim(c).cast("int"))
+    number = lambda c: F.when(X.strip(c).rlike(r"^\d{1,9}$"), X.strip(c).try_cast("int"))
     bound = lambda c: F.when(number(c) != 0, number(c))
     df = links.withColumn("_q", q).withColumn("species", sp)
     df = df.withColumn("year_to", F.greatest(F.least(F.coalesce(bound(F.get(span, F.lit(1))), hi), hi), lo))

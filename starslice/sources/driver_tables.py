@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starslice.runtime import settle_all
 from starslice.sources.star import Star
@@ -16,8 +17,16 @@ KINDS = {"1-URGENT": "main", "2-HIGH": "archery", "3-MEDIUM": "youth", "4-NOT SP
 METHODS = {"archery": "archery", "managed": "mixed", "total": "mixed"}
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one table; its schema is read from the footers once per application."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def _lookup(key, mapping: dict[str, str], default: str):
@@ -149,8 +158,10 @@ def samples(spark, sf_dir) -> DataFrame:
     )
 
 
-def star(spark, sf_dir, species: str = "O") -> Star:
-    full = Star(fact(spark, sf_dir), dim(spark, sf_dir), attributes(spark, sf_dir), effort(spark, sf_dir))
+def star(spark, sf_dir, species: str = "O", side: tuple[str, ...] = ()) -> Star:
+    """The lazy star of one species (all species for ""), with the side tables that are asked for."""
+    make = {"attrs": attributes, "effort": effort}
+    full = Star(fact(spark, sf_dir), dim(spark, sf_dir), **{k: make[k](spark, sf_dir) for k in side})
     return full.only(species) if species else full
 
 
@@ -161,12 +172,13 @@ def settled(spark, sf_dir, *parts: str, species: str = "O") -> Star:
     """
     parts = parts or ("fact", "dim")
     if "attrs" not in parts:
-        return star(spark, sf_dir, species).settled(*parts)
+        return star(spark, sf_dir, species, tuple({"effort"} & set(parts))).settled(*parts)
     first = {"cells": cells(spark, sf_dir, species)}
     first |= {p: f(spark, sf_dir) for p, f in (("dim", dim), ("effort", effort)) if p in parts}
     done = settle_all(first)
     base = done.pop("cells")
     if "fact" in parts:
         done |= settle_all({"fact": fact(spark, sf_dir, base)})
-    lazy = star(spark, sf_dir, species)
-    return Star(done.get("fact", lazy.fact), done.get("dim", lazy.dim), attributes(spark, sf_dir, base), done.get("effort", lazy.effort))
+    return Star(
+        done.get("fact", fact(spark, sf_dir, base)), done.get("dim", dim(spark, sf_dir)), attributes(spark, sf_dir, base), done.get("effort")
+    )

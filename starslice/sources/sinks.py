@@ -80,3 +80,55 @@ def row_arrays(df: DataFrame, columns: list[str]) -> DataFrame:
 def documents(df: DataFrame, *columns: str | Column) -> DataFrame:
     """One JSON document per row, ready for ``write.text``; ordering is left to the caller."""
     return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_series(fact: DataFrame, dim: DataFrame, path: str) -> None:
+    """One pivot document per species (JSON text in a folder per species).
+
+    The document holds one dense array per series, so its size is bounded by the checked
+    dimension and the closed vocabularies of periods, portions and classes.
+    """
+    series = pivot_series(fact, dim)
+    docs = series.groupBy("species").agg(
+        F.sort_array(F.collect_set("class")).alias("classes"),
+        F.sort_array(F.collect_list(F.struct(F.col("season_year").cast("int").alias("year"), "portion", "class", "counts"))).alias("series"),
+    )
+    attrs = portion_attributes(fact).groupBy("species").agg(F.map_from_entries(F.collect_list(F.struct("portion", "attr"))).alias("portions"))
+    names = dim.agg(F.transform(F.sort_array(F.collect_set("entity")), lambda e: e.cast("string"))).scalar()
+    full = docs.join(attrs, "species").withColumn("counties", names)
+    documents(full, F.col("species"), F.col("counties"), F.col("classes"), F.col("portions"), F.col("series")).withColumn(
+        "species", F.get_json_object("value", "$.species")
+    ).write.mode("overwrite").partitionBy("species").text(path)
+
+
+def write_lines(df: DataFrame, path: str, *order: str) -> None:
+    """JSON lines in a deterministic order (a range-partitioned sort, not one task)."""
+    (df.orderBy(*order) if order else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_envelope(df: DataFrame, path: str, field: str, order: list[str], **header: str) -> None:
+    """One JSON document with a header and a sorted row list; only for tables that fit in one value."""
+    if not fits(df):
+        raise ValueError("too many rows for one document; use write_lines")
+    keyed = F.struct(*order, *[c for c in df.columns if c not in order])
+    rows = df.agg(F.sort_array(F.collect_list(keyed)).alias(field))
+    head = [F.lit(v).alias(k) for k, v in header.items()]
+    documents(rows, *head, F.col(field)).coalesce(1).write.mode("overwrite").text(path)
+
+
+def geojson_features(vertices: DataFrame, properties: DataFrame, geom: str = "geom") -> DataFrame:
+    """One GeoJSON feature text per polygon geometry; rings are assembled per geometry."""
+    point = F.array("x", "y")
+    rings = vertices.groupBy(geom, "part", "ring").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", point.alias("p")))), lambda v: v["p"]).alias("r")
+    )
+    parts = rings.groupBy(geom, "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", "r"))), lambda v: v["r"]).alias("p"))
+    shapes = parts.groupBy(geom).agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "p"))), lambda v: v["p"]).alias("c"))
+    single = F.size("c") == 1
+    shape = F.when(single, F.to_json(F.struct(F.lit("Polygon").alias("type"), F.col("c")[0].alias("coordinates")))).otherwise(
+        F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("c").alias("coordinates")))
+    )
+    props = properties.select(geom, F.to_json(F.struct(*[c for c in properties.columns if c != geom])).alias("_props"))
+    return shapes.join(props, geom).select(
+        F.concat(F.lit('{"type":"Feature","properties":'), "_props", F.lit(',"geometry":'), shape, F.lit("}")).alias("value")
+    )

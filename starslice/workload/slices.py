@@ -183,7 +183,7 @@ def entity_breakdown(s, d):
 @query("distinct_years", """SELECT 'year' AS kind, CAST(season_year AS VARCHAR) AS item FROM (SELECT DISTINCT season_year FROM fact)
   UNION ALL SELECT 'region', region FROM (SELECT DISTINCT region FROM dim) UNION ALL SELECT 'effort_year', CAST(season_year AS VARCHAR) FROM (SELECT DISTINCT season_year FROM effort)""", "fact dim effort")
 def distinct_years(s, d):
-    star = D.star(s, d)
+    star = D.star(s, d, side=("effort",))
     pick = lambda df, kind, col: df.select(F.lit(kind).alias("kind"), F.col(col).cast("string").alias("item")).distinct()
     return (
         pick(star.fact, "year", "season_year").unionByName(pick(star.dim, "region", "region"))
