@@ -4,6 +4,8 @@ Every table in this module holds fixed values: they must equal the published voc
 results to be right. Order matters in the rule lists (the first match wins).
 """
 
+from starslice.runtime import literal_rows
+
 # pattern on the lower-case title, portion, is_subtotal, method, youth
 DEER_TITLE_RULES = [
     (r"opening weekend", "opening_weekend", True, "firearm", False),
@@ -78,4 +80,4 @@ CLASS_LABELS = {
 
 def label_dimension(spark, labels: dict[str, str], key: str):
     """A small (key, label, sort_order) dimension in display order."""
-    return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(labels.items())], f"{key} string, label string, sort_order int")
+    return literal_rows(spark, [(k, v, i) for i, (k, v) in enumerate(labels.items())], f"{key} string, label string, sort_order int")

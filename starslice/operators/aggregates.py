@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starslice.plans.spec import SliceSpec
+from starslice.runtime import literal_rows
 from starslice.sources.star import Star
 
 
@@ -33,13 +34,10 @@ def entity_breakdown(star: Star, spec: SliceSpec, entity, year: int, by: str) ->
 
 def periods_in_range(star: Star, spec: SliceSpec) -> DataFrame:
     """Periods present inside the range; the last period when the range holds none."""
-    years = star.fact.groupBy("season_year").agg(F.lit(1).alias("_"))
-    tagged = years.select("season_year", spec.period_predicate().alias("inside"))
-    best = tagged.agg(F.bool_or("inside").alias("any"), F.max("season_year").alias("last"))
-    return (
-        tagged.join(best, F.col("inside") | (~F.col("any") & (F.col("season_year") == F.col("last"))))
-        .select("season_year")
-    )
+    y = F.col("season_year")
+    seen = star.fact.agg(F.collect_set(F.when(spec.period_predicate(), y)).alias("inside"), F.max(y).alias("last"))
+    kept = F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.array("last"))
+    return seen.filter("last IS NOT NULL").select(F.explode(kept).alias("season_year"))
 
 
 def latest_period(effort: DataFrame, year_from: int, year_to: int, measure: str) -> DataFrame:
@@ -51,23 +49,42 @@ def latest_period(effort: DataFrame, year_from: int, year_to: int, measure: str)
     )
 
 
+def in_region(star: Star, region: str) -> DataFrame:
+    """The fact with a flag instead of a filter, for rules that look at the whole dataset."""
+    if not region:
+        return star.fact.withColumn("_in", F.lit(True))
+    members = star.dim.filter(F.col("region") == region).select("entity", F.lit(True).alias("_in"))
+    return star.fact.join(members, "entity", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+
+
 def comparable_totals(star: Star, spec: SliceSpec) -> DataFrame:
-    """Totals per period like for like: autumn is left out when some period lacks it and no season is chosen."""
-    rows = spec.all_years().apply(star.fact, star.dim)
-    if not spec.season:
-        rows = rows.filter((F.col("season") == "spring") | ~star.has_partial())
-    return sum_by(rows, "season_year", keep_zero=True)
+    """Totals per period like for like: autumn is left out when some period lacks it and no season is chosen.
+
+    One pass: both totals per period, then the choice inside a single row of all periods.
+    """
+    keep = spec.category_predicate() & F.col("_in")
+    fall = F.col("season") == "fall"
+    total = lambda c: F.sum(F.when(c, F.col("cnt")))
+    per = in_region(star, spec.region).groupBy("season_year").agg(
+        total(keep).alias("all"), total(keep & ~fall).alias("spring"), F.bool_or(fall).alias("f"), F.bool_or(~fall).alias("o")
+    )
+    packed = per.agg(
+        F.collect_list(F.struct("season_year", "all", "spring")).alias("r"),
+        (F.bool_or("f") & F.bool_or("o") & ~F.bool_and("f") & F.lit(not spec.season)).alias("like"),
+    )
+    rows = packed.select("like", F.inline("r"))
+    return rows.select("season_year", F.when(F.col("like"), F.col("spring")).otherwise(F.col("all")).alias("cnt")).filter("cnt IS NOT NULL")
 
 
 def places(star: Star, keys: list[str]) -> DataFrame:
     """Resolve place keys: an entity, or ``region:<name>``. One row per (place, member entity)."""
-    wanted = star.dim.sparkSession.createDataFrame([(i, k) for i, k in enumerate(keys)], "side int, place string")
+    wanted = literal_rows(star.dim.sparkSession, list(enumerate(keys)), "side int, place string")
     is_region = F.col("place").startswith("region:")
     match = (
         (is_region & (F.col("region") == F.substring_index("place", ":", -1)))
         | (~is_region & (F.col("entity").cast("string") == F.col("place")))
     )
-    return star.dim.join(F.broadcast(wanted), match).select(
+    return star.dim.join(wanted, match).select(
         "side", "place", is_region.alias("is_region"), "entity", "name", "region", "area"
     )
 

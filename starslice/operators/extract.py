@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starslice.functions import text as X
+from starslice.runtime import literal_rows
 
 TABLE = ["page_id", "table_idx"]
 
@@ -103,7 +104,7 @@ def remap_header(header: DataFrame, present: str, absent: str, role_as: str) ->
 
 def header_roles(header: DataFrame, roles: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(roles per column, errors): unknown headers and tables without a total column are errors."""
-    known = header.sparkSession.createDataFrame(list(roles.items()), "header string, role string")
+    known = literal_rows(header.sparkSession, list(roles.items()), "header string, role string")
     named = header.filter(F.col("col_idx") > 0)
     mapped = named.join(known, "header").select(*TABLE, "col_idx", "role")
     unknown = named.join(known, "header", "left_anti").select(*TABLE, F.concat(F.lit("unknown header "), F.col("header")).alias("error"))

@@ -214,20 +214,20 @@ def line_groups(pieces: DataFrame, key: str = "piece", a: str = "a", b: str = "b
     smallest one, then its smaller neighbours. Long chains shrink by pointer jumping, so rounds grow
     with the logarithm of the chain length. Each round is written, which also bounds the lineage.
     """
-    links = pieces.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    links = settle(links, "links")
-    while True:
-        large = _star(links, larger=True)
-        small = settle(_star(large, larger=False), "links")
-        # both directions of the set difference are needed: a round may merge links
-        changed = small.join(links, ["u", "v"], "left_anti").limit(1).count() + links.join(small, ["u", "v"], "left_anti").limit(1).count()
-        links = small
-        if not changed:
-            break
+    links = settle(pieces.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
+    while not _is_star_forest(links):
+        links = settle(_star(_star(links, larger=True), larger=False), "links")
     labels = links.groupBy(F.col("u").alias(a)).agg(F.min("v").alias("root"))
     return pieces.join(labels, a, "left").select(key, F.coalesce("root", F.col(a)).alias("group"))
 
 
+def _is_star_forest(links: DataFrame) -> bool:
+    """No node is both a child and a parent, and no child has two parents: every group is one star."""
+    ends = F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("child")), F.struct(F.col("v").alias("n"), F.lit(0).alias("child")))
+    roles = links.select(F.inline(ends)).groupBy("n").agg(F.sum("child").alias("c"), F.min("child").alias("p"))
+    return roles.filter("c > 1 OR (c = 1 AND p = 0)").limit(1).count() == 0
+
+
 def _star(links: DataFrame, larger: bool) -> DataFrame:
     """One rewrite: the neighbours on one side of each node are linked to the node's smallest neighbour.
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starslice.runtime import ratio
+from starslice.runtime import literal_rows, ratio
 
 
 def reconcile(found: DataFrame, printed: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -41,7 +41,7 @@ def key_coverage(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
 
 def same_vocabulary(found: DataFrame, expected: list[str], column: str) -> DataFrame:
     """Values outside the expected set and expected values never seen; empty means equal sets."""
-    want = found.sparkSession.createDataFrame([(v,) for v in expected], f"{column} string")
+    want = literal_rows(found.sparkSession, [(v,) for v in expected], f"{column} string")
     return key_coverage(found, want, column)
 
 

@@ -113,20 +113,13 @@ def applicable(metric: str, kind: str, fallback: str = "count") -> str:
     return metric if known and kind in known.kinds else fallback
 
 
-def comparable_condition(star: Star, spec: SliceSpec) -> Column:
-    """Like-for-like rows: spring only when some period is partial and no season was chosen."""
-    cond = spec.category_predicate()
-    return cond if spec.season else cond & ((F.col("season") == "spring") | ~star.has_partial())
-
-
 def metric_frame(star: Star, spec: SliceSpec, metrics: list[str], roles: Roles = ORDER_ROLES) -> DataFrame:
     """entity, name, region, area, season_year, base and one column per metric, for all periods."""
     sums: dict = {"base": spec}
     for m in metrics:
         sums.update(METRICS[m].sums(spec, roles))
-        if METRICS[m].comparable:
-            sums["cmp"] = comparable_condition(star, spec)
-    df = star.measures(spec, sums)
+    like_for_like = any(METRICS[m].comparable for m in metrics)
+    df = star.measures(spec, sums, comparable=spec if like_for_like else None)
     if any(METRICS[m].effort for m in metrics):
         df = df.join(_with_trips(star.effort), ["entity", "season_year"], "left")
     if "zscore" in metrics:

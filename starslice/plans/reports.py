@@ -11,7 +11,7 @@ from starslice.operators import series as S
 from starslice.plans import metrics as M
 from starslice.plans.spec import SliceSpec
 from starslice.runtime import ratio
-from starslice.sources.star import Star
+from starslice.sources.star import Star, partial_periods
 
 
 # -- trends -------------------------------------------------------------------------
@@ -22,7 +22,8 @@ def trend_lines(star: Star, spec: SliceSpec, entities: list, mode: str = "count"
     ``index`` sets the first positive value to 100 and leaves partial periods out unless
     only spring is shown.
     """
-    dense = star.measures(spec.patch(region=""), {"v": spec.patch(region="")})
+    free = spec.patch(region="")
+    dense = star.measures(free, {"v": free}, keep_seasons=True)
     scope = F.col("region") == spec.region if spec.region else F.lit(True)
     chosen = F.col("entity").isin(*entities) if entities else F.lit(False)
     shown = F.filter(
@@ -40,7 +41,7 @@ def trend_lines(star: Star, spec: SliceSpec, entities: list, mode: str = "count"
         return lines.select("line", "season_year", ratio("v", "area").alias("value"))
     if mode == "index":
         if spec.season != "spring":
-            partial = star.partial_years().withColumn("_partial", F.lit(True))
+            partial = partial_periods(dense).withColumn("_partial", F.lit(True))
             lines = lines.join(partial, "season_year", "left").withColumn("v", F.when(F.col("_partial").isNull(), F.col("v")))
         return lines.select("line", "season_year", S.index_100("v", "line").alias("value"))
     return lines.select("line", "season_year", F.col("v").cast("double").alias("value"))
@@ -49,18 +50,18 @@ def trend_lines(star: Star, spec: SliceSpec, entities: list, mode: str = "count"
 def compare_species(whole: Star, spec: SliceSpec, pair: tuple[str, str]) -> DataFrame:
     """Two species on the union of their periods, each indexed to its first full period.
 
-    Only the period range, region and method of the slice apply to both lines.
+    Only the period range, region and method of the slice apply to both lines. Both lines and the
+    test for partial periods come from one pass over the fact.
     """
-    reduced = SliceSpec(year_from=spec.year_from, year_to=spec.year_to, method=spec.method, region=spec.region)
-    rows = whole.fact.filter(F.col("species").isin(*pair))
-    full = rows.groupBy("species", "season_year").agg(F.max(F.col("season") == "fall").alias("full"))
-    sums = reduced.apply(rows, whole.dim).groupBy("species", "season_year").agg(F.sum("cnt").alias("v"))
-    kept = full.join(sums, ["species", "season_year"], "left").withColumn(
-        "v", F.when(F.col("full"), F.coalesce("v", F.lit(0)))
-    ).filter(reduced.period_predicate())
-    value = kept.withColumn("value", S.index_100("v", "species"))
-    side = lambda sp, name: value.filter(F.col("species") == sp).select("season_year", F.col("value").alias(name))
-    return side(pair[0], "first").join(side(pair[1], "second"), "season_year", "full")
+    reduced = SliceSpec(method=spec.method)
+    rows = A.in_region(whole, spec.region).filter(F.col("species").isin(*pair))
+    kept = rows.groupBy("species", "season_year").agg(
+        F.bool_or(F.col("season") == "fall").alias("full"),
+        F.sum(F.when(reduced.category_predicate() & F.col("_in"), F.col("cnt")).otherwise(0)).alias("v"),
+    ).filter(spec.period_predicate())
+    value = kept.withColumn("v", F.when(F.col("full"), F.col("v"))).withColumn("value", S.index_100("v", "species"))
+    side = lambda sp: F.max(F.when(F.col("species") == sp, F.col("value")))
+    return value.groupBy("season_year").agg(side(pair[0]).alias("first"), side(pair[1]).alias("second"))
 
 
 # -- places -------------------------------------------------------------------------
@@ -98,21 +99,32 @@ def min_base(series: DataFrame, value: str, bounded: bool = False) -> DataFrame:
     )
 
 
-def last_is_partial(star: Star, spec: SliceSpec) -> DataFrame:
-    """One row: the last period when it lacks autumn rows although the one before has them, else 0."""
-    fall = spec.all_years().patch(season="fall", species="").category_predicate()
-    per = star.fact.groupBy("season_year").agg(F.sum(F.when(fall, F.col("cnt")).otherwise(0)).alias("f"))
+def _partial_last(per: DataFrame, spec: SliceSpec) -> DataFrame:
+    """One row from (season_year, f): the last period when it has no autumn count although the one before has, else 0."""
     last = per.agg(F.sort_array(F.collect_list(F.struct("season_year", "f")), asc=False).alias("y"))
     bad = (F.size("y") > 1) & (F.col("y")[0]["f"] == 0) & (F.get("y", F.lit(1))["f"] > 0) & F.lit(not spec.season)
     return last.select(F.when(bad, F.col("y")[0]["season_year"]).otherwise(0).alias("partial"))
 
 
+def _totals(star: Star, spec: SliceSpec) -> DataFrame:
+    """(season_year, v, f): the slice's total and its autumn part per period of the range."""
+    rows = A.in_region(star, spec.region).filter(spec.period_predicate())
+    pick = lambda s: F.sum(F.when(s.category_predicate() & F.col("_in"), F.col("cnt")).otherwise(0))
+    return rows.groupBy("season_year").agg(pick(spec).alias("v"), pick(spec.patch(season="fall")).alias("f"))
+
+
+def last_is_partial(star: Star, spec: SliceSpec) -> DataFrame:
+    return _partial_last(_totals(star, spec), spec)
+
+
 def record_changes(star: Star, spec: SliceSpec, limit: int = 10) -> DataFrame:
     """Biggest jumps and drops between adjacent periods, small bases and a partial last period left out."""
-    dense = star.measures(spec, {"v": spec}).filter(spec.period_predicate()).select("entity", "season_year", "v")
+    dense = star.measures(spec, {"v": spec, "f": spec.patch(season="fall")}).filter(spec.period_predicate())
     floor = min_base(dense, "v", star.small).scalar()
-    partial = last_is_partial(star, spec).scalar()
-    kept = dense.withColumn("v", F.when((F.col("v") >= floor) & (F.col("season_year") != partial), F.col("v")).otherwise(0))
+    partial = _partial_last(dense.groupBy("season_year").agg(F.sum("f").alias("f")), spec).scalar()
+    kept = dense.select(
+        "entity", "season_year", F.when((F.col("v") >= floor) & (F.col("season_year") != partial), F.col("v")).otherwise(0).alias("v")
+    )
     moves = S.adjacent_changes(kept, "v").select("entity", "season_year", F.round("change", 9).alias("change"))
     tie = ["entity", "season_year"]
     jumps = K.numbered(moves, limit, F.desc("change"), *tie).withColumn("record", F.lit("jump"))
@@ -122,16 +134,17 @@ def record_changes(star: Star, spec: SliceSpec, limit: int = 10) -> DataFrame:
 
 def best_worst_year(star: Star, spec: SliceSpec) -> DataFrame:
     """Best and worst period overall; the worst ignores empty and partial periods; the earliest wins a tie."""
-    per = A.sum_by(spec.apply(star.fact, star.dim), "season_year", keep_zero=True).withColumnRenamed("cnt", "v")
-    partial = last_is_partial(star, spec).scalar()
-    y, v = F.col("season_year"), F.col("v")
-    ok = (v > 0) & (y != partial)
-    both = per.agg(
-        F.min_by(F.struct(y, v), F.struct(-v, y)).alias("best"),
-        F.min_by(F.when(ok, F.struct(y, v)), F.when(ok, F.struct(v, y))).alias("worst"),
-    )
-    rows = F.array(*[F.struct(F.lit(n).alias("record"), F.col(n).alias("r")) for n in ("best", "worst")])
-    return both.select(F.inline(rows)).select("record", "r.season_year", "r.v")
+    newest = F.sort_array(F.collect_list(F.struct("season_year", "v", "f")), asc=False)
+    packed = _totals(star, spec).agg(newest.alias("y"))
+    bad = (F.size("y") > 1) & (F.col("y")[0]["f"] == 0) & (F.get("y", F.lit(1))["f"] > 0) & F.lit(not spec.season)
+    partial = F.when(bad, F.col("y")[0]["season_year"]).otherwise(0)
+    ordered = lambda keep, sign: F.get(F.array_sort(F.transform(
+        F.filter("y", keep), lambda r: F.struct((sign * r["v"]).alias("o"), r["season_year"].alias("season_year"), r["v"].alias("v"))
+    )), F.lit(0))
+    best = ordered(lambda r: F.lit(True), F.lit(-1))
+    worst = ordered(lambda r: (r["v"] > 0) & (r["season_year"] != partial), F.lit(1))
+    rows = F.array(F.struct(F.lit("best").alias("record"), best.alias("r")), F.struct(F.lit("worst").alias("record"), worst.alias("r")))
+    return packed.select(F.inline(rows)).select("record", "r.season_year", "r.v")
 
 
 # -- leaderboard and map --------------------------------------------------------------
@@ -139,15 +152,21 @@ def leaderboard(star: Star, spec: SliceSpec, year: int, metric: str = "count", m
                 roles: M.Roles = M.ORDER_ROLES) -> DataFrame:
     """Value, second metric, rank, rank change, six-season sparkline and share of the whole."""
     ids = [m for m in dict.fromkeys([metric, metric2]) if m]
-    df = M.metric_frame(star, spec, ids, roles).withColumn("value", F.col(metric))
+    # shares are of the whole state, so the region is applied after the total (a z-score depends on its scope)
+    late = "zscore" not in ids
+    df = M.metric_frame(star, spec.patch(region="") if late else spec, ids, roles).withColumn("value", F.col(metric))
     df = df.withColumn("value2", F.col(metric2).cast("double") if metric2 else F.lit(None).cast("double"))
-    ranked = S.with_rank_delta(df, "value", not M.METRICS[metric].diverging, star.small)
-    board = ranked.withColumn("spark", S.sparkline("base")).filter((F.col("season_year") == year) & F.col("value").isNotNull())
-    if metric == "count":
+    if metric == "count" and late:
+        whole = df.groupBy("season_year").agg(F.sum("value").alias("_whole"))
+        df = df.join(whole, "season_year").withColumn("share", ratio("value", "_whole")).drop("_whole")
+    elif metric == "count":
         whole = spec.patch(region="", year_from=year, year_to=year).apply(star.fact).agg(F.sum("cnt")).scalar()
-        board = board.withColumn("share", ratio(F.col("value"), whole))
+        df = df.withColumn("share", ratio(F.col("value"), whole))
     else:
-        board = board.withColumn("share", F.lit(None).cast("double"))
+        df = df.withColumn("share", F.lit(None).cast("double"))
+    df = df.filter(F.col("region") == spec.region) if spec.region else df
+    ranked = S.with_rank_delta(df, "value", not M.METRICS[metric].diverging, star.small)
+    board = ranked.withColumn("spark", S.sparkline("base")).filter((F.col("season_year") == year) & F.col("value").isNotNull())
     out = board.select("entity", "name", "region", "value", "value2", "rank", "delta", "spark", "share")
     out = out.orderBy(F.col("rank").asc_nulls_last(), "entity")
     return out.limit(limit) if limit else out

@@ -75,6 +75,13 @@ def settle_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         return {k: f.result() for k, f in waiting.items()}
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows written in code (pins, vocabularies) as a relation of known size, which the planner may broadcast."""
+    fields = [part.split() for part in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def fits(df: DataFrame, limit: int = WINDOW_ROWS) -> bool:
     """True when ``df`` has at most ``limit`` rows; stops counting after ``limit + 1``."""
     return df.limit(limit + 1).count() <= limit

@@ -180,5 +180,6 @@ def settled(spark, sf_dir, *parts: str, species: str = "O") -> Star:
     if "fact" in parts:
         done |= settle_all({"fact": fact(spark, sf_dir, base)})
     return Star(
-        done.get("fact", fact(spark, sf_dir, base)), done.get("dim", dim(spark, sf_dir)), attributes(spark, sf_dir, base), done.get("effort")
+        done.get("fact", fact(spark, sf_dir, base)), done.get("dim", dim(spark, sf_dir)), attributes(spark, sf_dir, base),
+        done.get("effort"), written=("fact", *done),  # the fact is at most one small aggregate away from the written cells
     )

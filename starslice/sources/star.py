@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starslice.plans.spec import SliceSpec
-from starslice.runtime import fits, settle_all
+from starslice.runtime import fits, settle, settle_all
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ class Star:
     dim: DataFrame
     attrs: DataFrame | None = None
     effort: DataFrame | None = None
+    written: tuple[str, ...] = ()  # parts that are scans of settled tables
 
     @staticmethod
     def of(fact: DataFrame, dim: DataFrame, names: dict[str, str] | None = None, **side) -> Star:
@@ -42,7 +43,8 @@ class Star:
     def settled(self, *parts: str) -> Star:
         """Write the named parts (fact and dim by default) once for plans that read them repeatedly."""
         parts = parts or ("fact", "dim")
-        return replace(self, **settle_all({p: getattr(self, p) for p in parts if getattr(self, p) is not None}))
+        done = settle_all({p: getattr(self, p) for p in parts if getattr(self, p) is not None})
+        return replace(self, **done, written=self.written + tuple(done))
 
     @cached_property
     def small(self) -> bool:
@@ -50,47 +52,64 @@ class Star:
         return fits(self.dim)
 
     # -- one-row values, used as scalar subqueries ------------------------------------
-    def years_array(self) -> Column:
-        """Sorted array of the periods present (a handful of values)."""
-        return self.fact.agg(F.sort_array(F.collect_set("season_year"))).scalar()
-
     def partial_years(self) -> DataFrame:
         """Periods without autumn rows, provided autumn rows exist at all."""
-        per_year = self.fact.groupBy("season_year").agg(
-            F.max(F.col("season") == "fall").alias("has_fall"), F.max(F.col("season") != "fall").alias("has_other")
-        )
-        mixed = per_year.agg((F.bool_or("has_fall") & F.bool_or("has_other"))).scalar()
-        return per_year.filter(~F.col("has_fall") & mixed).select("season_year")
-
-    def has_partial(self) -> Column:
-        seen = self.fact.groupBy("season_year").agg(
-            F.max(F.col("season") == "fall").alias("has_fall"), F.max(F.col("season") != "fall").alias("has_other")
-        )
-        return seen.agg(
-            F.bool_or("has_fall") & F.bool_or("has_other") & ~F.bool_and("has_fall")
-        ).scalar()
+        fall = F.col("season") == "fall"
+        return partial_periods(self.fact.select("season_year", fall.alias("_fall"), (~fall).alias("_other")))
 
-    def grid(self, region: str = "") -> DataFrame:
+    def grid(self, years: Column, region: str = "") -> DataFrame:
         """entity x period, dense: every entity of the dimension for every period present."""
         dim = self.dim.filter(F.col("region") == region) if region else self.dim
-        return (
-            dim.withColumn("_years", self.years_array())
-            .withColumn("season_year", F.explode("_years"))
-            .drop("_years")
-        )
+        return dim.withColumn("_years", years).withColumn("season_year", F.explode("_years")).drop("_years")
 
-    def measures(self, spec: SliceSpec, sums: dict[str, SliceSpec | Column]) -> DataFrame:
+    def measures(self, spec: SliceSpec, sums: dict[str, SliceSpec | Column], comparable: SliceSpec | None = None,
+                 keep_seasons: bool = False) -> DataFrame:
         """Dense entity x period frame with several conditional sums from one pass over the fact.
 
-        The period range of ``spec`` is ignored, so trends can look back; its region
-        restricts the entities. A value may be a slice or a ready predicate.
+        The period range of ``spec`` is ignored, so trends can look back; its region restricts the
+        entities. A value may be a slice or a ready predicate. ``comparable`` adds ``cmp``: like-for-like
+        sums, spring only when some period is partial and the slice chose no season.
+
+        The aggregate is written once unless the fact already is, because the list of periods, the
+        partial-period test and the frame itself all read it. ``keep_seasons`` leaves the columns that
+        ``partial_periods`` needs in the frame.
         """
         pred = lambda s: s.category_predicate() if isinstance(s, SliceSpec) else s
+        wanted = dict(sums)
+        if comparable is not None:
+            wanted |= {"_all": comparable, "_spring": comparable if comparable.season else comparable.patch(season="spring")}
+        fall = F.col("season") == "fall"
         wide = self.fact.groupBy("entity", "season_year").agg(
-            *[F.sum(F.when(pred(s), F.col("cnt")).otherwise(0)).alias(k) for k, s in sums.items()]
-        )
-        return (
-            self.grid(spec.region)
-            .join(wide, ["entity", "season_year"], "left")
-            .fillna(0, subset=list(sums))
+            *[F.sum(F.when(pred(s), F.col("cnt")).otherwise(0)).alias(k) for k, s in wanted.items()],
+            F.bool_or(fall).alias("_fall"), F.bool_or(~fall).alias("_other"),
         )
+        if "fact" not in self.written:
+            wide = settle(wide, "measures")
+        years = wide.agg(F.sort_array(F.collect_set("season_year"))).scalar()
+        df = self.grid(years, spec.region).join(
+            wide if keep_seasons else wide.drop("_fall", "_other"), ["entity", "season_year"], "left"
+        ).fillna(0, subset=list(wanted))
+        if comparable is not None:
+            df = df.withColumn("cmp", F.when(_any_partial(wide, "_fall", "_other"), F.col("_spring")).otherwise(F.col("_all"))).drop("_all", "_spring")
+        return df
+
+    def has_partial(self) -> Column:
+        fall = F.col("season") == "fall"
+        return _any_partial(self.fact.select("season_year", fall.alias("f"), (~fall).alias("o")), "f", "o")
+
+
+def _per_period(rows: DataFrame, fall: str, other: str) -> DataFrame:
+    return rows.groupBy("season_year").agg(F.bool_or(fall).alias("f"), F.bool_or(other).alias("o"))
+
+
+def _any_partial(rows: DataFrame, fall: str, other: str) -> Column:
+    """Scalar: both seasons occur, and some period has no autumn rows."""
+    return _per_period(rows, fall, other).agg(F.bool_or("f") & F.bool_or("o") & ~F.bool_and("f")).scalar()
+
+
+def partial_periods(rows: DataFrame, fall: str = "_fall", other: str = "_other") -> DataFrame:
+    """Periods without autumn rows when both seasons occur; the few periods are compared inside one row."""
+    packed = _per_period(rows, fall, other).filter("f IS NOT NULL").agg(
+        F.collect_list(F.when(~F.col("f"), F.col("season_year"))).alias("y"), (F.bool_or("f") & F.bool_or("o")).alias("mixed")
+    )
+    return packed.filter("mixed").select(F.explode("y").alias("season_year"))

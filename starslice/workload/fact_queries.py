@@ -57,7 +57,7 @@ DEER = f"""u AS (SELECT *, v AS u FROM series WHERE season_year <= 2000), {SHARE
 
 @query("fact_rows", DEER, "series effort")
 def fact_rows(s, d):
-    star = D.settled(s, d, "fact", "dim", "effort")
+    star = D.star(s, d, side=("effort",)).settled("effort")
     return make_facts(star, O, 2000, "deer", home=11, round_to=10).select("priority", "id", "entity", "value", "caption")
 
 

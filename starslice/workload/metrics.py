@@ -22,7 +22,7 @@ def _metric(name: str, metric: str, sql: str, needs: str = "series", spec: Slice
     @query(name, sql, needs)
     def run(s, d):
         effort = M.METRICS[metric].effort
-        star = D.settled(s, d, *(("fact", "dim", "effort") if effort else ("fact", "dim")))
+        star = D.star(s, d, side=("effort",) if effort else ())
         return M.metric_frame(star, spec, [metric]).select("entity", "season_year", r6(F.col(metric)))
 
 
@@ -97,7 +97,7 @@ def attribute_share_struct(s, d):
     round(CASE WHEN (fh + ah) * area > 0 THEN v / ((fh + ah) * area) END, 6) AS per_hunter
   FROM series s LEFT JOIN effort e ON e.entity = s.entity AND e.season_year = s.season_year""", "series effort")
 def effort_metrics(s, d):
-    star = D.settled(s, d, "fact", "dim", "effort")
+    star = D.star(s, d, side=("effort",))
     ids = ["firearms_hunters_per_sqmi", "archery_hunters_per_sqmi", "hunters_per_sqmi", "deer_per_hunter"]
     df = M.metric_frame(star, O, ids)
     return df.select("entity", "season_year", *[r6(F.col(i), n) for i, n in zip(ids, ["firearms", "archery", "hunters", "per_hunter"])])
@@ -128,7 +128,7 @@ def season_ratio(s, d):
   FROM p JOIN k ON k.entity = p.entity AND k.season_year = p.season_year""", "series")
 def metric_all_years(s, d):
     ids = ["count", "per_sqmi", "change_yoy", "vs_5yr", "buck_doe"]
-    df = M.metric_frame(D.settled(s, d), O, ids)
+    df = M.metric_frame(D.star(s, d), O, ids)
     return df.select("entity", "season_year", *[r6(F.col(i), i) for i in ids])
 
 
@@ -137,5 +137,5 @@ def metric_all_years(s, d):
 def trend_density(s, d):
     from starslice.plans import reports as R
 
-    lines = R.trend_lines(D.settled(s, d), O, [2, 9], "per_sqmi")
+    lines = R.trend_lines(D.star(s, d), O, [2, 9], "per_sqmi")
     return lines.withColumn("value", F.round("value", 6))

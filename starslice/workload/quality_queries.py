@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from starslice.operators import quality as Q
 from starslice.plans.spec import SliceSpec
-from starslice.runtime import shared_dir
+from starslice.runtime import literal_rows, shared_dir
 from starslice.sources import driver_tables as D
 from starslice.sources import sinks
 from starslice.workload.registry import query
@@ -153,7 +153,7 @@ def avg_reconcile(s, d):
 @query("pinned_tolerance", f"""{PRINT}, pins AS (SELECT region, 1999 AS season_year FROM (VALUES ('AFRICA'), ('ASIA'), ('EUROPE')) v(region) UNION ALL SELECT 'AMERICA', 1998)
   SELECT region, season_year, CASE WHEN abs(mean - printed) > 0.15 THEN 'unpinned' ELSE 'stale' END AS problem FROM chk WHERE (abs(mean - printed) > 0.15) <> ((region, season_year) IN (SELECT (region, season_year) FROM pins))""", "effort")
 def pinned_tolerance(s, d):
-    pins = s.createDataFrame([("AFRICA", 1999), ("ASIA", 1999), ("EUROPE", 1999), ("AMERICA", 1998)], "region string, season_year int")
+    pins = literal_rows(s, [("AFRICA", 1999), ("ASIA", 1999), ("EUROPE", 1999), ("AMERICA", 1998)], "region string, season_year int")
     return Q.two_sided(_means(s, d), F.col("violates"), pins, ["region", "season_year"]).select("region", "season_year", "problem")
 
 
@@ -195,7 +195,7 @@ def pinned_nullout(s, d):
 
 @query("pinned_swap", f"""{CELLS} SELECT season_year, portion, class2 AS class, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT *, CASE WHEN season_year = 1999 AND portion = 'spring_main' THEN CASE class WHEN 'A' THEN 'R' WHEN 'R' THEN 'A' ELSE class END ELSE class END AS class2 FROM cells) GROUP BY ALL""", "fact")
 def pinned_swap(s, d):
-    pins = s.createDataFrame([(1999, "spring_main", "A", "R")], "season_year int, portion string, class_a string, class_b string")
+    pins = literal_rows(s, [(1999, "spring_main", "A", "R")], "season_year int, portion string, class_a string, class_b string")
     swapped = Q.swap_classes(cells(s, d), pins, ["season_year", "portion"])
     return swapped.groupBy("season_year", "portion", "class").agg(F.sum("cnt").alias("cnt"))
 

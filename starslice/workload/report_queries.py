@@ -13,7 +13,6 @@ from starslice.workload.registry import query
 from starslice.workload.windows import RANKED, star
 
 O = SliceSpec(species="O")  # noqa: E741
-FULL = ("fact", "dim", "effort")
 
 
 def rounded(df, *cols, digits=6):
@@ -80,13 +79,13 @@ def avg_density(s, d):
   SELECT round(fh, 6) AS firearms, round(ah, 6) AS archery, round((fh + ah) * area / 10) * 10 AS hunters, round(dph, 6) AS per_hunter, CAST(rd AS INT) AS rank_per_hunter, (SELECT count(rd) FROM r) AS ranked_per_hunter,
     CAST(rh AS INT) AS rank_density, (SELECT count(rh) FROM r) AS ranked_density FROM r WHERE entity = 5""", "series effort")
 def pressure_card(s, d):
-    return rounded(R.pressure_card(D.settled(s, d, *FULL), O, 5, 2000, 10), "firearms", "archery", "per_hunter")
+    return rounded(R.pressure_card(D.star(s, d, side=("effort",)).settled("effort"), O, 5, 2000, 10), "firearms", "archery", "per_hunter")
 
 
 @query("region_effort", """SELECT region, s.season_year, count(*) AS members, round(sum((fh + ah) * s.area) / sum(s.area), 6) AS density, round(sum(v) / sum((fh + ah) * s.area), 6) AS per_hunter
   FROM series s JOIN effort e ON e.entity = s.entity AND e.season_year = s.season_year WHERE fh IS NOT NULL AND ah IS NOT NULL GROUP BY region, s.season_year""", "series effort")
 def region_effort(s, d):
-    return rounded(R.region_effort(D.settled(s, d, *FULL), O), "density", "per_hunter")
+    return rounded(R.region_effort(D.star(s, d, side=("effort",)), O), "density", "per_hunter")
 
 
 @query("region_share", """t AS (SELECT season_year, region, CAST(sum(v) AS BIGINT) AS v FROM series GROUP BY season_year, region)
@@ -116,7 +115,7 @@ def trend_overlays(s, d):
   i AS (SELECT species, season_year, round(100 * v / CAST(first_value(CASE WHEN v > 0 THEN v END IGNORE NULLS) OVER (PARTITION BY species ORDER BY season_year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE), 6) AS value FROM y)
   SELECT coalesce(a.season_year, b.season_year) AS season_year, a.value AS first, b.value AS second FROM (SELECT * FROM i WHERE species = 'O') a FULL JOIN (SELECT * FROM i WHERE species = 'F') b ON a.season_year = b.season_year""", "fact")
 def compare_series(s, d):
-    whole = D.settled(s, d, "fact", species="")
+    whole = D.star(s, d, "")
     return rounded(R.compare_species(whole, SliceSpec(year_from=1996, method="firearm", season="fall"), ("O", "F")), "first", "second")
 
 

@@ -72,12 +72,12 @@ def entity_slice(s, d):
 
 @query("partial_years", "SELECT season_year FROM fact GROUP BY season_year HAVING NOT bool_or(season = 'fall')", "fact")
 def partial_years(s, d):
-    return D.settled(s, d, "fact").partial_years()
+    return D.star(s, d).partial_years()
 
 
 @query("comparable_totals", f"SELECT season_year, {S6} FROM fact WHERE NOT is_subtotal AND season = 'spring' GROUP BY season_year", "fact")
 def comparable_totals(s, d):
-    return A.comparable_totals(D.settled(s, d, "fact"), O)
+    return A.comparable_totals(D.star(s, d), O)
 
 
 @query("years_in_range", """SELECT 'inside' AS slice, season_year, CAST(greatest(least(season_year, 1999), 1997) AS INT) AS clamped FROM (SELECT DISTINCT season_year FROM fact) WHERE season_year BETWEEN 1996 AND 1998
@@ -107,7 +107,7 @@ def fact_dim_join(s, d):
   GROUP BY g.entity, g.season_year""", "grid")
 def dense_series(s, d):
     spec = O.patch(portions=("fall_archery",), classes=("R",))
-    return D.settled(s, d).measures(spec, {"cnt": spec}).select("entity", "season_year", "cnt")
+    return D.star(s, d).measures(spec, {"cnt": spec}).select("entity", "season_year", "cnt")
 
 
 @query("sum_by_entity", "SELECT entity, name, CAST(coalesce((SELECT sum(cnt) FROM fact f WHERE f.entity = dim.entity AND NOT is_subtotal AND season_year = 2001), 0) AS BIGINT) AS cnt FROM dim", "fact dim")
@@ -117,7 +117,7 @@ def sum_by_entity(s, d):
 
 @query("sum_by_entity_year", "SELECT entity, season_year, v AS cnt FROM series", "series")
 def sum_by_entity_year(s, d):
-    return D.settled(s, d).measures(O, {"cnt": O}).select("entity", "season_year", "cnt")
+    return D.star(s, d).measures(O, {"cnt": O}).select("entity", "season_year", "cnt")
 
 
 @query("sum_by_year", f"SELECT season_year, {S6} FROM fact WHERE NOT is_subtotal GROUP BY season_year", "fact")
@@ -150,7 +150,7 @@ def year_by_category(s, d):
 @query("place_series", """SELECT '3' AS place, season_year, v AS cnt FROM series WHERE entity = 3
   UNION ALL SELECT 'region:ASIA', season_year, CAST(sum(v) AS BIGINT) FROM series WHERE region = 'ASIA' GROUP BY season_year""", "series")
 def place_series(s, d):
-    return A.place_series(D.settled(s, d), O, ["3", "region:ASIA"])
+    return A.place_series(D.star(s, d), O, ["3", "region:ASIA"])
 
 
 @query("resolve_place", """SELECT '3' AS place, false AS is_region, name AS label, CAST(1 AS BIGINT) AS members, area FROM dim WHERE entity = 3

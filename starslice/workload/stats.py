@@ -23,7 +23,7 @@ YOY = """yoy AS (SELECT a.entity, a.season_year, round(CASE WHEN b.cmp > 0 THEN
 
 
 def frame(s, d, *metrics):
-    st = D.settled(s, d)
+    st = D.star(s, d)
     df = M.metric_frame(st, O, list(metrics))
     return st, df.select("entity", "season_year", *[F.round(m, 6).alias(m) for m in metrics])
 

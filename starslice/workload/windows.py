@@ -15,7 +15,7 @@ O = SliceSpec(species="O")  # noqa: E741
 
 
 def star(s, d):
-    return D.settled(s, d)
+    return D.star(s, d)
 
 
 def counts(s, d, spec: SliceSpec = O):
