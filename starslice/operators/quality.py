@@ -33,10 +33,10 @@ def dependency_violations(df: DataFrame, key: str, dependents: list[str]) -> Dat
 
 
 def key_coverage(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Set difference in both directions."""
-    missing = expected.select(key).distinct().join(found.select(key).distinct(), key, "left_anti").withColumn("side", F.lit("missing"))
-    extra = found.select(key).distinct().join(expected.select(key).distinct(), key, "left_anti").withColumn("side", F.lit("unexpected"))
-    return missing.unionByName(extra)
+    """Set difference in both directions: keys are tagged by origin and grouped, so each input is read once."""
+    tagged = found.select(key, F.lit(1).alias("f"), F.lit(0).alias("e")).unionByName(expected.select(key, F.lit(0).alias("f"), F.lit(1).alias("e")))
+    sides = tagged.groupBy(key).agg(F.max("f").alias("f"), F.max("e").alias("e")).filter("f <> e")
+    return sides.select(key, F.when(F.col("e") == 1, "missing").otherwise("unexpected").alias("side"))
 
 
 def same_vocabulary(found: DataFrame, expected: list[str], column: str) -> DataFrame:

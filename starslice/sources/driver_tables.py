@@ -61,12 +61,12 @@ def lines(spark, sf_dir) -> DataFrame:
     return li.join(orders_by_entity(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def cells(spark, sf_dir, species: str = "") -> DataFrame:
+def cells(spark, sf_dir, species: str = "", entity: str = "entity") -> DataFrame:
     """The lines aggregated to base cells with the plain and the two attribute quantities: one pass over the lines."""
     qty = F.col("qty")
     rows = lines(spark, sf_dir)
     rows = rows.filter(F.col("species") == species) if species else rows
-    return rows.groupBy("species", "season_year", "season", "kind", "opening", "entity", "class").agg(
+    return rows.groupBy("species", "season_year", "season", "kind", "opening", F.col(entity).alias("entity"), "class").agg(
         F.sum("qty").alias("qty"),
         F.sum(F.when(F.col("l_discount") > 0.05, qty).otherwise(0)).alias("qty_a"),
         F.sum(F.when(F.col("l_tax") < 0.02, qty).otherwise(0)).alias("qty_b"),

@@ -22,9 +22,14 @@ def typed(df: DataFrame, schema: T.StructType = FACT_SCHEMA) -> DataFrame:
 
 
 def write_fact(df: DataFrame, path: str) -> None:
-    """Zstandard Parquet, one folder per species; rows of a species are spread over years before writing."""
+    """Zstandard Parquet, one folder per species.
+
+    Range partitioning keeps the rows of a file close together (good row-group statistics) and cuts a
+    species or year that holds most of the rows into as many files as any other stretch of that size.
+    """
     (
-        df.repartition("species", "season_year").sortWithinPartitions("season_year", "portion", "entity", "class")
+        df.repartitionByRange("species", "season_year", "portion", "entity", "class")
+        .sortWithinPartitions("species", "season_year", "portion", "entity", "class")
         .write.mode("overwrite").option("compression", "zstd").partitionBy("species").parquet(path)
     )
 

@@ -49,7 +49,7 @@ class Star:
     @cached_property
     def small(self) -> bool:
         """Whether one window partition may hold every entity of a period."""
-        return fits(self.dim)
+        return fits(self.dim.select("entity"))
 
     # -- one-row values, used as scalar subqueries ------------------------------------
     def partial_years(self) -> DataFrame:

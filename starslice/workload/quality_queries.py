@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from starslice.operators import quality as Q
 from starslice.plans.spec import SliceSpec
-from starslice.runtime import literal_rows, shared_dir
+from starslice.runtime import literal_rows, settle, shared_dir
 from starslice.sources import driver_tables as D
 from starslice.sources import sinks
 from starslice.workload.registry import query
@@ -21,10 +21,8 @@ O = SliceSpec(species="O")  # noqa: E741
 CELL = ["season_year", "portion", "entity", "class"]
 
 
-def cells(s, d, settle: bool = False):
-    st = D.star(s, d)
-    st = st.settled("fact") if settle else st
-    return O.apply(st.fact).select(*CELL, "cnt")
+def cells(s, d):
+    return O.apply(D.fact(s, d)).select(*CELL, "cnt")
 
 
 CELLS = "cells AS (SELECT season_year, portion, entity, class, cnt FROM fact WHERE NOT is_subtotal)"
@@ -34,7 +32,7 @@ CELLS = "cells AS (SELECT season_year, portion, entity, class, cnt FROM fact WHE
   SELECT season_year, portion, class, found, found + 7 AS printed FROM f WHERE (season_year + length(portion)) % 5 = 0""", "fact")
 def column_reconcile(s, d):
     keys = ["season_year", "portion", "class"]
-    found = Q.column_sums(cells(s, d), keys, "cnt")
+    found = settle(Q.column_sums(cells(s, d), keys, "cnt"), "sums")
     defect = F.when((F.col("season_year") + F.length("portion")) % 5 == 0, 7).otherwise(0)
     printed = found.select(*keys, (F.col("found") + defect).alias("printed"))
     return Q.reconcile(found, printed, keys, "found", "printed")
@@ -44,7 +42,7 @@ def column_reconcile(s, d):
   SELECT season_year, portion, entity, found, found - 3 AS printed FROM r WHERE entity % 9 = 4 AND season_year = 1998""", "fact")
 def row_reconcile(s, d):
     keys = ["season_year", "portion", "entity"]
-    found = Q.column_sums(cells(s, d), keys, "cnt")
+    found = settle(Q.column_sums(cells(s, d), keys, "cnt"), "sums")
     defect = F.when((F.col("entity") % 9 == 4) & (F.col("season_year") == 1998), 3).otherwise(0)
     return Q.reconcile(found, found.select(*keys, (F.col("found") - defect).alias("printed")), keys, "found", "printed")
 
@@ -64,7 +62,7 @@ VALID = """cand AS (SELECT DISTINCT season_year, portion, v AS version FROM fact
 def first_valid_table(s, d):
     # two printed versions of every table; version 0 is off by one for some tables, version 1 for fewer
     keys = ["season_year", "portion"]
-    sums = Q.column_sums(cells(s, d), keys, "cnt").withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
+    sums = settle(Q.column_sums(cells(s, d), keys, "cnt"), "sums").withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
     tag = F.col("season_year") + F.length("portion")
     printed = F.col("found") + F.when(F.when(F.col("version") == 0, tag % 4 == 0).otherwise(tag % 8 == 0), 1).otherwise(0)
     tables = sums.withColumn("printed", printed)
@@ -77,7 +75,7 @@ def first_valid_table(s, d):
   FROM p FULL JOIN q ON p.season_year = q.season_year AND p.portion = q.portion AND p.entity = q.entity WHERE p.v IS DISTINCT FROM q.v""", "fact")
 def recap_diff(s, d):
     keys = ["season_year", "portion", "entity"]
-    primary = Q.column_sums(cells(s, d), keys, "cnt").filter("found <> 0")
+    primary = settle(Q.column_sums(cells(s, d), keys, "cnt").filter("found <> 0"), "sums")
     y, e = F.col("season_year"), F.col("entity")
     recap = primary.filter(~((e == 8) & (y == 1999))).select(
         *keys, F.when((e % 6 == 0) & (y == 1997), F.col("found") + 1).otherwise(F.col("found")).alias("recap")
@@ -105,7 +103,7 @@ def grand_total_check(s, d):
   SELECT season_year, portion, found, CASE WHEN portion = 'fall_late' THEN found + 2 ELSE found END AS summary, portion = 'fall_late' AS warn FROM t WHERE portion LIKE 'fall%'""", "fact")
 def summary_check(s, d):
     keys = ["season_year", "portion"]
-    found = Q.column_sums(cells(s, d), keys, "cnt")
+    found = settle(Q.column_sums(cells(s, d), keys, "cnt"), "sums")
     late = F.col("portion") == "fall_late"
     box = found.filter(F.col("portion").startswith("fall")).select(*keys, (F.col("found") + F.when(late, 2).otherwise(0)).alias("summary"))
     return box.join(found, keys, "left").withColumn("warn", ~F.col("found").eqNullSafe(F.col("summary")))
@@ -139,7 +137,7 @@ PRINT = """m AS (SELECT region, season_year, avg(fh) AS mean FROM effort JOIN di
 
 
 def _means(s, d):
-    eff = D.effort(s, d).join(D.dim(s, d).select("entity", "region"), "entity").filter("fh IS NOT NULL")
+    eff = settle(D.effort(s, d).join(D.dim(s, d).select("entity", "region"), "entity").filter("fh IS NOT NULL"), "effort")
     by = ["region", "season_year"]
     printed = eff.groupBy(*by).agg((F.avg("fh") + F.when(F.col("season_year") == 1999, 0.5).otherwise(0.1)).alias("printed"))
     return Q.mean_check(eff, by, "fh", printed, 0.15)
@@ -163,7 +161,7 @@ def pinned_tolerance(s, d):
    count(CASE WHEN abs(reported - own) / CAST(own AS DOUBLE) > 0.05 THEN 1 END) AS over_5pct, count(CASE WHEN own IS NULL THEN 1 END) AS missing, count(CASE WHEN abs(reported - own) / CAST(own AS DOUBLE) > 0.05 THEN 1 END) * 10 > count(*) AS failed FROM rep LEFT JOIN own USING (entity, season_year) GROUP BY season_year""", "fact")
 def crosscheck(s, d):
     keys = ["entity", "season_year"]
-    sums = Q.column_sums(cells(s, d), keys, "cnt")
+    sums = settle(Q.column_sums(cells(s, d), keys, "cnt"), "sums")
     v, tag = F.col("found"), F.col("entity") * 7 + F.col("season_year")
     reported = sums.select(*keys, (v + F.when(tag % 11 == 0, F.floor(v / 10)).when(tag % 5 == 0, F.floor(v / 50)).otherwise(0)).alias("reported"))
     own = sums.filter(~((F.col("entity") == 13) & (F.col("season_year") == 1996))).select(*keys, v.alias("own"))
@@ -172,7 +170,7 @@ def crosscheck(s, d):
 
 @query("pinned_cell_fix", f"""{CELLS} SELECT season_year, portion, entity, class, CASE WHEN entity = 5 THEN cnt - 1 ELSE cnt END AS cnt, entity = 5 AS pinned FROM cells WHERE season_year = 1999 AND portion = 'spring_main'""", "fact")
 def pinned_cell_fix(s, d):
-    table = cells(s, d).filter("season_year = 1999 AND portion = 'spring_main'")
+    table = settle(cells(s, d).filter("season_year = 1999 AND portion = 'spring_main'"), "table")
     # pins for entities 5 and 6; those of entity 6 expect a value that is no longer printed
     pins = table.filter("entity IN (5, 6)").select(*CELL, (F.col("cnt") + F.when(F.col("entity") == 6, 1).otherwise(0)).alias("printed"), (F.col("cnt") - 1).alias("fixed"))
     return Q.apply_cell_pins(table, pins, CELL, "cnt")
@@ -180,14 +178,14 @@ def pinned_cell_fix(s, d):
 
 @query("stale_pins", f"""{CELLS} SELECT season_year, portion, entity, class, cnt + 1 AS printed, cnt - 1 AS fixed FROM cells WHERE season_year = 1999 AND portion = 'spring_main' AND entity = 6""", "fact")
 def stale_pins(s, d):
-    table = cells(s, d).filter("season_year = 1999 AND portion = 'spring_main'")
+    table = settle(cells(s, d).filter("season_year = 1999 AND portion = 'spring_main'"), "table")
     pins = table.filter("entity IN (5, 6)").select(*CELL, (F.col("cnt") + F.when(F.col("entity") == 6, 1).otherwise(0)).alias("printed"), (F.col("cnt") - 1).alias("fixed"))
     return Q.stale_pins(table, pins, CELL, "cnt").select(*CELL, "printed", "fixed")
 
 
 @query("pinned_nullout", "SELECT entity, season_year, CASE WHEN NOT (season_year = 1998 AND entity IN (2, 9)) THEN round(fh, 6) END AS fh, round(ah, 6) AS ah FROM effort", "effort")
 def pinned_nullout(s, d):
-    eff = D.effort(s, d).withColumns({"fh": F.round("fh", 6), "ah": F.round("ah", 6)})
+    eff = settle(D.effort(s, d), "effort").withColumns({"fh": F.round("fh", 6), "ah": F.round("ah", 6)})
     keys = ["entity", "season_year"]
     pins = eff.filter("season_year = 1998 AND entity IN (2, 9)").select(*keys, F.col("fh").alias("printed"), F.lit(None).cast("double").alias("fixed"))
     return Q.apply_cell_pins(eff, pins, keys, "fh").select("entity", "season_year", "fh", "ah")
@@ -272,7 +270,7 @@ def bounds_check(s, d):
   SELECT period, CASE WHEN day(CAST(period AS DATE)) <> 9 THEN detail + CASE WHEN day(CAST(period AS DATE)) % 10 = 3 THEN 1 ELSE 0 END END AS agg, detail FROM p WHERE day(CAST(period AS DATE)) % 10 = 3 OR day(CAST(period AS DATE)) = 9""", "samples")
 def agg_vs_detail(s, d):
     day = F.dayofmonth("period")
-    detail = D.samples(s, d).groupBy("period").agg(F.count("*").alias("detail"))
+    detail = settle(D.samples(s, d).groupBy("period").agg(F.count("*").alias("detail")), "detail")
     agg = detail.filter(day != 9).select("period", (F.col("detail") + F.when(day % 10 == 3, 1).otherwise(0)).alias("agg"))
     return Q.reconcile(agg, detail, ["period"], "agg", "detail").select(F.col("period").cast("string").alias("period"), "agg", "detail")
 
