@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starslice.runtime import settle, shared_dir, shuffle_width
+from starslice.runtime import settle, shared_dir
 
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -33,7 +33,7 @@ def _ranged_prefix_sum(rows: DataFrame, by: list[str], order: list[Column], weig
         raise RuntimeError("ranking unbounded groups needs spark.checkpoint.dir: partition ids must be written once")
     keys = [F.col(c).asc() for c in by] + order
     placed = settle(
-        rows.repartitionByRange(shuffle_width(spark), *keys).withColumn("_bucket", F.spark_partition_id()), "placed"
+        rows.repartitionByRange(*keys).withColumn("_bucket", F.spark_partition_id()), "placed"
     )
     # one row per (group, range partition), so this window is as small as the partition count
     w = W.partitionBy(*by).orderBy("_bucket").rowsBetween(*_BEFORE)

@@ -59,7 +59,6 @@ def make_facts(star: Star, spec: SliceSpec, year: int, kind: str = "deer", home=
     else:
         spring_only = F.lit(False)
     dense = wide.withColumn("v", F.when(spring_only, F.col("spring")).otherwise(F.col("all")))
-    dense = settle(dense, "facts")
     now = dense.filter(F.col("season_year") == year)
 
     split = kind == "deer"

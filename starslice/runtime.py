@@ -87,10 +87,6 @@ def fits(df: DataFrame, limit: int = WINDOW_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def ratio(num, den):
     """num / den where den > 0, else NULL (never NaN or infinity)."""
     n, d = (F.col(c) if isinstance(c, str) else c for c in (num, den))

@@ -4,22 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starslice.runtime import shared_dir
 
-SAMPLE_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
+def sample_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None) -> DataFrame:
+    """Files that match ``pattern`` as they land in ``folder``; the schema defaults to that of the landed files."""
+    schema = schema or spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def sample_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
-    """Files that match ``pattern`` as they land in ``folder``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def event_time(df: DataFrame, column: str) -> Column:
+    """The column as an instant; wall-clock times without a zone are read as UTC whatever the session's zone.
+
+    A watermark needs instants, and daily windows are aligned to UTC days.
+    """
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.concat(F.col(column).cast("string"), F.lit("Z")).cast("timestamp")
+    return F.col(column)
+
+
+def utc_day(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
 
 
 def windowed_rollup(samples: DataFrame, late: str = "2 days", period: str = "1 day") -> DataFrame:
@@ -52,12 +61,10 @@ def run_available(rollup: DataFrame, target: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-LIVE_SCHEMA = "entity long, period_start timestamp, samples long, positives long, batch_id long"
-
-
-def live_table(spark: SparkSession, target: str) -> DataFrame:
+def live_table(spark: SparkSession, target: str, rollup_schema: T.StructType) -> DataFrame:
     """Current value of every window: the row of its latest micro-batch."""
-    rows = spark.read.schema(LIVE_SCHEMA).option("recursiveFileLookup", "true").parquet(target)
+    schema = T.StructType(rollup_schema.fields + [T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(target)
     last = F.max_by(F.struct("samples", "positives"), "batch_id").alias("v")
     return rows.groupBy("entity", "period_start").agg(last).select("entity", "period_start", "v.*")
 
@@ -76,10 +83,11 @@ def rollup_folder(spark: SparkSession, folder: str, pattern: str, entities: int
     base = f"{root}/starslice/rollup-{uuid.uuid4().hex}"
     raw = sample_stream(spark, folder, pattern)
     samples = raw.select(
-        F.pmod("user_id", F.lit(entities)).alias("entity"), "ts", (F.col("event_type") == "error").cast("long").alias("positive")
+        F.pmod("user_id", F.lit(entities)).alias("entity"), event_time(raw, "ts").alias("ts"), (F.col("event_type") == "error").cast("long").alias("positive")
     )
-    run_available(windowed_rollup(samples), f"{base}/out", f"{base}/state")
-    return live_table(spark, f"{base}/out")
+    rollup = windowed_rollup(samples)
+    run_available(rollup, f"{base}/out", f"{base}/state")
+    return live_table(spark, f"{base}/out", rollup.schema)
 
 
 def running_totals(rows: DataFrame) -> DataFrame:

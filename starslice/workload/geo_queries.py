@@ -200,4 +200,4 @@ def point_in_polygon(s, d):
 @query("stream_rollup", "SELECT entity, CAST(period AS VARCHAR) AS period, count(*) AS samples, CAST(sum(positive) AS BIGINT) AS positives FROM samples GROUP BY samples.entity, samples.period", "samples")
 def stream_rollup(s, d):
     table = SR.rollup_folder(s, d, "events*.parquet")
-    return table.select("entity", F.to_date("period_start").cast("string").alias("period"), "samples", "positives")
+    return table.select("entity", SR.utc_day(F.col("period_start")).cast("string").alias("period"), "samples", "positives")
