@@ -61,6 +61,12 @@ EXTRA_ALIASES = {
     "carrol": "29033", "cedar": "29039", "mcdonald": "29119", "dekalb": "29063", "saint louis city": "29510",
     "st louis city": "29510", "sainte genevieve": "29186", "saint genevieve": "29186",
 }
+# layer, predicate on the lower-case properties of its source features
+LAYER_FILTERS = {
+    "interstates": "properties['rttyp'] = 'I'",
+    "public_land": "CAST(properties['acreage'] AS DOUBLE) >= 1000 AND properties['public_site'] = 'Y'",
+    "forest": "properties['forestname'] = 'Mark Twain National Forest'",
+}
 NOT_A_PLACE = ("", "unknown", "out of state")
 
 PORTION_LABELS = {

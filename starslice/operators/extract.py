@@ -35,18 +35,35 @@ def html_cells(pages: DataFrame, html: str, table: str = "table", row: str = "tr
 
 
 def nearest_heading(pages: DataFrame, html: str, item: str, headings: str = "h2|h3|h4|strong") -> DataFrame:
-    """Every ``item`` element with the nearest preceding heading that is neither empty nor a bare number.
+    """(.., item_idx, heading, raw, item): every ``item`` element with the nearest usable heading before it.
 
-    The text is cut in front of each usable heading, so the lookup needs no ordering across rows.
+    Empty and purely numeric headings are passed over. Headings and items are found in one scan of the
+    text, and the lookup stays inside the page's row, so no ordering across rows is needed.
     """
     other = [c for c in pages.columns if c != html]
-    usable = rf"(?is)(?=<(?:{headings})(?:\s[^>]*)?>(?!(?:\s|&nbsp;|[\d,])*</))"
-    parts = pages.select(*other, F.explode(F.split(X.visible_markup(F.col(html)), usable)).alias("_part"))
-    head = X.inner_text(F.regexp_extract("_part", rf"(?is)^<({headings})(?:\s[^>]*)?>(.*?)</(?:{headings})>", 2))
-    titled = F.regexp_replace(head, r"(?i)^title\s+", "")
-    return parts.select(
-        *other, F.when(titled != "", titled).alias("heading"), F.explode(F.regexp_extract_all("_part", _element(item))).alias("_i")
-    ).select(*other, "heading", X.inner_text(F.col("_i")).alias("item"))
+    pattern = rf"(?is)<(?:{item})(?:\s[^>]*)?>.*?</(?:{item})>|<(?:{headings})(?:\s[^>]*)?>.*?</(?:{headings})>"
+    is_item = lambda e: e.rlike(rf"(?i)^<(?:{item})[\s>]")
+    found = pages.select(*other, F.regexp_extract_all(X.visible_markup(F.col(html)), F.lit(pattern), F.lit(0)).alias("_e"))
+    usable = F.filter(
+        F.transform("_e", lambda e, i: F.when(~is_item(e) & ~X.inner_text(e).rlike(r"^[\d,]*$"), i)), lambda i: i.isNotNull()
+    )
+    found = found.withColumn("_h", usable)
+    items = F.filter(
+        F.transform("_e", lambda e, i: F.when(is_item(e), F.struct(
+            e.alias("raw"), F.get("_e", F.array_max(F.filter("_h", lambda h: h < i))).alias("head")))),
+        lambda s: s.isNotNull(),
+    )
+    flat = found.select(*other, F.posexplode(items).alias("item_idx", "_i"))
+    title = F.regexp_replace(X.inner_text(F.col("_i.head")), r"(?i)^title\s+", "")
+    return flat.select(*other, "item_idx", title.alias("heading"), F.col("_i.raw").alias("raw"), X.inner_text(F.col("_i.raw")).alias("item"))
+
+
+def html_tables(pages: DataFrame, html: str) -> DataFrame:
+    """(.., table_idx, heading, caption): the tables of a page, numbered as in ``html_cells``."""
+    caption = X.inner_text(F.regexp_extract("raw", r"(?is)<caption(?:\s[^>]*)?>(.*?)</caption>", 1))
+    return nearest_heading(pages, html, "table").select(
+        *[c for c in pages.columns if c != html], F.col("item_idx").alias("table_idx"), "heading", caption.alias("caption")
+    )
 
 
 def table_title(caption: Column, heading: Column, generic: tuple[str, ...]) -> Column:

@@ -45,6 +45,18 @@ def same_vocabulary(found: DataFrame, expected: list[str], column: str) -> DataF
     return key_coverage(found, want, column)
 
 
+def overlap(found: DataFrame, wanted: list[str], column: str) -> DataFrame:
+    """Wanted values with whether they occur."""
+    want = literal_rows(found.sparkSession, [(v,) for v in wanted], f"{column} string")
+    seen = found.select(column).distinct().withColumn("_seen", F.lit(True))
+    return want.join(seen, column, "left").select(column, F.col("_seen").isNotNull().alias("present"))
+
+
+def too_few(rows: DataFrame, by: list[str], minimum: int) -> DataFrame:
+    """Groups with fewer rows than a parser must find."""
+    return rows.groupBy(*by).agg(F.count("*").alias("found")).filter(F.col("found") < minimum)
+
+
 def group_sizes(found: DataFrame, by: str, expected: DataFrame) -> DataFrame:
     """Group counts against expected counts; missing groups count as 0."""
     n = found.groupBy(by).agg(F.count("*").alias("found"))

@@ -278,6 +278,13 @@ def region_effort(star: Star, spec: SliceSpec) -> DataFrame:
     )
 
 
+def permits_vs_harvest(permits: DataFrame, hunters: DataFrame) -> DataFrame:
+    """Fill rate per permit type, with the share of firearms hunters who took at least one animal."""
+    took = 1 - ratio("hunters_0_deer", "hunters_total")
+    success = hunters.filter("method = 'firearms'").select("year", took.alias("success_rate"))
+    return permits.join(success, "year", "left").withColumn("fill_rate", ratio("deer_harvested", "permits_issued"))
+
+
 # -- season mix ---------------------------------------------------------------------------
 def season_stats(star: Star, spec: SliceSpec, roles: M.Roles = M.ORDER_ROLES, entity=None) -> DataFrame:
     """Opening share, youth share and spring:fall ratio per period; an entity scope ignores the region."""

@@ -56,6 +56,11 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def layer(shapes: DataFrame, predicate: str, name: str) -> DataFrame:
+    """The features of one overlay layer with their display name; features without a shape are left out."""
+    return shapes.filter(predicate).filter("kind IS NOT NULL").withColumn("name", F.trim(F.col("properties")[name]))
+
+
 def vertices(shapes: DataFrame, geom: str) -> DataFrame:
     """Vertex table (geom, part, ring, seq, x, y) of points, lines, polygons and their multi forms."""
     kind, text = F.col("kind"), F.col("coordinates")

@@ -64,8 +64,8 @@ def test_fallback_totals(spark):
 
 def test_nearest_heading_skips_numbers(spark):
     pages = spark.createDataFrame([(1, PAGE)], "page_id int, html string")
-    got = rows(E.nearest_heading(pages, "html", "td").select("heading").distinct())
-    assert got == [("Fall Turkey Firearm",)]
+    got = rows(E.html_tables(pages, "html").select("table_idx", "heading", "caption"))
+    assert got == [(0, "Fall Turkey Firearm", ""), (1, "Fall Turkey Firearm", "")]
 
 
 @pytest.mark.parametrize("title, portion, subtotal", [
