@@ -79,13 +79,10 @@ def comparable_totals(star: Star, spec: SliceSpec) -> DataFrame:
 def places(star: Star, keys: list[str]) -> DataFrame:
     """Resolve place keys: an entity, or ``region:<name>``. One row per (place, member entity)."""
     wanted = literal_rows(star.dim.sparkSession, list(enumerate(keys)), "side int, place string")
-    is_region = F.col("place").startswith("region:")
-    match = (
-        (is_region & (F.col("region") == F.substring_index("place", ":", -1)))
-        | (~is_region & (F.col("entity").cast("string") == F.col("place")))
-    )
-    return star.dim.join(wanted, match).select(
-        "side", "place", is_region.alias("is_region"), "entity", "name", "region", "area"
+    # an entity answers to its own key and to its region's, which makes this an equality join
+    keyed = star.dim.withColumn("place", F.explode(F.array(F.col("entity").cast("string"), F.concat(F.lit("region:"), "region"))))
+    return keyed.join(wanted, "place").select(
+        "side", "place", F.col("place").startswith("region:").alias("is_region"), "entity", "name", "region", "area"
     )
 
 

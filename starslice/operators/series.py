@@ -16,13 +16,13 @@ from starslice.runtime import ratio
 PERIOD = "season_year"
 
 
-def _line(key: str = "entity"):
+def line(key: str = "entity"):
     return W.partitionBy(key).orderBy(PERIOD)
 
 
 def previous_calendar(value: str, key: str = "entity") -> Column:
     """Value of the calendar period just before, NULL when that period is absent."""
-    w = _line(key)
+    w = line(key)
     return F.when(F.lag(PERIOD).over(w) == F.col(PERIOD) - 1, F.lag(value).over(w))
 
 
@@ -32,22 +32,22 @@ def change(cur: str | Column, prev: str | Column) -> Column:
 
 def trailing_average(value: str, back: int = 5, key: str = "entity") -> Column:
     """Mean of up to ``back`` earlier periods, the current one excluded; NULL in the first."""
-    return F.avg(value).over(_line(key).rowsBetween(-back, -1))
+    return F.avg(value).over(line(key).rowsBetween(-back, -1))
 
 
 def trailing_count(value: str, back: int = 5, key: str = "entity") -> Column:
-    return F.count(value).over(_line(key).rowsBetween(-back, -1))
+    return F.count(value).over(line(key).rowsBetween(-back, -1))
 
 
 def index_100(value: str, key: str = "entity") -> Column:
     """Index with the first positive value = 100."""
-    whole = _line(key).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole = line(key).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first = F.first(F.when(F.col(value) > 0, F.col(value)), ignorenulls=True).over(whole)
     return ratio(value, first) * 100
 
 
 def sparkline(value: str, length: int = 6, key: str = "entity") -> Column:
-    return F.collect_list(value).over(_line(key).rowsBetween(-(length - 1), 0))
+    return F.collect_list(value).over(line(key).rowsBetween(-(length - 1), 0))
 
 
 def share(df: DataFrame, value: str, name: str = "share", by: tuple[str, ...] = (PERIOD,)) -> DataFrame:
@@ -89,7 +89,7 @@ def leader_run(series: DataFrame, value: str, last: int) -> DataFrame:
 
 def adjacent_changes(series: DataFrame, value: str) -> DataFrame:
     """Change against the preceding period in dataset order, where both are positive."""
-    prev = F.lag(value).over(_line())
+    prev = F.lag(value).over(line())
     return (
         series.withColumn("prev", prev)
         .filter((F.col("prev") > 0) & (F.col(value) > 0))

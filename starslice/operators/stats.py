@@ -56,9 +56,13 @@ def sequential_breaks(df: DataFrame, by: list[str], value: str, k: int = 5, boun
     """Equal-count breaks with repeats merged and a lowest break at or below the minimum dropped."""
     raw = K.quantile_breaks(df, by, value, k, bounded)
     lows = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    if by:
+        raw = raw.join(lows, by)
+    else:  # one scale for everything: the two limits are scalars
+        raw = raw.withColumns({c: lows.select(c).scalar() for c in ("lo", "hi")})
     distinct = F.array_distinct("breaks")
     kept = F.when(distinct[0] <= F.col("lo"), F.slice(distinct, 2, F.greatest(F.size(distinct) - 1, F.lit(0)))).otherwise(distinct)
-    return raw.join(lows, by).withColumn("breaks", kept)
+    return raw.withColumn("breaks", kept)
 
 
 def diverging_breaks(df: DataFrame, by: list[str], value: str, k: int = 3, bounded: bool = False) -> DataFrame:

@@ -77,7 +77,7 @@ def make_facts(star: Star, spec: SliceSpec, year: int, kind: str = "deer", home=
     facts: list[DataFrame] = []
 
     if home is not None:
-        me = ranked.filter(F.col("entity") == home).withColumn("pr", F.lag("rank").over(S._line())).filter(F.col("season_year") == year)
+        me = ranked.filter(F.col("entity") == home).withColumn("pr", F.lag("rank").over(S.line())).filter(F.col("season_year") == year)
         d = F.col("pr") - F.col("rank")
         move = F.when(d > 0, F.format_string(" (up %d)", d)).when(d < 0, F.format_string(" (down %d)", -d)).when(d == 0, " (no change)").otherwise("")
         text = F.concat(F.col("name"), F.lit(" ranks "), L.ordinal(F.col("rank")), F.lit(f" {scope} in "), label, move, F.lit("."))
@@ -129,7 +129,7 @@ def make_facts(star: Star, spec: SliceSpec, year: int, kind: str = "deer", home=
             text = F.concat(F.col("a.name"), F.lit(" led the attribute share with "), L.percent(F.col("a.v"), 0), F.lit(f" (places with {min_count} or more)."))
             facts.append(_fact(top, 9, "public", L.percent(F.col("a.v"), 0), F.lit("attribute share"), text, F.col("a.entity")))
 
-    prev = F.lag("v").over(S._line())
+    prev = F.lag("v").over(S.line())
     moved = dense.withColumn("prev", prev).filter((F.col("season_year") == year) & F.col("prev").isNotNull() & ((F.col("prev") > 0) | (F.col("v") > 0)))
     moved = moved.withColumn("delta", F.col("v") - F.col("prev"))
     before = F.concat(F.lit("vs "), L.season_label(F.lit(year - 1), split))

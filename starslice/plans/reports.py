@@ -71,9 +71,9 @@ def percent_mix(star: Star, spec: SliceSpec, keys: list[str], year: int) -> Data
     rows = spec.patch(region="", year_from=year, year_to=year).apply(star.fact)
     sums = rows.groupBy("entity", "portion").agg(F.sum("cnt").alias("v")).join(members, "entity")
     cells = sums.groupBy("portion").pivot("place", keys).agg(F.sum("v")).fillna(0)
-    mixed = cells.unpivot(["portion"], keys, "place", "v")
-    present = F.greatest(*[F.col(f"`{k}`") for k in keys]) > 0 if len(keys) > 1 else F.col(f"`{keys[0]}`") > 0
-    mixed = cells.filter(present).unpivot(["portion"], [F.col(f"`{k}`") for k in keys], "place", "v")
+    columns = [F.col(f"`{k}`") for k in keys]
+    present = F.exists(F.array(*columns), lambda v: v > 0)
+    mixed = cells.filter(present).unpivot(["portion"], columns, "place", "v")
     return S.share(mixed, "v", "pct", ("place",)).select("place", "portion", (F.col("pct") * 100).alias("pct"))
 
 
@@ -189,8 +189,7 @@ def entity_card(star: Star, spec: SliceSpec, metric: str, entity, year: int) ->
     df = M.metric_frame(star, free, [metric]).withColumn("value", F.col(metric))
     positive = not M.METRICS[metric].diverging
     now = df.filter(F.col("season_year") == year)
-    ranked = K.competition_rank(now, [], "value", positive, star.small, "state_rank") if star.small else \
-        K.competition_rank(now.withColumn("_all", F.lit(1)), ["_all"], "value", positive, False, "state_rank").drop("_all")
+    ranked = K.competition_rank(now, ["season_year"], "value", positive, star.small, "state_rank")
     ranked = K.competition_rank(ranked, ["region"], "value", positive, star.small, "region_rank")
     me, ok = F.col("entity") == entity, F.col("state_rank").isNotNull()
     region = now.filter(me).select("region").scalar()
@@ -200,7 +199,7 @@ def entity_card(star: Star, spec: SliceSpec, metric: str, entity, year: int) ->
         F.max(F.when(me, F.col("region_rank"))).alias("region_rank"),
         F.count_if(ok & (F.col("region") == region)).alias("region_ranked"),
     )
-    runs = K.competition_rank(df.withColumn("base", F.col("base")), ["season_year"], "base", bounded=star.small)
+    runs = K.competition_rank(df, ["season_year"], "base", bounded=star.small)
     streak = S.top_n_streaks(runs, year, 10).filter(me).select("streak").scalar()
     return one.withColumn("streak", streak)
 
@@ -333,7 +332,7 @@ def h2h_stats(star: Star, spec: SliceSpec, keys: tuple[str, str], year: int, rol
         F.sum(F.when(ok, F.col("v"))).alias("ev"), F.sum("num").alias("num"), F.sum("aden").alias("aden"),
     )
     line = line.withColumns({
-        "prev": F.lag("v").over(S._line("side")), "avg5": S.trailing_average("v", 5, "side"),
+        "prev": F.lag("v").over(S.line("side")), "avg5": S.trailing_average("v", 5, "side"),
     })
     best = K.argmax(["side"], line, "v", "season_year").select("side", F.col("season_year").alias("best_year"), F.col("v").alias("best"))
     now = line.filter(F.col("season_year") == year).join(best, "side")

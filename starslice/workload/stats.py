@@ -93,8 +93,7 @@ def choropleth_classes(s, d):
 def shared_classes(s, d):
     # one scale over all periods, used by small multiples
     st, df = frame(s, d, "per_sqmi")
-    one = df.withColumn("scale", F.lit("all"))
-    return T.class_ranges(T.sequential_breaks(one, ["scale"], "per_sqmi", 5, st.small), ["scale"]).drop("scale")
+    return T.class_ranges(T.sequential_breaks(df, [], "per_sqmi", 5, st.small), [])
 
 
 @query("diverging_classes", f"""{YOY}, o AS (SELECT season_year, x < 0 AS neg, x, row_number() OVER (PARTITION BY season_year, x < 0 ORDER BY x) - 1 AS p, count(*) OVER (PARTITION BY season_year, x < 0) AS n FROM yoy WHERE x IS NOT NULL),
