@@ -232,3 +232,14 @@ def running_total(df: DataFrame, scratch: Scratch, name: str, order: list[Column
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return (dealt.join(F.broadcast(starts), "_part")
             .withColumn(out, (F.col("_start") + F.coalesce(F.sum(value).over(before), F.lit(0))).cast("long")).drop("_part", "_start"))
+
+
+def one_text_per_id(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` (id, text) with one row for each id that isn't null: of an id's several texts, the greatest.
+
+    Texts are only shuffled if some id is repeated; a count of the ids alone tells.
+    """
+    docs = docs.filter("id IS NOT NULL")
+    if not docs.groupBy("id").count().filter("count > 1").limit(1).count():
+        return docs
+    return scratch.put("one_text", docs.groupBy("id").agg(F.max("text").alias("text")))

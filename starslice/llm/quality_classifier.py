@@ -189,6 +189,23 @@ def mine(terms: list[np.ndarray], labels: list[int | None], odds: float = 8.0, l
     return every[(ratio >= least) & (a / bad.sum() >= odds * (b + 0.5) / ((~bad).sum() + 1))]
 
 
+def one_of_each(words: list[np.ndarray], seeds: int = 6, smallest: int = 3) -> list[int]:
+    """Rows of a sample without later near copies: those that share the smallest hashed words under any of several orders.
+
+    A text copied many times would else tie all of its words to its label.
+    """
+    seen, keep = set(), []
+    for k, own in enumerate(words):
+        keys = []
+        for seed in range(seeds):
+            mixed = mix64(own.view(np.uint64), 200 + seed)
+            keys.append((seed, *np.sort(mixed if len(mixed) <= smallest else np.partition(mixed, smallest)[:smallest]).tolist()))
+        if seen.isdisjoint(keys):
+            keep.append(k)
+        seen.update(keys)
+    return keep
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000) -> QualityModel:
     """Fit both vote models on all documents and both scorers on at most ``sample`` documents."""
     spark = docs.sparkSession
@@ -207,8 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     learn = chosen.drop("_text").toArrow().sort_by("_id")
     marks = learn.column("_label").to_pylist()
     rows, words, forms, form_of = ([np.asarray(x.values) for x in learn.column(k)] for k in "fwbv")
+    keep = one_of_each(words)
+    marks, rows, words, forms, form_of = ([x[k] for k in keep] for x in (marks, rows, words, forms, form_of))
     mined = Mined(mine(words, marks), mine(rows, marks))
-    civil_of = np.full((len(learn), CIVIL), -1)
+    civil_of = np.full((len(rows), CIVIL), -1)
     for k, (row, own, mark) in enumerate(zip(rows, words, marks)):
         civil_of[k] = [0 if np.isin(insult_hashes().view(np.int64), own).any() else -1,
                        -1 if not len(mined.stems) else 0 if np.isin(row, mined.stems).any() else 1,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from starslice.llm import quality_classifier
+from starslice.llm import line_dedup, ngram_jaccard, quality_classifier
 
 QUERIES, SQL = {}, {}
 
@@ -24,3 +25,16 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, read(spark, sf_dir, "labels"))
     return quality_classifier.classify(docs, model).drop("text")
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document: shingles of four words, similarity 0.85 or more."""
+    return ngram_jaccard.jaccard_components(read(spark, sf_dir, "documents"), size=4, threshold=0.85)
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to earlier ones, and a digest of what it keeps."""
+    kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed_words", "n_blocks", F.sha2("text", 256).alias("kept_sha256"))
