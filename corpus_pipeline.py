@@ -7,8 +7,9 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from starslice.llm import quality_classifier
+from starslice.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_classifier
 from starslice.llm.common import Scratch
 
 
@@ -18,7 +19,32 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_classifier.classify(docs, model, only_kept=True).select(*docs.columns)
 
 
-STAGES = [("quality classifier", classify_quality)]
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the blocks of lines that an earlier one has; those that lose all their words go."""
+    made = line_dedup.dedup_lines(docs).filter("n_removed_words < n_words OR n_words = 0")
+    length = F.when(F.col("n_removed_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return made.withColumn("n_chars", length).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
+    return ngram_jaccard.one_of_each(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training mix: documents in training order, with epoch, words taken and position."""
+    return mixing.training_order(docs)
+
+
+STAGES = [
+    ("quality classifier", classify_quality), ("line dedup", dedup_lines), ("n-gram Jaccard join", dedup_near),
+    ("benchmark decontamination", drop_benchmark), ("mixing sources to target weights", mix_sources),
+]
 ORACLE_SQL = None  # a trained scorer is no SQL
 
 

@@ -109,8 +109,8 @@ def aligned_blocks(anchors: np.ndarray, least: int) -> list[tuple[int, int, int]
     out = []
     for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(late)]]) - 1):
         if late[b] + n[b] - late[a] >= least:
-            code = (late_end[b] - late_sum[a]) * down[late[a]]
-            out.append((int(late[a]), int(late[b] + n[b]), int(code.astype(np.int64))))
+            code = (late_end[b:b + 1] - late_sum[a:a + 1]) * down[late[a:a + 1]]
+            out.append((int(late[a]), int(late[b] + n[b]), int(code.view(np.int64)[0])))
     return out
 
 
@@ -191,7 +191,7 @@ def cut_blocks(texts: list[str | None], blocks: list) -> dict[str, list]:
             w0, w1 = batch.bounds[i], batch.bounds[i + 1]
             gone = np.zeros(w1 - w0, bool)
             for a, b, code in own or []:
-                if b <= w1 - w0 and span_code(sums[begin[i]:begin[i] + w1 - w0 + 1], np.int64(a), np.int64(b)).astype(np.int64) == code:
+                if b <= w1 - w0 and span_code(sums[begin[i]:begin[i] + w1 - w0 + 1], np.array([a]), np.array([b])).view(np.int64)[0] == code:
                     gone[a:b] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
             if len(edge):

@@ -214,3 +214,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 .select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id")))
     rows = known.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with the smallest id of each component; rows with a null id stay, of repeated ids one row stays."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    rows = jaccard_components(docs, id_col, **options)
+    others = scratch.put("others", rows.filter(F.col("component_id") != F.col(id_col)).select(id_col))
+    few = others.limit(SEMI_ROWS + 1).count() <= SEMI_ROWS
+    kept = docs.join(F.broadcast(others) if few else others, docs[id_col].cast("long") == others[id_col], "left_anti")
+    if kept.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
+        kept = kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starslice.llm import line_dedup, ngram_jaccard, quality_classifier
+from starslice.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_classifier
 
 QUERIES, SQL = {}, {}
 
@@ -38,3 +38,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to earlier ones, and a digest of what it keeps."""
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed_words", "n_blocks", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and when it is first read, in millionths of the training time."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    first = F.floor(F.array_min(F.transform("copies", lambda c: c["position"])) * 1_000_000).cast("long")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position_ppm"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains: shingles of five words, containment 0.8 or more."""
+    return decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+SQL["op6_mixing"] = mixing.OP6_SQL
+SQL["op8_decontamination"] = decontaminate.OP8_SQL
