@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -45,6 +47,11 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of steps that are written and no longer referred to."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
         for name in names:
@@ -52,6 +59,18 @@ class Scratch:
             path.getFileSystem(sc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Frames that are written inside pass at most ``rows`` rows at once to Python; for rows that hold many texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, as ``--py-files`` does, once in a session."""
     sc = spark.sparkContext

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starslice.llm.common import Scratch, TextBatch, add_columns, mix64, one_text_per_id, pieces, ship
+from starslice.llm.common import Scratch, TextBatch, add_columns, arrow_batches, mix64, one_text_per_id, pieces, ship
 from starslice.llm.components import components
 
 ROUNDS = 4  # of pivots, before the pairs that are left
@@ -149,28 +149,45 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.select("token", "id").repartition("token").sortWithinPartitions("token", "id").mapInArrow(shared, "token long, id long")
 
 
-def compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose texts' sets have Jaccard similarity ``t`` or more."""
-    pairs = scratch.put(f"{name}_pairs", pairs)
-    ids = scratch.put(f"{name}_ids", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+TILE = 64  # ids a side of a tile, on average
+
+
+def compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, t: Fraction, star: bool) -> DataFrame:
+    """The pairs (a, b) whose texts' sets have Jaccard similarity ``t`` or more. ``pairs`` has a token that they share.
+
+    The pairs of a token are dealt by the hashes of their ids into tiles of about TILE ids a side (``star``: one pivot and TILE
+    others). A tile gets each of its texts once, so many pairs among few texts don't multiply them.
+    """
+    of_token = pairs.groupBy("token").agg(F.count("*").alias("pairs"))
+    sides = F.ceil((F.col("pairs") if star else F.sqrt("pairs")) / TILE)
+    side = lambda c: F.pmod(F.xxhash64(c), sides)
+    pairs = scratch.put(f"{name}_pairs", pairs.join(of_token, "token").select("a", "b", F.struct("token", side("a").alias("i"), side("b").alias("j")).alias("tile")))
+    wanted = pairs.select("tile", F.col("a").alias("id")).union(pairs.select("tile", "b")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     few = ids.limit(SEMI_ROWS + 1).count() <= SEMI_ROWS
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
-
-    def exact(ta, tb):
-        known, sets = {x: k for k, x in enumerate(dict.fromkeys(ta + tb))}, []
-        for part, h, _, at in text_sets(list(known), size):
-            sets += [h[a:b] for a, b in zip(at[:-1], at[1:])]
+    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    held = wanted.join(texts, "id").groupBy("tile").agg(F.collect_list(F.struct("id", "text")).alias("texts"))
+    tiles = held.join(pairs.groupBy("tile").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "tile")
+
+    def exact(texts, pairs):
         out = []
-        for x, y in zip(ta, tb):
-            x, y = sets[known[x]], sets[known[y]]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both * t.denominator >= t.numerator * (len(x) + len(y) - both))
+        for own, asked in zip(texts, pairs):
+            sets, ids = {}, [x["id"] for x in own]
+            for part, h, _, at in text_sets([x["text"] for x in own], size):
+                sets.update((k, h[a:b]) for k, a, b in zip(ids[part], at[:-1], at[1:]))
+            linked = []
+            for p in asked:
+                x, y = sets[p["a"]], sets[p["b"]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * t.denominator >= t.numerator * (len(x) + len(y) - both):
+                    linked.append(p)
+            out.append(linked)
         return {"linked": out}
 
-    kind = T.StructType([T.StructField("linked", T.BooleanType())])
-    return scratch.put(f"{name}_links", add_columns(both.select("a", "b", "ta", "tb"), ["ta", "tb"], kind, exact, rows=200, keep="linked").select("a", "b"))
+    kind = T.StructType([T.StructField("linked", T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))])
+    found = add_columns(tiles.select("texts", "pairs"), ["texts", "pairs"], kind, exact, rows=4).select(F.inline("linked"))
+    with arrow_batches(docs.sparkSession, 16):
+        return scratch.put(f"{name}_links", found)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -182,19 +199,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = scratch.put("index", index(plain, size, t))
     classes = scratch.put("classes", known.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")))
     reps = classes.select(F.col("rep").alias("id"), "n", "bits")
-    postings = known.filter("n > 0").join(reps.select("id"), "id", "left_semi").select(F.explode("prefix").alias("token"), "id")
-    groups = scratch.put("groups", grouped(postings))
+    groups = scratch.put("groups", grouped(known.select(F.explode("prefix").alias("token"), "id")).join(reps.select("id"), "id", "left_semi"))
     labels, links, tested = None, None, None
     for k in range(ROUNDS + 1):
         mine = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component") if labels is not None else groups.withColumn("label", F.col("id"))
         low = mine.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "label")).alias("pivot"))
         open_ = low.filter("l0 <> l1")
         if k < ROUNDS:
-            pairs = mine.join(open_, "token").filter("label <> pivot.label").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
+            pairs = mine.join(open_, "token").filter("label <> pivot.label").select("token", F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         else:
             left = mine.join(open_.select("token"), "token", "left_semi")
-            pairs = left.join(left.select("token", F.col("id").alias("id2"), F.col("label").alias("label2")), "token").filter("id < id2 AND label <> label2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = pairs.distinct()
+            pairs = left.join(left.select("token", F.col("id").alias("id2"), F.col("label").alias("label2")), "token").filter("id < id2 AND label <> label2").select("token", F.col("id").alias("a"), F.col("id2").alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("token").alias("token"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         words = len(ORDERS) * BITS // 64
@@ -202,9 +218,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         shared = " AND ".join("(" + " OR ".join(f"(ba[{j}] & bb[{j}]) <> 0" for j in range(o * half, (o + 1) * half)) + ")" for o in range(len(ORDERS)))
         pairs = (pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
                  .join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-                 .filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).filter(shared).select("a", "b"))
-        new = compare(pairs, plain, scratch, f"round{k}", size, t)
-        done = scratch.spark.read.parquet(scratch.paths[f"round{k}_pairs"])
+                 .filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).filter(shared).select("a", "b", "token"))
+        new = compare(pairs, plain, scratch, f"round{k}", size, t, star=k < ROUNDS)
+        done = scratch.spark.read.parquet(scratch.paths[f"round{k}_pairs"]).select("a", "b")
         tested = done if tested is None else tested.union(done)
         links = new if links is None else links.union(new)
         if done.limit(1).count() == 0 and k > 0:

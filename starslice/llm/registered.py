@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starslice.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_classifier
+from starslice.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_classifier, suffix_dedup
 
 QUERIES, SQL = {}, {}
 
@@ -54,5 +54,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps, bytes of 50-byte strings of earlier documents removed."""
+    kept = suffix_dedup.dedup_suffixes(read(spark, sf_dir, "documents"))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 SQL["op6_mixing"] = mixing.OP6_SQL
 SQL["op8_decontamination"] = decontaminate.OP8_SQL
