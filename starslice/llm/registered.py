@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starslice.llm import decontaminate, line_dedup, mixing, ngram_jaccard, quality_classifier, suffix_dedup
+from starslice.llm import (
+    chat, decontaminate, line_dedup, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, suffix_dedup, token_counts,
+)
+from starslice.llm.common import Scratch
 
 QUERIES, SQL = {}, {}
 
@@ -63,3 +66,40 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op6_mixing"] = mixing.OP6_SQL
 SQL["op8_decontamination"] = decontaminate.OP8_SQL
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digest, and all spans."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(pii.labelled_sample(docs)))
+    joined = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",") for c in ("base_spans", "spans")}
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined["base_spans"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, and of those how many cross its bounds."""
+    counted = token_counts.section_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts.section_rows(counted.drop("text"))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
+    scratch = Scratch(spark, "quality-rules")
+    measured = scratch.put("measured", quality_rules.measure(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return quality_rules.judge(measured, quality_rules.fit(measured))
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+SQL["op5_chat_formatting"] = chat.OP5_SQL
