@@ -115,9 +115,14 @@ def add_columns(df: DataFrame, inputs: list[str], added: T.StructType, fn: Calla
     return df.mapInArrow(run, T.StructType(left + list(added.fields)))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; bytes.split() separates at exactly these six characters. Null: none."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until ``df`` has no such column (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def n_words(text: Column) -> Column:
@@ -224,7 +229,7 @@ class TextBatch:
         return total[self.last] - total[self.first]
 
 
-def pieces(texts: list[str | None], chars: int = 2_000_000) -> Iterator[slice]:
+def pieces(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
     """Slices of neighbouring texts with about ``chars`` characters; a longer text is a slice of its own."""
     start, held = 0, 0
     for k, t in enumerate(texts):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starslice.llm.common import Scratch, TextBatch, add_columns, pieces, powers, ship
+from starslice.llm.common import Scratch, TextBatch, add_columns, fresh, pieces, powers, ship
 
 LINE_WORDS = 4
 BLOCK_WORDS = 20
@@ -211,14 +211,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     blocks = scratch.put("blocks", removed_blocks(plain, scratch, line_words, block_words))
     scratch.drop("lines")
-    marked = blocks.select(F.col("id").alias("__id"), F.col("blocks").alias("__blocks"))
     base = docs.drop(*RESULT.names)
-    joined = base.join(marked, base[id_col].cast("long") == F.col("__id"), "left")
+    key, found = fresh(docs, "block_id", "block_list")
+    marked = blocks.select(F.col("id").alias(key), F.col("blocks").alias(found))
+    joined = base.join(marked, base[id_col].cast("long") == F.col(key), "left")
     added = T.StructType([T.StructField(text_col, T.StringType()), *RESULT.fields])
 
     def cut(texts, own):
         made = cut_blocks(texts, own)
         return {text_col: made.pop("text")} | made
 
-    made = add_columns(joined, [text_col, "__blocks"], added, cut, rows=200)
+    made = add_columns(joined, [text_col, found], added, cut, rows=200)
     return made.select(*[c for c in docs.columns if c not in RESULT.names], *RESULT.names)

@@ -61,21 +61,25 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
     def local(batches):
         seen, counts, rows = set(), [], 0
         for batch in batches:
-            for _, h, doc, at in text_sets(batch.column(0).to_pylist(), size):
-                sums = np.add.reduceat(np.append(h, np.uint64(0)), at[:-1]) if len(at) > 1 else []
-                fresh = np.array([(int(s), b - a) not in seen and b > a and not seen.add((int(s), b - a)) for s, a, b in zip(sums, at[:-1], at[1:])], bool)
-                rows += int(fresh.sum())
-                counts.append(np.unique(h[fresh[doc]], return_counts=True))
-                if len(counts) >= 16:
+            for start in range(0, batch.num_rows, 1000):
+                for _, h, doc, at in text_sets(batch.column(0).slice(start, 1000).to_pylist(), size):
+                    sums = np.add.reduceat(np.append(h, np.uint64(0)), at[:-1])
+                    fresh = np.array([b > a and (int(s), b - a) not in seen and not seen.add((int(s), b - a)) for s, a, b in zip(sums, at[:-1], at[1:])], bool)
+                    rows += int(fresh.sum())
+                    counts.append((np.sort(h[fresh[doc]]), None))
                     counts = [added(counts)]
         if counts:
-            h, n = added(counts)
+            h, n = counts[0]
             keep = n > max(1, rows // HEAVY)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
 
     def added(counts):
-        h, which = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
-        return h, np.bincount(which, np.concatenate([c[1] for c in counts]), len(h)).astype(np.int64)
+        h = np.concatenate([c[0] for c in counts])
+        n = np.concatenate([np.ones(len(c[0]), np.int32) if c[1] is None else c[1] for c in counts])
+        order = np.argsort(h, kind="stable")  # two sorted pieces: a merge
+        h, n = h[order], n[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[:len(h)]
+        return (h[head], np.add.reduceat(n, head)) if len(h) else (h, n)
 
     total = docs.filter("text IS NOT NULL").count()
     found = docs.select("text").mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > max(1, total // HEAVY))

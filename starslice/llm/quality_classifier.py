@@ -112,7 +112,7 @@ class Scorer:
         return out
 
 
-def train_scorer(rows: list[np.ndarray], target: np.ndarray, penalty: float = 2e-4, rounds: int = 100) -> Scorer:
+def train_scorer(rows: list[np.ndarray], target: np.ndarray, penalty: float = 4e-4, rounds: int = 100) -> Scorer:
     """Logistic regression on soft labels with an L1 penalty, by accelerated proximal gradient; no rows: everything is good."""
     if not rows:
         return Scorer(np.empty(0, np.int64), np.empty(0), 5.0)
@@ -169,10 +169,10 @@ def sample_of(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col:
     return texts.groupBy("_id", "_label").agg(F.max("_text").alias("_text"))
 
 
-def mine(terms: list[np.ndarray], labels: list[int | None], odds: float = 8.0, least: float = 35.0) -> np.ndarray:
-    """Terms ``odds`` times as frequent in uncivil documents as in the others, with a log-likelihood ratio of ``least`` or more.
+def mine(terms: list[np.ndarray], labels: list[int | None], odds: float = 6.0) -> np.ndarray:
+    """Terms ``odds`` times as frequent in uncivil documents as in the others, with a log-likelihood ratio of 2 ln(terms) or more.
 
-    The ratio keeps out the many rare terms that a sample ties to uncivil documents by chance.
+    Of that many terms, chance ties less than one so closely to uncivil documents.
     """
     known = [k for k, x in enumerate(labels) if x is not None]
     if not known:
@@ -186,7 +186,7 @@ def mine(terms: list[np.ndarray], labels: list[int | None], odds: float = 8.0, l
         return np.empty(0, np.int64)
     n = a + b
     ratio = 2 * (a * np.log(np.maximum(a, 1e-9) / (n * share)) + b * np.log(np.maximum(b, 1e-9) / (n * (1 - share))))
-    return every[(ratio >= least) & (a / bad.sum() >= odds * (b + 0.5) / ((~bad).sum() + 1))]
+    return every[(ratio >= 2 * np.log(max(len(every), 2))) & (a / bad.sum() >= odds * (b + 0.5) / ((~bad).sum() + 1))]
 
 
 def one_of_each(words: list[np.ndarray], seeds: int = 6, smallest: int = 3) -> list[int]:
@@ -258,11 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 SCORES = T.StructType([T.StructField("p_form", T.DoubleType()), T.StructField("p_civil", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
 
-def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", sound: float = 0.5, civil: float = 0.35, only_kept: bool = False) -> DataFrame:
-    """``docs`` with the two probabilities and ``keep``: both reach their thresholds. With ``only_kept`` the others go.
-
-    Most texts are civil, so by default a text goes only where the scorer puts the odds at about two to one against it.
-    """
+def classify(docs: DataFrame, model: QualityModel, text_col: str = "text", sound: float = 0.5, civil: float = 0.6, only_kept: bool = False) -> DataFrame:
+    """``docs`` with the two probabilities and ``keep``: both reach their thresholds. With ``only_kept`` the others go."""
     shared = docs.sparkSession.sparkContext.broadcast((model.form, model.civil))
     dense: list[np.ndarray] = []
 
