@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -48,9 +49,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of steps that are written and no longer referred to."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner delete the shuffle files of steps that are written and no longer referred to.
+
+        The first collection frees the frames, the second the shuffles that they held.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *names: str) -> None:
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc

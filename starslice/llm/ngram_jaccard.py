@@ -3,8 +3,8 @@
 A text's set holds the hashes (64 bits) of its distinct word shingles. Texts with equal sets are one class and only its smallest id
 goes on. Two sets of Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 tokens of each, under any order
 of all tokens. Prefix tokens under a first order (tokens that are frequent in the corpus come last) are grouped; two members of a
-group are candidates if they also share a prefix token under two more orders, and if their sizes allow the similarity. The texts of
-candidates are then compared exactly.
+group are candidates if they also share a prefix token under two more orders, and if their sizes and the parities of their tokens allow the
+similarity. The texts of candidates are then compared exactly.
 
 A group doesn't emit its pairs. In each round it compares one pivot with its members that aren't yet in the pivot's component, as a
 link inside a component changes nothing. After a few rounds the pairs left between components of a group are compared one by one,
@@ -21,16 +21,17 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starslice.llm.common import Scratch, TextBatch, add_columns, arrow_batches, mix64, one_text_per_id, pieces, ship
 from starslice.llm.components import components
 
-ROUNDS = 4  # of pivots, before the pairs that are left
-HEAVY = 1000  # a token in more than one of HEAVY documents is ordered after all others
+ROUNDS = 3  # of pivots, before the pairs that are left
+HEAVY = 3000  # a token in more than one of HEAVY documents is ordered after all others
 ORDERS = (31, 32)  # seeds of the further orders
+SEEN_BITS = 1 << 27
 BITS = 256  # of a prefix under a further order
 SEMI_ROWS = 1_000_000  # ids that are broadcast to filter documents; more are joined by a shuffle
 
@@ -59,17 +60,26 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
     serves the order of tokens, which may be any order.
     """
     def local(batches):
-        seen, counts, rows = set(), [], 0
+        # a token's first occurrence only sets a bit, later ones are kept: most tokens have no second one
+        seen, counts, rows, once = set(), [(np.empty(0, np.uint64), np.empty(0, np.int32))], 0, np.zeros(SEEN_BITS // 8, np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 for _, h, doc, at in text_sets(batch.column(0).slice(start, 1000).to_pylist(), size):
                     sums = np.add.reduceat(np.append(h, np.uint64(0)), at[:-1])
                     fresh = np.array([b > a and (int(s), b - a) not in seen and not seen.add((int(s), b - a)) for s, a, b in zip(sums, at[:-1], at[1:])], bool)
                     rows += int(fresh.sum())
-                    counts.append((np.sort(h[fresh[doc]]), None))
-                    counts = [added(counts)]
-        if counts:
-            h, n = counts[0]
+                    own = np.sort(h[fresh[doc]])
+                    bit = own % np.uint64(SEEN_BITS)
+                    at, mask = (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8)
+                    again = (once[at] & mask) > 0
+                    again[1:] |= own[1:] == own[:-1]
+                    np.bitwise_or.at(once, at, mask)
+                    counts.append((own[again], None))
+                    if sum(len(c[0]) for c in counts[1:]) > len(counts[0][0]):
+                        counts = [added(counts)]
+        if rows:
+            h, n = added(counts)
+            n = n + 1
             keep = n > max(1, rows // HEAVY)
             yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
 
@@ -87,11 +97,12 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
 
 
 INDEX = T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
-                      T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
+                      T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
 def index(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
-    """(id, n, f1, f2, bits, prefix): set size, fingerprint, prefixes under the further orders as bits, prefix under the first."""
+    """(id, n, f1, f2, bits, parity, prefix): set size, fingerprint, prefixes under the further orders as bits, parities of the set's
+    tokens in as many bits as the next power of two, prefix under the first order."""
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, size))
 
     def of(texts):
@@ -121,6 +132,11 @@ def index(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
                 rows = first(code)
                 bit = (mix64(code[rows], 99) % np.uint64(BITS)).astype(int)
                 np.bitwise_or.at(bits, (doc[rows], k * BITS // 8 + bit // 8), (1 << (bit % 8)).astype(np.uint8))
+            wide = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+            ends = np.concatenate([[0], np.cumsum(wide)])
+            odd = np.bincount(ends[doc] + (mix64(h, 55) % wide[doc].astype(np.uint64)).astype(np.int64), minlength=ends[-1]) & 1
+            words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+            out["parity"] += [words[a // 64:b // 64] for a, b in zip(ends[:-1], ends[1:])]
             out["n"] += n.tolist()
             out["f1"] += f1.tolist()
             out["f2"] += f2.tolist()
@@ -153,6 +169,18 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.select("token", "id").repartition("token").sortWithinPartitions("token", "id").mapInArrow(shared, "token long, id long")
 
 
+def apart(a: str, b: str) -> Column:
+    """A lower bound of the number of tokens that only one of two sets has: bits in which their parities differ, after the wider
+    one is folded to the other's width."""
+    def folded(x, other):
+        half = F.size(x) / 2
+        halves = F.zip_with(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), halves).otherwise(x)
+
+    x, y = folded(F.col(a), F.col(b)), folded(F.col(b), F.col(a))
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+
+
 TILE = 64  # ids a side of a tile, on average
 
 
@@ -196,37 +224,49 @@ def compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id_col, n_shingles, component_id) for each id of ``docs``. Two texts link at a similarity of ``threshold`` or more."""
+    with arrow_batches(docs.sparkSession, 1000):
+        return _components(docs, id_col, text_col, size, threshold)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     ship(docs.sparkSession)
     t = Fraction(threshold).limit_denominator(1000)
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     plain = one_text_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scratch)
     known = scratch.put("index", index(plain, size, t))
-    classes = scratch.put("classes", known.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits")))
-    reps = classes.select(F.col("rep").alias("id"), "n", "bits")
-    groups = scratch.put("groups", grouped(known.select(F.explode("prefix").alias("token"), "id")).join(reps.select("id"), "id", "left_semi"))
+    classes = scratch.put("classes", known.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("parity").alias("parity")))
+    reps = classes.select(F.col("rep").alias("id"), "n", "bits", "parity")
+    groups = scratch.put("groups", grouped(known.select(F.explode("prefix").alias("token"), "id")).join(reps.select("id", "n"), "id"))
+    scratch.free()
     labels, links, tested = None, None, None
     for k in range(ROUNDS + 1):
         mine = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component") if labels is not None else groups.withColumn("label", F.col("id"))
-        low = mine.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "label")).alias("pivot"))
+        low = mine.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "label", "n")).alias("pivot"))
         open_ = low.filter("l0 <> l1")
-        if k < ROUNDS:
-            pairs = mine.join(open_, "token").filter("label <> pivot.label").select("token", F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-        else:
-            left = mine.join(open_.select("token"), "token", "left_semi")
-            pairs = left.join(left.select("token", F.col("id").alias("id2"), F.col("label").alias("label2")), "token").filter("id < id2 AND label <> label2").select("token", F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.min("token").alias("token"))
+        others = open_.select("token", F.expr("pivot.id AS id2"), F.expr("pivot.label AS label2"), F.expr("pivot.n AS n2"))
+        if k == ROUNDS:
+            mine = mine.join(open_.select("token"), "token", "left_semi")
+            others = mine.select("token", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
+        sizes = F.least("n", "n2") * t.denominator >= F.greatest("n", "n2") * t.numerator
+        pairs = mine.join(others, "token").filter(F.col("label") != F.col("label2")).filter(sizes)
+        if k == ROUNDS:
+            pairs = pairs.filter("id < id2")
+        pairs = pairs.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(F.min("token").alias("token"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        words = len(ORDERS) * BITS // 64
-        half = words // len(ORDERS)
+        half = BITS // 64
         shared = " AND ".join("(" + " OR ".join(f"(ba[{j}] & bb[{j}]) <> 0" for j in range(o * half, (o + 1) * half)) + ")" for o in range(len(ORDERS)))
-        pairs = (pairs.join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-                 .join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-                 .filter(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator).filter(shared).select("a", "b", "token"))
+        for what, fits in (("bits", F.expr(shared)),
+                           # of sets of similarity t, at most a share (1 - t) / (1 + t) of all tokens is in one only
+                           ("parity", apart("pa", "pb") * (t.denominator + t.numerator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator))):
+            for side in "ab":
+                pairs = pairs.join(reps.select(F.col("id").alias(side), *([F.col("n").alias(f"n{side}")] if what == "parity" else []), F.col(what).alias(f"{what[0]}{side}")), side)
+            pairs = pairs.filter(fits).select("a", "b", "token")
         new = compare(pairs, plain, scratch, f"round{k}", size, t, star=k < ROUNDS)
         done = scratch.spark.read.parquet(scratch.paths[f"round{k}_pairs"]).select("a", "b")
         tested = done if tested is None else tested.union(done)
         links = new if links is None else links.union(new)
+        scratch.free()
         if done.limit(1).count() == 0 and k > 0:
             break
         labels = scratch.put(f"labels{k}", components(links, scratch, f"cc{k}"))

@@ -149,16 +149,16 @@ def test_rules_agree_with_labels(spark):
 
 
 def test_classifier_on_held_out_labels(spark):
-    """Trained on a third of the labelled rows, judged on the others."""
+    """Trained with two thirds of the labelled rows, judged on the others."""
     d = "/root/testdata/sf0.1"
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").filter("doc_id < 5000")
-    labels = spark.read.parquet(f"{d}/labels.parquet").filter("doc_id < 5000")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
     model = quality_classifier.fit(docs, labels.filter("doc_id % 3 <> 0"))
     rows = quality_classifier.classify(docs.filter("doc_id % 3 = 0"), model).join(labels, "doc_id").collect()
     clean = [r.keep for r in rows if r.quality == 1 and r.toxic == 0]
     toxic = [not r.keep for r in rows if r.toxic == 1]
     low = [not r.keep for r in rows if r.quality == 0]
-    assert sum(clean) >= 0.95 * len(clean) and sum(toxic) >= 0.85 * len(toxic) and sum(low) >= 0.95 * len(low)
+    assert sum(clean) >= 0.98 * len(clean) and sum(toxic) >= 0.85 * len(toxic) and sum(low) >= 0.95 * len(low)
     assert (model.form_votes.accuracies() > 0.7).all()
 
 
