@@ -49,10 +49,32 @@ def slug(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"[^a-z_]+", "_"), r"^_+|_+$", "")
 
 
+# Named character references that occur in report pages; the ampersand last so that nothing is decoded twice.
+NAMED_REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "\u2013", "mdash": "\u2014", "minus": "\u2212", "lsquo": "\u2018",
+    "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "hellip": "\u2026", "bull": "\u2022", "middot": "\u00b7", "deg": "\u00b0",
+    "frac12": "\u00bd", "times": "\u00d7", "copy": "\u00a9", "reg": "\u00ae", "eacute": "\u00e9", "amp": "&",
+}
+
+
+def _numeric_references(text: Column) -> Column:
+    """``&#8212;`` and ``&#x2014;``; a number that is no character stays as it is."""
+    def decoded(piece: Column, i: Column) -> Column:
+        code = F.coalesce(F.conv(F.nullif(F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10),
+                          F.nullif(F.regexp_extract(piece, r"^([0-9]{1,7});", 1), F.lit(""))).cast("long")
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when((i > 0) & good, F.concat(char, F.regexp_replace(piece, r"^[xX0-9a-fA-F]+;", ""))).when(i > 0, F.concat(F.lit("&#"), piece)).otherwise(piece)
+
+    parts = F.array_join(F.transform(F.split(text, "&#"), decoded), "")
+    return F.when(F.contains(text, F.lit("&#")), parts).otherwise(text)
+
+
 def unescape(text: Column) -> Column:
-    """The basic character references; the ampersand last so that nothing is decoded twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    """Numeric character references and the named ones of ``NAMED_REFERENCES``."""
+    text = _numeric_references(text)
+    for entity, char in NAMED_REFERENCES.items():
+        text = F.replace(text, F.lit(f"&{entity};"), F.lit(char))
     return text
 
 

@@ -42,7 +42,10 @@ FALL_HEADERS = {
     "juvenile hen": "class:juvenile_hen", "juvenile hens": "class:juvenile_hen", "bearded hen": "class:bearded_hen",
     "total": "total", "county total": "total", "public land": "extra:public_land", "crossbow": "extra:crossbow", "": "skip",
 }
-SKIPPED_TITLES = r"top 5|all methods|top \d+ counties|statewide high counties"
+# Titles of tables that repeat others, a list for each species.
+DEER_SKIPPED_TITLES = r"top 5|all methods"
+TURKEY_SKIPPED_TITLES = r"top \d+ counties|statewide high counties"
+SKIPPED_TITLES = {"deer": DEER_SKIPPED_TITLES, "turkey": TURKEY_SKIPPED_TITLES}
 SUMMARY_TITLES = r"season summary|other totals"
 GENERIC_CAPTIONS = ("all counties", "top 5 counties")
 # phrase in a report header, column

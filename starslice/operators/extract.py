@@ -23,12 +23,17 @@ def _element(tag: str) -> Column:
     return F.lit(rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>")
 
 
+def _opened(tag: str, inner: Column) -> Column:
+    """What stands behind each start tag, up to the next one or its end tag: HTML lets the end tags of rows and cells be omitted."""
+    return F.slice(F.split(F.regexp_replace(inner, rf"(?is)</(?:{tag})\s*>.*?(?=<(?:{tag})[\s>]|$)", ""), rf"(?i)<(?:{tag})(?:\s[^>]*)?>"), 2, 1_000_000_000)
+
+
 def html_cells(pages: DataFrame, html: str, table: str = "table", row: str = "tr", cell: str = "t[dh]") -> DataFrame:
     """Markup tables to cells; whitespace collapsed, rows without any text dropped."""
     other = [c for c in pages.columns if c != html]
     tables = pages.select(*other, F.posexplode(F.regexp_extract_all(X.visible_markup(F.col(html)), _element(table))).alias("table_idx", "_t"))
-    rows = tables.select(*other, "table_idx", F.regexp_extract_all("_t", _element(row)).alias("_rows"))
-    texts = F.transform("_rows", lambda r: F.transform(F.regexp_extract_all(r, _element(cell)), lambda c: X.inner_text(c)))
+    rows = tables.select(*other, "table_idx", _opened(row, F.col("_t")).alias("_rows"))
+    texts = F.transform("_rows", lambda r: F.transform(_opened(cell, r), lambda c: X.inner_text(c)))
     kept = F.filter(texts, lambda r: F.exists(r, lambda c: c != ""))
     numbered = rows.select(*other, "table_idx", F.posexplode(kept).alias("row_idx", "_r"))
     return numbered.select(*other, "table_idx", "row_idx", F.posexplode("_r").alias("col_idx", "text"))
@@ -41,7 +46,9 @@ def nearest_heading(pages: DataFrame, html: str, item: str, headings: str = "h2|
     text, and the lookup stays inside the page's row, so no ordering across rows is needed.
     """
     other = [c for c in pages.columns if c != html]
-    pattern = rf"(?is)<(?:{item})(?:\s[^>]*)?>.*?</(?:{item})>|<(?:{headings})(?:\s[^>]*)?>.*?</(?:{headings})>"
+    # a heading ends with its own end tag and never holds an item: one without an end tag is no heading
+    own = "|".join(rf"<{h}(?:\s[^>]*)?>(?:(?!<(?:{item})[\s>]).)*?</{h}\s*>" for h in headings.split("|"))
+    pattern = rf"(?is)<(?:{item})(?:\s[^>]*)?>.*?</(?:{item})>|{own}"
     is_item = lambda e: e.rlike(rf"(?i)^<(?:{item})[\s>]")
     found = pages.select(*other, F.regexp_extract_all(X.visible_markup(F.col(html)), F.lit(pattern), F.lit(0)).alias("_e"))
     usable = F.filter(
@@ -112,6 +119,14 @@ def split_header(cells: DataFrame, labels: tuple[str, ...] = ("county",)) -> tup
     return header, body
 
 
+def header_problems(tables: DataFrame, cells: DataFrame, labels: tuple[str, ...] = ("county",)) -> DataFrame:
+    """(page, table, error): tables without a header row (or without any cell), and rows that stand above it."""
+    first = header_rows(cells, labels).groupBy(*TABLE).agg(F.min("row_idx").alias("_h"))
+    none = tables.select(*TABLE).join(first, TABLE, "left_anti").withColumn("error", F.lit("no header row"))
+    above = cells.join(first, TABLE).filter(F.col("row_idx") < F.col("_h")).select(*TABLE).distinct()
+    return none.unionByName(above.withColumn("error", F.lit("row above the header")))
+
+
 def remap_header(header: DataFrame, present: str, absent: str, role_as: str) -> DataFrame:
     """Read one header as another in tables that have the first but not the second."""
     sets = header.groupBy(*TABLE).agg(F.collect_set("header").alias("_s"))  # as wide as one table
@@ -259,57 +274,95 @@ def header_order(header: Column, phrases: list[tuple[str, str]]) -> Column:
     return F.transform(F.array_sort(F.filter(found, lambda s: s["at"] > 0)), lambda s: s["col"])
 
 
-YEARS_LINE = r"^\s*(\d{4})\s+(\d{4})\s+Change\s+(\d{4})\s+(\d{4})\s+Change\s*$"
-RECORD_LINE = r"^\s*([A-Za-z][A-Za-z\- ]*?)\s+([\d,]+)\s+([\d,]+)\s+([-+<>]*\d*%)\s+([\d,]+)\s+([\d,]+)\s+([-+<>]*\d*%)\s*$"
+def _tokens(line: Column) -> Column:
+    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+
+
+def _is_count(token: Column) -> Column:
+    return token.rlike(r"^[0-9,]+$") & token.rlike("[0-9]")
+
+
+def _is_change(token: Column) -> Column:
+    """A signed or bounded percentage; the number itself may be missing."""
+    return token.endswith("%") & (F.length(F.translate(token, "+-<>0123456789%", "")) == 0)
+
+
+def _years(line: Column) -> Column:
+    """The years of a header of two year pairs, each followed by the word Change; NULL for any other line."""
+    words = _tokens(line)
+    years = F.filter(words, lambda w: w.rlike("^[0-9]{4}$"))
+    marks = F.filter(words, lambda w: w == "Change")
+    in_place = (F.get(words, F.lit(2)) == "Change") & (F.get(words, F.lit(5)) == "Change")
+    return F.when((F.size(words) == 6) & (F.size(years) == 4) & (F.size(marks) == 2) & in_place, years)
+
+
+def _record(line: Column) -> Column:
+    """(label, values) of a line that ends in count count change count count change; NULL for any other line."""
+    words = _tokens(line)
+    n = F.size(words)
+    values = F.slice(words, F.greatest(n - 5, F.lit(1)), 6)
+    label = F.array_join(F.slice(words, 1, F.greatest(n - 6, F.lit(0))), " ")
+    kinds = [_is_change if k in (2, 5) else _is_count for k in range(6)]
+    typed = reduce(lambda a, b: a & b, [is_kind(F.get(values, F.lit(k))) for k, is_kind in enumerate(kinds)])
+    lettered = (F.length(label) > 0) & (F.length(F.translate(F.lower(label), "abcdefghijklmnopqrstuvwxyz- ", "")) == 0) & label.rlike("^[A-Za-z]")
+    return F.when((n > 6) & typed & lettered, F.named_struct(F.lit("label"), label, F.lit("values"), values))
 
 
 def line_records(reports: DataFrame, text: str) -> DataFrame:
     """Two-year record lines of a report: (.., label, season_year, issued, filled), two rows per line.
 
-    The year header of the same report gives the years; a report without one yields NULL years.
+    The year header of the same report gives the years; a report without one yields NULL years. Records are looked for behind the
+    header, or in the whole report where it has none.
     """
     keys = [c for c in reports.columns if c != text]
     lines = F.split(text, "\n")
-    head = F.get(F.filter(lines, lambda ln: ln.rlike(YEARS_LINE)), F.lit(0))
-    rows = reports.select(*keys, head.alias("_h"), F.explode(F.filter(lines, lambda ln: ln.rlike(RECORD_LINE))).alias("_r"))
-    part = lambda g: F.regexp_extract("_r", RECORD_LINE, g)
-    year = lambda g: F.regexp_extract("_h", YEARS_LINE, g).try_cast("int")
-    sides = [
-        F.struct(year(1 + i).alias("season_year"), X.clean_int(part(2 + i)).alias("issued"), X.clean_int(part(5 + i)).alias("filled"))
-        for i in (0, 1)
-    ]
-    return rows.select(*keys, X.collapse(part(1)).alias("label"), F.inline(F.array(*sides)))
+    found = F.filter(F.transform(lines, lambda ln, i: F.named_struct(F.lit("y"), _years(ln), F.lit("i"), i)), lambda h: h["y"].isNotNull())
+    head = reports.select(*keys, F.get(found, F.lit(0)).alias("_h"), F.posexplode(lines).alias("_at", "_line"))
+    rows = head.filter(F.coalesce(F.col("_at") > F.col("_h.i"), F.lit(True))).withColumn("_r", _record(F.col("_line"))).filter("_r IS NOT NULL")
+    value = lambda k: X.clean_int(F.get("_r.values", F.lit(k)))
+    sides = [F.struct(F.get("_h.y", F.lit(i)).cast("int").alias("season_year"), value(i).alias("issued"), value(3 + i).alias("filled")) for i in (0, 1)]
+    return rows.select(*keys, F.col("_r.label").alias("label"), F.inline(F.array(*sides)))
 
 
 def year_header_errors(reports: DataFrame, text: str, year: str) -> DataFrame:
     """Reports whose two year pairs differ or do not end in the report year."""
-    head = F.get(F.filter(F.split(text, "\n"), lambda ln: ln.rlike(YEARS_LINE)), F.lit(0))
-    y = [F.regexp_extract(head, YEARS_LINE, g).try_cast("int") for g in (1, 2, 3, 4)]
+    found = F.filter(F.transform(F.split(text, "\n"), _years), lambda y: y.isNotNull())
+    y = [F.get(F.get(found, F.lit(0)), F.lit(k)).cast("int") for k in range(4)]
     ok = (y[0] == y[2]) & (y[1] == y[3]) & (y[1] == F.col(year)) & (y[0] == F.col(year) - 1)
     return reports.filter(~F.coalesce(ok, F.lit(False)))
 
 
-def hunter_distribution(reports: DataFrame, text: str) -> DataFrame:
-    """(method, total, none, one, two, three_plus) per report; the rows for 3 and 4-or-more are folded."""
+# Fixed value: the heading of the distribution in the reports.
+DISTRIBUTION_HEADING = r"deer\s+harvested\s+number\s+of\s+hunters"
+
+
+def hunter_distribution(reports: DataFrame, text: str, heading: str = DISTRIBUTION_HEADING) -> DataFrame:
+    """(method, total, none, one, two, three_plus) per report; the rows for 3 and 4-or-more are folded.
+
+    The rows are looked for behind the heading of the distribution only; a report without it has no distribution.
+    """
     keys = [c for c in reports.columns if c != text]
     three = r"\s+([\d,]+)\s+([\d,]+)\s+([\d,]+)"
 
-    def grab(pattern: str, group: int) -> Column:
-        return X.clean_int(F.regexp_extract(text, rf"(?im){pattern}{three}\s*$", group))
+    behind = F.regexp_extract(text, rf"(?is){heading}(.*)", 1)
+
+    def grab(pattern: str, group: int, where: Column | str = behind) -> Column:
+        return X.clean_int(F.nullif(F.regexp_extract(where, rf"(?im){pattern}{three}\s*$", group), F.lit("")))
 
     methods = [
         F.struct(
-            F.lit(m).alias("method"), grab(r"total\s+hunters", g).alias("total"), grab("^0", g).alias("none"), grab("^1", g).alias("one"),
+            F.lit(m).alias("method"), grab(r"total\s+hunters", g, text).alias("total"), grab("^0", g).alias("none"), grab("^1", g).alias("one"),
             grab("^2", g).alias("two"), (grab("^3", g) + grab("^4 or more", g)).alias("three_plus"),
         )
         for g, m in ((1, "archery"), (2, "firearms"), (3, "combined"))
     ]
-    return reports.select(*keys, F.inline(F.array(*methods)))
+    return reports.filter(F.col(text).rlike(rf"(?i){heading}")).select(*keys, F.inline(F.array(*methods)))
 
 
 # -- shared links -----------------------------------------------------------------------------
 def filter_links(links: DataFrame, url: str, species: dict[str, tuple[int, int]], default: str, seasons: tuple[str, ...],
-                 methods: tuple[str, ...], entity_pattern: str = r"^\d{5}$") -> DataFrame:
+                 methods: tuple[str, ...], entity_pattern: str = r"^\d{5}$", region_chars: int | None = None,
+                 most_entities: int | None = None) -> DataFrame:
     """Query strings of shared links to validated slices: bad values fall back, years are clamped."""
     query = F.parse_url(F.col(url), F.lit("QUERY"))
     q = F.str_to_map(F.coalesce(query, F.lit("")), F.lit("&"), F.lit("="))
@@ -326,12 +379,12 @@ def filter_links(links: DataFrame, url: str, species: dict[str, tuple[int, int]]
     df = links.withColumn("_q", q).withColumn("species", sp)
     df = df.withColumn("year_to", F.greatest(F.least(F.coalesce(bound(F.get(span, F.lit(1))), hi), hi), lo))
     df = df.withColumn("year_from", F.greatest(F.least(F.coalesce(bound(F.get(span, F.lit(0))), lo), F.col("year_to")), lo))
-    picked = number(get("yr"))
+    picked, entities = number(get("yr")), words(get("co"), entity_pattern)
     return df.select(
         *links.columns, "species", "year_from", "year_to",
         F.when(picked.between(F.col("year_from"), F.col("year_to")), picked).otherwise(F.col("year_to")).alias("year"),
         one_of(get("s"), seasons).alias("season"), words(get("p"), r"^[a-z_]+$").alias("portions"),
         one_of(get("m"), methods).alias("method"), one_of(get("yo"), ("y", "n")).alias("youth"),
-        words(get("c"), r"^[a-z_]+$").alias("classes"), F.substring(get("r"), 1, 40).alias("region"),
-        F.slice(words(get("co"), entity_pattern), 1, 5).alias("entities"),
+        words(get("c"), r"^[a-z_]+$").alias("classes"), (F.substring(get("r"), 1, region_chars) if region_chars else get("r")).alias("region"),
+        (F.slice(entities, 1, most_entities) if most_entities else entities).alias("entities"),
     )

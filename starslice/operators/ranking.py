@@ -1,7 +1,7 @@
 """Ranks, exact order statistics, argmax and top-k.
 
-Two physical forms give the same answer. When the group size is known to be small (the
-dimension was counted) a window orders each group. Otherwise equal values are collapsed
+Two physical forms give the same answer, and the caller chooses. With ``bounded`` (the dimension is
+declared a closed list) a window orders each group. Otherwise equal values are collapsed
 first, the distinct values are range-partitioned, and a running total over the partitions
 turns a position inside a partition into a global one, so no task holds a whole group.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starslice.runtime import settle, shared_dir
+from starslice.runtime import settle
 
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -28,9 +28,6 @@ def running_counts(df: DataFrame, by: list[str], value: str, descending: bool =
 
 def _ranged_prefix_sum(rows: DataFrame, by: list[str], order: list[Column], weight: str, name: str) -> DataFrame:
     """Sum of ``weight`` over the rows of the same group that sort in front; ``order`` must be unique per group."""
-    spark = rows.sparkSession
-    if shared_dir(spark) is None:
-        raise RuntimeError("ranking unbounded groups needs spark.checkpoint.dir: partition ids must be written once")
     keys = [F.col(c).asc() for c in by] + order
     placed = settle(
         rows.repartitionByRange(*keys).withColumn("_bucket", F.spark_partition_id()), "placed"

@@ -30,7 +30,7 @@ class Build:
 
 def build_fact(pages: DataFrame, aliases: DataFrame, rules: list[tuple] = V.DEER_TITLE_RULES, headers: dict[str, str] = V.DEER_HEADERS,
                season_of: str | None = "fall", caption_titles: bool = True, remaps: tuple[tuple[str, str, str], ...] = (),
-               cell_pins: DataFrame | None = None, swap_pins: DataFrame | None = None) -> Build:
+               cell_pins: DataFrame | None = None, swap_pins: DataFrame | None = None, skip_titles: str = V.DEER_SKIPPED_TITLES) -> Build:
     """``pages`` has page_id, species, season_year, source_url, html; ``aliases`` has alias, entity.
 
     ``season_of`` is the season of every portion, or None when the first word of the portion names it.
@@ -45,7 +45,7 @@ def build_fact(pages: DataFrame, aliases: DataFrame, rules: list[tuple] = V.DEER
     name = E.table_title(caption, heading, V.GENERIC_CAPTIONS) if caption_titles else heading
     label = name if caption_titles else E.with_date_range(heading, caption)
     titled = E.html_tables(doc, "html").select(*T, F.concat_ws(" ", name, caption).alias("title"), name.alias("name"), label.alias("label"))
-    kept, skipped = E.skip_titles(titled, V.SKIPPED_TITLES)
+    kept, skipped = E.skip_titles(titled, skip_titles)
     skipped = skipped.select(*T, F.col("name").alias("title"))
     kept = kept.filter(~F.lower(F.coalesce("name", F.lit(""))).rlike(V.SUMMARY_TITLES))
     kept = settle(kept.withColumn("rule", E.first_match(F.col("name"), rules)), "tables")
@@ -60,7 +60,10 @@ def build_fact(pages: DataFrame, aliases: DataFrame, rules: list[tuple] = V.DEER
     rows = E.parsed_rows(body, roles)
     data, totals, twice = E.split_totals(rows)
     data = E.resolve(data, "label", aliases).join(known.select(*T, "portion"), T)
+    stale = None
     if cell_pins is not None:
+        stale = Q.stale_pins(data, cell_pins, ["page_id", "portion", "entity", "role"], "value")
+        stale = stale.select("page_id", F.lit(None).cast("int").alias("table_idx"), F.concat(F.lit("stale pin: "), F.col("portion"), F.lit(" "), F.col("role")).alias("error"))
         data = Q.apply_cell_pins(data, cell_pins, ["page_id", "portion", "entity", "role"], "value").drop("pinned")
     if swap_pins is not None:
         data = Q.swap_classes(data, swap_pins, ["page_id", "portion"], "role")
@@ -79,8 +82,9 @@ def build_fact(pages: DataFrame, aliases: DataFrame, rules: list[tuple] = V.DEER
     )
     across = say(per_row.filter(~F.col("classes").eqNullSafe(F.col("total"))), F.lit("row sum differs: "), F.col("label"))
     repeated = say(Q.duplicate_keys(data.filter("role = 'total'"), [*T, "entity"]), F.lit("repeated entity "), F.col("entity").cast("string"))
+    headless = E.header_problems(known, cells)
     violations = settle(
-        header_errors.unionByName(twice).unionByName(widths).unionByName(rejects).unionByName(unknown).unionByName(columns)
+        headless.unionByName(header_errors).unionByName(twice).unionByName(widths).unionByName(rejects).unionByName(unknown).unionByName(columns)
         .unionByName(across).unionByName(repeated), "violations",
     )
 
@@ -100,6 +104,16 @@ def build_fact(pages: DataFrame, aliases: DataFrame, rules: list[tuple] = V.DEER
         "page_id", F.lit(None).cast("int").alias("table_idx"), F.lit("portions do not add up to the grand total").alias("error")
     )
 
+    # a second valid table of a portion must print the same cells
+    valid = known.join(placed.select(*T).distinct(), T, "left_anti").select(*T, "portion")
+    cell = data.join(valid.select(*T), T).filter(F.col("value") != 0).groupBy("page_id", "portion", "entity", "role").agg(
+        F.count_distinct("table_idx").alias("tables"), F.count_distinct("value").alias("values"))
+    several = valid.groupBy("page_id", "portion").agg(F.count("*").alias("n")).filter("n > 1")
+    apart = cell.join(several, ["page_id", "portion"]).filter("tables <> n OR values <> 1").select("page_id", "portion").distinct()
+    apart = apart.select("page_id", F.lit(None).cast("int").alias("table_idx"), F.concat(F.lit("valid tables disagree: "), F.col("portion")).alias("error"))
+    collide = E.alias_collisions(aliases, "entity").select(
+        F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("int").alias("table_idx"), F.concat(F.lit("alias names several entities: "), F.col("alias")).alias("error"))
+
     season = F.lit(season_of) if season_of else F.split("portion", "_")[0]
     long = data.join(chosen.drop("portion"), T).join(meta, "page_id").withColumn("season", season)
     fact = long.filter(is_class).select(
@@ -109,4 +123,6 @@ def build_fact(pages: DataFrame, aliases: DataFrame, rules: list[tuple] = V.DEER
     extras = long.filter(F.col("role").startswith("extra:")).select(
         "species", "season_year", "portion", "entity", F.substring_index("role", ":", -1).alias("name"), "value"
     )
-    return Build(fact, extras, unclassified.unionByName(hopeless).unionByName(grand), harmless, skipped)
+    errors = unclassified.unionByName(hopeless).unionByName(grand).unionByName(apart).unionByName(collide)
+    errors = errors if stale is None else errors.unionByName(stale)
+    return Build(fact, extras, errors, harmless, skipped)

@@ -1,7 +1,9 @@
-"""Session helpers: the shared folder, written intermediate tables and size checks."""
+"""Session helpers: the shared folder and written intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -9,12 +11,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows that may be ordered inside one window partition. Above it
-# ``operators.ranking`` switches to range-partitioned ranking.
-WINDOW_ROWS = 200_000
-_local_dir: list[str] = []
-
-
 def local_session(cores: str = "8", partitions: int = 8, app: str = "starslice") -> SparkSession:
     """Session for tests and the bench; a cluster job brings its own session."""
     spark = (
@@ -30,38 +26,37 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "starslice")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+    shared_dir(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """Folder for written intermediates: ``spark.checkpoint.dir`` where the cluster names one.
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for written intermediates: what the session names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session falls back to a temporary folder, because a cluster's
-    executors cannot see the driver's disk.
+    A local session that names none gets a folder of its own, set in the session and deleted with the process. On a cluster the
+    setting is required, because executors cannot see the driver's disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        if not _local_dir:
-            _local_dir.append(tempfile.mkdtemp(prefix="starslice-"))
-        return _local_dir[0]
-    return None
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="starslice-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it.
 
     Used where a plan needs the same (aggregated) rows several times: the input is then
-    scanned once, and a lost executor costs a re-read instead of a recomputation. Without
-    a shared folder the frame is returned as it is, with its full lineage.
+    scanned once, and a lost executor costs a re-read instead of a recomputation.
     """
     spark = df.sparkSession
-    root = shared_dir(spark)
-    if root is None:
-        return df
-    path = f"{root}/starslice/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/starslice/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,11 +77,6 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def fits(df: DataFrame, limit: int = WINDOW_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; stops counting after ``limit + 1``."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def ratio(num, den):
     """num / den where den > 0, else NULL (never NaN or infinity)."""
     n, d = (F.col(c) if isinstance(c, str) else c for c in (num, den))

@@ -161,7 +161,7 @@ def samples(spark, sf_dir) -> DataFrame:
 def star(spark, sf_dir, species: str = "O", side: tuple[str, ...] = ()) -> Star:
     """The lazy star of one species (all species for ""), with the side tables that are asked for."""
     make = {"attrs": attributes, "effort": effort}
-    full = Star(fact(spark, sf_dir), dim(spark, sf_dir), **{k: make[k](spark, sf_dir) for k in side})
+    full = Star(fact(spark, sf_dir), dim(spark, sf_dir), small=True, **{k: make[k](spark, sf_dir) for k in side})  # nations: a closed list
     return full.only(species) if species else full
 
 
@@ -181,5 +181,5 @@ def settled(spark, sf_dir, *parts: str, species: str = "O") -> Star:
         done |= settle_all({"fact": fact(spark, sf_dir, base)})
     return Star(
         done.get("fact", fact(spark, sf_dir, base)), done.get("dim", dim(spark, sf_dir)), attributes(spark, sf_dir, base),
-        done.get("effort"), written=("fact", *done),  # the fact is at most one small aggregate away from the written cells
+        done.get("effort"), written=("fact", *done), small=True,  # the fact is at most one small aggregate away from the written cells
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starslice.operators.quality import GateClosed, gate
-from starslice.runtime import fits
 
 FACT_SCHEMA = T.StructType([
     T.StructField("species", T.StringType()), T.StructField("season_year", T.ShortType()), T.StructField("season", T.StringType()),
@@ -45,11 +44,9 @@ def publish(df: DataFrame, path: str, checks: dict[str, DataFrame]) -> None:
 def pivot_series(fact: DataFrame, dim: DataFrame) -> DataFrame:
     """(species, season_year, portion, class, counts): one dense array per series in entity order.
 
-    The array is as long as the dimension. Entities are numbered by their sorted position, zeros
+    The array is as long as the dimension, which must be a closed list; ``write_fact`` publishes the long form of any other. Entities are numbered by their sorted position, zeros
     are explicit, and only cells with rows are shuffled: a map is looked up per position.
     """
-    if not fits(dim):
-        raise ValueError("a dense array needs a bounded dimension; publish the long form with write_fact")
     order = dim.agg(F.sort_array(F.collect_set("entity"))).scalar()
     cells = fact.groupBy("species", "season_year", "portion", "class").agg(
         F.map_from_entries(F.collect_list(F.struct("entity", "cnt"))).alias("m")
@@ -113,8 +110,6 @@ def write_lines(df: DataFrame, path: str, *order: str) -> None:
 
 def write_envelope(df: DataFrame, path: str, field: str, order: list[str], **header: str) -> None:
     """One JSON document with a header and a sorted row list; only for tables that fit in one value."""
-    if not fits(df):
-        raise ValueError("too many rows for one document; use write_lines")
     keyed = F.struct(*order, *[c for c in df.columns if c not in order])
     rows = df.agg(F.sort_array(F.collect_list(keyed)).alias(field))
     head = [F.lit(v).alias(k) for k, v in header.items()]

@@ -11,13 +11,12 @@ Canonical columns
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starslice.plans.spec import SliceSpec
-from starslice.runtime import fits, settle, settle_all
+from starslice.runtime import settle, settle_all
 
 
 @dataclass(frozen=True)
@@ -27,6 +26,9 @@ class Star:
     attrs: DataFrame | None = None
     effort: DataFrame | None = None
     written: tuple[str, ...] = ()  # parts that are scans of settled tables
+    # declared by the caller: True if the dimension is a closed list (as counties are), so that a window may order a period;
+    # otherwise ranks and order statistics use range partitions. No size is probed.
+    small: bool = False
 
     @staticmethod
     def of(fact: DataFrame, dim: DataFrame, names: dict[str, str] | None = None, **side) -> Star:
@@ -46,11 +48,6 @@ class Star:
         done = settle_all({p: getattr(self, p) for p in parts if getattr(self, p) is not None})
         return replace(self, **done, written=self.written + tuple(done))
 
-    @cached_property
-    def small(self) -> bool:
-        """Whether one window partition may hold every entity of a period."""
-        return fits(self.dim.select("entity"))
-
     # -- one-row values, used as scalar subqueries ------------------------------------
     def partial_years(self) -> DataFrame:
         """Periods without autumn rows, provided autumn rows exist at all."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starslice.operators import geo as G
-from starslice.runtime import WINDOW_ROWS
 from starslice.sources import driver_tables as D
 from starslice.streaming import rollup as SR
 from starslice.workload.registry import query
@@ -88,8 +87,7 @@ CLIP = """t AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM e WHERE x2 IS NOT NU
   SELECT geom, part, ring, seq, round(x1 + t0 * dx, 5) AS cx1, round(y1 + t0 * dy, 5) AS cy1, round(x1 + t1 * dx, 5) AS cx2, round(y1 + t1 * dy, 5) AS cy2, CAST(sum(brk) OVER (PARTITION BY geom, ring ORDER BY seq) - 1 AS INT) AS run FROM n""")
 def segment_clip(s, d):
     v = vertices(s, d)
-    short = v.filter(F.col("seq") >= WINDOW_ROWS).limit(1).count() == 0  # no line is longer than one window may hold
-    out = G.segment_clip(v, (20.005, 10.0025, 60.005, 30.0025), bounded=short)
+    out = G.segment_clip(v, (20.005, 10.0025, 60.005, 30.0025))
     return out.select("geom", "part", "ring", "seq", *[F.round(c, 5).alias(c) for c in ("cx1", "cy1", "cx2", "cy2")], "run")
 
 
@@ -158,13 +156,21 @@ def albers_project(s, d):
     return out.withColumns({"x": F.round("x", 7), "y": F.round("y", 7)})
 
 
-@query("albers_inverse", f"WITH {LONLAT} SELECT geom, round(lon, 7) AS lon, round(lat, 7) AS lat FROM ll")
+@query("albers_inverse", f"""WITH RECURSIVE {LONLAT}, g AS (SELECT geom, round((lon + 96.0) * 90000.0) AS x, round((lat - 23.0) * 110000.0) AS y FROM ll),
+  e AS (SELECT 6378137.0::DOUBLE AS a, (2 / 298.257222101::DOUBLE - 1 / pow(298.257222101::DOUBLE, 2)) AS e2), c AS (SELECT a, e2, sqrt(e2) AS e FROM e),
+  s AS (SELECT i, sin(radians(p)) AS s FROM (VALUES (1, 29.5::DOUBLE), (2, 45.5), (0, 23.0)) v(i, p)),
+  q AS (SELECT i, (1 - s * s) / (1 - e2 * s * s) AS m2, (1 - e2) * (s / (1 - e2 * s * s) + atanh(e * s) / e) AS q FROM s, c),
+  k AS (SELECT (a.m2 - b.m2) / (b.q - a.q) AS n, a.m2 + (a.m2 - b.m2) / (b.q - a.q) * a.q AS cc, o.q AS q0 FROM q a, q b, q o WHERE a.i = 1 AND b.i = 2 AND o.i = 0),
+  t AS (SELECT geom, x, y, n, (cc - (x * x / (a * a) + pow(sqrt(cc - n * q0) / n - y / a, 2)) * n * n) / n AS q, degrees(atan2(x / a, sqrt(cc - n * q0) / n - y / a) / n) - 96 AS lon, e, e2 FROM g, k, c),
+  b AS (SELECT geom, x, y, q, lon, e, e2, 0::DOUBLE AS lo, 1.5::DOUBLE AS hi, 0 AS step FROM t
+    UNION ALL SELECT geom, x, y, q, lon, e, e2, CASE WHEN v < q THEN m ELSE lo END, CASE WHEN v < q THEN hi ELSE m END, step + 1
+      FROM (SELECT *, (1 - e2) * (sin(m) / (1 - e2 * sin(m) * sin(m)) + atanh(e * sin(m)) / e) AS v FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE step < 45)))
+  SELECT geom, x, y, round(lon, 6) AS lon, round(degrees((lo + hi) / 2), 4) AS lat FROM b WHERE step = 45""")
 def albers_inverse(s, d):
-    # projected coordinates come from the closed forward form, so the inverse must return the input
-    conic = G.EllipsoidalAlbers(29.5, 45.5, 23.0, -96.0)
-    x, y = conic.forward(F.col("lon"), F.col("lat"))
-    lon, lat = conic.inverse(F.col("x"), F.col("y"))
-    return lonlat(s, d).select("geom", x.alias("x"), y.alias("y")).select("geom", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+    # planar points on a grid of metres; the twin solves for the latitude by bisection on the exact area formula
+    lon, lat = G.ConicFrame(29.5, 45.5, (-96.0, 23.0)).locate(F.col("x"), F.col("y"))
+    grid = lonlat(s, d).select("geom", (F.round((F.col("lon") + 96.0) * 90000.0)).alias("x"), F.round((F.col("lat") - 23.0) * 110000.0).alias("y"))
+    return grid.select("geom", "x", "y", F.round(lon, 6).alias("lon"), F.round(lat, 4).alias("lat"))
 
 
 @query("point_in_polygon", """WITH p AS (SELECT c_custkey, CAST(((c_custkey * 7919) % 5003) / 1000.7 AS DOUBLE) AS x, CAST(((c_custkey * 104729) % 5003) / 1000.9 AS DOUBLE) AS y FROM customer),

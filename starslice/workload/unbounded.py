@@ -33,9 +33,7 @@ def customer_star(s, d) -> Star:
         F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("region"),
         F.col("c_acctbal").alias("area"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"),
     )
-    star = Star(fact, dim)
-    star.__dict__["small"] = False  # take the large form whatever the scale factor
-    return star
+    return Star(fact, dim)
 
 
 def series(s, d):
@@ -43,9 +41,9 @@ def series(s, d):
 
 
 @query("leaderboard_unbounded", f"""{CUST}, b AS (SELECT *, lag(rank) OVER (PARTITION BY entity ORDER BY season_year) AS pr, array_to_string(list(v) OVER (PARTITION BY entity ORDER BY season_year ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), ',') AS spark FROM cr)
-  SELECT entity, name, region, CAST(v AS DOUBLE) AS value, rank, CAST(pr - rank AS INT) AS delta, spark, round(v / CAST((SELECT sum(v) FROM cs WHERE season_year = 2000) AS DOUBLE), 8) AS share FROM b WHERE season_year = 2000 ORDER BY rank NULLS LAST, entity LIMIT 100""", "lines")
+  SELECT entity, name, region, CAST(v AS DOUBLE) AS value, rank, CAST(pr - rank AS INT) AS delta, spark, round(v / CAST((SELECT sum(v) FROM cs WHERE season_year = 2000) AS DOUBLE), 8) AS share FROM b WHERE season_year = 2000""", "lines")
 def leaderboard_unbounded(s, d):
-    out = R.leaderboard(customer_star(s, d), O, 2000, "count", limit=100)
+    out = R.leaderboard(customer_star(s, d), O, 2000, "count")
     return out.drop("value2").withColumns({"share": F.round("share", 8), "spark": F.array_join(F.col("spark").cast("array<string>"), ",")})
 
 

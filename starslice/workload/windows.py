@@ -236,5 +236,4 @@ def default_pair(s, d):
 def portions_ranked(s, d):
     rows = O.patch(year_from=1999, year_to=1999).apply(D.fact(s, d))
     per = rows.groupBy("portion").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0")
-    # one row per portion: a short closed vocabulary
-    return K.numbered(per, 100, F.desc("cnt"), "portion")
+    return K.ordinal_rank(per, [], "cnt", "portion", name="pos")

@@ -100,11 +100,50 @@ def test_turkey_page(spark, aliases):
     html = "<h3>Fall Turkey Firearm</h3>" + table(lines, "10/1/2021-10/31/2021") + "<h3>Fall Turkey Firearm</h3>" + table(lines, "Top 10 counties")
     raw = spark.createDataFrame([(7, "turkey", 2021, "src", html)], "page_id int, species string, season_year int, source_url string, html string")
     pins = spark.createDataFrame([(7, "fall_firearms", "class:adult_gobbler", "class:adult_hen")], "page_id int, portion string, class_a string, class_b string")
-    b = build_fact(raw, aliases, V.TURKEY_TITLE_RULES, V.FALL_HEADERS, None, False, (("bearded hen", "adult hen", "adult hen"),), swap_pins=pins)
+    b = build_fact(raw, aliases, V.TURKEY_TITLE_RULES, V.FALL_HEADERS, None, False, (("bearded hen", "adult hen", "adult hen"),), swap_pins=pins, skip_titles=V.TURKEY_SKIPPED_TITLES)
     assert b.errors.count() == 0 and b.skipped.count() == 1
     got = {r["class"]: (r.cnt, r.season, r.portion_label) for r in b.fact.collect()}
     label = "Fall Turkey Firearm (10/1/2021-10/31/2021)"
     assert got == {"adult_gobbler": (5, "fall", label), "adult_hen": (70, "fall", label)}
     assert rows(b.attributes.select("entity", "name", "value")) == [("29001", "public_land", 9)]
-    unpinned = build_fact(raw, aliases, V.TURKEY_TITLE_RULES, V.FALL_HEADERS, None, False, (("bearded hen", "adult hen", "adult hen"),))
+    unpinned = build_fact(raw, aliases, V.TURKEY_TITLE_RULES, V.FALL_HEADERS, None, False, (("bearded hen", "adult hen", "adult hen"),), skip_titles=V.TURKEY_SKIPPED_TITLES)
     assert unpinned.errors.count() == 2
+
+
+def errors_of(spark, aliases, html, **options):
+    return {r.error for r in build_fact(pages(spark, html), aliases, **options).errors.collect()}
+
+
+def test_headerless_tables_and_rows_above_the_header_are_errors(spark, aliases):
+    assert "no header row" in errors_of(spark, aliases, "<h3>Archery</h3>" + table(ARCHERY[1:]))
+    b = build_fact(pages(spark, "<h3>Archery</h3>" + table(ARCHERY[1:]) + "<h3>Archery</h3>" + table(ARCHERY)), aliases)
+    assert one(b.fact.agg(F.sum("cnt"))) == 13 and {r.error for r in b.warnings.collect()} == {"no header row"}
+    assert "row above the header" in errors_of(spark, aliases, "<h3>Archery</h3>" + table([["Adair", "9", "9", "9", "27"], *ARCHERY]))
+
+
+def test_omitted_end_tags(spark, aliases):
+    body = "".join("<tr>" + "".join(f"<td>{c}" for c in line) for line in ARCHERY)
+    b = build_fact(pages(spark, f"<h3>Archery</h3><table>{body}</table>"), aliases)
+    assert b.errors.count() == 0 and one(b.fact.agg(F.sum("cnt"))) == 13
+
+
+def test_unclosed_heading_does_not_move_titles(spark, aliases):
+    html = "<h3>Archery</h3><strong>note " + table(ARCHERY) + "<h3>November Firearms</h3>" + table(NOVEMBER) + "<strong>end</strong>"
+    b = build_fact(pages(spark, html), aliases)
+    assert {r.portion: r.n for r in b.fact.groupBy("portion").agg(F.sum("cnt").alias("n")).collect()} == {"archery": 13, "november": 1002}
+
+
+def test_disagreeing_tables_stale_pins_and_collisions(spark, aliases):
+    other = [HEAD, ["Adair", "4", "2", "4", "10"], ["Mcdonald", "2", "-", "1", "3"], ["Total", "6", "2", "5", "13"]]
+    assert errors_of(spark, aliases, "<h3>Archery</h3>" + table(ARCHERY) + "<h3>Archery</h3>" + table(other)) == {"valid tables disagree: archery"}
+    assert errors_of(spark, aliases, "<h3>Archery</h3>" + table(ARCHERY) + "<h3>Archery</h3>" + table(ARCHERY)) == set()
+    pins = spark.createDataFrame([(1, "archery", "29001", "class:doe", 99, 4)], "page_id int, portion string, entity string, role string, printed long, fixed long")
+    assert errors_of(spark, aliases, "<h3>Archery</h3>" + table(ARCHERY), cell_pins=pins) == {"stale pin: archery class:doe"}
+    twice = aliases.union(spark.createDataFrame([("adair", "29003")], "alias string, entity string"))
+    assert "alias names several entities: adair" in errors_of(spark, twice, "<h3>Archery</h3>" + table(ARCHERY))
+
+
+def test_character_references(spark, aliases):
+    dashes = [HEAD, ["Adair", "5", "1", "4", "10"], ["Mc&#68;onald", "2", "&mdash;", "1", "3"], ["Total", "7", "1", "5", "1&#x33;"]]
+    b = build_fact(pages(spark, "<h3>Archery</h3>" + table(dashes)), aliases)
+    assert b.errors.count() == 0 and one(b.fact.agg(F.sum("cnt"))) == 13
