@@ -23,13 +23,13 @@ def norm_sql(e: str) -> str:
     return f"regexp_replace(trim(regexp_replace(regexp_replace({e}, '[^a-z ]', ' ', 'g'), '\\s+', ' ', 'g')), ' county$', '')"
 
 
-@query("page_scan", r"""SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '/([a-z]{2})/(\d+)', 1) AS lang, count(*) AS pages, CAST(max(CAST(regexp_extract(url, '/([a-z]{2})/(\d+)', 2) AS INT)) AS INT) AS last
-  FROM pages WHERE regexp_matches(url, '/[a-z]{2}/\d+') GROUP BY 1, 2""")
+@query("page_scan", r"""SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '/([a-z]{2})/(\d+)', 1) AS lang, count(*) AS pages,
+  CAST(max(TRY_CAST(regexp_extract(url, '/([a-z]{2})/(\d+)', 2) AS INT)) AS INT) AS last, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1, 2""")
 def page_scan(s, d):
-    pages = D.table(s, d, "pages").select("url").filter(F.col("url").rlike(r"/[a-z]{2}/\d+"))
+    """Every page by the keys in its address; a page without them is in the group of the empty key."""
     part = lambda g: F.regexp_extract("url", r"/([a-z]{2})/(\d+)", g)
-    return pages.groupBy(F.parse_url("url", F.lit("HOST")).alias("host"), part(1).alias("lang")).agg(
-        F.count("*").alias("pages"), F.max(part(2).cast("int")).alias("last")
+    return D.table(s, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), part(1).alias("lang")).agg(
+        F.count("*").alias("pages"), F.max(part(2).try_cast("int")).alias("last"), F.sum(F.length("html")).alias("chars")
     )
 
 
