@@ -66,7 +66,7 @@ class Features:
     def of_each(self) -> list[np.ndarray]:
         """Distinct stem buckets of each text."""
         keys = np.unique(self.doc * BUCKETS + self.bucket)
-        return np.split(keys % BUCKETS, np.searchsorted(keys, np.arange(1, self.n) * BUCKETS))
+        return np.split((keys % BUCKETS).astype(np.int32), np.searchsorted(keys, np.arange(1, self.n) * BUCKETS))
 
     def words_of_each(self) -> list[np.ndarray]:
         """Distinct word hashes (signed) of each text."""
@@ -117,22 +117,26 @@ def train_scorer(rows: list[np.ndarray], target: np.ndarray, penalty: float = 4e
     if not rows:
         return Scorer(np.empty(0, np.int64), np.empty(0), 5.0)
     target = np.asarray(target, float)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at, column = np.unique(np.concatenate(rows), return_inverse=True)
-    seen = np.bincount(column, minlength=len(at))
+    bucket = np.concatenate(rows).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    seen = np.bincount(bucket, minlength=BUCKETS)
     often = seen >= 3  # one or two documents say nothing about others
-    keep = often[column]
-    at, row, column = at[often], row[keep], (np.cumsum(often) - 1)[column[keep]]
+    keep, at = often[bucket], np.flatnonzero(often)
+    row, column = row[keep], (np.cumsum(often, dtype=np.int32) - 1)[bucket[keep]]
     scale = 1 / np.sqrt(np.maximum(1, seen[often] / len(rows) * 50))  # common features step less
+    del bucket, keep
     bias = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     w = y = np.zeros(len(at))
     t, n, step = 1.0, len(rows), 0.5
+    parts = [slice(k, k + 1_000_000) for k in range(0, max(1, len(row)), 1_000_000)]  # bounds the working memory
     last = np.inf
     for _ in range(rounds):
-        z = bias + np.bincount(row, (scale * y)[column], n)
+        step_of, z = scale * y, np.full(n, bias)
+        for part in parts:
+            z += np.bincount(row[part], step_of[column[part]], n)
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         gap = p - target
-        gradient = scale * np.bincount(column, gap[row], len(at)) / n
+        gradient = scale * sum(np.bincount(column[part], gap[row[part]], len(at)) for part in parts) / n
         loss = float(np.mean(np.logaddexp(0, z) - target * z))
         if loss > last + 1e-3:
             step, t, y = step / 2, 1.0, w
@@ -178,9 +182,11 @@ def mine(terms: list[np.ndarray], labels: list[int | None], odds: float = 6.0) -
     if not known:
         return np.empty(0, np.int64)
     bad = np.array([labels[k] != 0 for k in known])
-    every, which = np.unique(np.concatenate([terms[k] for k in known]), return_inverse=True)
-    of_bad = np.repeat(bad, [len(terms[k]) for k in known])
-    a, b = np.bincount(which[of_bad], minlength=len(every)), np.bincount(which[~of_bad], minlength=len(every))
+    of_bad, of_good = (np.concatenate([np.empty(0, terms[0].dtype), *[terms[k] for k, x in zip(known, bad) if x == side]]) for side in (True, False))
+    every, a = np.unique(of_bad, return_counts=True)  # only terms of uncivil documents can be tied to them
+    where = np.minimum(np.searchsorted(every, of_good), max(0, len(every) - 1))
+    b = np.bincount(where[every[where] == of_good] if len(every) else where[:0], minlength=len(every))
+    del of_bad, of_good, where
     share = bad.mean()
     if not 0 < share < 1:
         return np.empty(0, np.int64)
@@ -218,13 +224,13 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
                 out[k] += x
         return out
 
-    longs = T.ArrayType(T.LongType())
-    kinds = T.StructType([T.StructField("f", longs), T.StructField("w", longs), T.StructField("b", longs), T.StructField("v", longs)])
+    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    kinds = T.StructType([T.StructField("f", ints), T.StructField("w", longs), T.StructField("b", ints), T.StructField("v", ints)])
     chosen = add_columns(sample_of(docs, labels, id_col, text_col, sample), ["_text"], kinds, features).select("_id", "_label", "_text", "f", "w", "b", "v")
-    learn = chosen.drop("_text").toArrow().sort_by("_id")
-    marks = learn.column("_label").to_pylist()
+    learn = chosen.drop("_text").toArrow()
+    order, marks = np.argsort(learn.column("_id").to_numpy()), learn.column("_label").to_pylist()
     rows, words, forms, form_of = ([np.asarray(x.values) for x in learn.column(k)] for k in "fwbv")
-    keep = one_of_each(words)
+    keep = [order[k] for k in one_of_each([words[k] for k in order])]
     marks, rows, words, forms, form_of = ([x[k] for k in keep] for x in (marks, rows, words, forms, form_of))
     mined = Mined(mine(words, marks), mine(rows, marks))
     civil_of = np.full((len(rows), CIVIL), -1)
@@ -234,6 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
                        -1 if not len(mined.words) else 0 if np.isin(own, mined.words).any() else 1, -1 if mark is None else int(mark == 0)]
     form_of = np.array(form_of, int).reshape(-1, FORM_LABELLERS)
     del learn, words
+    rows = [r.copy() for r in rows]  # lets go of the gathered table
     known = spark.sparkContext.broadcast(mined)
 
     def vote(texts):
