@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starslice.llm.anchors import GRAM, anchors
+from starslice.llm.anchors import GRAM, anchors, extents
 from starslice.llm.common import Scratch, TextBatch, add_columns, mix64, one_text_per_id, pieces, ship
 from starslice.llm.ngram_jaccard import grouped
 
@@ -79,14 +79,15 @@ def equal_strings(group: np.ndarray, rows: np.ndarray) -> np.ndarray:
         head[1:] = (first[1:] != first[:-1]) | (at[1:] != at[:-1]) | (byte[1:] != byte[:-1])
 
 
-def surroundings(batch: TextBatch, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes around anchors, a row each, and how many of them before and behind are inside the text."""
+def surroundings(batch: TextBatch, at: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes around anchors, a row each, and how many of them before and behind belong to strings of the anchor inside its text."""
     reach = length - GRAM
     pad = np.zeros(reach + length, np.uint8)
     raw = np.concatenate([pad, batch.raw, pad])
     rows = np.lib.stride_tricks.sliding_window_view(raw, reach + length)[at + len(pad) - reach]
     doc = np.searchsorted(batch.last, at)
-    before, behind = np.minimum(at - batch.first[doc], reach), np.minimum(batch.last[doc] - at, length)
+    before, behind = extents(h, at, reach + 1)
+    before, behind = np.minimum(at - batch.first[doc], before), np.minimum(batch.last[doc] - at, GRAM + behind)
     inside = np.arange(reach + length)[None, :]
     rows = np.where((inside >= reach - before[:, None]) & (inside < reach + behind[:, None]), rows, 0).astype(np.uint8)
     return rows, before, behind
@@ -122,7 +123,7 @@ def shared_grams(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
             own, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for part in pieces(texts):
                 b = TextBatch(texts[part])
-                at, h = anchors(b, length)
+                at, h, _ = anchors(b, length)
                 doc = own[part][np.searchsorted(b.last, at)]
                 order = np.lexsort((doc, h))
                 h, doc = h[order].view(np.int64), doc[order]
@@ -160,7 +161,7 @@ def around_shared(texts: DataFrame, length: int) -> DataFrame:
             own, body = own.to_numpy(zero_copy_only=False), body.to_pylist()
             for part in pieces(body):
                 b = TextBatch(body[part])
-                at, h = anchors(b, length)
+                at, h, all_h = anchors(b, length)
                 doc = np.searchsorted(b.last, at)
                 wanted = [np.asarray(x.values).view(np.uint64) for x in grams[part.start:part.stop]]
                 if not len(at) or not wanted:
@@ -170,7 +171,7 @@ def around_shared(texts: DataFrame, length: int) -> DataFrame:
                 at, h, doc = at[keep], h[keep], doc[keep]
                 for a in range(0, len(at), 50_000):
                     some = slice(a, a + 50_000)
-                    rows, before, behind = surroundings(b, at[some], length)
+                    rows, before, behind = surroundings(b, at[some], all_h, length)
                     held.append((h[some].view(np.int64), own[part][doc[some]], (at[some] - b.first[doc[some]]).astype(np.int32), before.astype(np.int32), behind.astype(np.int32), rows))
         if not held:
             return
