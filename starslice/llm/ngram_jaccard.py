@@ -7,8 +7,8 @@ group are candidates if they also share a prefix token under two more orders, an
 similarity. The texts of candidates are then compared exactly.
 
 A group doesn't emit its pairs. In each round it compares one pivot with its members that aren't yet in the pivot's component, as a
-link inside a component changes nothing. After a few rounds the pairs left between components of a group are compared one by one,
-so no link between components is lost.
+link inside a component changes nothing. After a few rounds, or one whose pivots leave nothing to compare, the pairs left between
+components of a group are compared one by one, so no link between components is lost.
 
 Defined results: a null or empty text has an empty set and links with nothing, its component is its own id; a text of fewer words
 than a shingle is one shingle; repeated rows give one row, and where an id has several texts the greatest one counts; rows with a null
@@ -238,8 +238,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
     reps = classes.select(F.col("rep").alias("id"), "n", "bits", "parity")
     groups = scratch.put("groups", grouped(known.select(F.explode("prefix").alias("token"), "id")).join(reps.select("id", "n"), "id"))
     scratch.free()
-    labels, links, tested = None, None, None
-    for k in range(ROUNDS + 1):
+    labels, links, tested, k = None, None, None, 0
+    while k <= ROUNDS:
         mine = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component") if labels is not None else groups.withColumn("label", F.col("id"))
         low = mine.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "label", "n")).alias("pivot"))
         open_ = low.filter("l0 <> l1")
@@ -267,9 +267,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
         tested = done if tested is None else tested.union(done)
         links = new if links is None else links.union(new)
         scratch.free()
-        if done.limit(1).count() == 0 and k > 0:
-            break
-        labels = scratch.put(f"labels{k}", components(links, scratch, f"cc{k}"))
+        if k == ROUNDS or done.limit(1).count():
+            labels = scratch.put(f"labels{k}", components(links, scratch, f"cc{k}"))
+            k += 1
+        else:
+            k = ROUNDS  # nothing to compare with these pivots tells nothing about the other members: straight to the pairs that are left
     of_class = (classes.select("n", "f1", "f2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
                 .select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id")))
     rows = known.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
