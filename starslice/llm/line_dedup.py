@@ -1,15 +1,15 @@
-"""Line dedup by pairwise alignment (operator 10).
+"""Line dedup against all earlier documents (operator 10).
 
-A line ends at a line feed or after a full stop, exclamation or question mark before a space; words are compared, not the white
-space between them. Each document is compared with earlier ones (smaller ids) that share a line with it: for every line that a
-document holds once, all documents with the line are tied to the earliest one in their input partition, and those to the earliest
-of all. So a line in a third of all documents gives one link a document, not all pairs, and no more rows of it than partitions
-are shuffled. Each pair is aligned by patience diff: shared lines in their longest run that ascends in both are the anchors;
-anchors with equal words between them make a block. Blocks of ``block_words`` or more are deleted from the later document. Blocks
-are judged on the input, so what a document loses is always still in an earlier one.
+A document loses every block of ``block_words`` words or more that stands, word for word, in an earlier document (smaller id); words are
+compared, not the white space between them, and blocks may begin and end anywhere. Blocks are judged on the input, so what a
+document loses is always still in an earlier one: in the earliest that holds it.
 
-No text is shuffled to find the blocks: a line's row has the running hash of all words before it, which proves that the words
-between two anchors are equal.
+Such a block is a chain of windows of ``block_words`` words, each with an earlier holder, so a window only needs the smallest id that
+has it; no pair of documents is chosen, and neither partitions nor repeats inside a text nor frequent lines change the result. The
+smallest hash of ``line_words`` neighbouring words in a window is its anchor. First, neighbouring windows of one anchor are looked up as
+one span. A window that only a part of two spans shares has the same anchor in both, so then the windows of anchors with several
+spans are looked up one by one. What is found is sorted within pieces of the input first: of a span in a third of all documents
+no more rows than pieces are shuffled. No text is shuffled to find the blocks.
 
 Defined results: null and empty texts and rows with a null id stay as they are. Repeated rows (same id and text) end alike. Where
 an id has several texts, each loses only blocks whose words it has at that place. Columns of ``docs`` pass through; outputs
@@ -26,19 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starslice.llm.common import Scratch, TextBatch, add_columns, fresh, pieces, powers, ship
+from starslice.llm.common import Scratch, TextBatch, add_columns, fresh, mix64, pieces, powers, ship
 
 LINE_WORDS = 4
 BLOCK_WORDS = 20
-STOPS = np.isin(np.arange(256), list(b".!?"))
-
-
-def lines_of(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each line of a batch that has words, and the word behind its last; words count through the batch."""
-    raw = batch.raw
-    cut = np.flatnonzero((raw == 10) | ((raw == 32) & STOPS[np.concatenate([raw[:1], raw[:-1]])])) + 1
-    at = np.unique(np.concatenate([np.searchsorted(batch.start, cut), [0, len(batch.start)]]))
-    return at[:-1], at[1:]
+ANCHOR_BITS = 1 << 27
+PIECE = 2_000_000  # spans that are sorted at once
 
 
 def word_sums(batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -61,21 +54,47 @@ def span_code(sums, first, last):
     return (sums[last] - sums[first]) * down[first]
 
 
-def single_lines(batch: TextBatch, least: int) -> list[np.ndarray]:
-    """Hash, text, first word (within the text), words and running hash of each line of ``least`` words or more that its text holds once."""
-    first, last = lines_of(batch)
-    long = last - first >= least
-    first, last = first[long], last[long]
+def smallest(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` neighbours, by doubling."""
+    reach = 1
+    while reach < width:
+        step = min(reach, width - reach)
+        x, reach = np.minimum(x[:-step], x[step:]), reach + step
+    return x
+
+
+def spans(batch: TextBatch, size: int, anchor_words: int, bits: np.ndarray | None) -> list[np.ndarray]:
+    """Code, anchor, text, first word (within the text) and word behind the last of spans that cover all windows of ``size`` words.
+
+    A window's anchor is the smallest hash of its runs of ``anchor_words`` words, so equal windows have equal anchors. Without ``bits``
+    a span is all neighbouring windows of one anchor; with them, each window whose anchor is set in them.
+    """
+    n = len(batch.start) - size + 1
+    if n < 1:
+        return [np.empty(0, np.int64)] * 5
     sums, begin = word_sums(batch)
+    _, down = powers(int(np.diff(batch.bounds).max()) + 1)
+
+    def code(first, last):
+        doc = batch.doc[first]
+        return (sums[last + doc] - sums[first + doc]) * down[first - batch.bounds[doc]]
+
+    run = np.flatnonzero(batch.doc[:len(batch.doc) - anchor_words + 1] == batch.doc[anchor_words - 1:])
+    hashes = np.zeros(len(batch.doc) - anchor_words + 1, np.uint64)
+    hashes[run] = mix64(code(run, run + anchor_words), 3)
+    at = np.flatnonzero(batch.doc[:n] == batch.doc[size - 1:])
+    anchor = smallest(hashes, size - anchor_words + 1)[at]
+    if bits is None:
+        new = np.ones(len(at), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (batch.doc[at[1:]] != batch.doc[at[:-1]])
+        first, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + size if len(at) else at
+        anchor = anchor[new]
+    else:
+        bit = anchor & np.uint64(ANCHOR_BITS - 1)
+        own = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+        first, last, anchor = at[own], at[own] + size, anchor[own]
     doc = batch.doc[first]
-    word, shift = first - batch.bounds[doc], begin[doc] - batch.bounds[doc]
-    _, down = powers(int(word.max(initial=0)) + 1)
-    h = (sums[last + shift] - sums[first + shift]) * down[word]
-    order = np.lexsort((h, doc))
-    same = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    again = np.zeros(len(h), bool)
-    again[order[1:][same]] = again[order[:-1][same]] = True
-    return [x[~again] for x in (h.view(np.int64), doc, word, last - first, sums[first + shift].view(np.int64))]
+    return [code(first, last).view(np.int64), anchor.view(np.int64), doc, first - batch.bounds[doc], last - batch.bounds[doc]]
 
 
 def ascending(late: np.ndarray, early: np.ndarray) -> list[int]:
@@ -94,88 +113,79 @@ def ascending(late: np.ndarray, early: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def aligned_blocks(anchors: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(first word, last word, code) of the blocks of a later text. Rows of anchors: late word, early word, words, late sum,
-    early sum, hash, in the order of late words."""
-    chain = anchors[ascending(anchors[:, 0], anchors[:, 1])]
-    late, early, n = chain[:, 0], chain[:, 1], chain[:, 2]
-    late_sum, early_sum, h = (chain[:, k].astype(np.uint64) for k in (3, 4, 5))
-    up, down = powers(int(max(late.max(), early.max()) + n.max()) + 1)
-    late_end, early_end = late_sum + h * up[late], early_sum + h * up[early]
-    gap_late = (late_sum[1:] - late_end[:-1]) * down[(late + n)[:-1]]
-    gap_early = (early_sum[1:] - early_end[:-1]) * down[(early + n)[:-1]]
-    joins = (gap_late == gap_early) & (late[1:] - late[:-1] == early[1:] - early[:-1])
-    cut = np.flatnonzero(~joins) + 1
-    out = []
-    for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(late)]]) - 1):
-        if late[b] + n[b] - late[a] >= least:
-            code = (late_end[b:b + 1] - late_sum[a:a + 1]) * down[late[a:a + 1]]
-            out.append((int(late[a]), int(late[b] + n[b]), int(code.view(np.int64)[0])))
-    return out
-
-
-LINKS = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()),
-                      *[T.StructField(f"{side}{what}", kind) for side in ("late", "early") for what, kind in (("", T.LongType()), ("_word", T.IntegerType()), ("_sum", T.LongType()))]])
+SPANS = T.StructType([T.StructField("code", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("id", T.LongType()),
+                      T.StructField("word", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("known", T.BooleanType())])
 
 
-def links_of(rows: list[np.ndarray], owners: bool) -> pa.RecordBatch:
-    """Ties every document to the first one with the same hash. Rows: hash, document, word, words, sum. ``owners`` adds the first ones."""
-    order = np.lexsort((rows[2], rows[1], rows[0]))
-    h, doc, word, n, total = (x[order] for x in rows)
-    head = np.ones(len(h), bool)
-    head[1:] = h[1:] != h[:-1]
-    first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-    tied = doc != doc[first]
-    keep, from_ = tied | (head & owners), first[tied | (head & owners)]
-    none = ~tied[keep]
-    return pa.RecordBatch.from_arrays([
-        pa.array(h[keep]), pa.array(n[keep].astype(np.int32)), pa.array(doc[keep]), pa.array(word[keep].astype(np.int32)), pa.array(total[keep]),
-        pa.array(doc[from_], mask=none), pa.array(word[from_].astype(np.int32), mask=none), pa.array(total[from_], mask=none)], names=LINKS.names)
+def heads_and_later(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Of each code the rows of its smallest id, and as known repeats those of all other ids. Rows: code, anchor, id, word, last."""
+    order = np.lexsort((rows[3], rows[2], rows[0]))
+    rows = [x[order] for x in rows]
+    head = np.ones(len(order), bool)
+    head[1:] = rows[0][1:] != rows[0][:-1]
+    known = rows[2] != rows[2][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(rows, (np.int64, np.int64, np.int64, np.int32, np.int32))] + [pa.array(known)], names=SPANS.names)
 
 
-def links(docs: DataFrame, scratch: Scratch, line_words: int) -> DataFrame:
-    """A row for each line that ties a later document to an earlier one; ``docs`` is (id, text)."""
+def held_spans(docs: DataFrame, size: int, anchor_words: int, bits=None) -> DataFrame:
+    """The spans of ``docs`` (id, text). Pieces of a partition are sorted alone; which they are doesn't change what is known in the end."""
     ship(docs.sparkSession)
 
     def local(batches):
-        held = [[np.empty(0, np.int64)] for _ in range(5)]
+        held, n = [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_pylist()
             for part in pieces(texts):
-                h, doc, word, n, total = single_lines(TextBatch(texts[part]), line_words)
-                for k, x in enumerate((h, ids[part][doc], word, n, total)):
-                    held[k].append(x)
-        yield links_of([np.concatenate(x) for x in held], owners=True)
+                code, anchor, doc, word, last = spans(TextBatch(texts[part]), size, anchor_words, bits.value if bits else None)
+                held.append([code, anchor, ids[part][doc], word, last])
+                n += len(code)
+                if n > PIECE:
+                    yield heads_and_later([np.concatenate(x) for x in zip(*held)])
+                    held, n = [], 0
+        if held:
+            yield heads_and_later([np.concatenate(x) for x in zip(*held)])
 
-    def across(batches):
-        last = [np.empty(0, np.int64)] * 5  # the first row of the hash that the batch before ended with
-        for batch in batches:
-            rows = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for x, k in zip(last, (0, 2, 3, 1, 4))]
-            if len(rows[0]):
-                yield links_of(rows, owners=False)
-                own = np.flatnonzero(rows[0] == rows[0][-1])
-                at = own[np.argmin(rows[1][own])]
-                last = [x[at:at + 1] for x in rows]
+    return docs.mapInArrow(local, SPANS)
 
-    near = scratch.put("lines", docs.mapInArrow(local, LINKS))
-    alone = near.filter(F.col("early").isNull()).select("h", "n", "late", "late_word", "late_sum")
-    far = alone.repartition("h").sortWithinPartitions("h", "late").mapInArrow(across, LINKS)
-    return near.filter(F.col("early").isNotNull()).unionByName(far)
 
-
-BLOCKS = T.StructType([T.StructField("blocks", T.ArrayType(T.ArrayType(T.LongType())))])
+def repeats(near: DataFrame) -> DataFrame:
+    """The rows of ``near`` whose code a smaller id has: those known, and among the heads all but the smallest id of all."""
+    def across(batches):
+        code0, id0 = np.empty(0, np.int64), np.empty(0, np.int64)  # the smallest id of the code that the batch before ended with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.concatenate([code0, batch.column(0).to_numpy(zero_copy_only=False)])
+            own = np.concatenate([id0, batch.column(2).to_numpy(zero_copy_only=False)])
+            head = np.ones(len(code), bool)
+            head[1:] = code[1:] != code[:-1]
+            first = own[np.maximum.accumulate(np.where(head, np.arange(len(code)), 0))]
+            yield batch.filter(pa.array((own != first)[len(code0):]))
+            code0, id0 = code[-1:], first[-1:]
+
+    heads = near.filter("NOT known").select("code", F.lit(0).cast("long").alias("anchor"), "id", "word", "last", "known")
+    far = heads.repartition("code").sortWithinPartitions("code", "id").mapInArrow(across, SPANS)
+    return near.filter("known").unionByName(far).select("id", F.array(*[F.col(c).cast("long") for c in ("word", "last", "code")]).alias("block"))
+
+
+def anchor_bits(near: DataFrame) -> np.ndarray:
+    """ANCHOR_BITS bits, set for the anchors of different spans. Other anchors may share a bit; that only adds windows to compare."""
+    several = near.filter("NOT known").groupBy("anchor").agg(F.min("code").alias("a"), F.max("code").alias("b")).filter("a <> b")
+    bit = F.col("anchor").bitwiseAND(F.lit(ANCHOR_BITS - 1))
+    words = several.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(anchor & 63 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros(ANCHOR_BITS // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
 def removed_blocks(docs: DataFrame, scratch: Scratch, line_words: int, block_words: int) -> DataFrame:
     """(id, blocks): the word ranges that each document loses, with the hash of their words."""
-    anchor = F.array(*[F.col(c).cast("long") for c in ("late_word", "early_word", "n", "late_sum", "early_sum", "h")])
-    pairs = links(docs, scratch, line_words).groupBy("late", "early").agg(F.array_sort(F.collect_set(anchor)).alias("anchors"))
-
-    def align(anchors):
-        return {"blocks": [aligned_blocks(np.array(own, np.int64), block_words) for own in anchors]}
-
-    found = add_columns(pairs, ["anchors"], BLOCKS, align).select("late", F.explode("blocks").alias("block"))
-    return found.groupBy(F.col("late").alias("id")).agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    line_words = min(line_words, block_words)
+    whole = scratch.put("spans", held_spans(docs, block_words, line_words))
+    bits = docs.sparkSession.sparkContext.broadcast(anchor_bits(whole))
+    windows = scratch.put("windows", held_spans(docs, block_words, line_words, bits))
+    scratch.free()
+    return repeats(whole).union(repeats(windows)).groupBy("id").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
 
 
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed_words", T.LongType()), T.StructField("n_blocks", T.LongType())])
@@ -206,11 +216,12 @@ def cut_blocks(texts: list[str | None], blocks: list) -> dict[str, list]:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the blocks that align with an earlier document; adds n_words (before), n_removed_words and n_blocks."""
+    """``docs`` without the blocks that an earlier document has; adds n_words (before), n_removed_words and n_blocks."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     blocks = scratch.put("blocks", removed_blocks(plain, scratch, line_words, block_words))
-    scratch.drop("lines")
+    scratch.drop("spans", "windows")
+    scratch.free()
     base = docs.drop(*RESULT.names)
     key, found = fresh(docs, "block_id", "block_list")
     marked = blocks.select(F.col("id").alias(key), F.col("blocks").alias(found))

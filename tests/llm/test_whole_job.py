@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from starslice.llm import ngram_jaccard
+from starslice.llm import line_dedup, ngram_jaccard
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -24,3 +24,38 @@ def test_jaccard_links_far_from_every_pivot(spark, seed):
     got = {x.doc_id: x.component_id for x in ngram_jaccard.jaccard_components(rows, size=1, threshold=0.84).collect()}
     assert [(got[a], got[b]) for a, b in pairs] == [(a, a) for a, b in pairs]
     assert sum(i != c for i, c in got.items()) == 10
+
+
+def windows_left(texts, size):
+    """Brute force: for each text the words that no window of ``size`` words shared with a smaller id covers."""
+    seen, out = {}, {}
+    for i in sorted(texts):
+        w = (texts[i] or "").split()
+        own = [tuple(w[k:k + size]) for k in range(len(w) - size + 1)]
+        gone = {k + j for k, x in enumerate(own) if x in seen for j in range(size)}
+        seen |= dict.fromkeys(own)
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return [f"w{r.randrange(3000)}" for _ in range(n)]
+
+
+def lost_blocks():
+    a, b, c, d = ([*words(14, k), f"end{k}."] for k in range(4))
+    return {
+        # each line of 5 and 6 has an earlier holder of its own
+        1: " ".join(a), 2: " ".join(b), 3: " ".join(c), 4: " ".join(d), 5: " ".join(a + b + c + d), 6: " ".join(a + b + c + d),
+        40: None, 41: "",
+    }
+
+
+@pytest.mark.parametrize("parts", [1])
+def test_line_dedup_against_all_windows(spark, parts):
+    texts = lost_blocks()
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(parts, F.xxhash64("doc_id", F.lit(parts)))
+    got = {r.doc_id: (r.text or "").split() for r in line_dedup.dedup_lines(rows).collect()}
+    assert got == windows_left(texts, 20)
+    assert got[6] == [] and len(got[5]) == 60
