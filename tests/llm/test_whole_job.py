@@ -52,7 +52,7 @@ def lost_blocks():
     }
 
 
-@pytest.mark.parametrize("parts", [1])
+@pytest.mark.parametrize("parts", [1, 3, 8])
 def test_line_dedup_against_all_windows(spark, parts):
     texts = lost_blocks()
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(parts, F.xxhash64("doc_id", F.lit(parts)))
