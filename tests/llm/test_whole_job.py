@@ -45,9 +45,12 @@ def words(n, seed):
 
 def lost_blocks():
     a, b, c, d = ([*words(14, k), f"end{k}."] for k in range(4))
+    passage, listed = words(60, 9), words(155, 10)
     return {
         # each line of 5 and 6 has an earlier holder of its own
         1: " ".join(a), 2: " ".join(b), 3: " ".join(c), 4: " ".join(d), 5: " ".join(a + b + c + d), 6: " ".join(a + b + c + d),
+        # a passage that stands twice, earlier and later
+        10: ". ".join([" ".join(passage[k:k + 6]) for k in range(0, 60, 6)] * 2), 11: ". ".join([" ".join(passage[k:k + 6]) for k in range(0, 60, 6)] * 3),
         40: None, 41: "",
     }
 
@@ -58,4 +61,4 @@ def test_line_dedup_against_all_windows(spark, parts):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(parts, F.xxhash64("doc_id", F.lit(parts)))
     got = {r.doc_id: (r.text or "").split() for r in line_dedup.dedup_lines(rows).collect()}
     assert got == windows_left(texts, 20)
-    assert got[6] == [] and len(got[5]) == 60
+    assert got[6] == got[11] == [] and len(got[5]) == 60
