@@ -51,6 +51,10 @@ def lost_blocks():
         1: " ".join(a), 2: " ".join(b), 3: " ".join(c), 4: " ".join(d), 5: " ".join(a + b + c + d), 6: " ".join(a + b + c + d),
         # a passage that stands twice, earlier and later
         10: ". ".join([" ".join(passage[k:k + 6]) for k in range(0, 60, 6)] * 2), 11: ". ".join([" ".join(passage[k:k + 6]) for k in range(0, 60, 6)] * 3),
+        # lines of one word; a passage inside one sentence, without line feeds or full stops
+        20: "\n".join(listed), 21: " ".join(words(30, 11)) + "\n" + "\n".join(listed), 22: " ".join(words(40, 12) + listed[20:75] + words(33, 13)),
+        # edits, periodic texts, 19 and 20 words
+        30: " ".join(listed[:70] + ["edit"] + listed[71:]), 31: "x " * 90, 32: "x " * 45, 33: "x y z " * 40, 34: "y z x " * 30, 35: " ".join(listed[3:22]), 36: " ".join(listed[3:23]),
         40: None, 41: "",
     }
 
@@ -61,4 +65,12 @@ def test_line_dedup_against_all_windows(spark, parts):
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(parts, F.xxhash64("doc_id", F.lit(parts)))
     got = {r.doc_id: (r.text or "").split() for r in line_dedup.dedup_lines(rows).collect()}
     assert got == windows_left(texts, 20)
-    assert got[6] == got[11] == [] and len(got[5]) == 60
+    assert got[6] == got[11] == got[36] == [] and len(got[5]) == 60 and len(got[22]) == 73
+
+
+def test_line_dedup_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: " ".join(w.decode() for w in (r.text or "").encode().split()) for r in docs.collect()}
+    got = {r.doc_id: [w.decode() for w in r.text.encode().split()] for r in line_dedup.dedup_lines(docs).collect()}
+    brute = windows_left({i: " ".join(t.split(" ")) for i, t in texts.items()}, 20)
+    assert {i: len(w) for i, w in got.items()} == {i: len(w) for i, w in brute.items()}
