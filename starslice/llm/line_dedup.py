@@ -92,7 +92,7 @@ def spans(batch: TextBatch, size: int, anchor_words: int, bits: np.ndarray | Non
     else:
         bit = anchor & np.uint64(ANCHOR_BITS - 1)
         own = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-        first, last, anchor = at[own], at[own] + size, anchor[own]
+        first, last, anchor = at[own], at[own] + size, np.zeros(int(own.sum()), np.uint64)  # no longer needed
     doc = batch.doc[first]
     return [code(first, last).view(np.int64), anchor.view(np.int64), doc, first - batch.bounds[doc], last - batch.bounds[doc]]
 
@@ -179,13 +179,18 @@ def anchor_bits(near: DataFrame) -> np.ndarray:
 
 
 def removed_blocks(docs: DataFrame, scratch: Scratch, line_words: int, block_words: int) -> DataFrame:
-    """(id, blocks): the word ranges that each document loses, with the hash of their words."""
+    """(id, blocks): the word ranges that each document loses, one after the other: first word, word behind the last, hash of the words."""
     line_words = min(line_words, block_words)
     whole = scratch.put("spans", held_spans(docs, block_words, line_words))
     bits = docs.sparkSession.sparkContext.broadcast(anchor_bits(whole))
+    of_spans = scratch.put("of_spans", repeats(whole))
+    scratch.drop("spans")
+    scratch.free()
     windows = scratch.put("windows", held_spans(docs, block_words, line_words, bits))
+    of_windows = scratch.put("of_windows", repeats(windows))
+    scratch.drop("windows")
     scratch.free()
-    return repeats(whole).union(repeats(windows)).groupBy("id").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    return of_spans.union(of_windows).groupBy("id").agg(F.flatten(F.collect_list("block")).alias("blocks"))
 
 
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed_words", T.LongType()), T.StructField("n_blocks", T.LongType())])
@@ -199,10 +204,15 @@ def cut_blocks(texts: list[str | None], blocks: list) -> dict[str, list]:
         sums, begin = word_sums(batch) if any(blocks[part]) else (None, None)
         for i, (text, own) in enumerate(zip(texts[part], blocks[part])):
             w0, w1 = batch.bounds[i], batch.bounds[i + 1]
-            gone = np.zeros(w1 - w0, bool)
-            for a, b, code in own or []:
-                if b <= w1 - w0 and span_code(sums[begin[i]:begin[i] + w1 - w0 + 1], np.array([a]), np.array([b])).view(np.int64)[0] == code:
-                    gone[a:b] = True
+            asked = np.array(own or [], np.int64).reshape(-1, 3)
+            asked = asked[asked[:, 1] <= w1 - w0]
+            if len(asked):
+                first, last, code = asked.T
+                equal = span_code(sums[begin[i]:begin[i] + w1 - w0 + 1], first, last).view(np.int64) == code
+                depth = np.bincount(first[equal], minlength=w1 - w0 + 1) - np.bincount(last[equal], minlength=w1 - w0 + 1)
+                gone = np.cumsum(depth)[:-1] > 0
+            else:
+                gone = np.zeros(w1 - w0, bool)
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
             if len(edge):
                 starts, at, left = np.append(batch.start[w0:w1], batch.last[i]), batch.first[i], []
@@ -220,7 +230,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "line-dedup")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     blocks = scratch.put("blocks", removed_blocks(plain, scratch, line_words, block_words))
-    scratch.drop("spans", "windows")
+    scratch.drop("of_spans", "of_windows")
     scratch.free()
     base = docs.drop(*RESULT.names)
     key, found = fresh(docs, "block_id", "block_list")
