@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starslice.llm import (
-    chat, decontaminate, line_dedup, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, suffix_dedup, token_counts,
+    bpe, chat, decontaminate, divergence, line_dedup, mixing, ngram_jaccard, pii, quality_classifier, quality_rules, spelling, suffix_dedup, token_counts,
 )
 from starslice.llm.common import Scratch
 
@@ -103,3 +103,25 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op5_chat_formatting"] = chat.OP5_SQL
+
+
+@query
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes that they decode to, as digests."""
+    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), packed=True).drop("text")
+    return bpe.decode(coded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with the number of words one edit apart, its form and its root."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences of all pairs of a language's sources, and the terms that each source uses more than its language does."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = divergence.OP13_SQL
