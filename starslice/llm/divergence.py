@@ -17,7 +17,7 @@ kept terms is compared by its smoothed shares; where a language keeps no terms a
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starslice.llm.common import Scratch, ship
-from starslice.llm.matches import UPPER, matches
+from starslice.llm.matches import matches
 from starslice.llm.spelling import HELD, as_batches
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 GROUPS, TERMS = 32, 4096
+TERMS_HELD = 300_000  # terms of groups that a task holds before it gives their counts on
 ONE = 1_000_000_000
 
 COUNTED = T.StructType([
@@ -44,16 +45,19 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     ship(docs.sparkSession)
 
     def counted(batches):
-        count: Counter = Counter()
-        seen: Counter = Counter()
+        count: dict = defaultdict(Counter)
+        seen: dict = defaultdict(Counter)
         groups = set()
 
         def given():
-            for (lang, source, term), n in count.items():
-                yield lang, source, term, n, seen[lang, source, term]
+            for (lang, source), terms in count.items():
+                in_docs = seen[lang, source]
+                for term, n in terms.items():
+                    yield lang, source, term, n, in_docs[term]
             count.clear()
             seen.clear()
 
+        held = 0
         for batch in batches:
             for lang, source, text in zip(*[batch.column(c).to_pylist() for c in range(3)]):
                 if (lang, source) not in groups:
@@ -61,17 +65,16 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                         groups.clear()
                     groups.add((lang, source))
                     yield lang, source, None, 0, 0
-                own: Counter = Counter()
-                for found in matches(TERM, text):
+                terms, own = count[lang, source], set()
+                held -= len(terms)
+                for found in matches(TERM, text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")):  # bytes.lower() changes A-Z only
+                    terms.update(found)
                     own.update(found)
-                lowered: Counter = Counter()
-                for term, n in own.items():
-                    lowered[term.translate(UPPER)] += n
-                for term, n in lowered.items():
-                    count[lang, source, term] += n
-                    seen[lang, source, term] += 1
-                if len(count) >= HELD:
+                seen[lang, source].update(own)
+                held += len(terms)
+                if held >= TERMS_HELD:
                     yield from given()
+                    held = 0
         yield from given()
 
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
