@@ -18,7 +18,7 @@ def sum_by(rows: DataFrame, *keys: str, keep_zero: bool = False) -> DataFrame:
 
 def dense_by_entity(star: Star, spec: SliceSpec) -> DataFrame:
     """Sum per entity over the slice; entities without rows are 0."""
-    sums = sum_by(spec.apply(star.fact, star.dim), "entity", keep_zero=True)
+    sums = sum_by(star.slice(spec), "entity", keep_zero=True)
     return star.dim.join(sums, "entity", "left").fillna(0, subset=["cnt"])
 
 
@@ -29,7 +29,7 @@ def total(rows: DataFrame) -> DataFrame:
 def entity_breakdown(star: Star, spec: SliceSpec, entity, year: int, by: str) -> DataFrame:
     """One entity's mix in one period; the region filter does not apply at this scope."""
     scoped = spec.patch(region="", year_from=year, year_to=year, entities=(entity,))
-    return sum_by(scoped.apply(star.fact), by)
+    return sum_by(star.slice(scoped), by)
 
 
 def periods_in_range(star: Star, spec: SliceSpec) -> DataFrame:

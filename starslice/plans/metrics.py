@@ -53,6 +53,7 @@ class MetricDef:
     value: Callable[[], Column] | None = None
     comparable: bool = False
     effort: bool = False
+    look_back: int = 0  # periods of the list before the one asked for that the value reads
 
 
 def _pair(name: str, num: dict, den: dict):
@@ -77,9 +78,9 @@ METRICS: dict[str, MetricDef] = {
     for m in [
         MetricDef("count", "Harvest", "int", value=lambda: F.col("base").cast("double")),
         MetricDef("per_sqmi", "Harvest per area", "dec2", value=lambda: ratio("base", "area")),
-        MetricDef("change_yoy", "Change on last season", "signed_pct", True, comparable=True,
+        MetricDef("change_yoy", "Change on last season", "signed_pct", True, comparable=True, look_back=1,
                   value=lambda: S.change("cmp", S.previous_calendar("cmp"))),
-        MetricDef("vs_5yr", "Against the 5-season mean", "signed_pct", True, comparable=True,
+        MetricDef("vs_5yr", "Against the 5-season mean", "signed_pct", True, comparable=True, look_back=5,
                   value=lambda: S.change("cmp", S.trailing_average("cmp"))),
         MetricDef("zscore", "Density z-score", "z", True),
         MetricDef("buck_doe", "Bucks per doe", "dec2", kinds=("deer",),
@@ -113,13 +114,18 @@ def applicable(metric: str, kind: str, fallback: str = "count") -> str:
     return metric if known and kind in known.kinds else fallback
 
 
-def metric_frame(star: Star, spec: SliceSpec, metrics: list[str], roles: Roles = ORDER_ROLES) -> DataFrame:
-    """entity, name, region, area, season_year, base and one column per metric, for all periods."""
+def metric_frame(star: Star, spec: SliceSpec, metrics: list[str], roles: Roles = ORDER_ROLES, at: int | None = None, back: int = 0) -> DataFrame:
+    """entity, name, region, area, season_year, base and one column per metric, for all periods.
+
+    With ``at``, only that period and the ``back`` ones before it are asked for: the scan is bounded by what the metrics of these periods
+    read, and rows of earlier periods may be there or not.
+    """
     sums: dict = {"base": spec}
     for m in metrics:
         sums.update(METRICS[m].sums(spec, roles))
     like_for_like = any(METRICS[m].comparable for m in metrics)
-    df = star.measures(spec, sums, comparable=spec if like_for_like else None)
+    reach = back + max((METRICS[m].look_back for m in metrics), default=0)
+    df = star.measures(spec, sums, comparable=spec if like_for_like else None, at=at, back=reach)
     if any(METRICS[m].effort for m in metrics):
         df = df.join(_with_trips(star.effort), ["entity", "season_year"], "left")
     if "zscore" in metrics:

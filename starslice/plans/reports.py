@@ -68,7 +68,7 @@ def compare_species(whole: Star, spec: SliceSpec, pair: tuple[str, str]) -> Data
 def percent_mix(star: Star, spec: SliceSpec, keys: list[str], year: int) -> DataFrame:
     """Share of each portion inside a place, for portions present in at least one of the places."""
     members = A.places(star, keys).select("place", "entity")
-    rows = spec.patch(region="", year_from=year, year_to=year).apply(star.fact)
+    rows = star.slice(spec.patch(region="", year_from=year, year_to=year))
     sums = rows.groupBy("entity", "portion").agg(F.sum("cnt").alias("v")).join(members, "entity")
     cells = sums.groupBy("portion").pivot("place", keys).agg(F.sum("v")).fillna(0)
     columns = [F.col(f"`{k}`") for k in keys]
@@ -154,13 +154,14 @@ def leaderboard(star: Star, spec: SliceSpec, year: int, metric: str = "count", m
     ids = [m for m in dict.fromkeys([metric, metric2]) if m]
     # shares are of the whole state, so the region is applied after the total (a z-score depends on its scope)
     late = "zscore" not in ids
-    df = M.metric_frame(star, spec.patch(region="") if late else spec, ids, roles).withColumn("value", F.col(metric))
+    # the sparkline holds six periods, the rank change one more than the metric reads
+    df = M.metric_frame(star, spec.patch(region="") if late else spec, ids, roles, at=year, back=5).withColumn("value", F.col(metric))
     df = df.withColumn("value2", F.col(metric2).cast("double") if metric2 else F.lit(None).cast("double"))
     if metric == "count" and late:
         whole = df.groupBy("season_year").agg(F.sum("value").alias("_whole"))
         df = df.join(whole, "season_year").withColumn("share", ratio("value", "_whole")).drop("_whole")
     elif metric == "count":
-        whole = spec.patch(region="", year_from=year, year_to=year).apply(star.fact).agg(F.sum("cnt")).scalar()
+        whole = star.slice(spec.patch(region="", year_from=year, year_to=year)).agg(F.sum("cnt")).scalar()
         df = df.withColumn("share", ratio(F.col("value"), whole))
     else:
         df = df.withColumn("share", F.lit(None).cast("double"))
@@ -174,7 +175,7 @@ def leaderboard(star: Star, spec: SliceSpec, year: int, metric: str = "count", m
 
 def stats_strip(star: Star, spec: SliceSpec, year: int, metric: str = "count") -> DataFrame:
     """One row: total, entities reporting, entities in scope and the top entity by the metric."""
-    df = M.metric_frame(star, spec, [metric]).filter(F.col("season_year") == year)
+    df = M.metric_frame(star, spec, [metric], at=year).filter(F.col("season_year") == year)
     v, e = F.col(metric), F.col("entity")
     return df.agg(
         F.sum("base").alias("total"), F.count_if(F.col("base") > 0).alias("reporting"), F.count("*").alias("in_scope"),
@@ -229,7 +230,7 @@ def nearest(dim: DataFrame, entity, k: int = 5) -> DataFrame:
 
 def neighbors_compared(star: Star, spec: SliceSpec, metric: str, entity, year: int, k: int = 5) -> DataFrame:
     """The entity and its nearest neighbours with value and rank, undefined values last."""
-    df = M.metric_frame(star, spec.patch(region=""), [metric]).filter(F.col("season_year") == year).withColumn("value", F.col(metric))
+    df = M.metric_frame(star, spec.patch(region=""), [metric], at=year).filter(F.col("season_year") == year).withColumn("value", F.col(metric))
     ranked = K.competition_rank(df, ["season_year"], "value", not M.METRICS[metric].diverging, star.small)
     near = nearest(star.dim, entity, k).select("entity").unionByName(star.dim.filter(F.col("entity") == entity).select("entity"))
     return ranked.join(near, "entity", "left_semi").select(
@@ -240,7 +241,7 @@ def neighbors_compared(star: Star, spec: SliceSpec, metric: str, entity, year: i
 def pressure_card(star: Star, spec: SliceSpec, entity, year: int, round_to: int = 100) -> DataFrame:
     """Hunter densities, estimated hunters, harvest per hunter and the two ranks of one entity."""
     ids = ["deer_per_hunter", "hunters_per_sqmi"]
-    df = M.metric_frame(star, spec.patch(region=""), ids).filter(F.col("season_year") == year)
+    df = M.metric_frame(star, spec.patch(region=""), ids, at=year).filter(F.col("season_year") == year)
     for m, name in zip(ids, ("rank_per_hunter", "rank_density")):
         df = K.competition_rank(df, ["season_year"], m, True, star.small, name)
     df = df.join(star.effort, ["entity", "season_year"], "left")

@@ -71,5 +71,24 @@ class SliceSpec:
         return out
 
 
+@dataclass(frozen=True)
+class Calendar:
+    """The periods of a dataset and the seasons of each, ascending: known without reading rows, from a layout's folders or a declaration."""
+
+    periods: tuple[tuple[int, tuple[str, ...]], ...]
+
+    def back(self, at: int, n: int) -> int:
+        """The n-th period before ``at`` in the list, or the first one."""
+        before = [y for y, _ in self.periods if y < at]
+        return at if n == 0 or not before else before[max(0, len(before) - n)]
+
+    @property
+    def partial(self) -> bool:
+        """Some period has no autumn rows although both seasons occur."""
+        fall = ["fall" in s for _, s in self.periods]
+        other = any(set(s) - {"fall"} for _, s in self.periods)
+        return any(fall) and other and not all(fall)
+
+
 def clamp(value: Column, lo, hi) -> Column:
     return F.greatest(F.least(value, F.lit(hi)), F.lit(lo))

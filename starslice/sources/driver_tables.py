@@ -6,6 +6,8 @@ the order date and priority, class = return flag, species = line status. Every f
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +38,18 @@ def _lookup(key, mapping: dict[str, str], default: str):
     return out
 
 
-def orders_by_entity(spark, sf_dir) -> DataFrame:
+Years = tuple[int | None, int | None]  # first and last period, None: open
+ALL: Years = (None, None)
+
+
+def orders_by_entity(spark, sf_dir, years: Years = ALL) -> DataFrame:
+    """Orders with their star keys. The period is derived from the date, so a range of periods is a half-open range of dates at the scan."""
     orders = table(spark, sf_dir, "orders")
+    first, last = years
+    if first is not None:
+        orders = orders.filter(F.col("o_orderdate") >= F.lit(date(first, 1, 1)))
+    if last is not None:
+        orders = orders.filter(F.col("o_orderdate") < F.lit(date(last + 1, 1, 1)))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("entity"))
     when = F.col("o_orderdate")
     return (
@@ -52,19 +64,19 @@ def orders_by_entity(spark, sf_dir) -> DataFrame:
     )
 
 
-def lines(spark, sf_dir) -> DataFrame:
+def lines(spark, sf_dir, years: Years = ALL) -> DataFrame:
     """One row per order line with its star keys."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_linestatus").alias("species"), F.col("l_returnflag").alias("class"),
         F.col("l_quantity").cast("long").alias("qty"), "l_discount", "l_tax",
     )
-    return li.join(orders_by_entity(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    return li.join(orders_by_entity(spark, sf_dir, years), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def cells(spark, sf_dir, species: str = "", entity: str = "entity") -> DataFrame:
+def cells(spark, sf_dir, species: str = "", entity: str = "entity", years: Years = ALL) -> DataFrame:
     """The lines aggregated to base cells with the plain and the two attribute quantities: one pass over the lines."""
     qty = F.col("qty")
-    rows = lines(spark, sf_dir)
+    rows = lines(spark, sf_dir, years)
     rows = rows.filter(F.col("species") == species) if species else rows
     return rows.groupBy("species", "season_year", "season", "kind", "opening", F.col(entity).alias("entity"), "class").agg(
         F.sum("qty").alias("qty"),
@@ -73,7 +85,7 @@ def cells(spark, sf_dir, species: str = "", entity: str = "entity") -> DataFrame
     )
 
 
-def fact(spark, sf_dir, base: DataFrame | None = None) -> DataFrame:
+def fact(spark, sf_dir, base: DataFrame | None = None, years: Years = ALL) -> DataFrame:
     """Base cells plus the two overlapping subtotal portions; columns that are not read are pruned from the scan."""
     kinds = F.filter(
         F.array(
@@ -84,7 +96,7 @@ def fact(spark, sf_dir, base: DataFrame | None = None) -> DataFrame:
         lambda k: k["kind"].isNotNull(),
     )
     return (
-        (cells(spark, sf_dir) if base is None else base).withColumn("k", F.explode(kinds))
+        (cells(spark, sf_dir, years=years) if base is None else base).withColumn("k", F.explode(kinds))
         .groupBy("species", "season_year", "season", F.col("k.kind").alias("kind"), F.col("k.is_subtotal").alias("is_subtotal"), "entity", "class")
         .agg(F.sum("qty").alias("cnt"))
         .select(
@@ -115,12 +127,12 @@ def dim(spark, sf_dir) -> DataFrame:
     )
 
 
-def attributes(spark, sf_dir, base: DataFrame | None = None) -> DataFrame:
+def attributes(spark, sf_dir, base: DataFrame | None = None, years: Years = ALL) -> DataFrame:
     reported = (F.col("season_year") >= 1999) | (
         (F.col("season_year") == 1998) & (F.col("season") == "fall") & (F.col("kind") == "archery")
     )
     return (
-        (cells(spark, sf_dir) if base is None else base)
+        (cells(spark, sf_dir, years=years) if base is None else base)
         .filter(reported & (F.col("entity") % 7 != 3))
         .groupBy("species", "season_year", "season", "kind", "entity")
         .agg(F.sum("qty_a").alias("attr_a"), F.sum("qty_b").alias("attr_b"))
@@ -128,7 +140,7 @@ def attributes(spark, sf_dir, base: DataFrame | None = None) -> DataFrame:
     )
 
 
-def effort(spark, sf_dir) -> DataFrame:
+def effort(spark, sf_dir, years: Years = ALL) -> DataFrame:
     """Distinct customers by method per entity and period, as a density; NULL before publication.
 
     Distinct people are counted by grouping on the person first, so one hot entity is
@@ -136,7 +148,7 @@ def effort(spark, sf_dir) -> DataFrame:
     """
     kind, year = F.col("kind"), F.col("season_year")
     people = (
-        orders_by_entity(spark, sf_dir).filter(F.col("entity") != 24)
+        orders_by_entity(spark, sf_dir, years).filter(F.col("entity") != 24)
         .groupBy("entity", "season_year", "o_custkey")
         .agg(F.max(kind.isin("main", "youth", "late")).cast("long").alias("f"), F.max(kind == "archery").cast("long").alias("a"))
     )
@@ -158,10 +170,12 @@ def samples(spark, sf_dir) -> DataFrame:
     )
 
 
-def star(spark, sf_dir, species: str = "O", side: tuple[str, ...] = ()) -> Star:
+def star(spark, sf_dir, species: str = "O", side: tuple[str, ...] = (), years: Years = ALL) -> Star:
     """The lazy star of one species (all species for ""), with the side tables that are asked for."""
     make = {"attrs": attributes, "effort": effort}
-    full = Star(fact(spark, sf_dir), dim(spark, sf_dir), small=True, **{k: make[k](spark, sf_dir) for k in side})  # nations: a closed list
+    sides = {k: make[k](spark, sf_dir, years=years) for k in side}
+    again = lambda first, last: star(spark, sf_dir, "", side, (first, last))
+    full = Star(fact(spark, sf_dir, years=years), dim(spark, sf_dir), small=True, reread=again, **sides)  # nations: a closed list
     return full.only(species) if species else full
 
 

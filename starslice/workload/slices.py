@@ -31,7 +31,7 @@ def species_union(s, d):
 def slice_filter(s, d):
     spec = O.patch(year_from=1997, year_to=1999, season="fall", method="firearm", youth=False, classes=("A", "R"), region="ASIA")
     star = D.star(s, d)
-    return spec.apply(star.fact, star.dim).select("season_year", "portion", "class", "entity", "cnt")
+    return star.slice(spec).select("season_year", "portion", "class", "entity", "cnt")
 
 
 @query("exclude_subtotals", """SELECT 'default' AS slice, portion, CAST(sum(cnt) AS BIGINT) AS cnt FROM fact WHERE NOT is_subtotal GROUP BY portion
@@ -62,7 +62,7 @@ def region_filter(s, d):
 
 @query("year_slice", f"SELECT portion, {S6} FROM fact WHERE NOT is_subtotal AND season_year = 1998 GROUP BY portion", "fact")
 def year_slice(s, d):
-    return A.sum_by(O.patch(year_from=1998, year_to=1998).apply(D.fact(s, d)), "portion")
+    return A.sum_by(D.star(s, d).slice(O.patch(year_from=1998, year_to=1998)), "portion")
 
 
 @query("entity_slice", f"SELECT entity, season_year, {S6} FROM fact WHERE NOT is_subtotal AND entity IN (3, 7, 19) GROUP BY entity, season_year", "fact")
@@ -165,14 +165,14 @@ def resolve_place(s, d):
 
 @query("entity_by_portion", f"SELECT entity, portion, {S6} FROM fact WHERE NOT is_subtotal AND season_year = 1999 GROUP BY entity, portion", "fact")
 def entity_by_portion(s, d):
-    return A.sum_by(O.patch(year_from=1999, year_to=1999).apply(D.fact(s, d)), "entity", "portion")
+    return A.sum_by(D.star(s, d).slice(O.patch(year_from=1999, year_to=1999)), "entity", "portion")
 
 
 @query("entity_breakdown", f"""SELECT 'portion' AS dimension, portion AS item, {S6} FROM fact WHERE entity = 5 AND season_year = 1999 AND NOT is_subtotal GROUP BY portion
   UNION ALL SELECT 'class', class, CAST(sum(cnt) AS BIGINT) FROM fact WHERE entity = 5 AND season_year = 1999 AND NOT is_subtotal GROUP BY class""", "fact")
 def entity_breakdown(s, d):
     star, spec = D.star(s, d), O.patch(region="ASIA")
-    cells = A.sum_by(spec.patch(region="", year_from=1999, year_to=1999, entities=(5,)).apply(star.fact), "portion", "class")
+    cells = A.sum_by(star.slice(spec.patch(region="", year_from=1999, year_to=1999, entities=(5,))), "portion", "class")
     items = F.array(
         F.struct(F.lit("portion").alias("dimension"), F.col("portion").alias("item")),
         F.struct(F.lit("class").alias("dimension"), F.col("class").alias("item")),

@@ -234,6 +234,6 @@ def default_pair(s, d):
 
 @query("portions_ranked", "SELECT portion, CAST(sum(cnt) AS BIGINT) AS cnt, CAST(row_number() OVER (ORDER BY sum(cnt) DESC, portion) AS INT) AS pos FROM fact WHERE NOT is_subtotal AND season_year = 1999 GROUP BY portion HAVING sum(cnt) > 0", "fact")
 def portions_ranked(s, d):
-    rows = O.patch(year_from=1999, year_to=1999).apply(D.fact(s, d))
+    rows = D.star(s, d).slice(O.patch(year_from=1999, year_to=1999))
     per = rows.groupBy("portion").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0")
     return K.ordinal_rank(per, [], "cnt", "portion", name="pos")
