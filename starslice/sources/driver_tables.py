@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starslice.runtime import settle_all
+from starslice.sources.sinks import typed
 from starslice.sources.star import Star
 
 KINDS = {"1-URGENT": "main", "2-HIGH": "archery", "3-MEDIUM": "youth", "4-NOT SPECIFIED": "managed"}
@@ -109,6 +110,14 @@ def fact(spark, sf_dir, base: DataFrame | None = None, years: Years = ALL) -> Da
     )
 
 
+def published_rows(rows: DataFrame) -> DataFrame:
+    """The fact with the columns of a published one: state, labels, sources, and which portions are derived."""
+    return typed(rows.withColumns({
+        "state": F.lit("OR"), "portion_label": F.initcap(F.replace("portion", F.lit("_"), F.lit(" "))), "derived": F.col("portion").endswith("_managed"),
+        "source_url": F.concat(F.lit("orders/"), F.col("season_year").cast("string"), F.lit("/"), F.col("species")),
+    }))
+
+
 def dim(spark, sf_dir) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     area = (

@@ -91,35 +91,55 @@ def envelope(spark: SparkSession, path: str, field: str, row_schema: str) -> Dat
 
 
 def row_arrays(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFrame:
-    """Row-array JSON (``columns`` and ``rows``) by column name; ``wanted`` maps a name to its type."""
-    raw = spark.read.schema("columns array<string>, rows array<array<string>>").option("multiLine", True).json(path)
-    rows = raw.select("columns", F.explode("rows").alias("r"))
-    value = lambda c: F.try_element_at("r", F.array_position("columns", F.lit(c)).cast("int"))
-    return rows.select(*[value(c).cast(t).alias(c) for c, t in wanted.items()])
-
-
-SERIES_SCHEMA = (
-    "species string, counties array<string>, classes array<string>, "
-    "portions map<string, struct<season:string, method:string, youth:boolean, is_subtotal:boolean>>, "
-    "series array<struct<year:int, portion:string, class:string, counts:array<int>>>"
-)
-
-
-def published_series(spark: SparkSession, path: str) -> DataFrame:
-    """Long rows of a published pivot document: zeros dropped, portion attributes attached."""
-    raw = spark.read.schema(SERIES_SCHEMA).option("multiLine", True).json(path)
-    rows = raw.select("species", "counties", "portions", F.explode("series").alias("s"))
-    cells = rows.select(
-        "species", F.col("s.year").alias("season_year"), F.col("s.portion").alias("portion"), F.col("s.class").alias("class"),
-        F.col("portions")[F.col("s.portion")].alias("attr"),
-        F.inline(F.arrays_zip(F.col("counties").alias("entity"), F.col("s.counts").alias("cnt"))),
+    """Row-array JSON (``columns`` and ``rows``) by column name; ``wanted`` maps a name to its type.
+
+    Rows are arrays of values of different types, so a document is read as a variant and each value is taken at the position of its column. A name
+    that the document lacks is null; a value of another type is an error.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    names = F.variant_get("v", "$.columns", "array<string>")
+    rows = raw.select(names.alias("columns"), F.explode(F.variant_get("v", "$.rows", "array<variant>")).alias("r"))
+    cells = rows.select("columns", F.variant_get("r", "$", "array<variant>").alias("r"))
+    value = lambda c: F.get("r", F.nullif(F.array_position("columns", F.lit(c)), F.lit(0)).cast("int") - 1)
+    return cells.select(*[F.variant_get(value(c), "$", t).alias(c) for c, t in wanted.items()])
+
+
+def published_series(spark: SparkSession, path: str, known: DataFrame | None = None, entity_type: str = "string") -> DataFrame:
+    """Long rows of published pivot documents: zeros dropped, portion attributes and labels attached.
+
+    A row of ``series`` is [period, portion, class, counts]; its label is found under "species:period:portion", and one without a label is not
+    derived. ``known`` (a dimension) makes an entity that it lacks an error.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    docs = raw.select(
+        F.variant_get("v", "$.state", "string").alias("state"), F.variant_get("v", "$.species", "string").alias("species"),
+        F.variant_get("v", "$.counties", "array<string>").alias("counties"),
+        F.variant_get("v", "$.portions", "map<string, struct<season: string, method: string, youth: boolean, is_subtotal: boolean>>").alias("portions"),
+        F.variant_get("v", "$.labels", "map<string, struct<portion_label: string, source_url: string, derived: boolean>>").alias("labels"),
+        F.explode(F.variant_get("v", "$.series", "array<variant>")).alias("s"),
+    )
+    at = lambda k, t: F.variant_get("s", f"$[{k}]", t)
+    rows = docs.select(
+        "state", "species", "counties", "portions", "labels", at(0, "int").alias("season_year"), at(1, "string").alias("portion"),
+        at(2, "string").alias("class"), at(3, "array<bigint>").alias("counts"),
     )
-    return cells.filter(F.col("cnt") != 0).select(
-        "species", "season_year", "portion", "class", "entity", F.col("cnt").cast("long").alias("cnt"), "attr.*"
+    key = F.concat_ws(":", "species", F.col("season_year").cast("string"), "portion")
+    cells = rows.select(
+        "state", "species", "season_year", "portion", "class", F.col("portions")[F.col("portion")].alias("attr"), F.col("labels")[key].alias("label"),
+        F.inline(F.arrays_zip(F.col("counties").alias("entity"), F.col("counts").alias("cnt"))),
+    ).filter(F.col("cnt") != 0)
+    out = cells.select(
+        "state", "species", "season_year", "portion", "class", F.col("entity").cast(entity_type).alias("entity"), "cnt", "attr.*",
+        "label.portion_label", "label.source_url", F.coalesce("label.derived", F.lit(False)).alias("derived"),
     )
+    if known is None:
+        return out
+    names = known.select(F.col("entity").cast(entity_type).alias("entity"), F.lit(True).alias("_known")).distinct()
+    checked = F.when(F.col("_known"), F.col("entity")).otherwise(F.raise_error(F.concat(F.lit("unknown entity "), F.col("entity").cast("string"))))
+    return out.join(names, "entity", "left").withColumn("entity", checked).select(*out.columns)
 
 
 def species_fact(spark: SparkSession, path: str, species: str, *columns: str) -> DataFrame:
-    """One species from the partitioned fact: other folders are not listed and other columns are not read."""
+    """One species from a laid-out fact: other folders are not listed and other columns are not read."""
     df = spark.read.parquet(path).filter(F.col("species") == species)
     return df.select(*columns) if columns else df

@@ -11,10 +11,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from starslice.operators import quality as Q
+from starslice.operators.quality import GateClosed
+from starslice.plans import metrics as M
 from starslice.plans.spec import SliceSpec
 from starslice.runtime import literal_rows, settle, shared_dir
 from starslice.sources import driver_tables as D
-from starslice.sources import sinks
+from starslice.sources import publish, scans, sinks
 from starslice.workload.registry import query
 
 O = SliceSpec(species="O")  # noqa: E741
@@ -289,31 +291,83 @@ def _target(s, name):
     return f"{shared_dir(s)}/starslice/{name}-{uuid.uuid4().hex}"
 
 
-@query("publish_gate", "SELECT species, season_year, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS cnt FROM fact0 GROUP BY ALL", "fact")
-def publish_gate(s, d):
-    fact = D.settled(s, d, "fact", species="").fact
-    checks = {
-        "duplicate cells": Q.duplicate_keys(fact, ["species", *CELL]),
-        "portion attributes": Q.dependency_violations(fact, "portion", ["season", "method", "youth", "is_subtotal"]),
-        "negative": fact.filter("cnt < 0"),
+def _rules(rows):
+    return {
+        "duplicate cells": Q.duplicate_keys(rows, ["species", *CELL]),
+        "portion attributes": Q.dependency_violations(rows, "portion", list(sinks.ATTRIBUTES)),
+        "negative": rows.filter("cnt < 0"),
     }
-    path = _target(s, "published")
-    sinks.publish(sinks.typed(fact), path, checks)
-    back = s.read.schema(sinks.FACT_SCHEMA).parquet(path)
-    return back.groupBy("species", F.col("season_year").cast("int").alias("season_year")).agg(F.count("*").alias("n"), F.sum("cnt").alias("cnt"))
 
 
-@query("pivot_series", """s AS (SELECT species, season_year, portion, class FROM fact0 GROUP BY ALL)
-  SELECT s.species, s.season_year, s.portion, s.class, string_agg(CAST(coalesce(cnt, 0) AS VARCHAR), ',' ORDER BY dim.entity) AS counts FROM s CROSS JOIN dim LEFT JOIN fact0 f ON f.species = s.species AND f.season_year = s.season_year AND f.portion = s.portion AND f.class = s.class AND f.entity = dim.entity GROUP BY ALL""", "fact dim")
+@query("publish_gate", "SELECT species, season_year, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS cnt FROM fact0 GROUP BY ALL", "fact")
+def publish_gate(s, d):
+    root = _target(s, "published")
+    publish.publish(sinks.typed(D.star(s, d, "").fact), root, _rules)
+    return publish.published(s, root).groupBy("species", F.col("season_year").cast("int").alias("season_year")).agg(F.count("*").alias("n"), F.sum("cnt").alias("cnt"))
+
+
+PUBLISHED = """pub AS (SELECT 'OR' AS state, species, season_year, season, portion,
+    upper(season[1]) || substr(season, 2) || ' ' || upper(split_part(portion, '_', 2)[1]) || substr(split_part(portion, '_', 2), 2) AS portion_label,
+    method, youth, is_subtotal, ends_with(portion, '_managed') AS derived, entity, class, cnt, 'orders/' || season_year || '/' || species AS source_url FROM fact0)"""
+
+
+@query("published_fact", f"{PUBLISHED} SELECT * FROM pub", "fact")
+def published_fact(s, d):
+    """A version is published, a second one with repeated cells is refused: readers still get the first one."""
+    root = _target(s, "published")
+    rows = settle(D.published_rows(D.star(s, d, "").fact), "rows")
+    publish.publish(rows, root, _rules)
+    try:
+        publish.publish(rows.unionByName(rows.filter("class = 'A'")), root, _rules)
+        raise AssertionError("repeated cells were published")
+    except GateClosed:
+        return publish.published(s, root).withColumn("season_year", F.col("season_year").cast("int"))
+
+
+@query("published_change", """cur AS (SELECT * FROM series WHERE season_year = 2000), prev AS (SELECT entity, cmp FROM series WHERE season_year = 1999)
+  SELECT entity, CAST(v AS BIGINT) AS base, round(CASE WHEN p.cmp > 0 THEN c.cmp / CAST(p.cmp AS DOUBLE) - 1 END, 6) AS change FROM cur c LEFT JOIN prev p USING (entity)""", "series")
+def published_change(s, d):
+    """One period's change over a published table: the manifest names the periods, so two folders of the species are read."""
+    root = _target(s, "published")
+    publish.publish(sinks.typed(D.star(s, d, "").fact), root, _rules)
+    star = publish.published_star(s, root, "O", D.dim(s, d), small=True)
+    df = M.metric_frame(star, SliceSpec(species="O"), ["change_yoy"], at=2000).filter("season_year = 2000")
+    return df.select("entity", "base", F.round("change_yoy", 6).alias("change"))
+
+
+@query("pivot_series", f"""{PUBLISHED}, s AS (SELECT DISTINCT state, species, season_year, portion, class, portion_label, source_url, derived FROM pub), e AS (SELECT DISTINCT species, entity FROM fact0)
+  SELECT s.state, s.species, s.season_year, s.portion, s.class, s.portion_label, s.source_url, s.derived, string_agg(CAST(coalesce(cnt, 0) AS VARCHAR), ',' ORDER BY e.entity) AS counts
+  FROM s JOIN e USING (species) LEFT JOIN fact0 f ON f.species = s.species AND f.season_year = s.season_year AND f.portion = s.portion AND f.class = s.class AND f.entity = e.entity GROUP BY ALL""", "fact")
 def pivot_series(s, d):
-    st = D.star(s, d, "")
-    return sinks.pivot_series(st.fact, st.dim).withColumn("counts", F.array_join(F.col("counts").cast("array<string>"), ","))
+    series = sinks.pivot_series(D.published_rows(D.star(s, d, "").fact))
+    text = F.array_join(F.col("counts").cast("array<string>"), ",")
+    return series.select("state", "species", F.col("season_year").cast("int").alias("season_year"), "portion", "class", *sinks.LABELS, text.alias("counts"))
+
 
+LONG = "SELECT state, species, season_year, portion, class, entity, cnt, season, method, youth, is_subtotal, portion_label, source_url, derived FROM pub WHERE cnt <> 0"
 
-@query("unpivot_series", "SELECT species, season_year, portion, class, entity, cnt, season, method, youth, is_subtotal FROM fact0 WHERE cnt <> 0", "fact")
+
+@query("unpivot_series", f"{PUBLISHED} {LONG}", "fact")
 def unpivot_series(s, d):
-    st = D.settled(s, d, species="")
-    return sinks.unpivot_series(sinks.pivot_series(st.fact, st.dim), st.dim, sinks.portion_attributes(st.fact))
+    rows = settle(D.published_rows(D.star(s, d, "").fact), "rows")
+    back = sinks.unpivot_series(sinks.pivot_series(rows, size=7), sinks.portion_attributes(rows))
+    return back.withColumn("season_year", F.col("season_year").cast("int"))
+
+
+@query("published_document", f"{PUBLISHED} {LONG}", "fact")
+def published_document(s, d):
+    """Documents are written and read back as variants, with attributes, labels, state and derived portions."""
+    path = _target(s, "documents")
+    sinks.write_series(settle(D.published_rows(D.star(s, d, "").fact), "rows"), path)
+    return scans.published_series(s, path, D.dim(s, d), "int")
+
+
+@query("row_array_document", "SELECT species, season_year, portion, entity, attr_a, attr_b FROM attrs0", "attrs")
+def row_array_document(s, d):
+    """Attribute rows as arrays of mixed types, read back by the names of their columns."""
+    path, columns = _target(s, "attributes"), ["species", "season_year", "portion", "entity", "attr_a", "attr_b"]
+    sinks.row_array_documents(D.attributes(s, d), columns, columns[:4], "OR", size=500).select("value", "piece").write.partitionBy("piece").text(path)
+    return scans.row_arrays(s, path, {"species": "string", "season_year": "int", "portion": "string", "entity": "int", "attr_a": "bigint", "attr_b": "bigint"})
 
 
 @query("class_unpivot", f"""{CELLS}, w AS (SELECT season_year, portion, entity, sum(CASE WHEN class = 'A' THEN cnt ELSE 0 END) AS A, sum(CASE WHEN class = 'N' THEN cnt ELSE 0 END) AS N, sum(CASE WHEN class = 'R' THEN cnt ELSE 0 END) AS R FROM cells GROUP BY ALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from starslice.operators import quality as Q
 from starslice.plans import reports as R
 from starslice.plans.build import build_fact
-from starslice.sources import scans, sinks
+from starslice.sources import publish, scans, sinks
 
 
 def table(lines, caption=""):
@@ -49,8 +49,8 @@ def test_good_page(spark, aliases, tmp_path):
     assert b.fact.count() == 3 * 2 * 3  # three rows per table row
     assert one(b.fact.filter("entity = '29119' AND class = 'doe' AND portion = 'archery'").select("cnt")) == 1
     assert rows(b.fact.filter("portion = 'grand_total'").select("is_subtotal", "method", "season").distinct()) == [(True, "mixed", "fall")]
-    sinks.publish(b.fact, str(tmp_path / "f"), {"errors": b.errors})
-    assert one(spark.read.parquet(str(tmp_path / "f")).agg(F.sum("cnt"))) == 2030
+    publish.publish(sinks.typed(b.fact), str(tmp_path / "f"), lambda _: {"errors": b.errors})
+    assert one(publish.published(spark, str(tmp_path / "f")).agg(F.sum("cnt"))) == 2030
 
 
 def test_bad_pages_are_blocked(spark, aliases, tmp_path):
@@ -59,7 +59,7 @@ def test_bad_pages_are_blocked(spark, aliases, tmp_path):
     errors = {r.error for r in b.errors.collect()}
     assert {"unknown name: Atlantis", "not a number: x", "no rule for title Mystery season", "row sum differs: Adair"} <= errors
     with pytest.raises(Q.GateClosed):
-        sinks.publish(b.fact, str(tmp_path / "f"), {"errors": b.errors})
+        publish.publish(sinks.typed(b.fact), str(tmp_path / "f"), lambda _: {"errors": b.errors})
     off = build_fact(pages(spark, page(grand=1016)), aliases)
     assert "column sum differs: total" in {r.error for r in off.errors.collect()}
 

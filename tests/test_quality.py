@@ -101,14 +101,3 @@ def test_group_sizes(spark):
     found = spark.createDataFrame([("n",), ("n",), ("s",)], "region string")
     want = spark.createDataFrame([("n", 2), ("s", 2), ("w", 1)], "region string, expected long")
     assert sorted(rows(Q.group_sizes(found, "region", want).select("region", "expected", "found"))) == [("s", 2, 1), ("w", 1, 0)]
-
-
-def test_gate_blocks_the_write(spark, star, tmp_path):
-    from starslice.sources import sinks
-
-    target = str(tmp_path / "fact")
-    with pytest.raises(Q.GateClosed, match="negative: 25"):
-        sinks.publish(star.fact, target, {"clean": star.fact.limit(0), "negative": star.dim})
-    assert not (tmp_path / "fact").exists()
-    sinks.publish(sinks.typed(star.fact), target, {"clean": star.fact.limit(0)})
-    assert one(spark.read.parquet(target).agg(F.sum("cnt"))) == one(star.fact.agg(F.sum("cnt")))

@@ -65,32 +65,6 @@ def test_geojson_round_trip(spark, tmp_path):
     assert back["sq"] == GEO["features"][0]["geometry"] and back["mp"]["type"] == "MultiPolygon" and len(back["mp"]["coordinates"]) == 2
 
 
-def test_fact_write_prunes_species(spark, star, tmp_path):
-    path = str(tmp_path / "fact")
-    both = star.fact.unionByName(star.fact.withColumn("species", F.lit("X")))
-    sinks.write_fact(sinks.typed(both), path)
-    df = scans.species_fact(spark, path, "X", "season_year", "cnt")
-    text = plan(df)
-    assert "PartitionFilters: [isnotnull(species" in text and "ReadSchema: struct<season_year:smallint,cnt:int>" in text
-    assert df.count() == star.fact.count()
-
-
-def test_pivot_round_trip(spark, star):
-    series = sinks.pivot_series(star.fact, star.dim)
-    assert {r.n for r in series.select(F.size("counts").alias("n")).distinct().collect()} == {25}
-    back = sinks.unpivot_series(series, star.dim, sinks.portion_attributes(star.fact))
-    cols = ["species", "season_year", "portion", "class", "entity", "cnt", "season", "method", "youth", "is_subtotal"]
-    assert back.select(cols).exceptAll(star.fact.filter("cnt <> 0").select(cols)).count() == 0
-    assert one(back.agg(F.sum("cnt"))) == one(star.fact.agg(F.sum("cnt")))
-
-
-def test_published_document(spark, star, tmp_path):
-    path = str(tmp_path / "series")
-    sinks.write_series(star.fact, star.dim, path)
-    back = scans.published_series(spark, path + "/species=O")
-    assert one(back.agg(F.sum("cnt"))) == one(star.fact.agg(F.sum("cnt")))
-
-
 def test_documents(spark, star, tmp_path):
     sinks.write_envelope(star.dim.select("entity", "name"), str(tmp_path / "e"), "rows", ["entity"], source="test")
     doc = json.loads("".join(p.read_text() for p in (tmp_path / "e").glob("part-*")))
@@ -100,3 +74,18 @@ def test_documents(spark, star, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "l").glob("part-*"))).splitlines()
     assert [json.loads(t) for t in text] == [{"k": 1, "v": 0.5, "s": "a"}, {"k": 2, "v": None, "s": "b"}]
     assert sorted(r.value for r in sinks.row_arrays(lines, ["s", "k", "v"]).collect()) == ['["a",1,0.5]', '["b",2,null]']
+
+
+def test_row_arrays_of_mixed_types(spark, tmp_path):
+    """Positions come from each document's own columns; quotes, brackets and line feeds stay; a name that a document lacks is null."""
+    data = [(k, 'a"]},[%d\n' % k, None if k % 3 else k / 2, k % 2 == 0) for k in range(25)]
+    df = spark.createDataFrame(data, "k int, s string, v double, b boolean")
+    docs = sinks.row_array_documents(df, ["s", "v", "k", "b"], ["k"], "MO", size=6)
+    parsed = [json.loads(r.value) for r in docs.orderBy("piece").collect()]
+    assert len(parsed) > 2 and all(p["state"] == "MO" and p["columns"] == ["s", "v", "k", "b"] for p in parsed)
+    assert [tuple(r) for p in parsed for r in p["rows"]] == [(s, v, k, b) for k, s, v, b in data]
+    docs.select("value", "piece").write.partitionBy("piece").text(str(tmp_path / "rows"))
+    (tmp_path / "rows" / "piece=99").mkdir()
+    put(tmp_path / "rows" / "piece=99", "more.json", json.dumps({"columns": ["k", "other"], "rows": [[100, "x"]]}))
+    back = scans.row_arrays(spark, str(tmp_path / "rows"), {"k": "int", "s": "string", "v": "double", "b": "boolean"})
+    assert sorted(rows(back)) == data + [(100, None, None, None)]
