@@ -19,19 +19,62 @@ TABLE = ["page_id", "table_idx"]
 
 
 # -- markup --------------------------------------------------------------------------
-def _element(tag: str) -> Column:
-    return F.lit(rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>")
-
-
 def _opened(tag: str, inner: Column) -> Column:
     """What stands behind each start tag, up to the next one or its end tag: HTML lets the end tags of rows and cells be omitted."""
     return F.slice(F.split(F.regexp_replace(inner, rf"(?is)</(?:{tag})\s*>.*?(?=<(?:{tag})[\s>]|$)", ""), rf"(?i)<(?:{tag})(?:\s[^>]*)?>"), 2, 1_000_000_000)
 
 
+_STATE = "struct<stack: array<struct<t: int, cell: boolean>>, n: int, owners: array<struct<owner: int, opened: int, shut: int>>>"
+
+
+def tag_stream(pages: DataFrame, html: str, table: str = "table", row: str = "tr", cell: str = "t[dh]") -> DataFrame:
+    """(.., _segments, _owners, _n): the markup cut before every start and end tag of a table, and the table that each piece belongs to.
+
+    A fold over the pieces keeps the stack of open tables, each with whether one of its cells is open. A start tag inside an open cell opens a
+    nested table; elsewhere it ends the open one first, whose end tag is missing. An end tag without a start tag is ignored. ``opened`` is
+    the table that a piece opens and ``shut`` the one that its end tag closes. Tables are numbered by their start tags.
+    """
+    own = F.split(X.visible_markup(F.col(html)), rf"(?i)(?=</?(?:{table})[\s>])")
+
+    def step(s: Column, seg: Column) -> Column:
+        stack, depth = s["stack"], F.size(s["stack"])
+        opens, closes = seg.rlike(rf"(?i)^<(?:{table})[\s>]"), seg.rlike(rf"(?i)^</(?:{table})[\s>]")
+        top = F.get(stack, depth - 1)
+        less = F.when((depth > 0) & (closes | (opens & ~top["cell"])), F.slice(stack, F.lit(1), F.greatest(depth - 1, F.lit(0)))).otherwise(stack)
+        fresh = F.array(F.struct(s["n"].alias("t"), F.lit(False).alias("cell")))
+        more = F.when(opens, F.concat(less, fresh)).otherwise(less)
+        # the last tag of a row or cell tells whether a cell is open at the end of the piece
+        last = F.lower(F.regexp_extract(seg, rf"(?is).*<(/?)(?:{row}|{cell}|caption)(?=[\s>])", 0))
+        tag = F.regexp_extract(last, r"<(/?[a-z0-9]+)$", 1)
+        inner = F.get(more, F.size(more) - 1)
+        state = F.when(tag == "", inner["cell"]).otherwise(tag.rlike(f"^(?:{cell}|caption)$"))
+        kept = F.when(F.size(more) > 0, F.concat(F.slice(more, F.lit(1), F.greatest(F.size(more) - 1, F.lit(0))), F.array(F.struct(
+            inner["t"].alias("t"), state.alias("cell"))))).otherwise(more)
+        mark = F.struct(
+            F.coalesce(inner["t"], F.lit(-1)).alias("owner"), F.when(opens, s["n"]).alias("opened"), F.when(closes & (depth > 0), top["t"]).alias("shut"))
+        return F.struct(kept.alias("stack"), (s["n"] + opens.cast("int")).alias("n"), F.concat(s["owners"], F.array(mark)).alias("owners")).cast(_STATE)
+
+    start = F.struct(F.array().alias("stack"), F.lit(0).alias("n"), F.array().alias("owners")).cast(_STATE)
+    cut = pages.withColumn("_segments", F.coalesce(own, F.array().cast("array<string>")))
+    folded = cut.withColumn("_fold", F.aggregate("_segments", start, step))
+    return folded.select(*[c for c in pages.columns if c != html], "_segments", F.col("_fold.owners").alias("_owners"), F.col("_fold.n").alias("_n"))
+
+
+def _own_text(table: str) -> Column:
+    """The markup of table ``table_idx`` itself, without its own tags and without the tables inside it."""
+    pieces = F.filter(F.transform("_segments", lambda seg, i: F.when(F.get("_owners", i)["owner"] == F.col("table_idx"), seg)), lambda x: x.isNotNull())
+    return F.array_join(F.transform(pieces, lambda seg: F.regexp_replace(seg, rf"(?i)^</?(?:{table})(?:\s[^>]*)?>", " ")), " ")
+
+
+def _numbered(stream: DataFrame) -> DataFrame:
+    """One row per table."""
+    return stream.filter("_n > 0").withColumn("table_idx", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+
+
 def html_cells(pages: DataFrame, html: str, table: str = "table", row: str = "tr", cell: str = "t[dh]") -> DataFrame:
-    """Markup tables to cells; whitespace collapsed, rows without any text dropped."""
+    """Markup tables to cells; whitespace collapsed, rows without any text dropped. A nested table is a table of its own and no part of the outer one."""
     other = [c for c in pages.columns if c != html]
-    tables = pages.select(*other, F.posexplode(F.regexp_extract_all(X.visible_markup(F.col(html)), _element(table))).alias("table_idx", "_t"))
+    tables = _numbered(tag_stream(pages, html, table, row, cell)).select(*other, "table_idx", _own_text(table).alias("_t"))
     rows = tables.select(*other, "table_idx", _opened(row, F.col("_t")).alias("_rows"))
     texts = F.transform("_rows", lambda r: F.transform(_opened(cell, r), lambda c: X.inner_text(c)))
     kept = F.filter(texts, lambda r: F.exists(r, lambda c: c != ""))
@@ -39,11 +82,38 @@ def html_cells(pages: DataFrame, html: str, table: str = "table", row: str = "tr
     return numbered.select(*other, "table_idx", "row_idx", F.posexplode("_r").alias("col_idx", "text"))
 
 
+def _headings(markup: Column, headings: str) -> Column:
+    """The elements of these tags, in order; one without its end tag is no heading."""
+    return F.regexp_extract_all(markup, F.lit(rf"(?is)<({headings})(?:\s[^>]*)?>(?:(?!<(?:{headings})[\s>]).)*?</\1\s*>"), F.lit(0))
+
+
+def _usable(text: Column, only: str) -> Column:
+    """Empty and purely numeric headings are passed over, and with ``only`` those that don't begin with it."""
+    return ~text.rlike(r"^[\d,]*$") & (F.lower(text).startswith(only.lower()) if only else F.lit(True))
+
+
+def html_tables(pages: DataFrame, html: str, headings: str = "h2|h3|h4|strong", only: str = "") -> DataFrame:
+    """(.., table_idx, heading, caption, closed): the tables of a page, numbered as in ``html_cells``.
+
+    The heading is the nearest usable one before the table's start tag, wherever it stands; headings that don't begin with ``only`` are passed
+    over. A leading "Title" is dropped. ``closed`` is false for a table whose end tag is missing.
+    """
+    last = F.transform("_segments", lambda seg: F.try_element_at(F.filter(F.transform(_headings(seg, headings), X.inner_text), lambda t: _usable(t, only)), F.lit(-1)))
+    tables = _numbered(tag_stream(pages, html).withColumn("_last", last))
+    opened = F.transform("_owners", lambda o: F.coalesce(o["opened"], F.lit(-1)))
+    before = F.slice("_last", F.lit(1), (F.array_position(opened, F.col("table_idx")) - 1).cast("int"))
+    heading = F.try_element_at(F.filter(before, lambda t: t.isNotNull()), F.lit(-1))
+    caption = X.inner_text(F.regexp_extract(_own_text("table"), r"(?is)<caption(?:\s[^>]*)?>(.*?)(?:</caption\s*>|<t(?:r|body|head|foot)[\s>]|$)", 1))
+    closed = F.exists("_owners", lambda o: o["shut"] == F.col("table_idx"))
+    return tables.select(
+        *[c for c in pages.columns if c != html], "table_idx", F.regexp_replace(heading, r"(?i)^title\s+", "").alias("heading"), caption.alias("caption"),
+        F.coalesce(closed, F.lit(False)).alias("closed"))
+
+
 def nearest_heading(pages: DataFrame, html: str, item: str, headings: str = "h2|h3|h4|strong") -> DataFrame:
-    """(.., item_idx, heading, raw, item): every ``item`` element with the nearest usable heading before it.
+    """(.., item_idx, heading, raw, item): every ``item`` element (which doesn't nest) with the nearest usable heading before it.
 
-    Empty and purely numeric headings are passed over. Headings and items are found in one scan of the
-    text, and the lookup stays inside the page's row, so no ordering across rows is needed.
+    Headings and items are found in one scan of the text, and the lookup stays inside the page's row, so no ordering across rows is needed.
     """
     other = [c for c in pages.columns if c != html]
     # a heading ends with its own end tag and never holds an item: one without an end tag is no heading
@@ -51,9 +121,7 @@ def nearest_heading(pages: DataFrame, html: str, item: str, headings: str = "h2|
     pattern = rf"(?is)<(?:{item})(?:\s[^>]*)?>.*?</(?:{item})>|{own}"
     is_item = lambda e: e.rlike(rf"(?i)^<(?:{item})[\s>]")
     found = pages.select(*other, F.regexp_extract_all(X.visible_markup(F.col(html)), F.lit(pattern), F.lit(0)).alias("_e"))
-    usable = F.filter(
-        F.transform("_e", lambda e, i: F.when(~is_item(e) & ~X.inner_text(e).rlike(r"^[\d,]*$"), i)), lambda i: i.isNotNull()
-    )
+    usable = F.filter(F.transform("_e", lambda e, i: F.when(~is_item(e) & _usable(X.inner_text(e), ""), i)), lambda i: i.isNotNull())
     found = found.withColumn("_h", usable)
     items = F.filter(
         F.transform("_e", lambda e, i: F.when(is_item(e), F.struct(
@@ -65,14 +133,6 @@ def nearest_heading(pages: DataFrame, html: str, item: str, headings: str = "h2|
     return flat.select(*other, "item_idx", title.alias("heading"), F.col("_i.raw").alias("raw"), X.inner_text(F.col("_i.raw")).alias("item"))
 
 
-def html_tables(pages: DataFrame, html: str) -> DataFrame:
-    """(.., table_idx, heading, caption): the tables of a page, numbered as in ``html_cells``."""
-    caption = X.inner_text(F.regexp_extract("raw", r"(?is)<caption(?:\s[^>]*)?>(.*?)</caption>", 1))
-    return nearest_heading(pages, html, "table").select(
-        *[c for c in pages.columns if c != html], F.col("item_idx").alias("table_idx"), "heading", caption.alias("caption")
-    )
-
-
 def table_title(caption: Column, heading: Column, generic: tuple[str, ...]) -> Column:
     """A specific caption wins; a generic one is appended to the heading; no caption leaves the heading."""
     has = F.coalesce(caption, F.lit("")) != ""
