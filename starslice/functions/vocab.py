@@ -47,6 +47,7 @@ DEER_SKIPPED_TITLES = r"top 5|all methods"
 TURKEY_SKIPPED_TITLES = r"top \d+ counties|statewide high counties"
 SKIPPED_TITLES = {"deer": DEER_SKIPPED_TITLES, "turkey": TURKEY_SKIPPED_TITLES}
 SUMMARY_TITLES = r"season summary|other totals"
+SUMMARY_CLASSES = ("antlered_buck", "button_buck", "doe")  # the columns of the summary box, before the total
 GENERIC_CAPTIONS = ("all counties", "top 5 counties")
 # phrase in a report header, column
 EFFORT_HEADER_PHRASES = [

@@ -228,12 +228,17 @@ def split_totals(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows.filter(~total), totals, twice.select(*TABLE, F.lit("two total rows").alias("error"))
 
 
-def fallback_totals(tables: DataFrame, totals: DataFrame) -> DataFrame:
-    """Totals per table; a table without its own takes those of the preceding table on the page."""
-    own = totals.select(*TABLE, "role", "value")
-    lacking = tables.select(*TABLE).distinct().join(own.select(*TABLE).distinct(), TABLE, "left_anti")
-    lent = own.withColumn("table_idx", F.col("table_idx") + 1).join(lacking, TABLE, "left_semi")
-    return own.withColumn("borrowed", F.lit(False)).unionByName(lent.withColumn("borrowed", F.lit(True)))
+def borrowed_totals(cells: DataFrame, header: DataFrame, roles: DataFrame, totals: DataFrame) -> DataFrame:
+    """(page, table, role, value): for tables without a Total row, the first one of the table before it on the page that is as wide as their header.
+
+    ``cells`` are those of all tables, so that a table that is skipped otherwise can lend its row; columns are read by the borrower's header.
+    """
+    lacking = header.groupBy(*TABLE).agg(F.count("*").alias("width")).join(totals.select(*TABLE).distinct(), TABLE, "left_anti")
+    rows = cells.groupBy(*TABLE, "row_idx").agg(F.count("*").alias("width"), F.max(F.when(F.col("col_idx") == 0, F.col("text"))).alias("label"))
+    lenders = rows.filter(X.is_total_label(F.col("label"))).withColumn("lender", F.col("table_idx")).withColumn("table_idx", F.col("table_idx") + 1)
+    first = lenders.join(lacking, [*TABLE, "width"], "left_semi").groupBy(*TABLE, "lender").agg(F.min("row_idx").alias("row_idx"))
+    values = cells.withColumnRenamed("table_idx", "lender").join(first, ["page_id", "lender", "row_idx"])
+    return values.join(roles.filter("role <> 'skip'"), [*TABLE, "col_idx"]).select(*TABLE, "role", X.clean_int(F.col("text")).alias("value"))
 
 
 def summary_rows(cells: DataFrame, classes: tuple[str, ...], skip: str = "season/portion") -> DataFrame:

@@ -55,11 +55,31 @@ def test_remapped_header(cells):
     assert "adult hen" in {r.header for r in fixed.collect()}
 
 
-def test_fallback_totals(spark):
-    tables = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "page_id int, table_idx int")
-    totals = spark.createDataFrame([(1, 0, "total", 9), (1, 2, "total", 5)], "page_id int, table_idx int, role string, value int")
-    got = sorted(rows(E.fallback_totals(tables, totals).select("table_idx", "value", "borrowed")))
-    assert got == [(0, 9, False), (1, 9, True), (2, 5, False)]
+def test_borrowed_totals(spark):
+    """The first Total row of the table before that is as wide as the borrower's header, read by the borrower's columns."""
+    lines = {0: [["Top"], ["Total", "9"], ["Totals", "1", "2"], ["Total", "7", "7"]], 1: [["County", "Doe", "Total"], ["Adair", "1", "2"]], 2: [["County", "Doe", "Total"], ["Total", "5", "5"]], 3: [["County", "Total"]]}
+    flat = [(1, t, r, c, x) for t, rs in lines.items() for r, row in enumerate(rs) for c, x in enumerate(row)]
+    cells = spark.createDataFrame(flat, "page_id int, table_idx int, row_idx int, col_idx int, text string")
+    header, body = E.split_header(cells)
+    roles, _ = E.header_roles(header, {"doe": "class:doe", "total": "total"})
+    _, totals, _ = E.split_totals(E.parsed_rows(body, roles))
+    got = sorted(rows(E.borrowed_totals(cells, header, roles, totals).select("table_idx", "role", "value")))
+    assert got == [(1, "class:doe", 1), (1, "total", 2)]  # table 3 is narrower than the Total row before it
+
+
+def test_tag_stream(spark):
+    """Nested tables, missing and stray end tags; titles and cells have the same numbers."""
+    html = ["<h3>A</h3><table><tr><td>x<table><tr><td>in<tr><td>in2</table>y<td>z</table><h3>B</h3><table><tr><td>q</td></tr><h3>C</h3><table><tr><td>r</td></tr>",
+            "</table><strong>12</strong><h2>Title T</h2><table class='a'><caption>cap<tr><th>County</th></tr></TABLE ><h4>open<table><tr><td></td></tr></table>",
+            "<h2>Title T</h2><h3>Note</h3><table><tr><td><strong>Adair</strong></td></tr></table><table><tr><td>1</td></tr></table>", None, "", "<tablex><td>no table"]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id int, html string")
+    assert sorted(rows(E.html_tables(df, "html"))) == [
+        (0, 0, "A", "", True), (0, 1, "A", "", True), (0, 2, "B", "", False), (0, 3, "C", "", False),
+        (1, 0, "T", "cap", True), (1, 1, "T", "", True), (2, 0, "Note", "", True), (2, 1, "Adair", "", True)]
+    assert [r.heading for r in E.html_tables(df, "html", "h2|h3", "title ").orderBy("page_id", "table_idx").collect()] == [None] * 4 + ["T"] * 4
+    assert sorted(rows(E.html_cells(df, "html").filter("page_id < 2"))) == [
+        (0, 0, 0, 0, "x y"), (0, 0, 0, 1, "z"), (0, 1, 0, 0, "in"), (0, 1, 1, 0, "in2"), (0, 2, 0, 0, "q"), (0, 3, 0, 0, "r"), (1, 0, 0, 0, "County")]
+    assert E.html_cells(df.filter("page_id > 2"), "html").count() == 0
 
 
 def test_nearest_heading_skips_numbers(spark):
