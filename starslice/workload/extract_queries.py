@@ -195,3 +195,22 @@ def filter_links(s, d):
         "o_orderkey", "species", "year_from", "year_to", "year", "season", F.array_join("portions", ",").alias("portions"), "region",
         F.array_join("entities", ",").alias("entities"),
     )
+
+
+@query("feature_pages", """SELECT county, samples, positives, since FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS county, c_custkey AS samples, CAST(c_acctbal > 0 AS INT) AS positives, CAST(c_acctbal AS DOUBLE) AS since FROM customer)
+  WHERE samples >= 300 AND county IS NOT NULL AND positives = 1""")
+def feature_pages(s, d):
+    """Customers are landed as pages of a feature service and scanned with filters."""
+    import uuid
+
+    from starslice.runtime import shared_dir
+    from starslice.sources import feature_pages as P
+
+    path = f"{shared_dir(s)}/starslice/pages-{uuid.uuid4().hex}"
+    k = F.col("c_custkey")
+    rows = D.table(s, d, "customer").select(
+        (k - 1).alias("OBJECTID"), F.when(k % 7 != 0, F.col("c_name")).alias("county"), k.alias("samples"),
+        (F.col("c_acctbal") > 0).cast("int").alias("positives"), F.col("c_acctbal").cast("double").alias("since"))
+    P.write_pages(rows, path, "OBJECTID", 100)
+    landed = P.feature_pages(s, path, "county string, samples bigint, positives int, since double")
+    return landed.filter("samples >= 300 AND county IS NOT NULL AND positives = 1")
