@@ -38,7 +38,7 @@ def test_filters_are_pushed(spark, folder):
     """What the pages apply is gone from Spark's own filter; what they can't is left to it."""
     df = P.feature_pages(spark, folder[0], SCHEMA).filter("k >= 20 AND name LIKE '%2'")
     execution = df._jdf.queryExecution()
-    assert ">= 20" in execution.analyzed().toString() and ">= 20" not in execution.executedPlan().toString()
+    assert ">=" in execution.analyzed().toString() and ">=" not in execution.executedPlan().toString()
     assert "Filter EndsWith(name" in execution.executedPlan().toString()
 
 
