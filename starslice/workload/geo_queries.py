@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from starslice.operators import geo as G
+from starslice.runtime import shared_dir
 from starslice.sources import driver_tables as D
+from starslice.streaming import live as LV
 from starslice.streaming import rollup as SR
 from starslice.workload.registry import query
 
@@ -203,6 +207,27 @@ def point_in_polygon(s, d):
     return per.unionByName(bad)
 
 
+@query("live_season", """SELECT entity, CAST(period AS VARCHAR) AS period, count(*) AS samples, CAST(sum(positive) AS BIGINT) AS positives, period < DATE '2024-01-08' AS closed FROM samples GROUP BY samples.entity, samples.period""", "samples")
+def live_season(s, d):
+    """The live part lands in three drops, each with rows of all days (late ones) and repeats of the drop before; the last batch is replayed."""
+    root = f"{shared_dir(s)}/starslice/live-{uuid.uuid4().hex}"
+    edge = F.lit("2024-01-08").cast("date")
+    raw = D.samples(s, d)
+    live = LV.LiveSamples(s, f"{root}/table")
+    rows = raw.select("entity", "period", "sample_id", "positive").filter(F.col("period") >= edge)
+    third = F.pmod(F.xxhash64("sample_id"), F.lit(3))
+    for k in range(3):
+        again = (third == k - 1) & (F.col("sample_id") % 5 == 0)
+        rows.filter((third == k) | again).repartition(2).write.mode("append").parquet(f"{root}/inbox/drop={k}")
+    inbox = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{root}/inbox")
+    LV.run_available(inbox, live, f"{root}/state")
+    live.add(rows.filter(third == 2), live.manifest()["batch"])
+    now = live.table().withColumn("closed", F.lit(False))
+    before = raw.filter(F.col("period") < edge).groupBy("entity", "period").agg(F.count("*").alias("samples"), F.sum("positive").alias("positives"))
+    merged = SR.merge_closed(before.withColumn("closed", F.lit(True)), now, ["entity", "period"])
+    return merged.select("entity", F.col("period").cast("string").alias("period"), "samples", "positives", "closed")
+
+
 @query("stream_rollup", "SELECT entity, CAST(period AS VARCHAR) AS period, count(*) AS samples, CAST(sum(positive) AS BIGINT) AS positives FROM samples GROUP BY samples.entity, samples.period", "samples")
 def stream_rollup(s, d):
     table = SR.rollup_folder(s, d, "events*.parquet")

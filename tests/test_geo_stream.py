@@ -133,3 +133,64 @@ def test_closed_periods_win(spark):
     closed = spark.createDataFrame([(1, 2020, 5)], "entity int, year int, samples int")
     live = spark.createDataFrame([(1, 2020, 4), (1, 2021, 2)], "entity int, year int, samples int")
     assert sorted(rows(SR.merge_closed(closed, live, ["entity", "year"]))) == [(1, 2020, 5), (1, 2021, 2)]
+
+
+def counts(df):
+    return {(r.entity, str(r.period)): (r.samples, r.positives) for r in df.collect()}
+
+
+def test_live_table_is_exact(spark, tmp_path):
+    """Late rows, repeats, corrections, replays and a failed batch: the table always equals the distinct samples, the latest batch's values."""
+    import random
+
+    from starslice.streaming import live as LV
+
+    rng, schema = random.Random(3), "entity bigint, period date, sample_id bigint, positive bigint"
+    live, truth = LV.LiveSamples(spark, str(tmp_path / "t"), late=2), {}
+    batches = []
+    for b in range(5):
+        rows = {}
+        for _ in range(40):
+            day = max(1, min(28, 3 * b + 1 - rng.choice([0, 0, 0, 1, 2, 5, 9])))
+            key = (f"2024-02-{day:02d}", rng.randrange(30))
+            rows[key] = (rng.randrange(3), rng.randrange(2))
+        batches.append(rows)
+    import datetime
+
+    def frame(rows, twice=True):
+        data = [(e, datetime.date.fromisoformat(p), i, v) for (p, i), (e, v) in rows.items()]
+        return spark.createDataFrame(data + (data[:7] if twice else []) + [(1, None, 1, 1)], schema)
+
+    closed = set()
+    for b, rows in enumerate(batches):
+        live.add(frame(rows), b)
+        truth |= rows
+        live.add(frame(batches[0]), b)  # a replay of a listed batch changes nothing
+        want = {}
+        for (p, _), (e, v) in truth.items():
+            n, k = want.get((e, p), (0, 0))
+            want[e, p] = (n + 1, k + v)
+        assert counts(live.table()) == want, b
+        closed |= {p for p, e in live.manifest()["periods"].items() if e["compact"] is not None}
+    assert len(closed) > 3
+    newest = max(live.manifest()["periods"])
+    opened = [p for p, e in live.manifest()["periods"].items() if e["segments"]]
+    assert all((datetime.date.fromisoformat(newest) - datetime.date.fromisoformat(p)).days <= 2 for p in opened)
+
+
+def test_live_batch_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
+    from starslice.sources import files
+    from starslice.streaming import live as LV
+
+    live = LV.LiveSamples(spark, str(tmp_path / "t"))
+    rows = spark.sql("SELECT CAST(id % 3 AS BIGINT) AS entity, DATE '2024-01-05' AS period, id AS sample_id, 1L AS positive FROM range(10)")
+    assert live.table().count() == 0
+    live.add(rows.filter("sample_id < 6"), 0)
+    put = files.Folder.put_json
+    monkeypatch.setattr(files.Folder, "put_json", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        live.add(rows, 1)
+    monkeypatch.setattr(files.Folder, "put_json", put)
+    assert sum(n for n, _ in counts(live.table()).values()) == 6
+    live.add(rows, 1)  # the replay overwrites what the failed one wrote
+    assert sum(n for n, _ in counts(live.table()).values()) == 10
