@@ -21,7 +21,6 @@ from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,8 +125,10 @@ CELL = T.StructType([
     T.StructField("part", T.LongType()), T.StructField("seen", T.LongType())])
 
 
-def cell_divergences(rows: pd.DataFrame) -> pd.DataFrame:
-    """Divergences of a cell's pairs, summed over the terms that it has. Rows without a term give a source's p of absent terms."""
+def cell_divergences(rows):
+    """Divergences of a cell's pairs (a pandas frame), summed over the terms that it has. Rows without a term give a source's p of absent terms."""
+    import pandas as pd  # in the task only: the driver does without
+
     of_terms = rows["term"].notna().to_numpy()
     term, names = pd.factorize(rows["term"][of_terms])
     sides = []

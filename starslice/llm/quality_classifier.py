@@ -14,11 +14,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starslice.llm.common import TextBatch, add_columns, mix64, pieces
+from starslice.llm.common import Scratch, TextBatch, add_columns, mix64, pieces
 from starslice.llm.shape import BAD, FORM_LABELLERS, form_values, form_votes, shapes
 from starslice.llm.weak import VoteModel, fit_votes, pattern_counts
 
@@ -74,6 +75,36 @@ class Features:
         return [np.unique(x.view(np.int64)) for x in np.split(self.word, cut)]
 
 
+@dataclass(frozen=True)
+class Ragged:
+    """Arrays of several rows in one flat array: row k is ``values[starts[k]:starts[k + 1]]``. Large arrays go back to the system when they are let go."""
+
+    values: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def read(cls, df: DataFrame, column: str) -> Ragged:
+        """One array column of a bounded table."""
+        found = df.select(column).toArrow().column(0).combine_chunks()
+        found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+        return cls(found.flatten().to_numpy().copy(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.values[self.starts[k]:self.starts[k + 1]]
+
+    def take(self, rows: np.ndarray) -> Ragged:
+        size = np.diff(self.starts)[rows]
+        starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        at = np.arange(starts[-1]) + np.repeat(self.starts[:-1][rows] - starts[:-1], size)
+        return Ragged(self.values[at], starts)
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.starts))
+
+
 @dataclass(frozen=True)
 class Mined:
     """Word hashes and stem buckets that the labelled rows tie to uncivil texts."""
@@ -112,13 +143,12 @@ class Scorer:
         return out
 
 
-def train_scorer(rows: list[np.ndarray], target: np.ndarray, penalty: float = 4e-4, rounds: int = 100) -> Scorer:
+def train_scorer(rows: Ragged, target: np.ndarray, penalty: float = 4e-4, rounds: int = 100) -> Scorer:
     """Logistic regression on soft labels with an L1 penalty, by accelerated proximal gradient; no rows: everything is good."""
-    if not rows:
+    if not len(rows):
         return Scorer(np.empty(0, np.int64), np.empty(0), 5.0)
     target = np.asarray(target, float)
-    bucket = np.concatenate(rows).astype(np.int32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    bucket, row = rows.values, rows.row()
     seen = np.bincount(bucket, minlength=BUCKETS)
     often = seen >= 3  # one or two documents say nothing about others
     keep, at = often[bucket], np.flatnonzero(often)
@@ -173,16 +203,16 @@ def sample_of(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col:
     return texts.groupBy("_id", "_label").agg(F.max("_text").alias("_text"))
 
 
-def mine(terms: list[np.ndarray], labels: list[int | None], odds: float = 6.0) -> np.ndarray:
+def mine(terms: Ragged, labels: list[int | None], odds: float = 6.0) -> np.ndarray:
     """Terms ``odds`` times as frequent in uncivil documents as in the others, with a log-likelihood ratio of 2 ln(terms) or more.
 
     Of that many terms, chance ties less than one so closely to uncivil documents.
     """
-    known = [k for k, x in enumerate(labels) if x is not None]
-    if not known:
+    known = np.array([k for k, x in enumerate(labels) if x is not None], np.int64)
+    if not len(known):
         return np.empty(0, np.int64)
     bad = np.array([labels[k] != 0 for k in known])
-    of_bad, of_good = (np.concatenate([np.empty(0, terms[0].dtype), *[terms[k] for k, x in zip(known, bad) if x == side]]) for side in (True, False))
+    of_bad, of_good = (terms.take(known[bad == side]).values for side in (True, False))
     every, a = np.unique(of_bad, return_counts=True)  # only terms of uncivil documents can be tied to them
     where = np.minimum(np.searchsorted(every, of_good), max(0, len(every) - 1))
     b = np.bincount(where[every[where] == of_good] if len(every) else where[:0], minlength=len(every))
@@ -195,14 +225,14 @@ def mine(terms: list[np.ndarray], labels: list[int | None], odds: float = 6.0) -
     return every[(ratio >= 2 * np.log(max(len(every), 2))) & (a / bad.sum() >= odds * (b + 0.5) / ((~bad).sum() + 1))]
 
 
-def one_of_each(words: list[np.ndarray], seeds: int = 6, smallest: int = 3) -> list[int]:
+def one_of_each(words: Ragged, seeds: int = 6, smallest: int = 3) -> list[int]:
     """Rows of a sample without later near copies: those that share the smallest hashed words under any of several orders.
 
     A text copied many times would else tie all of its words to its label.
     """
     seen, keep = set(), []
-    for k, own in enumerate(words):
-        keys = []
+    for k in range(len(words)):
+        own, keys = words[k], []
         for seed in range(seeds):
             mixed = mix64(own.view(np.uint64), 200 + seed)
             keys.append((seed, *np.sort(mixed if len(mixed) <= smallest else np.partition(mixed, smallest)[:smallest]).tolist()))
@@ -226,21 +256,22 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
     longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     kinds = T.StructType([T.StructField("f", ints), T.StructField("w", longs), T.StructField("b", ints), T.StructField("v", ints)])
-    chosen = add_columns(sample_of(docs, labels, id_col, text_col, sample), ["_text"], kinds, features).select("_id", "_label", "_text", "f", "w", "b", "v")
-    learn = chosen.drop("_text").toArrow()
-    order, marks = np.argsort(learn.column("_id").to_numpy()), learn.column("_label").to_pylist()
-    rows, words, forms, form_of = ([np.asarray(x.values) for x in learn.column(k)] for k in "fwbv")
-    keep = [order[k] for k in one_of_each([words[k] for k in order])]
-    marks, rows, words, forms, form_of = ([x[k] for k in keep] for x in (marks, rows, words, forms, form_of))
+    chosen = add_columns(sample_of(docs, labels, id_col, text_col, sample), ["_text"], kinds, features).select("_id", "_label", "f", "w", "b", "v")
+    scratch = Scratch(spark, "quality-classifier")
+    learn = scratch.put("sample", chosen).orderBy("_id")  # at most ``sample`` rows, taken a column at a time: the driver holds two of them at most
+    marks = [r[0] for r in learn.select("_label").collect()]
+    words = Ragged.read(learn, "w")
+    keep = np.array(one_of_each(words), np.int64)
+    marks, words = [marks[k] for k in keep], words.take(keep)
+    rows = Ragged.read(learn, "f").take(keep)
     mined = Mined(mine(words, marks), mine(rows, marks))
     civil_of = np.full((len(rows), CIVIL), -1)
-    for k, (row, own, mark) in enumerate(zip(rows, words, marks)):
-        civil_of[k] = [0 if np.isin(insult_hashes().view(np.int64), own).any() else -1,
-                       -1 if not len(mined.stems) else 0 if np.isin(row, mined.stems).any() else 1,
-                       -1 if not len(mined.words) else 0 if np.isin(own, mined.words).any() else 1, -1 if mark is None else int(mark == 0)]
-    form_of = np.array(form_of, int).reshape(-1, FORM_LABELLERS)
-    del learn, words
-    rows = [r.copy() for r in rows]  # lets go of the gathered table
+    insults = insult_hashes().view(np.int64)
+    for k, mark in enumerate(marks):
+        civil_of[k] = [0 if np.isin(insults, words[k]).any() else -1,
+                       -1 if not len(mined.stems) else 0 if np.isin(rows[k], mined.stems).any() else 1,
+                       -1 if not len(mined.words) else 0 if np.isin(words[k], mined.words).any() else 1, -1 if mark is None else int(mark == 0)]
+    del rows, words
     known = spark.sparkContext.broadcast(mined)
 
     def vote(texts):
@@ -252,13 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
 
     votes = add_columns(docs.select(F.col(text_col).alias("_text")), ["_text"], T.StructType([T.StructField("_votes", T.ArrayType(T.IntegerType()))]), vote)
     patterns, counts = pattern_counts(votes.select("_votes"), "_votes")
+    known.destroy()
     patterns = patterns.reshape(-1, FORM_LABELLERS + CIVIL)
     form_model = fit_votes(patterns[:, :FORM_LABELLERS], counts, FORM_LABELLERS)
     # labelled rows of the sample stand in with their annotator's vote, which the scan of all rows doesn't have
     both = np.concatenate([patterns[:, FORM_LABELLERS:], civil_of])
     civil_model = fit_votes(both, np.concatenate([counts, np.ones(len(civil_of))]), CIVIL, prior=0.9)
-    form = train_scorer(forms, form_model.posterior(form_of), penalty=1e-4, rounds=400)
-    civil = train_scorer(rows, civil_model.posterior(civil_of))
+    form_of = Ragged.read(learn, "v").take(keep).values.reshape(-1, FORM_LABELLERS).astype(int)
+    form = train_scorer(Ragged.read(learn, "b").take(keep), form_model.posterior(form_of), penalty=1e-4, rounds=400)
+    civil = train_scorer(Ragged.read(learn, "f").take(keep), civil_model.posterior(civil_of))
+    scratch.drop("sample")
     return QualityModel(form_model, civil_model, mined, form, civil)
 
 
