@@ -144,12 +144,16 @@ def write_lines(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_envelope(df: DataFrame, path: str, field: str, order: list[str], **header: str) -> None:
-    """One JSON document with a header and a sorted row list; only for tables that fit in one value."""
+def write_envelope(df: DataFrame, path: str, field: str, order: list[str], size: int = 10_000, **header: str) -> None:
+    """JSON documents with a header and a sorted row list, one for each range of about ``size`` rows, in a folder of its own."""
+    rows = settle(df, "rows")
+    pieces = max(1, -(-rows.count() // size))
+    ranged = rows.repartitionByRange(pieces, *order).withColumn("piece", F.spark_partition_id())
     keyed = F.struct(*order, *[c for c in df.columns if c not in order])
-    rows = df.agg(F.sort_array(F.collect_list(keyed)).alias(field))
+    docs = ranged.groupBy("piece").agg(F.sort_array(F.collect_list(keyed)).alias(field))
     head = [F.lit(v).alias(k) for k, v in header.items()]
-    documents(rows, *head, F.col(field)).coalesce(1).write.mode("overwrite").text(path)
+    text = F.to_json(F.struct(*head, F.col(field)), {"ignoreNullFields": "false"})
+    docs.select("piece", text.alias("value")).write.mode("overwrite").partitionBy("piece").text(path)
 
 
 def geojson_features(vertices: DataFrame, properties: DataFrame, geom: str = "geom") -> DataFrame:

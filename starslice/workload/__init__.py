@@ -6,7 +6,7 @@ import importlib
 
 from starslice.workload import registry
 
-_SECTIONS = ("slices", "metrics", "windows", "stats", "report_queries", "quality_queries", "extract_queries", "geo_queries", "fact_queries", "unbounded", "page_queries", "report_table_queries")
+_SECTIONS = ("slices", "metrics", "windows", "stats", "report_queries", "quality_queries", "extract_queries", "geo_queries", "fact_queries", "unbounded", "page_queries", "report_table_queries", "file_queries")
 
 
 def _load() -> None:

@@ -117,21 +117,24 @@ def fd_violations(s, d):
     return Q.dependency_violations(D.table(s, d, "part"), "p_brand", ["p_type", "p_size"]).select("p_brand", text("low"), text("high"))
 
 
-@query("key_coverage", """a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT c_custkey AS o_custkey FROM customer)
+@query("key_coverage", """a AS (SELECT DISTINCT CASE WHEN o_custkey % 97 = 5 THEN -o_custkey ELSE o_custkey END AS o_custkey FROM orders), b AS (SELECT c_custkey AS o_custkey FROM customer)
   SELECT o_custkey, 'missing' AS side FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM a) UNION ALL SELECT o_custkey, 'unexpected' FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b)""".replace("a AS", "WITH a AS", 1))
 def key_coverage(s, d):
-    # which customers never ordered in a hurry
-    found, expected = D.table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey"), D.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    # customers that never ordered, and those whose key is misread in every order
+    key = F.when(F.col("o_custkey") % 97 == 5, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    found, expected = D.table(s, d, "orders").select(key.alias("o_custkey")), D.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return Q.key_coverage(found, expected, "o_custkey")
 
 
-@query("group_size_check", """f AS (SELECT c_nationkey, count(*) AS found FROM customer GROUP BY 1), e AS (SELECT c_nationkey, count(DISTINCT o_custkey) AS expected FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+@query("group_size_check", """f AS (SELECT CASE WHEN c_custkey % 97 = 5 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS c_nationkey, count(*) AS found FROM customer GROUP BY 1), e AS (SELECT c_nationkey, count(DISTINCT o_custkey) AS expected FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
   SELECT c_nationkey, expected, coalesce(found, 0) AS found FROM f FULL JOIN e USING (c_nationkey) WHERE found IS DISTINCT FROM expected""".replace("f AS", "WITH f AS", 1))
 def group_size_check(s, d):
     customer = D.table(s, d, "customer").select("c_custkey", "c_nationkey")
-    buyers = D.table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    buyers = D.table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     active = customer.join(buyers, "c_custkey", "left_semi")
-    return Q.group_sizes(customer, "c_nationkey", active.groupBy("c_nationkey").agg(F.count("*").alias("expected")))
+    # some customers are booked under the next nation
+    booked = customer.withColumn("c_nationkey", F.when(F.col("c_custkey") % 97 == 5, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey")))
+    return Q.group_sizes(booked, "c_nationkey", active.groupBy("c_nationkey").agg(F.count("*").alias("expected")))
 
 
 PRINT = """m AS (SELECT region, season_year, avg(fh) AS mean FROM effort JOIN dim USING (entity) WHERE fh IS NOT NULL GROUP BY ALL),

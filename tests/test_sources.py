@@ -67,7 +67,7 @@ def test_geojson_round_trip(spark, tmp_path):
 
 def test_documents(spark, star, tmp_path):
     sinks.write_envelope(star.dim.select("entity", "name"), str(tmp_path / "e"), "rows", ["entity"], source="test")
-    doc = json.loads("".join(p.read_text() for p in (tmp_path / "e").glob("part-*")))
+    doc = json.loads("".join(p.read_text() for p in (tmp_path / "e").rglob("part-*")))
     assert doc["source"] == "test" and [r["entity"] for r in doc["rows"]] == list(range(25))
     lines = spark.createDataFrame([(2, None, "b"), (1, 0.5, "a")], "k int, v double, s string")
     sinks.write_lines(lines, str(tmp_path / "l"), "k")
