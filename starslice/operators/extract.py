@@ -28,11 +28,11 @@ _STATE = "struct<stack: array<struct<t: int, cell: boolean>>, n: int, owners: ar
 
 
 def tag_stream(pages: DataFrame, html: str, table: str = "table", row: str = "tr", cell: str = "t[dh]") -> DataFrame:
-    """(.., _segments, _owners, _n): the markup cut before every start and end tag of a table, and the table that each piece belongs to.
+    """(.., _segments, _fold): the markup cut before every start and end tag of a table, and the table that each piece belongs to.
 
     A fold over the pieces keeps the stack of open tables, each with whether one of its cells is open. A start tag inside an open cell opens a
     nested table; elsewhere it ends the open one first, whose end tag is missing. An end tag without a start tag is ignored. ``opened`` is
-    the table that a piece opens and ``shut`` the one that its end tag closes. Tables are numbered by their start tags.
+    the table that a piece opens and ``shut`` the one that its end tag closes. Tables are numbered by their start tags; ``_fold.n`` is their number.
     """
     own = F.split(X.visible_markup(F.col(html)), rf"(?i)(?=</?(?:{table})[\s>])")
 
@@ -56,8 +56,7 @@ def tag_stream(pages: DataFrame, html: str, table: str = "table", row: str = "tr
 
     start = F.struct(F.array().alias("stack"), F.lit(0).alias("n"), F.array().alias("owners")).cast(_STATE)
     cut = pages.withColumn("_segments", F.coalesce(own, F.array().cast("array<string>")))
-    folded = cut.withColumn("_fold", F.aggregate("_segments", start, step))
-    return folded.select(*[c for c in pages.columns if c != html], "_segments", F.col("_fold.owners").alias("_owners"), F.col("_fold.n").alias("_n"))
+    return cut.select(*[c for c in pages.columns if c != html], "_segments", F.aggregate("_segments", start, step).alias("_fold"))
 
 
 def _own_text(table: str) -> Column:
@@ -67,8 +66,8 @@ def _own_text(table: str) -> Column:
 
 
 def _numbered(stream: DataFrame) -> DataFrame:
-    """One row per table."""
-    return stream.filter("_n > 0").withColumn("table_idx", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    """One row per table. A page without one goes in the generator: a filter would be pushed below the fold and evaluate it again."""
+    return stream.withColumn("table_idx", F.explode(F.when(F.col("_fold.n") > 0, F.sequence(F.lit(0), F.col("_fold.n") - 1)))).withColumn("_owners", F.col("_fold.owners"))
 
 
 def html_cells(pages: DataFrame, html: str, table: str = "table", row: str = "tr", cell: str = "t[dh]") -> DataFrame:
