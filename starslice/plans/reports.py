@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starslice.operators import aggregates as A
@@ -148,9 +148,19 @@ def best_worst_year(star: Star, spec: SliceSpec) -> DataFrame:
 
 
 # -- leaderboard and map --------------------------------------------------------------
+def board_order(sort: str = "rank", ascending: bool = True) -> list[Column]:
+    """The order of a board by rank, name, value, value2 or delta; equal rows by rank, then entity.
+
+    Rows without a rank or a second value are last in either direction; a row without a rank change counts as the lowest one.
+    """
+    c = F.col(sort)
+    last = c.asc_nulls_last() if ascending else c.desc_nulls_last()
+    return [last if sort != "delta" else c.asc_nulls_first() if ascending else c.desc_nulls_last(), F.col("rank").asc_nulls_last(), F.col("entity")]
+
+
 def leaderboard(star: Star, spec: SliceSpec, year: int, metric: str = "count", metric2: str = "", limit: int | None = None,
-                roles: M.Roles = M.ORDER_ROLES) -> DataFrame:
-    """Value, second metric, rank, rank change, six-season sparkline and share of the whole."""
+                roles: M.Roles = M.ORDER_ROLES, sort: str = "rank", ascending: bool = True) -> DataFrame:
+    """Value, second metric, rank, rank change, six-season sparkline and share of the whole, in the order that is asked for."""
     ids = [m for m in dict.fromkeys([metric, metric2]) if m]
     # shares are of the whole state, so the region is applied after the total (a z-score depends on its scope)
     late = "zscore" not in ids
@@ -169,7 +179,7 @@ def leaderboard(star: Star, spec: SliceSpec, year: int, metric: str = "count", m
     ranked = S.with_rank_delta(df, "value", not M.METRICS[metric].diverging, star.small)
     board = ranked.withColumn("spark", S.sparkline("base")).filter((F.col("season_year") == year) & F.col("value").isNotNull())
     out = board.select("entity", "name", "region", "value", "value2", "rank", "delta", "spark", "share")
-    out = out.orderBy(F.col("rank").asc_nulls_last(), "entity")
+    out = out.orderBy(*board_order(sort, ascending))
     return out.limit(limit) if limit else out
 
 

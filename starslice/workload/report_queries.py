@@ -38,6 +38,11 @@ def leaderboard_top15(s, d):
     return _board(s, d, limit=15)
 
 
+@query("leaderboard_sorted", f"{BOARD} ORDER BY delta DESC NULLS LAST, rank NULLS LAST, entity LIMIT 9", "series")
+def leaderboard_sorted(s, d):
+    return _board(s, d, limit=9, sort="delta", ascending=False)
+
+
 @query("map_values", """z AS (SELECT avg(v / area) AS m, stddev_pop(v / area) AS sd FROM series WHERE season_year = 1999 AND v > 0)
   SELECT 'entity' AS grain, entity, season_year, round((v / area - m) / sd, 6) AS value FROM series, z WHERE season_year = 1999
   UNION ALL SELECT 'total', NULL, season_year, CAST(sum(v) AS DOUBLE) FROM series GROUP BY season_year UNION ALL SELECT 'selected', entity, season_year, CAST(v AS DOUBLE) FROM series WHERE entity = 6""", "series")

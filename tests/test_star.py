@@ -152,3 +152,13 @@ def test_facts_text(star):
     assert [r.priority for r in top] == sorted(r.priority for r in top) and len(top) == 8
     empty = SliceSpec(species="O", portions=("no_such",))
     assert make_facts(star, empty, 2000, "deer").count() == 0
+
+
+def test_board_order(spark):
+    data = [(1, "c", 5.0, None, 2, 1), (2, "a", 9.0, 0.5, 1, None), (3, "b", 5.0, 0.1, 2, -3), (4, "d", 0.0, 0.9, None, None)]
+    df = spark.createDataFrame(data, "entity int, name string, value double, value2 double, rank int, delta int")
+    by = lambda *how: [r.entity for r in df.orderBy(*R.board_order(*how)).collect()]
+    assert by() == [2, 1, 3, 4] and by("rank", False) == [1, 3, 2, 4]
+    assert by("name") == [2, 3, 1, 4] and by("value", False) == [2, 1, 3, 4]
+    assert by("value2") == [3, 2, 4, 1] and by("value2", False) == [4, 2, 3, 1]
+    assert by("delta") == [2, 4, 3, 1] and by("delta", False) == [1, 3, 2, 4]
