@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,24 @@ def name_search(names: DataFrame, needles: list[str], column: str, tie: str, lim
     # positions are numbered inside one array of at most ``limit`` rows
     ranked = best.agg(F.sort_array(F.collect_list(F.struct("_late", "_key", tie, *[c for c in names.columns if c != tie]))).alias("r"))
     return ranked.select(F.posexplode("r").alias("_pos", "r")).select("r.*", (F.col("_pos") + 1).cast("int").alias("pos"))
+
+
+def search_log(log: DataFrame, names: DataFrame, needle: str, column: str, tie: str, limit: int = 8) -> DataFrame:
+    """Each row of ``log`` with its matches (``tie``, ``column``) and their position ``pos``: the answers ``name_search`` gives, for a whole log of searches.
+
+    Searches are made distinct first. Names are listed under those of their parts that are searched for and met by equality, so no search is
+    compared with all names; of a part that very many names hold, the best ``limit`` are picked before the shuffle as well as after it. The
+    list of a name grows with the square of its length. Empty and null searches and null names match nothing.
+    """
+    wanted = fold(F.col(needle))
+    asked = log.select(wanted.alias("_needle")).filter("length(_needle) > 0").distinct()
+    lengths = asked.agg(F.array_sort(F.collect_set(F.length("_needle"))).alias("_lengths"))  # at most as many as a name is long are used
+    keyed = names.select(F.col(tie), F.col(column), fold(F.col(column)).alias("_key")).filter("length(_key) > 0").join(F.broadcast(lengths))
+    used = F.filter("_lengths", lambda n: n <= F.length("_key"))
+    parts = F.flatten(F.transform(used, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length("_key") - n + 1), lambda i: F.struct(F.substring(F.col("_key"), i, n).alias("_needle"), F.when(i == 1, 0).otherwise(1).alias("_late")))))
+    listed = keyed.select(tie, column, "_key", F.inline(parts)).join(asked, "_needle", "left_semi")
+    listed = listed.groupBy("_needle", tie, column, "_key").agg(F.min("_late").alias("_late"))
+    best = Window.partitionBy("_needle").orderBy("_late", "_key", tie)
+    top = listed.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= limit).select("_needle", tie, column, "pos")
+    return log.withColumn("_needle", wanted).join(top, "_needle").select(*log.columns, tie, column, "pos")

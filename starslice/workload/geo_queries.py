@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
+from starslice.operators import cover as C
 from starslice.operators import geo as G
 from starslice.runtime import shared_dir
 from starslice.sources import driver_tables as D
@@ -207,6 +209,24 @@ def point_in_polygon(s, d):
     return per.unionByName(bad)
 
 
+@query("cover_points", """WITH c AS (SELECT s_suppkey AS geom, ((s_suppkey * 7919) % 10007) / 100.0::DOUBLE AS cx, ((s_suppkey * 104729) % 10009) / 200.0::DOUBLE AS cy FROM supplier),
+  v AS (SELECT geom, cx, cy, seq, 1.0::DOUBLE + ((geom * 31 + (seq % 60) * (seq % 60) * 7) % 13) / 10.0::DOUBLE AS r, 2 * pi() * (seq % 60) / 60 AS t FROM c, (SELECT unnest(range(0, 61)) AS seq)),
+  e AS (SELECT geom, cx + r * cos(t) AS x1, cy + r * sin(t) AS y1, cx + lead(r) OVER w * cos(lead(t) OVER w) AS x2, cy + lead(r) OVER w * sin(lead(t) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY geom ORDER BY seq)),
+  p AS (SELECT o_orderkey, ((o_orderkey * 7919) % 100003) / 1000.07::DOUBLE AS x, ((o_orderkey * 104729) % 100019) / 2000.09::DOUBLE AS y FROM orders),
+  near AS (SELECT o_orderkey, x, y, geom FROM p JOIN c ON abs(x - cx) < 2.5 AND abs(y - cy) < 2.5)
+  SELECT o_orderkey, geom FROM near JOIN e USING (geom) WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY o_orderkey, geom HAVING count(*) % 2 = 1""")
+def cover_points(s, d):
+    """A jagged ring of sixty edges for each supplier, overlapping others; each order is a point."""
+    k, step = F.col("s_suppkey"), F.col("seq") % 60
+    r, t = F.lit(1.0) + ((k * 31 + step * step * 7) % 13) / 10.0, step * (2 * math.pi / 60)
+    rings = D.table(s, d, "supplier").select(k, F.explode(F.sequence(F.lit(0), F.lit(60))).alias("seq")).select(
+        k.alias("geom"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq",
+        (F.pmod(k * 7919, F.lit(10007)) / 100.0 + r * F.cos(t)).alias("x"), (F.pmod(k * 104729, F.lit(10009)) / 200.0 + r * F.sin(t)).alias("y"))
+    o = F.col("o_orderkey")
+    points = D.table(s, d, "orders").select(o, (F.pmod(o * 7919, F.lit(100003)) / 1000.07).alias("x"), (F.pmod(o * 104729, F.lit(100019)) / 2000.09).alias("y"))
+    return C.point_in_polygon(points, rings).select("o_orderkey", "geom")
+
+
 @query("live_season", """SELECT entity, CAST(period AS VARCHAR) AS period, count(*) AS samples, CAST(sum(positive) AS BIGINT) AS positives, period < DATE '2024-01-08' AS closed FROM samples GROUP BY samples.entity, samples.period""", "samples")
 def live_season(s, d):
     """The live part lands in three drops, each with rows of all days (late ones) and repeats of the drop before; the last batch is replayed."""

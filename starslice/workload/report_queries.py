@@ -149,6 +149,19 @@ def nearest_k(s, d):
     return R.nearest(pts, 17, 5).select("entity", F.round("dist", 6).alias("dist"))
 
 
+@query("nearest_all", """WITH pts AS (SELECT c_custkey AS entity, ((c_custkey * 7919) % 10007) / 100.0::DOUBLE AS lon, ((c_custkey * 104729) % 10009) / 200.0::DOUBLE AS lat FROM customer),
+  d AS (SELECT a.entity, b.entity AS neighbor, pow((b.lon - a.lon) * cos(radians(a.lat)), 2) + pow(b.lat - a.lat, 2) AS dist FROM pts a JOIN pts b ON a.entity <> b.entity)
+  SELECT entity, neighbor, round(dist, 6) AS dist, CAST(row_number() OVER (PARTITION BY entity ORDER BY dist, neighbor) AS INT) AS pos FROM d QUALIFY pos <= 5""")
+def nearest_all(s, d):
+    from starslice.operators.nearest import nearest_all as every
+
+    key = F.col("c_custkey")
+    pts = D.table(s, d, "customer").select(
+        key.alias("entity"), (F.pmod(key * 7919, F.lit(10007)) / 100.0).alias("lon"), (F.pmod(key * 104729, F.lit(10009)) / 200.0).alias("lat")
+    )
+    return every(pts, 5).withColumn("dist", F.round("dist", 6))
+
+
 H2H = """mem AS (SELECT 0 AS side, false AS isr, entity FROM dim WHERE entity = 4 UNION ALL SELECT 1, true, entity FROM dim WHERE region = 'ASIA'),
   ab AS (SELECT entity, season_year, sum(CASE WHEN class = 'A' THEN cnt END) AS b, sum(CASE WHEN class = 'N' THEN cnt END) AS n FROM fact WHERE NOT is_subtotal GROUP BY ALL),
   cell AS (SELECT season_year, portion, entity, sum(cnt) AS d FROM fact WHERE NOT is_subtotal GROUP BY ALL), ex AS (SELECT entity, season_year, sum(attr_a) AS num, sum(coalesce(d, 0)) AS den FROM attrs LEFT JOIN cell USING (season_year, portion, entity) GROUP BY ALL),

@@ -211,3 +211,22 @@ def name_search(s, d):
         F.concat(F.lit("Nation "), F.regexp_extract(F.lower("c_name"), r"#0*(\d+)$", 1)).alias("key"),
     )
     return search(names, ["nation 1", "77"], "key", "entity", 8).select("entity", "label", "pos")
+
+
+@query("search_log", """WITH names AS (SELECT c_custkey AS entity, 'nation ' || regexp_extract(lower(c_name), '#0*(\\d+)$', 1) AS key FROM customer),
+  log AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'nation ' || (o_custkey % 29) WHEN 1 THEN CAST(o_orderkey % 500 AS VARCHAR) WHEN 2 THEN 'on ' || (o_custkey % 7) ELSE '' END AS needle FROM orders),
+  hit AS (SELECT needle, entity, row_number() OVER (PARTITION BY needle ORDER BY CASE WHEN starts_with(key, needle) THEN 0 ELSE 1 END, key, entity) AS pos FROM (SELECT DISTINCT needle FROM log WHERE needle <> '') JOIN names ON contains(key, needle) QUALIFY pos <= 8)
+  SELECT o_orderkey, entity, CAST(pos AS INT) AS pos FROM log JOIN hit USING (needle)""")
+def search_log(s, d):
+    """A log of searches, one an order; a quarter of them are empty."""
+    from starslice.operators.search import search_log as searched
+
+    names = D.table(s, d, "customer").select(
+        F.col("c_custkey").alias("entity"), F.concat(F.lit("Nation "), F.regexp_extract(F.lower("c_name"), r"#0*(\d+)$", 1)).alias("name"))
+    o, kind = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    needle = (
+        F.when(kind == 0, F.concat(F.lit("NATION "), (F.col("o_custkey") % 29).cast("string"))).when(kind == 1, (o % 500).cast("string"))
+        .when(kind == 2, F.concat(F.lit("On "), (F.col("o_custkey") % 7).cast("string"))).otherwise("")
+    )
+    log = D.table(s, d, "orders").select("o_orderkey", needle.alias("needle"))
+    return searched(log, names, "needle", "name", "entity").select("o_orderkey", "entity", "pos")
