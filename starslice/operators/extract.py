@@ -424,13 +424,23 @@ def hunter_distribution(reports: DataFrame, text: str, heading: str = DISTRIBUTI
 
 
 # -- shared links -----------------------------------------------------------------------------
+def _parameters(url: str) -> Column:
+    """The parameters of a link's query string as [name, value] in order; links that are no valid addresses are read alike, so none fails the job."""
+    query = F.coalesce(F.regexp_extract(F.col(url), r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+    return F.transform(F.split(query, "&"), lambda p: F.split(p, "=", 2))
+
+
+def _parameter(parameters: str, name: str) -> Column:
+    """The decoded value of the first parameter of that name; empty where there is none or its value can't be decoded."""
+    found = F.filter(parameters, lambda p: F.get(p, F.lit(0)) == name)
+    return F.coalesce(F.try_url_decode(F.get(F.get(found, F.lit(0)), F.lit(1))), F.lit(""))
+
+
 def filter_links(links: DataFrame, url: str, species: dict[str, tuple[int, int]], default: str, seasons: tuple[str, ...],
                  methods: tuple[str, ...], entity_pattern: str = r"^\d{5}$", region_chars: int | None = None,
                  most_entities: int | None = None) -> DataFrame:
     """Query strings of shared links to validated slices: bad values fall back, years are clamped."""
-    query = F.parse_url(F.col(url), F.lit("QUERY"))
-    q = F.str_to_map(F.coalesce(query, F.lit("")), F.lit("&"), F.lit("="))
-    get = lambda k: F.coalesce(F.try_url_decode(F.element_at("_q", F.lit(k))), F.lit(""))
+    get = lambda k: _parameter("_q", k)
     one_of = lambda v, allowed: F.when(v.isin(*allowed), v).otherwise("")
     words = lambda v, pat: F.filter(F.split(v, ","), lambda w: w.rlike(pat))
     sp = F.when(get("sp").isin(*species), get("sp")).otherwise(default)
@@ -440,7 +450,7 @@ def filter_links(links: DataFrame, url: str, species: dict[str, tuple[int, int]]
     # a missing, malformed or zero bound means the full range
     number = lambda c: F.when(X.strip(c).rlike(r"^\d{1,9}$"), X.strip(c).try_cast("int"))
     bound = lambda c: F.when(number(c) != 0, number(c))
-    df = links.withColumn("_q", q).withColumn("species", sp)
+    df = links.withColumn("_q", _parameters(url)).withColumn("species", sp)
     df = df.withColumn("year_to", F.greatest(F.least(F.coalesce(bound(F.get(span, F.lit(1))), hi), hi), lo))
     df = df.withColumn("year_from", F.greatest(F.least(F.coalesce(bound(F.get(span, F.lit(0))), lo), F.col("year_to")), lo))
     picked, entities = number(get("yr")), words(get("co"), entity_pattern)
@@ -452,3 +462,32 @@ def filter_links(links: DataFrame, url: str, species: dict[str, tuple[int, int]]
         words(get("c"), r"^[a-z_]+$").alias("classes"), (F.substring(get("r"), 1, region_chars) if region_chars else get("r")).alias("region"),
         (F.slice(entities, 1, most_entities) if most_entities else entities).alias("entities"),
     )
+
+
+def view_links(links: DataFrame, url: str, kinds: tuple[str, ...], default: str, views: tuple[str, ...], metrics: dict[str, tuple[str, ...]], layers: dict[str, str],
+               second: dict[str, tuple[str, ...]] | None = None, entity_pattern: str = r"^\d{5}$", region_pattern: str = r"^region:[A-Za-z. ]{1,30}$") -> DataFrame:
+    """What shared links show, beside their slice: (.., species, view, metric, metric2, selected, compare_a, compare_b, layers).
+
+    ``metrics`` and ``second`` (the same where it isn't given) name for each metric the species that it applies to. An unknown view is the first of ``views``; a metric that is
+    unknown or doesn't apply is the first of ``metrics``, and no second one. A bad entity or compared place is the empty string; a place is an entity or a named region. ``layers``
+    maps layers to their tokens in links; those found come in the order of ``layers``, each once. A parameter's first occurrence counts.
+    """
+    get = lambda k: _parameter("_q", k)
+
+    def for_kind(value: Column, of: dict[str, tuple[str, ...]], otherwise: str) -> Column:
+        fits = [F.col("species").isin(*own) & (value == m) for m, own in of.items()]
+        return F.when(reduce(lambda a, b: a | b, fits, F.lit(False)), value).otherwise(otherwise)
+
+    words = lambda v: F.split(v, ",")
+    place = lambda w: F.when(w.rlike(entity_pattern) | w.rlike(region_pattern), w).otherwise("")
+    # empty words don't count as places
+    sides = F.filter(words(get("cmp")), lambda w: w != "")
+    tokens = words(get("ov"))
+    shown = F.filter(F.array(*[F.when(F.array_contains(tokens, token), F.lit(layer)) for layer, token in layers.items()]), lambda x: x.isNotNull())
+    df = links.withColumn("_q", _parameters(url)).withColumn("species", F.when(get("sp").isin(*kinds), get("sp")).otherwise(default))
+    return df.select(
+        *links.columns, "species", F.when(get("view").isin(*views), get("view")).otherwise(views[0]).alias("view"),
+        for_kind(get("metric"), metrics, next(iter(metrics))).alias("metric"), for_kind(get("m2"), second or metrics, "").alias("metric2"),
+        F.when(get("sel").rlike(entity_pattern), get("sel")).otherwise("").alias("selected"),
+        *[F.coalesce(place(F.get(sides, F.lit(k))), F.lit("")).alias(f"compare_{side}") for k, side in enumerate("ab")], shown.alias("layers"),
+    )

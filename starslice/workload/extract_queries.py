@@ -197,6 +197,27 @@ def filter_links(s, d):
     )
 
 
+@query("view_links", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderstatus = 'F' THEN 'turkey' ELSE 'deer' END AS species FROM orders)
+  SELECT k AS o_orderkey, species, CASE k % 3 WHEN 0 THEN 'board' WHEN 1 THEN 'map' ELSE 'map' END AS view,
+    CASE WHEN k % 2 = 0 THEN 'count' WHEN species = 'deer' THEN 'buck_doe' ELSE 'count' END AS metric, CASE WHEN species = 'turkey' AND c % 2 = 0 THEN 'public_land_share' ELSE '' END AS metric2,
+    CASE WHEN c % 5 = 0 THEN '' ELSE lpad(CAST(c % 1000 AS VARCHAR), 5, '0') END AS selected, lpad(CAST(c % 1000 AS VARCHAR), 5, '0') AS compare_a, CASE WHEN k % 5 = 0 THEN '' ELSE 'region:MIDDLE EAST' END AS compare_b,
+    CASE WHEN c % 3 = 0 THEN 'roads,sites' ELSE 'sites' END AS layers FROM o""")
+def view_links(s, d):
+    """What shared links show, written from order fields and read back; some name unknown views, metrics that don't apply, bad places and layers."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    code = F.lpad((c % 1000).cast("string"), 5, "0")
+    link = F.concat(
+        F.lit("https://stars.example/?view="), F.when(k % 3 == 0, "board").when(k % 3 == 1, "map").otherwise("globe"),
+        F.when(F.col("o_orderstatus") == "F", "&sp=turkey").otherwise("&sp=bear"), F.when(k % 2 == 0, "&metric=nothing").otherwise("&metric=buck_doe"),
+        F.when(c % 2 == 0, "&m2=public_land_share").otherwise("&m2="), F.when(c % 5 == 0, "&sel=1234").otherwise(F.concat(F.lit("&sel="), code)),
+        F.lit("&cmp=,"), code, F.when(k % 5 == 0, ",place").otherwise(",region%3AMIDDLE%20EAST"), F.when(c % 3 == 0, "&ov=s,zz,r,s").otherwise("&ov=s"),
+    )
+    links = D.table(s, d, "orders").select("o_orderkey", link.alias("url"))
+    out = E.view_links(links, "url", ("deer", "turkey"), "deer", ("map", "board", "trends"),
+                       {"count": ("deer", "turkey"), "buck_doe": ("deer",), "public_land_share": ("turkey",)}, {"roads": "r", "sites": "s"})
+    return out.withColumn("layers", F.array_join("layers", ",")).drop("url")
+
+
 @query("feature_pages", """SELECT county, samples, positives, since FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS county, c_custkey AS samples, CAST(c_acctbal > 0 AS INT) AS positives, CAST(c_acctbal AS DOUBLE) AS since FROM customer)
   WHERE samples >= 300 AND county IS NOT NULL AND positives = 1""")
 def feature_pages(s, d):

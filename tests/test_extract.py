@@ -172,3 +172,21 @@ def test_links(spark):
     assert (a.species, a.year_from, a.year_to, a.year, a.season, a.portions, a.entities, a.region) == ("turkey", 2000, 2024, 2005, "fall", ["spring"], ["29001", "29003"], "North East")
     assert (b.species, b.year_from, b.year_to, b.year, b.portions) == ("deer", 2015, 2025, 2025, [])
     assert (c.year_from, c.year_to, c.method, c.youth) == (2016, 2016, "archery", "")
+
+
+def test_view_links_fall_back_field_by_field(spark):
+    urls = ["https://x.example/?view=board&metric=b&m2=a&sel=00012&cmp=00001,region%3AUp%20St.&ov=t,r,t", "https://x.example/?view=&sp=y&metric=b&m2=b&sel=12&cmp=region%3A9,00002,00003",
+            "https://x.example/", None, "not a url at all", "https://x.example/?view=board&view=map&cmp=,,00004&sel=%zz&ov"]
+    links = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    got = {r.i: tuple(r)[2:] for r in E.view_links(links, "url", ("x", "y"), "x", ("map", "board"), {"a": ("x", "y"), "b": ("x",)}, {"roads": "r", "trails": "t"}).collect()}
+    assert got[0] == ("x", "board", "b", "a", "00012", "00001", "region:Up St.", ["roads", "trails"])
+    assert got[1] == ("y", "map", "a", "", "", "", "00002", [])
+    plain = ("x", "map", "a", "", "", "", "", [])
+    assert got[2] == got[3] == got[4] == plain
+    assert got[5] == ("x", "board", "a", "", "", "00004", "", [])
+
+
+def test_malformed_links_are_read_as_far_as_they_go(spark):
+    links = spark.createDataFrame([("http://a b/?y=2016-2017&y=1-2#y=3",), (None,), ("http://x/?y=%zz",)], "url string")
+    df = E.filter_links(links, "url", {"deer": (2015, 2025)}, "deer", ("spring",), ("archery",))
+    assert sorted((r.year_from, r.year_to) for r in df.collect()) == [(2015, 2025)] * 2 + [(2016, 2017)]
