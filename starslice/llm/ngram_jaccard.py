@@ -169,10 +169,14 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.select("token", "id").repartition("token").sortWithinPartitions("token", "id").mapInArrow(shared, "token long, id long")
 
 
-def apart(a: str, b: str) -> Column:
+def apart(a: str, b: str, t: Fraction) -> Column:
     """A lower bound of the number of tokens that only one of two sets has: bits in which their parities differ, after the wider
-    one is folded to the other's width."""
+    one is folded to the other's width. Sets of similarity ``t`` have widths of one power of two apart, or more if ``t`` is below a half."""
     def folded(x, other):
+        if 2 * t < 1:
+            to = F.size(other)
+            return F.when(F.size(x) > to, F.transform(F.sequence(F.lit(0), to - 1), lambda i: F.aggregate(
+                F.sequence(i, F.size(x) - 1, to), F.lit(0).cast("long"), lambda total, j: total.bitwiseXOR(F.get(x, j))))).otherwise(x)
         half = F.size(x) / 2
         halves = F.zip_with(F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))
         return F.when(F.size(x) > F.size(other), halves).otherwise(x)
@@ -258,7 +262,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
         shared = " AND ".join("(" + " OR ".join(f"(ba[{j}] & bb[{j}]) <> 0" for j in range(o * half, (o + 1) * half)) + ")" for o in range(len(ORDERS)))
         for what, fits in (("bits", F.expr(shared)),
                            # of sets of similarity t, at most a share (1 - t) / (1 + t) of all tokens is in one only
-                           ("parity", apart("pa", "pb") * (t.denominator + t.numerator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator))):
+                           ("parity", apart("pa", "pb", t) * (t.denominator + t.numerator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator))):
             for side in "ab":
                 pairs = pairs.join(reps.select(F.col("id").alias(side), *([F.col("n").alias(f"n{side}")] if what == "parity" else []), F.col(what).alias(f"{what[0]}{side}")), side)
             pairs = pairs.filter(fits).select("a", "b", "token")
@@ -278,13 +282,20 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def greatest_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each id, one of those with its greatest text."""
+    text = F.struct(F.col(text_col).isNotNull(), F.col(text_col))  # never null, so null texts are ordered, too
+    best = docs.groupBy(F.col(id_col).alias("key")).agg(F.max_by(F.struct(*[F.col(c) for c in docs.columns]), text).alias("row"))
+    return best.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the smallest id of each component; rows with a null id stay, of repeated ids one row stays."""
+    """``docs`` with the smallest id of each component; rows with a null id stay, of a repeated id a row with its greatest text."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
     rows = jaccard_components(docs, id_col, **options)
     others = scratch.put("others", rows.filter(F.col("component_id") != F.col(id_col)).select(id_col))
     few = others.limit(SEMI_ROWS + 1).count() <= SEMI_ROWS
     kept = docs.join(F.broadcast(others) if few else others, docs[id_col].cast("long") == others[id_col], "left_anti")
     if kept.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
-        kept = kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+        kept = kept.filter(F.col(id_col).isNull()).unionByName(greatest_texts(kept.filter(F.col(id_col).isNotNull()), id_col, options.get("text_col", "text")))
     return kept
