@@ -10,7 +10,7 @@ share is one row on each side.
 
 Defined results: null roles and texts count as values of their own and render as the empty string; turns with equal numbers are
 ordered by role and text, and repeated rows stay repeated turns; rows with a null conversation id are ignored; null turns come first;
-extra columns are ignored. Empty tables give empty results.
+extra columns are ignored. Empty tables give empty results. A rendered conversation is one row and must fit in it.
 """
 
 from __future__ import annotations
@@ -23,23 +23,42 @@ from starslice.llm.common import Scratch
 TEMPLATE = ("<|", "|>\n", "\n")  # before the role, between role and text, after a turn
 
 
-def prefixes(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv, n, h0..h3): every prefix of n turns of each conversation and its hash."""
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+def prefixes(turns: DataFrame, conv: str, turn: str, role: str, text: str, scratch: Scratch) -> DataFrame:
+    """(conv, n, h0..h3): every prefix of n turns of each conversation and its hash.
+
+    Turns are dealt by range over (conv, turn, role, text), so a conversation that holds very many of them is spread over parts; each part numbers and
+    sums its own turns, and a conversation that goes on in a later part takes the sums of the parts before along.
+    """
+    order = ["conv", "turn", "role", "text"]
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).filter("conv IS NOT NULL")
-    rows = rows.withColumn("n", F.row_number().over(order))
-    own = [F.col("n"), F.col("role"), F.col("role").isNull(), F.col("text"), F.col("text").isNull()]
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.put("dealt", rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    numbered = with_carry(dealt.withColumn("one", F.lit(1).cast("long")), {"one": "n"}, order)
+    own = [F.col("n").cast("int"), F.col("role"), F.col("role").isNull(), F.col("text"), F.col("text").isNull()]
     a, b = F.xxhash64(F.lit(1), *own), F.xxhash64(F.lit(2), *own)
-    parts = [a.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(a, 32), b.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(b, 32)]
-    run = Window.partitionBy("conv").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("conv", "turn", "role", "text", "n", *[p.alias(f"p{k}") for k, p in enumerate(parts)])
-    return rows.select("conv", "n", *[F.sum(f"p{k}").over(run).alias(f"h{k}") for k in range(4)])
+    parts_of = [a.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(a, 32), b.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(b, 32)]
+    hashed = scratch.put("hashed", numbered.select("conv", "part", "n", *[p.alias(f"p{k}") for k, p in enumerate(parts_of)]))
+    return with_carry(hashed, {f"p{k}": f"h{k}" for k in range(4)}, ["conv", "n"]).select("conv", F.col("n").cast("int").alias("n"), *[f"h{k}" for k in range(4)])
+
+
+def with_carry(dealt: DataFrame, sums: dict[str, str], order: list[str]) -> DataFrame:
+    """``dealt`` with the running sums of its columns in each conversation. ``part`` ascends with the order of all rows.
+
+    A conversation in several parts begins, fills or ends them: there are at most two such rows a part to carry sums between.
+    """
+    run = Window.partitionBy("part", "conv").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = dealt.groupBy("conv", "part").agg(*[F.sum(c).alias(c) for c in sums])
+    several = of_part.groupBy("conv").agg(F.count("*").alias("parts")).filter("parts > 1")
+    carried = of_part.join(several, "conv", "left_semi").select("conv", "part", *[F.sum(c).over(before).alias(f"_{c}") for c in sums])
+    own = dealt.withColumns({out: F.sum(c).over(run) for c, out in sums.items()}).drop(*[c for c in sums if c != "n"])
+    return own.join(carried, ["conv", "part"], "left").withColumns({out: F.col(out) + F.coalesce(f"_{c}", F.lit(0)) for c, out in sums.items()})
 
 
 def collapsed(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, n_turns, n_copies): the maximal conversations, each with the number of conversations equal to it, itself included."""
     scratch = Scratch(turns.sparkSession, "chat")
-    every = scratch.put("prefixes", prefixes(turns, conv, turn, role, text))
+    every = scratch.put("prefixes", prefixes(turns, conv, turn, role, text, scratch))
     key = ["n", "h0", "h1", "h2", "h3"]
     length = every.groupBy("conv").agg(F.max(F.struct(*key)).alias("last"))
     whole = length.select("conv", "last.*").groupBy(*key).agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from starslice.llm import line_dedup, ngram_jaccard
+from starslice.llm import chat, line_dedup, ngram_jaccard
+from starslice.llm.common import Scratch
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -74,3 +75,34 @@ def test_line_dedup_table(spark):
     got = {r.doc_id: [w.decode() for w in r.text.encode().split()] for r in line_dedup.dedup_lines(docs).collect()}
     brute = windows_left({i: " ".join(t.split(" ")) for i, t in texts.items()}, 20)
     assert {i: len(w) for i, w in got.items()} == {i: len(w) for i, w in brute.items()}
+
+
+def test_jaccard_below_a_half(spark):
+    """A text and its first part link at a low threshold, though their sets' parities have widths of several powers of two apart."""
+    words = [f"w{k}" for k in range(900)]
+    texts = {1: words[:290], 2: words[:100], 3: words[300:], 4: words[300:490], 5: ["other", *words[:40]]}
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_jaccard.jaccard_components(rows, size=1, threshold=0.3).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1}  # 5 and 2: 40 of 101
+
+
+def test_one_of_each_keeps_the_greatest_text_of_a_repeated_id(spark):
+    rows = spark.createDataFrame([(1, "a b c", "x"), (1, "z y w", "y"), (1, None, "n"), (2, None, "n"), (2, None, "n"), (None, "q", "z")], "doc_id long, text string, source string")
+    kept = sorted((tuple(x) for x in ngram_jaccard.one_of_each(rows).collect()), key=repr)
+    assert kept == [(1, "z y w", "y"), (2, None, "n"), (None, "q", "z")]
+
+
+def test_prefixes_of_a_conversation_in_many_parts(spark):
+    """One conversation holds most turns; prefixes are numbered, equal and different as in a plain count."""
+    def turns(conv, n, odd=None):
+        return [(conv, t, "user" if t % 2 else "assistant", f"said {t}" if t != odd else "else") for t in range(n)]
+
+    data = turns(1, 700) + turns(2, 30) + turns(3, 400, odd=399) + turns(4, 700) + [(5, None, None, None)] * 3 + [(None, 1, "user", "x")]
+    frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    made = chat.prefixes(frame, "conv_id", "turn", "role", "text", Scratch(spark, "test"))
+    found = {(r.conv, r.n): (r.h0, r.h1, r.h2, r.h3) for r in made.collect()}
+    assert sorted(found) == [(c, n + 1) for c, size in ((1, 700), (2, 30), (3, 400), (4, 700), (5, 3)) for n in range(size)]
+    assert all(found[1, n] == found[4, n] for n in range(1, 701)) and all(found[2, n] == found[1, n] for n in range(1, 31))
+    assert all(found[3, n] == found[1, n] for n in range(1, 400)) and found[3, 400] != found[1, 400]
+    assert len(set(found.values())) == 704
+    assert sorted(tuple(r) for r in chat.collapsed(frame).collect()) == [(1, 700, 2), (3, 400, 1), (5, 3, 1)]
