@@ -15,12 +15,12 @@ from starslice.sources.star import Star, partial_periods
 
 
 # -- trends -------------------------------------------------------------------------
-def trend_lines(star: Star, spec: SliceSpec, entities: list, mode: str = "count") -> DataFrame:
+def trend_lines(star: Star, spec: SliceSpec, entities: list, mode: str = "count", may_be_partial: bool = True) -> DataFrame:
     """(line, season_year, value): the scope total plus one line per chosen entity.
 
     ``count`` hides the total when entities are chosen; ``per_sqmi`` divides by the area;
     ``index`` sets the first positive value to 100 and leaves partial periods out unless
-    only spring is shown.
+    only spring is shown or the species has none (``may_be_partial``).
     """
     free = spec.patch(region="")
     dense = star.measures(free, {"v": free}, keep_seasons=True)
@@ -40,18 +40,19 @@ def trend_lines(star: Star, spec: SliceSpec, entities: list, mode: str = "count"
     if mode == "per_sqmi":
         return lines.select("line", "season_year", ratio("v", "area").alias("value"))
     if mode == "index":
-        if spec.season != "spring":
+        if may_be_partial and spec.season != "spring":
             partial = partial_periods(dense).withColumn("_partial", F.lit(True))
             lines = lines.join(partial, "season_year", "left").withColumn("v", F.when(F.col("_partial").isNull(), F.col("v")))
         return lines.select("line", "season_year", S.index_100("v", "line").alias("value"))
     return lines.select("line", "season_year", F.col("v").cast("double").alias("value"))
 
 
-def compare_species(whole: Star, spec: SliceSpec, pair: tuple[str, str]) -> DataFrame:
+def compare_species(whole: Star, spec: SliceSpec, pair: tuple[str, str], may_be_partial: tuple[str, ...] | None = None) -> DataFrame:
     """Two species on the union of their periods, each indexed to its first full period.
 
     Only the period range, region and method of the slice apply to both lines. Both lines and the
-    test for partial periods come from one pass over the fact.
+    test for partial periods come from one pass over the fact. ``may_be_partial`` names the species that are tested (all
+    where it isn't given); a period of another one counts whole.
     """
     reduced = SliceSpec(method=spec.method)
     rows = A.in_region(whole, spec.region).filter(F.col("species").isin(*pair))
@@ -59,7 +60,8 @@ def compare_species(whole: Star, spec: SliceSpec, pair: tuple[str, str]) -> Data
         F.bool_or(F.col("season") == "fall").alias("full"),
         F.sum(F.when(reduced.category_predicate() & F.col("_in"), F.col("cnt")).otherwise(0)).alias("v"),
     ).filter(spec.period_predicate())
-    value = kept.withColumn("v", F.when(F.col("full"), F.col("v"))).withColumn("value", S.index_100("v", "species"))
+    whole_period = F.col("full") if may_be_partial is None else F.col("full") | ~F.col("species").isin(*may_be_partial)
+    value = kept.withColumn("v", F.when(whole_period, F.col("v"))).withColumn("value", S.index_100("v", "species"))
     side = lambda sp: F.max(F.when(F.col("species") == sp, F.col("value")))
     return value.groupBy("season_year").agg(side(pair[0]).alias("first"), side(pair[1]).alias("second"))
 

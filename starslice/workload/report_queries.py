@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from starslice.plans import metrics as M
@@ -124,6 +126,28 @@ def compare_series(s, d):
     return rounded(R.compare_species(whole, SliceSpec(year_from=1996, method="firearm", season="fall"), ("O", "F")), "first", "second")
 
 
+GATED = """y AS (SELECT species, season_year, CASE WHEN species <> 'F' OR bool_or(season = 'fall') THEN coalesce(sum(CASE WHEN NOT is_subtotal THEN cnt END), 0) END AS v FROM fact0 WHERE season_year >= 1996 AND (season = 'spring' OR season_year < 1998) GROUP BY species, season_year),
+  i AS (SELECT species, season_year, round(100 * v / CAST(first_value(CASE WHEN v > 0 THEN v END IGNORE NULLS) OVER (PARTITION BY species ORDER BY season_year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE), 6) AS value FROM y)"""
+
+
+def _spring_since_1998(s, d):
+    whole = D.star(s, d, "")
+    return replace(whole, fact=whole.fact.filter("season = 'spring' OR season_year < 1998"), reread=None)
+
+
+@query("compare_series_gated", f"""{GATED} SELECT coalesce(a.season_year, b.season_year) AS season_year, a.value AS first, b.value AS second FROM (SELECT * FROM i WHERE species = 'O') a FULL JOIN (SELECT * FROM i WHERE species = 'F') b ON a.season_year = b.season_year""", "fact")
+def compare_series_gated(s, d):
+    """Autumn rows end with 1997; only the second species is one whose periods can be partial."""
+    return rounded(R.compare_species(_spring_since_1998(s, d), SliceSpec(year_from=1996), ("O", "F"), may_be_partial=("F",)), "first", "second")
+
+
+@query("trend_index_gated", f"{GATED} SELECT season_year, value FROM i WHERE species = 'O'", "fact")
+def trend_index_gated(s, d):
+    """The index line of a species without partial periods keeps periods that have spring rows only."""
+    lines = R.trend_lines(_spring_since_1998(s, d).only("O"), SliceSpec(year_from=1996), [], "index", may_be_partial=False)
+    return rounded(lines.select("season_year", "value"), "value")
+
+
 @query("season_stats", """SELECT season_year, round(sum(CASE WHEN portion IN ('fall_opening', 'spring_opening') THEN cnt END) / CAST(sum(CASE WHEN portion IN ('fall_main', 'spring_main') THEN cnt END) AS DOUBLE), 6) AS opening_share,
   round(coalesce(sum(CASE WHEN NOT is_subtotal AND youth THEN cnt END), 0) / CAST(sum(CASE WHEN NOT is_subtotal AND method = 'firearm' THEN cnt END) AS DOUBLE), 6) AS youth_share,
   round(sum(CASE WHEN NOT is_subtotal AND season = 'spring' THEN cnt END) / CAST(sum(CASE WHEN NOT is_subtotal AND season = 'fall' THEN cnt END) AS DOUBLE), 6) AS spring_fall FROM fact WHERE entity = 5 GROUP BY season_year""", "fact")
