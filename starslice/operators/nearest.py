@@ -78,7 +78,8 @@ def _asked(nodes: DataFrame, need: int) -> DataFrame:
         return leaves.select("qe", "qix", "qiy").withColumns({"e": F.col("qe"), "ix": F.col("qix"), "iy": F.col("qiy")})
     below = nodes.withColumns({"pe": F.col("e") + STEP, "px": F.floor(F.col("ix") / 2**STEP), "py": F.floor(F.col("iy") / 2**STEP)})
     # four top cells at most, as the side is more than any coordinate
-    asked = leaves.join(F.broadcast(nodes.filter(F.col("e") == high)))
+    tops = nodes.filter(F.col("e") == high).agg(F.collect_list(F.struct(*KEY, *BOX, "n", "leaf"))).scalar()
+    asked = leaves.select("*", F.inline(tops))
     least, most = _bounds()
     by_most = Window.partitionBy("qe", "qix", "qiy").orderBy("most", *KEY).rowsBetween(Window.unboundedPreceding, 0)
     all_of = Window.partitionBy("qe", "qix", "qiy")

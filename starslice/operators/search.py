@@ -39,8 +39,8 @@ def search_log(log: DataFrame, names: DataFrame, needle: str, column: str, tie:
     """
     wanted = fold(F.col(needle))
     asked = log.select(wanted.alias("_needle")).filter("length(_needle) > 0").distinct()
-    lengths = asked.agg(F.array_sort(F.collect_set(F.length("_needle"))).alias("_lengths"))  # at most as many as a name is long are used
-    keyed = names.select(F.col(tie), F.col(column), fold(F.col(column)).alias("_key")).filter("length(_key) > 0").join(F.broadcast(lengths))
+    lengths = asked.agg(F.array_sort(F.collect_set(F.length("_needle")))).scalar()  # as many whole numbers as the longest search has letters
+    keyed = names.select(F.col(tie), F.col(column), fold(F.col(column)).alias("_key")).filter("length(_key) > 0").withColumn("_lengths", lengths)
     used = F.filter("_lengths", lambda n: n <= F.length("_key"))
     parts = F.flatten(F.transform(used, lambda n: F.transform(
         F.sequence(F.lit(1), F.length("_key") - n + 1), lambda i: F.struct(F.substring(F.col("_key"), i, n).alias("_needle"), F.when(i == 1, 0).otherwise(1).alias("_late")))))
