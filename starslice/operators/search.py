@@ -42,10 +42,10 @@ def search_log(log: DataFrame, names: DataFrame, needle: str, column: str, tie:
     lengths = asked.agg(F.array_sort(F.collect_set(F.length("_needle")))).scalar()  # as many whole numbers as the longest search has letters
     keyed = names.select(F.col(tie), F.col(column), fold(F.col(column)).alias("_key")).filter("length(_key) > 0").withColumn("_lengths", lengths)
     used = F.filter("_lengths", lambda n: n <= F.length("_key"))
-    parts = F.flatten(F.transform(used, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("_key") - n + 1), lambda i: F.struct(F.substring(F.col("_key"), i, n).alias("_needle"), F.when(i == 1, 0).otherwise(1).alias("_late")))))
-    listed = keyed.select(tie, column, "_key", F.inline(parts)).join(asked, "_needle", "left_semi")
-    listed = listed.groupBy("_needle", tie, column, "_key").agg(F.min("_late").alias("_late"))
+    parts = F.array_distinct(F.flatten(F.transform(used, lambda n: F.transform(F.sequence(F.lit(1), F.length("_key") - n + 1), lambda i: F.substring(F.col("_key"), i, n)))))
+    listed = keyed.select(tie, column, "_key", F.explode(parts).alias("_needle")).join(asked, "_needle", "left_semi")
+    # a name has each part once, so nothing but the window needs rows of one part together: its limit applies before the shuffle
+    listed = listed.withColumn("_late", F.when(F.startswith(F.col("_key"), F.col("_needle")), 0).otherwise(1))
     best = Window.partitionBy("_needle").orderBy("_late", "_key", tie)
     top = listed.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= limit).select("_needle", tie, column, "pos")
     return log.withColumn("_needle", wanted).join(top, "_needle").select(*log.columns, tie, column, "pos")

@@ -24,3 +24,9 @@ def test_empty_tables(spark):
     names, log = spark.createDataFrame([(1, "Clay")], "entity int, name string"), spark.createDataFrame([(1, "cl")], "id int, q string")
     assert rows(search_log(log.limit(0), names, "q", "name", "entity")) == []
     assert rows(search_log(log, names.limit(0), "q", "name", "entity")) == []
+
+
+def test_the_limit_applies_before_the_shuffle(spark):
+    names, log = spark.range(50).selectExpr("id AS entity", "concat('Town ', id) AS name"), spark.createDataFrame([(1, "town")], "id int, q string")
+    plan = search_log(log, names, "q", "name", "entity")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
