@@ -24,6 +24,7 @@ from starslice.runtime import settle
 
 CELL = ["geom", "e", "ix", "iy"]  # a cell of side 2 ** e
 EDGE = ["seq", "x1", "y1", "x2", "y2"]
+BANDS = 8  # of a leaf's height; changes cost, not results
 
 
 def _side(e: Column) -> Column:
@@ -50,10 +51,17 @@ def _between(g: dict[str, Column], cx: Column, cy: Column, x: Column, y: Column)
 
     The height at which an edge crosses the side is only ever compared through the ray test itself, so both ways round agree in rounding too.
     """
-    along = _xor(_right_of(g, x, y), _right_of(g, cx, y))
+    return _xor(_along(g, cx, x, y), ((g["x1"] > cx) != (g["x2"] > cx)) & _up(g, cx, cy, y))
+
+
+def _along(g: dict[str, Column], cx: Column, x: Column, y: Column) -> Column:
+    return _spans(g, y) & _xor(_right_of(g, x, y), _right_of(g, cx, y))
+
+
+def _up(g: dict[str, Column], cx: Column, cy: Column, y: Column) -> Column:
+    """For an edge that crosses the corner's side."""
     right = F.when(g["x1"] > cx, g["y1"]).otherwise(g["y2"])  # height of the end beyond the side
-    up = _xor(_right_of(g, cx, cy), right > cy, _right_of(g, cx, y), right > y)
-    return _xor(along, ((g["x1"] > cx) != (g["x2"] > cx)) & up)
+    return _xor(_right_of(g, cx, cy), right > cy, _right_of(g, cx, y), right > y)
 
 
 def _touches(g: dict[str, Column], x0: Column, y0: Column, side: Column) -> Column:
@@ -129,30 +137,52 @@ def polygon_cover(vertices: DataFrame, most: int = 32, levels: int = 12) -> Data
         cells = settle(cells, "cover-cells")
 
 
+def _band(y: Column) -> Column:
+    side = _side(F.col("e"))
+    band = F.floor((y - F.col("iy") * side) / side * BANDS)
+    return F.greatest(F.lit(0), F.least(F.lit(BANDS - 1), band)).cast("int")
+
+
+def _banded(cover: DataFrame) -> DataFrame:
+    """A row for each leaf and band of its height: the edges that reach into the band, and those of the leaf that cross the corner's side.
+
+    A point's height and an edge's ends get their bands by the same rising expression, so an edge at a point's height is in its band.
+    """
+    cx = (F.col("ix") + 1) * _side(F.col("e"))
+    edges = F.coalesce("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.filter(
+        edges, lambda g: (_band(F.least(g["y1"], g["y2"])) <= b) & (_band(F.greatest(g["y1"], g["y2"])) >= b)))
+    crossing = F.filter(edges, lambda g: (g["x1"] > cx) != (g["x2"] > cx))
+    return cover.select(*CELL, "inside", crossing.alias("crossing"), F.posexplode(bands).alias("band", "beside"))
+
+
 def locate(points: DataFrame, cover: DataFrame) -> DataFrame:
     """(point columns, geom) for each point and polygon around it. ``points`` has x and y.
 
-    A point looks up the one cell of each side that the cover has (as many as it has levels), by equality.
+    A point looks up its band in the one cell of each side that the cover has (as many as it has levels), by equality. The bands are dealt to all
+    tasks, however few bytes points and cover have, as each may hold very many pairs; so neither side is broadcast.
     """
     sides = sorted(r["e"] for r in cover.select("e").distinct().collect())  # a few whole numbers
     if not sides:
         return points.join(cover.select("geom"), F.lit(False))
     to = lambda c, e: F.floor(F.col(c) / _side(e))
-    e = F.col("e")
-    placed = lambda rows: rows.withColumn("e", F.explode(F.array(*[F.lit(k) for k in sides]))).withColumns({"ix": to("x", e), "iy": to("y", e)})
-    corner = (F.col("ix") + 1) * _side(e), F.col("iy") * _side(e)
-    odd = F.aggregate(
-        F.coalesce("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")), F.lit(False),
-        lambda a, g: _xor(a, _between({c: g[c] for c in EDGE[1:]}, *corner, F.col("x"), F.col("y"))),
-    )
+    e, x, y = F.col("e"), F.col("x"), F.col("y")
+    key, parts = ["e", "ix", "iy", "band"], int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        cells = rows.withColumn("e", F.explode(F.array(*[F.lit(k) for k in sides]))).withColumns({"ix": to("x", e), "iy": to("y", e)})
+        return cells.withColumn("band", _band(y)).repartition(parts, *key)
+
+    cx, cy = (F.col("ix") + 1) * _side(e), F.col("iy") * _side(e)
+    along = F.aggregate("beside", F.lit(False), lambda a, g: _xor(a, _along(g, cx, x, y)))
+    odd = F.aggregate("crossing", along, lambda a, g: _xor(a, _up(g, cx, cy, y)))
     known = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    key = ["e", "ix", "iy"]
-    near = placed(known).join(cover.filter("pieces = 1"), key).filter(_xor(F.col("inside"), odd)).select(*points.columns, "geom")
+    near = placed(known).join(_banded(cover.filter("pieces = 1")).hint("merge"), key).filter(_xor(F.col("inside"), odd)).select(*points.columns, "geom")
     dense = cover.filter("pieces > 1")
     if not dense.limit(1).count():
         return near
     # the pieces of a dense cell answer together, once for each place
-    places = placed(known.select("x", "y").distinct()).join(dense, key)
+    places = placed(known.select("x", "y").distinct()).join(_banded(dense).hint("merge"), key)
     agreed = places.groupBy("geom", "x", "y", "inside").agg((F.bit_xor(odd.cast("int")) == 1).alias("odd")).filter(_xor(F.col("inside"), F.col("odd")))
     return near.unionByName(known.join(agreed.select("x", "y", "geom"), ["x", "y"]).select(*points.columns, "geom"))
 

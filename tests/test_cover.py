@@ -88,3 +88,18 @@ def test_points_meet_cells_by_equality(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_points_of_one_file_are_dealt_to_all_tasks(spark, tmp_path):
+    points = [(i, ((i * 3571) % 4001 / 4001 * 24 - 9), ((i * 7919) % 4003 / 4003 * 20 - 11)) for i in range(400)]
+    spark.createDataFrame(points, "id int, x double, y double").coalesce(1).write.parquet(str(tmp_path / "points"))
+    cover = C.polygon_cover(spark.createDataFrame(SHAPES, V), 1000, 12)
+    found = C.locate(spark.read.parquet(str(tmp_path / "points")), cover).withColumn("task", F.spark_partition_id())
+    assert found.select("task").distinct().count() > 1
+    assert sorted(rows(found.select("id", "geom"))) == brute(points, SHAPES)
+
+
+def test_a_point_meets_the_edges_of_its_band_only(spark):
+    tall = closed("tall", [(0, 0), *[(3 + (k % 2) / 4, k / 8) for k in range(1, 64)], (0, 8)])
+    bands = C._banded(C.polygon_cover(spark.createDataFrame(tall, V), 1000, 12)).collect()
+    assert max(len(r.beside) for r in bands) < 20 and sum(len(r.beside) for r in bands) >= 63
