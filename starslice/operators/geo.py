@@ -21,12 +21,23 @@ KM_PER_DEGREE = 111.32
 ACRES_PER_KM2 = 247.105381
 
 
+BLOCK = 1024  # vertices of a ring that go to one task together; changes cost, not results
+
+
 def _beside(vertices: DataFrame, offsets: dict[str, int]) -> DataFrame:
-    """Each vertex with its neighbours: columns ``x_<name>``, ``y_<name>`` per offset in ``seq``."""
+    """Each vertex with its neighbours: columns ``x_<name>``, ``y_<name>`` per offset in ``seq``.
+
+    Vertices are dealt by ring and block first, those at a block's ends to the next block too; they are copied to their neighbours' positions and
+    grouped only there. So no task holds more positions than its blocks have, however few files the vertices come from.
+    """
+    block = lambda seq: F.floor(seq / BLOCK)
+    reached = F.array_distinct(F.array(*[block(F.col("seq") - o) for o in offsets.values()]))
+    parts = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vertices.select(*RING, "seq", "x", "y", F.explode(reached).alias("_block")).withColumn("_deal", F.xxhash64(*RING, "_block"))
     copies = F.array(*[F.struct((F.col("seq") - o).alias("at"), F.lit(n).alias("role")) for n, o in offsets.items()])
-    spread = vertices.select(*RING, "x", "y", F.inline(copies))
+    spread = dealt.repartition(parts, "_deal").select(*RING, "x", "y", "_block", "_deal", F.inline(copies)).filter(block(F.col("at")).eqNullSafe(F.col("_block")))
     pick = lambda n, c: F.max(F.when(F.col("role") == n, F.col(c))).alias(f"{c}_{n}")
-    return spread.groupBy(*RING, F.col("at").alias("seq")).agg(*[pick(n, c) for n in offsets for c in ("x", "y")])
+    return spread.groupBy("_deal", *RING, F.col("at").alias("seq")).agg(*[pick(n, c) for n in offsets for c in ("x", "y")]).drop("_deal")
 
 
 def edges(vertices: DataFrame) -> DataFrame:

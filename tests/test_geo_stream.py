@@ -194,3 +194,31 @@ def test_live_batch_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
     assert sum(n for n, _ in counts(live.table()).values()) == 6
     live.add(rows, 1)  # the replay overwrites what the failed one wrote
     assert sum(n for n, _ in counts(live.table()).values()) == 10
+
+
+def test_neighbours_meet_across_blocks_and_repeats(spark, monkeypatch):
+    """A small block, so that most neighbours are of two blocks; repeated positions keep the greatest, null ones are a position."""
+    at = {"geom": "g", "part": 0, "ring": 0}
+    data = [(k, float(k * k), float(-k)) for k in range(11)] + [(4, 99.0, -50.0), (None, 1.0, 2.0), (20, 3.0, None)]
+    table = spark.createDataFrame([(*at.values(), *r) for r in data], "geom string, part int, ring int, seq int, x double, y double")
+    offsets = {"own": 0, "prev": -1, "next": 1}
+    want = {}
+    for seq, x, y in data:
+        for role, o in offsets.items():
+            place = want.setdefault(None if seq is None else seq - o, {})
+            for c, v in (("x", x), ("y", y)):
+                known = place.get(f"{c}_{role}")
+                place[f"{c}_{role}"] = v if known is None else known if v is None else max(known, v)
+    names = [f"{c}_{n}" for n in offsets for c in "xy"]
+    for size in (1, 2, 3, 1024):
+        monkeypatch.setattr(G, "BLOCK", size)
+        got = {r.seq: [r[n] for n in names] for r in G._beside(table, offsets).collect()}
+        assert got == {k: [v.get(n) for n in names] for k, v in want.items()}
+
+
+def test_neighbours_are_grouped_after_the_only_shuffle(spark, tmp_path):
+    """One file's vertices are dealt to tasks before they are copied and grouped."""
+    flat = spark.range(1000).select((F.col("id") % 50).alias("geom"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.floor(F.col("id") / 50).cast("int").alias("seq"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    flat.coalesce(1).write.parquet(str(tmp_path / "v"))
+    plan = G._beside(spark.read.parquet(str(tmp_path / "v")), {"a": 0, "b": 1})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
