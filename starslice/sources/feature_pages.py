@@ -1,11 +1,12 @@
-"""Landed result pages of a feature service as a data source: one partition a page file, a given schema, filters applied while a page is read.
+"""Landed result pages of a feature service as a data source: partitions of some page files, a given schema, filters applied while a page is read.
 
     spark = register(session)
     spark.read.format("feature_pages").schema("OBJECTID long, county string").load(folder)
 
 A page is a JSON object with ``features``, a list of objects that hold ``attributes``; a service's ``error`` object is an error. A column takes the
 attribute of its name, null where a feature lacks it; a value that doesn't fit its type is an error. Any folder that the file systems
-of Arrow can reach may be read; its files are listed once and each is opened by the task that reads it.
+of Arrow can reach may be read; its files are listed once and each is opened by the task that reads it;
+a task reads one page at a time.
 """
 
 from __future__ import annotations
@@ -28,9 +29,26 @@ COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual:
 PRIMITIVE = ("byte", "short", "integer", "long", "float", "double", "string", "boolean")  # types whose JSON values compare as Spark's do
 
 
+FILES, BYTES = 200, 32_000_000  # that a partition holds at most; a larger page is a partition of its own
+TASKS = 64  # partitions there are at least, if there are as many pages
+
+
 @dataclass
-class PageFile(InputPartition):
-    path: str
+class PageFiles(InputPartition):
+    paths: list[str]
+
+
+def dealt(sizes: list[tuple[str, int]]) -> list[list[str]]:
+    """Paths in order, cut where a partition would get too many files or bytes."""
+    files = max(1, min(FILES, len(sizes) // TASKS))
+    out, held = [], 0
+    for path, size in sizes:
+        if not out or len(out[-1]) >= files or held + size > BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return out
 
 
 class FeaturePages(DataSource):
@@ -58,14 +76,14 @@ class PageReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[PageFile]:
+    def partitions(self) -> list[PageFiles]:
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
         found = system.get_file_info(fs.FileSelector(root, recursive=True))
         scheme = self.path.partition("://")[0] + "://" if "://" in self.path else ""
-        files = [f.path for f in found if f.is_file and not f.base_name.startswith(("_", "."))]
-        return [PageFile(p if not scheme else scheme + p) for p in sorted(files)]
+        files = sorted((f.path, f.size or 0) for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+        return [PageFiles([scheme + p for p in paths]) for paths in dealt(files)]
 
     def keeps(self, row: dict) -> bool:
         for f in self.kept:
@@ -76,18 +94,20 @@ class PageReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: PageFile | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: PageFiles | None) -> Iterator[pa.RecordBatch]:
+        for path in partition.paths if partition else []:  # a folder without files has no partition
+            yield self.page(path)
+
+    def page(self, path: str) -> pa.RecordBatch:
         from pyarrow import fs
 
-        if partition is None:  # a folder without files
-            return
-        system, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        with system.open_input_stream(path) as stream:
+        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        with system.open_input_stream(inner) as stream:
             page = json.loads(stream.read())
         if "error" in page:
-            raise ValueError(f"{partition.path}: the service answered {page['error']}")
+            raise ValueError(f"{path}: the service answered {page['error']}")
         rows = [r for r in (f["attributes"] for f in page.get("features", [])) if self.keeps(r)]
-        yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], type=f.type) for f in self.arrow], schema=self.arrow)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], type=f.type) for f in self.arrow], schema=self.arrow)
 
 
 def register(spark: SparkSession) -> SparkSession:

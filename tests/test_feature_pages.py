@@ -62,3 +62,18 @@ def test_scan_is_reused_by_aggregates(spark, folder):
     path, data = folder
     total = P.feature_pages(spark, path, SCHEMA).groupBy("ok").agg(F.sum("k").alias("n"))
     assert dict(rows(total)) == {True: sum(r[0] for r in data if r[3]), False: sum(r[0] for r in data if not r[3])}
+
+
+def test_many_pages_share_partitions(spark, tmp_path):
+    data = [(k, f"n{k}", k / 4, k % 2 == 0) for k in range(300)]
+    P.write_pages(spark.createDataFrame(data, SCHEMA), str(tmp_path / "p"), "k", 2)
+    got = P.feature_pages(spark, str(tmp_path / "p"), SCHEMA)
+    assert sorted(rows(got)) == data and P.TASKS <= got.rdd.getNumPartitions() < 150
+
+
+def test_partitions_are_bounded_in_files_and_bytes():
+    many = P.dealt([(str(k), 1) for k in range(100_000)])
+    assert max(map(len, many)) == P.FILES and sum(many, []) == [str(k) for k in range(100_000)]
+    big = P.dealt([("a", 2 * P.BYTES), *[(str(k), P.BYTES // 3) for k in range(6400)]])
+    assert big[0] == ["a"] and max(map(len, big)) == 3
+    assert P.dealt([]) == []
