@@ -47,8 +47,14 @@ def county_codes(s, d):
     return scans.county_codes(s, path).groupBy("fips", F.col("COUNTYNAME").alias("name")).agg(F.count("*").alias("n"))
 
 
+FEATURES = 2000  # of a landed document, on average
+
+
 def _shapes(s, d):
-    """The squares as landed GeoJSON documents, some with a hole; every fifth is a road, others have acres."""
+    """The squares as landed GeoJSON documents, some with a hole; every fifth is a road, others have acres.
+
+    There are sixteen documents, or more as the shapes are many: a document is read as a whole.
+    """
     path = _folder(s, "shapes")
     verts = vertices(s, d)
     k = F.col("geom")
@@ -56,7 +62,8 @@ def _shapes(s, d):
         "geom", F.concat(F.lit("  Lake  Of The "), k.cast("string")).alias("FULLNAME"), F.when(k % 5 == 0, "I").otherwise("U").alias("RTTYP"),
         (k * 100).cast("string").alias("Acreage"), F.when(k % 2 == 0, "Y").otherwise("N").alias("PUBLIC_SITE"))
     features = sinks.geojson_features(verts, kinds)
-    docs = features.groupBy(F.pmod(F.xxhash64("value"), F.lit(16)).alias("piece")).agg(F.array_join(F.collect_list("value"), ",").alias("f"))
+    pieces = max(16, -(-kinds.count() // FEATURES))
+    docs = features.groupBy(F.pmod(F.xxhash64("value"), F.lit(pieces)).alias("piece")).agg(F.array_join(F.collect_list("value"), ",").alias("f"))
     docs.select("piece", F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("value")).write.partitionBy("piece").text(path)
     return scans.geojson(s, path)
 

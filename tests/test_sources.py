@@ -89,3 +89,17 @@ def test_row_arrays_of_mixed_types(spark, tmp_path):
     put(tmp_path / "rows" / "piece=99", "more.json", json.dumps({"columns": ["k", "other"], "rows": [[100, "x"]]}))
     back = scans.row_arrays(spark, str(tmp_path / "rows"), {"k": "int", "s": "string", "v": "double", "b": "boolean"})
     assert sorted(rows(back)) == data + [(100, None, None, None)]
+
+
+def test_documents_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    """Landed GeoJSON: a document is read by one task as a whole, so many shapes make more documents."""
+    from starslice.workload import file_queries as Q
+
+    spark.range(100).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    kept = []
+    for most in (2000, 2):
+        monkeypatch.setattr(Q, "FEATURES", most, raising=False)
+        monkeypatch.setattr(Q, "_folder", lambda s, name, most=most: str(tmp_path / f"{name}-{most}"))
+        kept.append(sorted((r.properties["fullname"], r.kind, r.coordinates) for r in Q._shapes(spark, str(tmp_path)).collect()))
+    folders = [len(list((tmp_path / f"shapes-{most}").glob("piece=*"))) for most in (2000, 2)]
+    assert kept[0] == kept[1] and len(kept[0]) == 100 and folders[0] <= 16 < folders[1]
