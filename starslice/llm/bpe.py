@@ -29,7 +29,7 @@ from starslice.llm.matches import SMALL, matches
 
 CELLS = 1 << 18
 REMEMBERED = 200_000
-NONE = np.int64(1) << 40  # above every rank
+NONE = np.int32(2**31 - 1)  # above every rank
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -39,7 +39,7 @@ class PairTable:
     def __init__(self, keys: np.ndarray, ranks: np.ndarray):
         bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
-        self.keys, self.ranks = np.full(1 << bits, EMPTY, np.uint64), np.full(1 << bits, NONE, np.int64)
+        self.keys, self.ranks = np.full(1 << bits, EMPTY, np.uint64), np.full(1 << bits, NONE, np.int32)
         slot, left = mix64(keys) & self.mask, np.arange(len(keys))
         while len(left):
             free = left[self.keys[slot[left]] == EMPTY]
@@ -52,15 +52,16 @@ class PairTable:
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``NONE`` for pairs that join to no token (padding, -1, is in no pair)."""
         keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-        out = np.full(len(keys), NONE, np.int64)
+        out = np.full(len(keys), NONE, np.int32)
         todo = np.flatnonzero((left >= 0) & (right >= 0))
-        slot = mix64(keys[todo]) & self.mask
+        keys = keys[todo]
+        slot = mix64(keys) & self.mask
         while len(todo):
             there = self.keys[slot]
-            same = there == keys[todo]
+            same = there == keys
             out[todo[same]] = self.ranks[slot[same]]
-            on = ~same & (there != EMPTY)
-            todo, slot = todo[on], (slot[on] + np.uint64(1)) & self.mask
+            on = np.flatnonzero(~same & (there != EMPTY))
+            todo, keys, slot = todo[on], keys[on], (slot[on] + np.uint64(1)) & self.mask
         return out
 
 
@@ -76,8 +77,8 @@ class Codec:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     found.append(rank)
-        self.table = PairTable(np.array(keys, np.uint64), np.array(found, np.int64))
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.table = PairTable(np.array(keys, np.uint64), np.array(found, np.int32))
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -131,26 +132,26 @@ class Codec:
             while end < len(open_pieces) and open_pieces[end][0].bit_length() == bucket and (end == start or open_pieces[end][0] * (end + 1 - start) <= CELLS):
                 width, end = open_pieces[end][0], end + 1
             rows = open_pieces[start:end]
-            for (_, _, piece), ids in zip(rows, self.merge([raw for _, raw, _ in rows], width)):
-                self.known[piece] = ids.astype("<u4").tobytes()
+            self.known.update(zip([piece for _, _, piece in rows], self.merge([raw for _, raw, _ in rows], width)))
             start = end
 
-    def merge(self, rows: list[bytes], width: int) -> list[np.ndarray]:
-        """Token ids of byte strings of at most ``width`` bytes, all rows in one padded matrix."""
-        done: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
+    def merge(self, rows: list[bytes], width: int) -> list[bytes]:
+        """Token ids, as little-endian unsigned 32-bit integers, of byte strings of at most ``width`` bytes, all rows in one padded matrix."""
+        done = [b""] * len(rows)
         size = np.array([len(r) for r in rows])
-        tokens = np.full((len(rows), width + 1), -1, np.int64)  # the last column stays padding
+        tokens = np.full((len(rows), width + 1), -1, np.int32)  # the last column stays padding
         inside = np.arange(width + 1) < size[:, None]
         tokens[inside] = self.byte_ids[np.frombuffer(b"".join(rows), np.uint8)]
-        ranks = np.full(tokens.shape, NONE, np.int64)
+        ranks = np.full(tokens.shape, NONE, np.int32)
         ranks[:, :-1] = self.table.look_up(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(len(rows), width)
         own = np.arange(len(rows))
         while len(own):
             best = ranks.min(axis=1)
             over = best == NONE
             if over.any():
-                for k in np.flatnonzero(over):
-                    done[own[k]] = tokens[k, :size[k]].copy()
+                ids, step = tokens[over].astype("<u4").tobytes(), 4 * tokens.shape[1]
+                for k, (row, n) in enumerate(zip(own[over].tolist(), size[over].tolist())):
+                    done[row] = ids[k * step:k * step + 4 * n]
                 stay = ~over
                 width = int(size[stay].max(initial=0)) + 1
                 own, size, best, tokens, ranks = own[stay], size[stay], best[stay], tokens[stay, :width], ranks[stay, :width]
@@ -158,17 +159,16 @@ class Codec:
             row, at = self.merged_now(tokens, ranks, best)
             tokens[row, at] = best[row]
             ranks[row, at] = NONE
-            gone = np.zeros(tokens.shape, bool)
-            gone[row, at + 1] = True
-            # compaction: every cell moves left by the number of cells that its row has lost before it
-            shift = np.cumsum(gone, axis=1)
-            r, c = np.nonzero(~gone)
-            to = c - shift[r, c]
-            packed, packed_ranks = np.full(tokens.shape, -1, np.int64), np.full(tokens.shape, NONE, np.int64)
-            packed[r, to], packed_ranks[r, to] = tokens[r, c], ranks[r, c]
+            left = np.ones(tokens.shape, bool)
+            left[row, at + 1] = False
+            # compaction: the cells that are left, in order, fill the front of their row
+            lost = np.bincount(row, minlength=len(own))
+            front = np.arange(tokens.shape[1]) < (tokens.shape[1] - lost)[:, None]
+            packed, packed_ranks = np.full(tokens.shape, -1, np.int32), np.full(tokens.shape, NONE, np.int32)
+            packed[front], packed_ranks[front] = tokens[left], ranks[left]
             tokens, ranks = packed, packed_ranks
-            size = size - shift[:, -1]
-            at = at - shift[row, at]
+            size = size - lost
+            at = at - (np.arange(len(row)) - np.searchsorted(row, row))  # merges before it in its row
             for side in (at - 1, at):
                 ok = side >= 0
                 ranks[row[ok], side[ok]] = self.table.look_up(tokens[row[ok], side[ok]], tokens[row[ok], side[ok] + 1])

@@ -217,3 +217,21 @@ def test_divergence_top_and_large_counts(spark):
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_divergence_edges(spark, rows):
     assert {tuple(r) for r in divergence.audit(odd(spark, rows)).collect()} == brute_audit([(r[3], r[2], r[1]) for r in rows])
+
+
+def test_bpe_matrices_are_of_32_bits_and_rows_come_out_as_bytes():
+    """Rows of many lengths in one matrix, with repeats that merge in one round, against one merge a round."""
+    codec = bpe.Codec.load()
+    assert codec.table.ranks.dtype == np.int32 and codec.byte_ids.dtype == np.int32
+    rng = random.Random(5)
+    raw = [bytes(rng.choice(b"ab anthe") for _ in range(rng.randint(1, 90))) for _ in range(300)] + [b"aaaaaaaaa" * 9, b"ababababa" * 7]
+
+    def plain(row):
+        parts = [row[k:k + 1] for k in range(len(row))]
+        while True:
+            best = min(((codec.ranks.get(a + b, 1 << 40), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 40, 0))
+            if best[0] == 1 << 40:
+                return b"".join(codec.ranks[p].to_bytes(4, "little") for p in parts)
+            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    assert codec.merge(raw, max(map(len, raw))) == [plain(r) for r in raw]
