@@ -6,9 +6,13 @@ of all tokens. Prefix tokens under a first order (tokens that are frequent in th
 group are candidates if they also share a prefix token under two more orders, and if their sizes and the parities of their tokens allow the
 similarity. The texts of candidates are then compared exactly.
 
+A pair that links is a candidate at the first token that both have, and all that they share stands there or behind. So the number of
+tokens from there on (the room of a member) bounds the intersection, and members whose room is too small for each other are no candidates.
+
 A group doesn't emit its pairs. In each round it compares one pivot with its members that aren't yet in the pivot's component, as a
-link inside a component changes nothing. After a few rounds, or one whose pivots leave nothing to compare, the pairs left between
-components of a group are compared one by one, so no link between components is lost.
+link inside a component changes nothing. The first pivot has the fewest tokens before the group's, so in a family of near copies it
+is the one that most others link with. After a few rounds, or one whose pivots leave nothing to compare, the pairs left between
+components of a group are compared one by one, so no link between components is lost; see ``between`` for how they are found.
 
 Defined results: a null or empty text has an empty set and links with nothing, its component is its own id; a text of fewer words
 than a shingle is one shingle; repeated rows give one row, and where an id has several texts the greatest one counts; rows with a null
@@ -29,7 +33,7 @@ from starslice.llm.common import Scratch, TextBatch, add_columns, arrow_batches,
 from starslice.llm.components import components
 
 ROUNDS = 3  # of pivots, before the pairs that are left
-HEAVY = 3000  # a token in more than one of HEAVY documents is ordered after all others
+HEAVY = 1_000_000  # so many frequent tokens at most are ordered after all others
 ORDERS = (31, 32)  # seeds of the further orders
 SEEN_BITS = 1 << 27
 BITS = 256  # of a prefix under a further order
@@ -53,21 +57,21 @@ def text_sets(texts: list[str | None], size: int):
         yield part, h, doc, np.searchsorted(doc, np.arange(batch.n + 1))
 
 
-def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """Tokens in more than one of HEAVY documents, sorted. There are at most HEAVY x the mean set size of them, whatever the corpus.
+def heavy_tokens(docs: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
+    """Tokens that some partition has in two documents or more, sorted; of more than HEAVY, those with the greatest counts.
 
-    Such a token has that share in some partition; only those are counted on. Equal sets count once in a partition. The list only
-    serves the order of tokens, which may be any order.
+    A share of all documents would let groups grow with the corpus: what a passage shares stays before it until the passage is in
+    thousands of documents. A token of k documents is twice in one of p partitions as soon as k is some roots of p. Equal sets
+    count once in a partition. The list only serves the order of tokens, which may be any order.
     """
     def local(batches):
         # a token's first occurrence only sets a bit, later ones are kept: most tokens have no second one
-        seen, counts, rows, once = set(), [(np.empty(0, np.uint64), np.empty(0, np.int32))], 0, np.zeros(SEEN_BITS // 8, np.uint8)
+        seen, counts, once = set(), [(np.empty(0, np.uint64), np.empty(0, np.int32))], np.zeros(SEEN_BITS // 8, np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 for _, h, doc, at in text_sets(batch.column(0).slice(start, 1000).to_pylist(), size):
                     sums = np.add.reduceat(np.append(h, np.uint64(0)), at[:-1])
                     fresh = np.array([b > a and (int(s), b - a) not in seen and not seen.add((int(s), b - a)) for s, a, b in zip(sums, at[:-1], at[1:])], bool)
-                    rows += int(fresh.sum())
                     own = np.sort(h[fresh[doc]])
                     bit = own % np.uint64(SEEN_BITS)
                     at, mask = (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8)
@@ -77,11 +81,9 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
                     counts.append((own[again], None))
                     if sum(len(c[0]) for c in counts[1:]) > len(counts[0][0]):
                         counts = [added(counts)]
-        if rows:
-            h, n = added(counts)
-            n = n + 1
-            keep = n > max(1, rows // HEAVY)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
+        h, n = added(counts)
+        for start in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[start:start + 100_000].astype(np.int64)) for x in (h.view(np.int64), n + 1)], names=["h", "n"])
 
     def added(counts):
         h = np.concatenate([c[0] for c in counts])
@@ -91,19 +93,26 @@ def heavy_tokens(docs: DataFrame, size: int) -> np.ndarray:
         head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[:len(h)]
         return (h[head], np.add.reduceat(n, head)) if len(h) else (h, n)
 
-    total = docs.filter("text IS NOT NULL").count()
-    found = docs.select("text").mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > max(1, total // HEAVY))
-    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    found = scratch.put("frequent", docs.select("text").mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+                        .withColumn("level", F.floor(F.log2("n") * 8).cast("int")))
+    held, least = 0, None
+    for level, n in sorted(found.groupBy("level").count().collect(), reverse=True):
+        if held + n > HEAVY:
+            break
+        held, least = held + n, level
+    late = found.filter(F.col("level") >= (least if least is not None else 1 << 20)).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    scratch.drop("frequent")
+    return np.sort(late)
 
 
 INDEX = T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
                       T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
-def index(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
+def index(docs: DataFrame, size: int, t: Fraction, scratch: Scratch) -> DataFrame:
     """(id, n, f1, f2, bits, parity, prefix): set size, fingerprint, prefixes under the further orders as bits, parities of the set's
     tokens in as many bits as the next power of two, prefix under the first order."""
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, size))
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(docs, size, scratch))
 
     def of(texts):
         out = {k: [] for k in INDEX.names}
@@ -148,25 +157,59 @@ def index(docs: DataFrame, size: int, t: Fraction) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """(token, id) of the tokens that two ids or more have; rows of a token stream by, none is held but the last."""
+    """(token, id, room) of the tokens that two ids or more have; rows of a token stream by, none is held but the last."""
     def shared(batches):
-        last_t, last_i, gone = np.empty(0, np.int64), np.empty(0, np.int64), False  # the row before, and whether it went out
+        last_t, last_i, last_r, gone = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), False  # the row before, and whether it went out
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = np.concatenate([last_t, batch.column(0).to_numpy(zero_copy_only=False)])
             i = np.concatenate([last_i, batch.column(1).to_numpy(zero_copy_only=False)])
+            r = np.concatenate([last_r, batch.column(2).to_numpy(zero_copy_only=False)])
             same = t[1:] == t[:-1]
             out = np.zeros(len(t), bool)
             out[1:] |= same
             out[:-1] |= same
             if gone:
                 out[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(i[out])], names=["token", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(i[out]), pa.array(r[out])], names=["token", "id", "room"])
             gone = len(same) > 0 and bool(same[-1])
-            last_t, last_i = t[-1:], i[-1:]
+            last_t, last_i, last_r = t[-1:], i[-1:], r[-1:]
+
+    return rows.select("token", "id", "room").repartition("token").sortWithinPartitions("token", "id").mapInArrow(shared, "token long, id long, room long")
+
 
-    return rows.select("token", "id").repartition("token").sortWithinPartitions("token", "id").mapInArrow(shared, "token long, id long")
+def possible(t: Fraction) -> Column:
+    """Whether a member (n, room) and another (n2, room2) of a group may have similarity ``t``: by their sizes, and as they share
+    no more tokens than the smaller room has."""
+    sizes = F.least("n", "n2") * t.denominator >= F.greatest("n", "n2") * t.numerator
+    return sizes & (F.least("room", "room2") * (t.denominator + t.numerator) >= (F.col("n") + F.col("n2")) * t.numerator)
+
+
+def between(mine: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (id, id2, token) of members (token, id, n, room, label) of a group that have different labels and are ``possible``.
+
+    The larger member of a pair looks for the smaller one, which must have room for half of what a partner of its own size needs to
+    share, and is found in its band of sizes. So members with many tokens of their own before the group's look in bands below theirs only,
+    and don't look where no size or only their own label is. In each band the label of the member with the fewest tokens before
+    the group's is the main one; its members look among those of other labels only, so a large component isn't paired with itself.
+    """
+    p, q = t.numerator, t.denominator
+    wide = max(float(np.log(q / p)), 0.01) / 4
+    band = lambda n: F.floor(F.log(n) / F.lit(wide))
+    homes = mine.filter(F.col("room") * (p + q) >= F.col("n") * 2 * p).withColumn("band", band("n"))
+    main = homes.groupBy("token", "band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("low"),
+                                              F.min_by("label", F.struct(F.col("n") - F.col("room"), "id")).alias("main"))
+    bounds = mine.withColumn("from", F.ceil(F.col("n") * p / q)).withColumn("to", F.least("n", F.floor(F.col("room") * (p + q) / p) - F.col("n")))
+    # a bound that is rounded is one too wide rather than too narrow
+    looks = (bounds.filter("to >= from - 1").select("token", "id", "n", "room", "label", "to", F.explode(F.sequence(band(F.greatest(F.lit(1), F.col("from") - 1)), band(F.col("to") + 1))).alias("band"))
+             .join(main, ["token", "band"]).filter("low <= to + 1 AND (l0 <> l1 OR l0 <> label)")
+             .select("token", "band", "id", "n", "room", "label", (F.col("label") == F.col("main")).alias("others")))
+    found = homes.select("token", "band", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("room").alias("room2"), F.col("label").alias("label2"))
+    found = found.join(main.select("token", "band", "main"), ["token", "band"])
+    found = found.select("*", F.explode(F.when(F.col("label2") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("others"))
+    smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("id2") < F.col("id")))
+    return looks.join(found, ["token", "band", "others"]).filter((F.col("label") != F.col("label2")) & smaller & possible(t)).select("id", "id2", "token")
 
 
 def apart(a: str, b: str, t: Fraction) -> Column:
@@ -237,24 +280,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
     t = Fraction(threshold).limit_denominator(1000)
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     plain = one_text_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), scratch)
-    known = scratch.put("index", index(plain, size, t))
+    known = scratch.put("index", index(plain, size, t, scratch))
     classes = scratch.put("classes", known.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("parity").alias("parity")))
     reps = classes.select(F.col("rep").alias("id"), "n", "bits", "parity")
-    groups = scratch.put("groups", grouped(known.select(F.explode("prefix").alias("token"), "id")).join(reps.select("id", "n"), "id"))
+    groups = scratch.put("groups", grouped(known.select("id", "n", F.posexplode("prefix").alias("before", "token")).withColumn("room", F.col("n") - F.col("before"))).join(reps.select("id", "n"), "id"))
     scratch.free()
     labels, links, tested, k = None, None, None, 0
     while k <= ROUNDS:
         mine = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component") if labels is not None else groups.withColumn("label", F.col("id"))
-        low = mine.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), "id", "label", "n")).alias("pivot"))
-        open_ = low.filter("l0 <> l1")
-        others = open_.select("token", F.expr("pivot.id AS id2"), F.expr("pivot.label AS label2"), F.expr("pivot.n AS n2"))
+        # the first pivots have the fewest tokens before the group's, later ones are any with room for a partner of their own size
+        order = F.col("n") - F.col("room") if k == 0 else (F.col("room") * (t.denominator + t.numerator) < F.col("n") * 2 * t.numerator).cast("long")
+        pivot = F.min(F.struct(order.alias("o"), F.xxhash64("id", F.lit(k)).alias("r"), "id", "label", "n", "room")).alias("pivot")
+        open_ = mine.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), pivot).filter("l0 <> l1")
         if k == ROUNDS:
-            mine = mine.join(open_.select("token"), "token", "left_semi")
-            others = mine.select("token", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
-        sizes = F.least("n", "n2") * t.denominator >= F.greatest("n", "n2") * t.numerator
-        pairs = mine.join(others, "token").filter(F.col("label") != F.col("label2")).filter(sizes)
-        if k == ROUNDS:
-            pairs = pairs.filter("id < id2")
+            pairs = between(scratch.put("open", mine.join(open_.select("token"), "token", "left_semi").select("token", "id", "n", "room", "label")), t)
+        else:
+            others = open_.select("token", *[F.col(f"pivot.{c}").alias(f"{c}2") for c in ("id", "label", "n", "room")])
+            pairs = mine.join(others, "token").filter((F.col("label") != F.col("label2")) & possible(t))
         pairs = pairs.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(F.min("token").alias("token"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -86,6 +86,72 @@ def test_jaccard_below_a_half(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1}  # 5 and 2: 40 of 101
 
 
+def linked(sets, num, den):
+    """Brute force: the smallest id that links reach from each."""
+    low = {i: i for i in sets}
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for x in sets:
+        for y in sets:
+            if x < y and (both := len(sets[x] & sets[y])) * den >= num * (len(sets[x]) + len(sets[y]) - both):
+                p, q = root(x), root(y)
+                low[max(p, q)] = min(p, q)
+    return {i: root(i) for i in sets}
+
+
+def test_jaccard_family_of_near_copies_makes_few_candidates(spark, monkeypatch):
+    """Copies of one text with up to five words replaced, most of them too far from each other: candidates grow with the copies, not with their square."""
+    r = random.Random(4)
+    base, texts = [f"b{k}" for k in range(150)], {}
+    for i in range(400):
+        texts[i] = list(base)
+        for k in r.sample(range(150), r.randrange(1, 6) if i else 0):
+            texts[i][k] = f"new{i}x{k}"
+    asked, whole = [], ngram_jaccard.compare
+    monkeypatch.setattr(ngram_jaccard, "compare", lambda pairs, *a, **k: asked.append(pairs.count()) or whole(pairs, *a, **k))
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in ngram_jaccard.jaccard_components(rows, size=4, threshold=0.85).collect()}
+    assert got == linked({i: {tuple(w[k:k + 4]) for k in range(len(w) - 3)} for i, w in texts.items()}, 17, 20)
+    assert 0 < sum(c > 0 for c in got.values()) < 399 and sum(asked) < 4 * len(texts)
+
+
+@pytest.mark.parametrize("num, den", [(17, 20), (1, 2), (1, 1)])
+def test_jaccard_sizes_and_rooms(spark, num, den):
+    """Sets of many sizes around a few bases, words left out and added, against all pairs."""
+    r = random.Random(num)
+    sets = {}
+    for i in range(240):
+        base = [f"b{i % 3}w{k}" for k in range((5, 24, 60)[i % 3])]
+        sets[i] = {w for w in base if r.random() > 0.08 * r.randrange(4)} | {f"o{r.randrange(300)}" for _ in range(r.randrange(len(base) // 8 + 1))}
+    rows = spark.createDataFrame([(i, " ".join(sorted(w))) for i, w in sets.items()], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_jaccard.jaccard_components(rows, size=1, threshold=num / den).collect()}
+    assert got == linked({i: w for i, w in sets.items() if w}, num, den) | {i: i for i, w in sets.items() if not w}
+
+
+@pytest.mark.parametrize("num, den", [(17, 20), (3, 10), (1, 1)])
+def test_jaccard_pairs_between_labels_are_all_found(spark, num, den):
+    """``between`` against all pairs of each group, with labels of which one holds most members of some groups."""
+    r = random.Random(den)
+    rows = []
+    for token in range(12):
+        for i in range(60):
+            n = r.randrange(1, (4, 30, 400)[token % 3])
+            rows.append((token, i, n, n - min(n - 1, r.randrange(1 + n // 4)), r.choice([0, 0, 0, i]) if token % 2 else r.randrange(3)))
+    t = ngram_jaccard.Fraction(num, den)
+
+    def fits(x, y):
+        small, large = sorted((x[2], y[2]))
+        return x[4] != y[4] and small * den >= large * num and min(x[3], y[3]) * (num + den) >= (x[2] + y[2]) * num
+
+    want = sorted((x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and fits(x, y))
+    got = ngram_jaccard.between(spark.createDataFrame(rows, "token long, id long, n long, room long, label long"), t)
+    assert sorted((x.token, *sorted((x.id, x.id2))) for x in got.collect()) == want and want
+
+
 def test_one_of_each_keeps_the_greatest_text_of_a_repeated_id(spark):
     rows = spark.createDataFrame([(1, "a b c", "x"), (1, "z y w", "y"), (1, None, "n"), (2, None, "n"), (2, None, "n"), (None, "q", "z")], "doc_id long, text string, source string")
     kept = sorted((tuple(x) for x in ngram_jaccard.one_of_each(rows).collect()), key=repr)
