@@ -57,8 +57,9 @@ def text_sets(texts: list[str | None], size: int):
         yield part, h, doc, np.searchsorted(doc, np.arange(batch.n + 1))
 
 
-def heavy_tokens(docs: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
-    """Tokens that some partition has in two documents or more, sorted; of more than HEAVY, those with the greatest counts.
+def heavy_tokens(docs: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that some partition has in two documents or more, sorted, and the levels of their counts, by which they are ordered;
+    of more than HEAVY, those with the greatest counts.
 
     A share of all documents would let groups grow with the corpus: what a passage shares stays before it until the passage is in
     thousands of documents. A token of k documents is twice in one of p partitions as soon as k is some roots of p. Equal sets
@@ -100,9 +101,11 @@ def heavy_tokens(docs: DataFrame, size: int, scratch: Scratch) -> np.ndarray:
         if held + n > HEAVY:
             break
         held, least = held + n, level
-    late = found.filter(F.col("level") >= (least if least is not None else 1 << 20)).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    late = found.filter(F.col("level") >= (least if least is not None else 1 << 20)).select("h", F.least("level", F.lit(255)).cast("short").alias("level")).toArrow()
     scratch.drop("frequent")
-    return np.sort(late)
+    h, level = late.column("h").to_numpy().view(np.uint64), late.column("level").to_numpy().astype(np.uint8)
+    order = np.argsort(h)
+    return h[order], level[order]
 
 
 INDEX = T.StructType([T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
@@ -116,7 +119,7 @@ def index(docs: DataFrame, size: int, t: Fraction, scratch: Scratch) -> DataFram
 
     def of(texts):
         out = {k: [] for k in INDEX.names}
-        late = heavy.value
+        late, level = heavy.value
         for part, h, doc, at in text_sets(texts, size):
             n = np.diff(at)
             p = prefix_length(n, t)
@@ -127,11 +130,11 @@ def index(docs: DataFrame, size: int, t: Fraction, scratch: Scratch) -> DataFram
             is_late = late[at_late] == h if len(late) else np.zeros(len(h), bool)
 
             rank = np.arange(len(h)) - at[doc]
-            behind = is_late.astype(np.uint64) << np.uint64(63)
+            behind = (np.where(is_late, level[at_late], 0) if len(late) else np.zeros(len(h))).astype(np.uint64) << np.uint64(56)
 
             def first(code):
                 """Rows of the prefix of each text, under the order by heaviness, then code."""
-                return np.lexsort((behind | (code >> np.uint64(1)), doc))[rank < p[doc]]
+                return np.lexsort((behind | (code >> np.uint64(8)), doc))[rank < p[doc]]
 
             own = first(mixed)
             cut = np.searchsorted(doc[own], np.arange(len(n) + 1))
