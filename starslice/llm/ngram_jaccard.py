@@ -159,27 +159,27 @@ def index(docs: DataFrame, size: int, t: Fraction, scratch: Scratch) -> DataFram
     return add_columns(docs, ["text"], INDEX, of).drop("text")
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """(token, id, room) of the tokens that two ids or more have; rows of a token stream by, none is held but the last."""
+def grouped(rows: DataFrame, *more: str) -> DataFrame:
+    """(token, id, *more) of the tokens that two ids or more have, all of longs; rows of a token stream by, none is held but the last."""
+    names = ["token", "id", *more]
+
     def shared(batches):
-        last_t, last_i, last_r, gone = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), False  # the row before, and whether it went out
+        last, gone = [np.empty(0, np.int64) for _ in names], False  # the row before, and whether it went out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = np.concatenate([last_t, batch.column(0).to_numpy(zero_copy_only=False)])
-            i = np.concatenate([last_i, batch.column(1).to_numpy(zero_copy_only=False)])
-            r = np.concatenate([last_r, batch.column(2).to_numpy(zero_copy_only=False)])
-            same = t[1:] == t[:-1]
-            out = np.zeros(len(t), bool)
+            values = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(last)]
+            same = values[0][1:] == values[0][:-1]
+            out = np.zeros(len(values[0]), bool)
             out[1:] |= same
             out[:-1] |= same
             if gone:
                 out[0] = False
-            yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(i[out]), pa.array(r[out])], names=["token", "id", "room"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in values], names=names)
             gone = len(same) > 0 and bool(same[-1])
-            last_t, last_i, last_r = t[-1:], i[-1:], r[-1:]
+            last = [x[-1:] for x in values]
 
-    return rows.select("token", "id", "room").repartition("token").sortWithinPartitions("token", "id").mapInArrow(shared, "token long, id long, room long")
+    return rows.select(*names).repartition("token").sortWithinPartitions("token", "id").mapInArrow(shared, ", ".join(f"{c} long" for c in names))
 
 
 def possible(t: Fraction) -> Column:
@@ -286,7 +286,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
     known = scratch.put("index", index(plain, size, t, scratch))
     classes = scratch.put("classes", known.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"), F.first("parity").alias("parity")))
     reps = classes.select(F.col("rep").alias("id"), "n", "bits", "parity")
-    groups = scratch.put("groups", grouped(known.select("id", "n", F.posexplode("prefix").alias("before", "token")).withColumn("room", F.col("n") - F.col("before"))).join(reps.select("id", "n"), "id"))
+    groups = scratch.put("groups", grouped(known.select("id", "n", F.posexplode("prefix").alias("before", "token")).withColumn("room", F.col("n") - F.col("before")), "room").join(reps.select("id", "n"), "id"))
     scratch.free()
     labels, links, tested, k = None, None, None, 0
     while k <= ROUNDS:

@@ -86,6 +86,15 @@ def test_jaccard_below_a_half(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 1}  # 5 and 2: 40 of 101
 
 
+@pytest.mark.parametrize("more", [[], ["room"]])
+def test_grouped_rows_carry_what_the_caller_has(spark, more):
+    """Operator 9 groups grams without a room, operator 7 tokens with one."""
+    rows = spark.createDataFrame([(t, i, t * 100 + i) for t, ids in ((1, [5, 6, 7]), (2, [5]), (3, [8, 9]), (4, []), (-5, [1] * 2)) for i in ids], "token long, id long, room long")
+    got = ngram_jaccard.grouped(rows.select("token", "id", *more).repartition(3), *more)
+    assert got.columns == ["token", "id", *more]
+    assert sorted(tuple(x) for x in got.collect()) == [(t, i, t * 100 + i)[:2 + len(more)] for t, i in ((-5, 1), (-5, 1), (1, 5), (1, 6), (1, 7), (3, 8), (3, 9))]
+
+
 def linked(sets, num, den):
     """Brute force: the smallest id that links reach from each."""
     low = {i: i for i in sets}
