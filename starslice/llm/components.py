@@ -11,9 +11,9 @@ from starslice.llm.common import Scratch
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b); the component is its smallest id.
 
-    Each round ties an id's larger neighbours to its smallest one, then its smaller neighbours likewise, until nothing changes.
-    The smallest neighbour is an aggregate, so an id with very many links is summed before it is shuffled; the rounds grow with
-    the logarithm of the longest chain. Rounds are written, which cuts the lineage.
+    Each round ties an id's larger neighbours to its smallest one, then its smaller neighbours likewise, until every id but the
+    smallest ones has one neighbour, a smallest one. The smallest neighbour is an aggregate, so an id with very many links is
+    summed before it is shuffled; the rounds grow with the logarithm of the longest chain. Rounds are written, which cuts the lineage.
     """
     def tie(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")) if larger else edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -24,15 +24,17 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             out = out.union(low.select(F.col("u"), F.col("m")))
         return out.filter("a <> b").distinct()
 
-    edges = scratch.put(f"{name}_edges0", links.filter("a <> b").select("a", "b"))
-    seen, k = None, 0
-    while True:
+    def open_ids(edges: DataFrame) -> int:
+        """1 if some id is tied to two ids, or to one that is tied itself, else 0; one exchange, where a round has eight."""
+        none = F.lit(None).cast("long")
+        ends = edges.select(F.col("a").alias("u"), F.col("b").alias("to"), F.lit(0).alias("root")).union(edges.select("b", none, F.lit(1)))
+        tied = ends.groupBy("u").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max("root").alias("root"))
+        return tied.filter("low < high OR (low IS NOT NULL AND root = 1)").limit(1).count()
+
+    edges = scratch.put(f"{name}_edges0", links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    k = 0
+    while open_ids(edges):
         k += 1
-        new = scratch.put(f"{name}_edges{k}", tie(tie(edges, True), False))
+        edges = scratch.put(f"{name}_edges{k}", tie(tie(edges, True), False))
         scratch.drop(f"{name}_edges{k - 1}")
-        state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        edges = new
-        if state == seen:
-            break
-        seen = state
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

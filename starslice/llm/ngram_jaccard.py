@@ -234,8 +234,8 @@ def apart(a: str, b: str, t: Fraction) -> Column:
 TILE = 64  # ids a side of a tile, on average
 
 
-def compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, t: Fraction, star: bool) -> DataFrame:
-    """The pairs (a, b) whose texts' sets have Jaccard similarity ``t`` or more. ``pairs`` has a token that they share.
+def compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, t: Fraction, star: bool) -> DataFrame | None:
+    """The pairs (a, b) whose texts' sets have Jaccard similarity ``t`` or more. ``pairs`` has a token that they share. None if there are no pairs.
 
     The pairs of a token are dealt by the hashes of their ids into tiles of about TILE ids a side (``star``: one pivot and TILE
     others). A tile gets each of its texts once, so many pairs among few texts don't multiply them.
@@ -244,6 +244,8 @@ def compare(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size
     sides = F.ceil((F.col("pairs") if star else F.sqrt("pairs")) / TILE)
     side = lambda c: F.pmod(F.xxhash64(c), sides)
     pairs = scratch.put(f"{name}_pairs", pairs.join(of_token, "token").select("a", "b", F.struct("token", side("a").alias("i"), side("b").alias("j")).alias("tile")))
+    if not pairs.limit(1).count():
+        return None
     wanted = pairs.select("tile", F.col("a").alias("id")).union(pairs.select("tile", "b")).distinct()
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     few = ids.limit(SEMI_ROWS + 1).count() <= SEMI_ROWS
@@ -288,7 +290,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
     reps = classes.select(F.col("rep").alias("id"), "n", "bits", "parity")
     groups = scratch.put("groups", grouped(known.select("id", "n", F.posexplode("prefix").alias("before", "token")).withColumn("room", F.col("n") - F.col("before")), "room").join(reps.select("id", "n"), "id"))
     scratch.free()
-    labels, links, tested, k = None, None, None, 0
+    labels, tested, k = None, None, 0
     while k <= ROUNDS:
         mine = groups.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component") if labels is not None else groups.withColumn("label", F.col("id"))
         # the first pivots have the fewest tokens before the group's, later ones are any with room for a partner of their own size
@@ -314,15 +316,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, threshol
         new = compare(pairs, plain, scratch, f"round{k}", size, t, star=k < ROUNDS)
         done = scratch.spark.read.parquet(scratch.paths[f"round{k}_pairs"]).select("a", "b")
         tested = done if tested is None else tested.union(done)
-        links = new if links is None else links.union(new)
         scratch.free()
-        if k == ROUNDS or done.limit(1).count():
+        if new is not None and new.limit(1).count():
+            # the labels so far stand for the links that made them
+            links = new if labels is None else new.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
             labels = scratch.put(f"labels{k}", components(links, scratch, f"cc{k}"))
-            k += 1
-        else:
-            k = ROUNDS  # nothing to compare with these pivots tells nothing about the other members: straight to the pairs that are left
-    of_class = (classes.select("n", "f1", "f2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-                .select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id")))
+        # nothing to compare with these pivots tells nothing about the other members: straight to the pairs that are left
+        k = k + 1 if new is not None or k == ROUNDS else ROUNDS
+    of_class = classes.select("n", "f1", "f2", "rep")
+    if labels is not None:
+        of_class = of_class.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    of_class = of_class.select("n", "f1", "f2", F.col("rep").alias("component_id"))
     rows = known.select("id", "n", "f1", "f2").join(of_class, ["n", "f1", "f2"], "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 

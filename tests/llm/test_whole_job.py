@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starslice.llm import chat, line_dedup, ngram_jaccard
 from starslice.llm.common import Scratch
+from starslice.llm.components import components
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -112,6 +113,27 @@ def linked(sets, num, den):
     return {i: root(i) for i in sets}
 
 
+@pytest.mark.parametrize("shape, rounds", [("stars", 0), ("none", 0), ("chain", None), ("random", None)])
+def test_components_take_no_round_more_than_they_need(spark, shape, rounds):
+    """Each round is eight exchanges that the driver plans; links that are stars already need none, and none is run to see that nothing changes."""
+    r = random.Random(7)
+    links = {"stars": [(k // 9 * 9, k) for k in range(90) if k % 9] * 2 + [(200, 200)], "none": [(3, 3)], "chain": [(k, k + 1) for k in range(40)],
+             "random": [(r.randrange(120), r.randrange(120)) for _ in range(90)]}[shape]
+    scratch, put = Scratch(spark, "test"), []
+    whole = scratch.put
+    scratch.put = lambda name, df: put.append(name) or whole(name, df)
+    got = [tuple(x) for x in components(spark.createDataFrame(links, "a long, b long").repartition(3), scratch, "cc").collect()]
+    sets = {i: {(min(x), max(x)) for x in links if i in x and x[0] != x[1]} for i in {i for x in links for i in x}}
+    low = {i: i for i in sets if sets[i]}
+    while True:
+        new = {i: min(low[j] for x in sets[i] for j in x) for i in low}
+        if new == low:
+            break
+        low = new
+    assert sorted(got) == sorted(low.items())
+    assert len(put) - 1 == rounds if rounds is not None else 1 < len(put) < 8
+
+
 def test_jaccard_family_of_near_copies_makes_few_candidates(spark, monkeypatch):
     """Copies of one text with up to five words replaced, most of them too far from each other: candidates grow with the copies, not with their square."""
     r = random.Random(4)
