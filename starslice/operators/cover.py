@@ -5,6 +5,8 @@ polygon begins with the cells, four at most, that its box touches. A cell with m
 each cell it is known whether it is inside; a point's answer differs from it by the parity of the edges between the two, and only edges
 that touch the cell can lie there. So a cell without edges is wholly inside or outside, and no point meets an edge outside its cell.
 
+The lookup cuts a leaf with more than ``FEW`` edges once more, into a fixed grid of squares, so that most places are answered by a square without edges.
+
 Parities are ``bit_xor`` aggregates, so neither a huge ring nor a dense cell is gathered: edges stay rows until a leaf takes them in pieces of
 about ``most``. Cells that are still too full ``levels`` below the first (many edges through one point) have several pieces.
 
@@ -25,6 +27,9 @@ from starslice.runtime import settle
 CELL = ["geom", "e", "ix", "iy"]  # a cell of side 2 ** e
 EDGE = ["seq", "x1", "y1", "x2", "y2"]
 BANDS = 8  # of a leaf's height; changes cost, not results
+FEW = 4  # edges that are tested without a loop over an array; changes cost, not results
+CUT = 3  # levels that the lookup cuts a leaf of more edges by; changes cost, not results
+CUTS = 2  # times that it does so, the second time where a square has more edges still; changes cost, not results
 
 
 def _side(e: Column) -> Column:
@@ -156,35 +161,129 @@ def _banded(cover: DataFrame) -> DataFrame:
     return cover.select(*CELL, "inside", crossing.alias("crossing"), F.posexplode(bands).alias("band", "beside"))
 
 
+def _past(g: dict[str, Column], x: Column, y: Column, cx: Column) -> Column:
+    """A flag for each place of a cell whose right side is at cx: it differs between two places as the parity of the edge between them does.
+
+    It is that of ``_between``, put together: the ray test, and for each end of the edge beyond the side whether it lies above the place.
+    """
+    return _xor(_right_of(g, x, y), (g["x1"] > cx) & (g["y1"] > y), (g["x2"] > cx) & (g["y2"] > y))
+
+
+def _few(x: Column, y: Column, cx: Column) -> Column:
+    """``_past`` of all edges of a row with ``FEW`` at most, written out, as functions on arrays run without generated code."""
+    def flag(i: int) -> Column:
+        x1, y1, x2, y2, lo, hi = (F.col(f"{c}_{i}") for c in [*EDGE[1:], "lo", "hi"])
+        at = x1 + (y - y1) * (x2 - x1) / (y2 - y1)  # as in _right_of, and computed only where the heights differ
+        ray = F.when((y1 > y) != (y2 > y), (x < lo) | ((x < hi) & (x < at))).otherwise(F.lit(False))
+        return _xor(ray, (x1 > cx) & (y1 > y), (x2 > cx) & (y2 > y))
+
+    odd = F.lit(False)
+    for i in reversed(range(FEW)):
+        odd = F.when(F.col("n") > i, _xor(flag(i), odd)).otherwise(F.lit(False))
+    return odd
+
+
+def _flat(cells: DataFrame) -> DataFrame:
+    """Cells of ``FEW`` edges at most with a column for each coordinate; ``base`` is the answer where the edges' flags agree."""
+    ends = {f"{c}_{i}": F.coalesce(F.get("edges", F.lit(i))[c], F.lit(0.0)) for i in range(FEW) for c in EDGE[1:]}
+    ends |= {f"{c}_{i}": f(ends[f"x1_{i}"], ends[f"x2_{i}"]) for i in range(FEW) for c, f in (("lo", F.least), ("hi", F.greatest))}
+    rows = cells.select(*CELL, "inside", F.coalesce(F.size("edges"), F.lit(0)).alias("n"), *[v.alias(k) for k, v in ends.items()], _side(F.col("e")).alias("side"))
+    rows = rows.withColumn("cx", F.coalesce((F.col("ix") + 1) * F.col("side"), F.lit(0.0)))
+    base = _xor(F.col("inside"), _few(F.col("cx"), F.col("iy") * F.col("side"), F.col("cx")))
+    return rows.withColumn("base", F.coalesce(base, F.lit(False))).drop("inside", "side")
+
+
+def _cut(leaves: DataFrame) -> DataFrame:
+    """(geom, e, ix, iy, inside, edges): each leaf in 4 ** CUT squares, without the empty ones outside.
+
+    A row of squares is one group: bits for the answers at the squares' corners, and the edges with the first and last square that they touch.
+    """
+    wide, g, parts = 2 ** CUT, _columns(), int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x1, y1, x2, y2 = g.values()
+    side = F.col("side")
+    cx = (F.col("ix") + 1) * side
+    # a row without edges has one that is missing, whose bits are none
+    none = F.array(F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>"))
+    met = leaves.withColumn("side", _side(F.col("e"))).repartition(parts, *CELL).select(*CELL, "inside", "side", F.inline(F.concat("edges", none)))
+    met = met.withColumn("corner", _past(g, cx, F.col("iy") * side, cx)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    part, first, line = side / wide, F.col("ix") * wide, F.col("iy") * wide + F.col("j")
+    low = line * part
+    # _past at the corners of a row: those left of the edge are as many as whole squares fit, as the sides are powers of two
+    at = F.greatest(F.least(x1, x2), F.least(F.greatest(x1, x2), x1 + (low - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))))
+    left = F.greatest(F.lit(0), F.least(F.lit(wide), F.ceil(at / part) - first - 1)).cast("int")
+    ray = F.when(_spans(g, low), F.call_function("shiftleft", F.lit(1), left) - 1).otherwise(0)
+    rest = F.when(_xor(F.col("corner"), (x1 > cx) & (y1 > low), (x2 > cx) & (y2 > low)), 2 ** wide - 1).otherwise(0)
+    # the reach of the edge within the row, with the spare of _touches
+    pad = part * 1e-6
+    reach = [x1 + (level - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)) for level in (F.greatest(F.least(y1, y2), low - pad), F.least(F.greatest(y1, y2), low + part + pad))]
+    ends = [F.when(y1 == y2, x).otherwise(F.greatest(F.least(x1, x2), F.least(F.greatest(x1, x2), r))) for x, r in zip((x1, x2), reach)]
+    here = lambda x: F.greatest(F.lit(-1), F.least(F.lit(wide), F.floor(x / part) - first)).cast("int")
+    met = met.withColumns({"flip": ray.bitwiseXOR(rest), "close": (F.greatest(y1, y2) >= low - pad) & (F.least(y1, y2) <= low + part + pad)})
+    met = met.withColumns({"lo": here(F.least(*ends) - pad), "hi": here(F.greatest(*ends) + pad)})
+    kept = F.when(F.col("close"), F.struct("lo", "hi", *EDGE[1:]))
+    rows = met.filter(x1.isNull() | F.col("close") | (F.col("flip") != 0)).groupBy(*CELL, "inside", "j").agg(F.bit_xor("flip").alias("flip"), F.collect_list(kept).alias("near"))
+    bit = F.call_function("shiftleft", F.lit(1), F.col("i"))
+    squares = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))).select(
+        "geom", (F.col("e") - CUT).alias("e"), (first + F.col("i")).alias("ix"), line.alias("iy"),
+        _xor(F.col("inside"), F.col("flip").bitwiseAND(bit) != 0).alias("inside"),
+        F.transform(F.filter("near", lambda t: (t["lo"] <= F.col("i")) & (t["hi"] >= F.col("i"))), lambda t: F.struct(*[t[c] for c in EDGE[1:]])).alias("edges"))
+    return squares.filter(F.col("inside") | (F.size("edges") > 0))
+
+
 def locate(points: DataFrame, cover: DataFrame) -> DataFrame:
     """(point columns, geom) for each point and polygon around it. ``points`` has x and y.
 
-    A point looks up its band in the one cell of each side that the cover has (as many as it has levels), by equality. The bands are dealt to all
-    tasks, however few bytes points and cover have, as each may hold very many pairs; so neither side is broadcast.
+    A point looks up the one cell of each side that the cover has (as many as it has levels), by equality: in leaves with few edges and in squares that other
+    leaves are cut into. Leaves, and squares of many edges, are cut into bands. All are dealt to all tasks, however few bytes points and cover have, as each may
+    hold very many pairs; so neither side is broadcast.
     """
-    sides = sorted(r["e"] for r in cover.select("e").distinct().collect())  # a few whole numbers
+    n, shape = F.coalesce(F.size("edges"), F.lit(0)), [*CELL, "inside", "edges"]
+    full = (F.col("pieces") == 1) & (n > FEW)
+    kinds = F.when(full, "full").when(F.col("pieces") == 1, "few").otherwise("dense")
+    sides: dict[str, list[int]] = {}
+    for r in cover.select(kinds.alias("kind"), "e").distinct().collect():  # a few whole numbers
+        sides.setdefault(r["kind"], []).append(r["e"])
     if not sides:
         return points.join(cover.select("geom"), F.lit(False))
     to = lambda c, e: F.floor(F.col(c) / _side(e))
     e, x, y = F.col("e"), F.col("x"), F.col("y")
-    key, parts = ["e", "ix", "iy", "band"], int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    band = [F.lit(b) for b in range(BANDS)]
 
-    def placed(rows: DataFrame) -> DataFrame:
-        cells = rows.withColumn("e", F.explode(F.array(*[F.lit(k) for k in sides]))).withColumns({"ix": to("x", e), "iy": to("y", e)})
-        return cells.withColumn("band", _band(y)).repartition(parts, *key)
+    def met(rows: DataFrame, cells: DataFrame, at: list[int], key: list[str]) -> DataFrame:
+        """Rows beside the cells that hold them; a hash leads the key, as rows are sorted by its first column soonest."""
+        spread = rows.withColumn("e", F.explode(F.array(*[F.lit(k) for k in sorted(at)]))).withColumns({"ix": to("x", e), "iy": to("y", e)})
+        both = [(t.withColumn("band", _band(y)) if "band" in key and t is spread else t).withColumn("cell", F.xxhash64(*key)) for t in (spread, cells)]
+        left, right = [t.repartition(parts, "cell", *key) for t in both]
+        return left.join(right.hint("merge"), ["cell", *key])
 
+    known = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    known = known.withColumns({c: F.coalesce(c, F.lit(0).cast(points.schema[c].dataType)) for c in ("x", "y")})  # none is missing; so the planner knows it
+    cell, banded, out = CELL[1:], [*CELL[1:], "band"], [*points.columns, "geom"]
     cx, cy = (F.col("ix") + 1) * _side(e), F.col("iy") * _side(e)
     along = F.aggregate("beside", F.lit(False), lambda a, g: _xor(a, _along(g, cx, x, y)))
     odd = F.aggregate("crossing", along, lambda a, g: _xor(a, _up(g, cx, cy, y)))
-    known = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    near = placed(known).join(_banded(cover.filter("pieces = 1")).hint("merge"), key).filter(_xor(F.col("inside"), odd)).select(*points.columns, "geom")
-    dense = cover.filter("pieces > 1")
-    if not dense.limit(1).count():
-        return near
-    # the pieces of a dense cell answer together, once for each place
-    places = placed(known.select("x", "y").distinct()).join(_banded(dense).hint("merge"), key)
-    agreed = places.groupBy("geom", "x", "y", "inside").agg((F.bit_xor(odd.cast("int")) == 1).alias("odd")).filter(_xor(F.col("inside"), F.col("odd")))
-    return near.unionByName(known.join(agreed.select("x", "y", "geom"), ["x", "y"]).select(*points.columns, "geom"))
+    within = _xor(F.col("base"), _few(x, y, F.col("cx")))
+    found = []
+    if "few" in sides:
+        leaves = _flat(cover.filter((F.col("pieces") == 1) & (n <= FEW)).select(*shape)).withColumn("band", F.explode(F.array(*band)))
+        found.append(met(known, leaves, sides["few"], banded).filter(within).select(*out))
+    left, at, fine, reached = cover.filter(full).select(*shape), sides.get("full", []), [], set()
+    for _ in range(CUTS):
+        if at:
+            squares, reached = settle(_cut(left), "cover-squares"), reached | {k - CUT for k in at}
+            fine, left = [*fine, squares.filter(n <= FEW)], squares.filter(n > FEW)
+            at = [r["e"] for r in left.select("e").distinct().collect()]
+    if fine:
+        found.append(met(known, _flat(reduce(DataFrame.unionByName, fine)), [*reached], cell).filter(within).select(*out))
+    if at:
+        found.append(met(known, _banded(left), at, banded).filter(_xor(F.col("inside"), odd)).select(*out))
+    if "dense" in sides:
+        # the pieces of a dense cell answer together, once for each place
+        places = met(known.select("x", "y").distinct(), _banded(cover.filter("pieces > 1")), sides["dense"], banded)
+        agreed = places.groupBy("geom", "x", "y", "inside").agg((F.bit_xor(odd.cast("int")) == 1).alias("odd")).filter(_xor(F.col("inside"), F.col("odd")))
+        found.append(known.join(agreed.select("x", "y", "geom"), ["x", "y"]).select(*out))
+    return reduce(DataFrame.unionByName, found)
 
 
 def point_in_polygon(points: DataFrame, vertices: DataFrame, most: int = 32, levels: int = 12) -> DataFrame:

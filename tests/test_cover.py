@@ -103,3 +103,20 @@ def test_a_point_meets_the_edges_of_its_band_only(spark):
     tall = closed("tall", [(0, 0), *[(3 + (k % 2) / 4, k / 8) for k in range(1, 64)], (0, 8)])
     bands = C._banded(C.polygon_cover(spark.createDataFrame(tall, V), 1000, 12)).collect()
     assert max(len(r.beside) for r in bands) < 20 and sum(len(r.beside) for r in bands) >= 63
+
+
+def test_places_of_a_jagged_ring_meet_few_edges_each(spark):
+    ring = lambda k, cx, cy: closed(f"ring {k}", [(cx + r * math.cos(t), cy + r * math.sin(t)) for r, t in ((1 + (k + s * s * 7) % 13 / 10, 2 * math.pi * s / 60) for s in range(60))])
+    shapes = ring(1, 0.3, 0.7) + ring(2, 1.1, -0.4) + closed("tie", [(-2, -2), (2, 2), (2, -2), (-2, 2)])
+    points = [(i, (i * 3571) % 4001 / 4001 * 7 - 3, (i * 7919) % 4003 / 4003 * 6 - 3) for i in range(1500)]
+    points += [(5000 + i, v[4], v[5]) for i, v in enumerate(shapes[-5:])] + [(9000 + i, i % 24 / 4 - 3, i // 24 / 4 - 3) for i in range(576)]  # vertices, corners of squares
+    want = brute(points, shapes)
+    cover = C.polygon_cover(spark.createDataFrame(shapes, V))
+    assert cover.filter(F.size("edges") > 2 * C.FEW).count() > 0
+    found = C.locate(spark.createDataFrame(points, "id int, x double, y double"), cover)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1]  # pairs of place and edges run as generated code
+    assert sorted(rows(found.select("id", "geom"))) == want and len(want) > 300
+    squares = C._cut(cover.filter(F.size("edges") > C.FEW).select(*C.CELL, "inside", "edges")).collect()
+    assert sum(not r.edges for r in squares) > 50
+    corners = [(k, (r.ix + 1) * 2.0 ** r.e, r.iy * 2.0 ** r.e) for k, r in enumerate(squares)]
+    assert {(k, squares[k].geom) for k, r in enumerate(squares) if r.inside} == {(k, g) for k, g in brute(corners, shapes) if squares[k].geom == g}
